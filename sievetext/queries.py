@@ -179,3 +179,149 @@ def q_encode_with_vocab(spark, sf_dir):
              .select(F.col("item_id").alias("id"), tokenize("text").alias("tokens")))
     enc = encode_fixed(bench, p.index, 64)
     return enc.select(F.col("id").alias("item_id"), ids_to_string("ids").alias("ids"))
+
+
+# ---------------------------------------------------------------- noise, complements
+
+def _ord_sql(src: str = "corpus", purpose: str = "shuffle") -> str:
+    return f"""ord AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY {S.shuffle_key(purpose, 'id')}, id) - 1 AS BIGINT) AS shuffle_pos,
+         count(*) OVER () AS n FROM {src})"""
+
+
+def _noise_sql(kind: str, c: int = 4, ratio: float = 0.3) -> str:
+    new = (f"{S.draw('inc', 'id')} % {c}" if kind == "inc"
+           else f"(label_clean + 1 + {S.draw('exc', 'id')} % {c - 1}) % {c}")
+    return f"""nz AS (
+  SELECT id, y AS label_clean, shuffle_pos,
+         shuffle_pos >= trunc((1.0::DOUBLE - {ratio}::DOUBLE) * n) AS is_noisy_row FROM ord),
+noisy AS (
+  SELECT id, label_clean, shuffle_pos, is_noisy_row,
+         CAST(CASE WHEN is_noisy_row THEN {new} ELSE label_clean END AS INTEGER) AS label FROM nz)"""
+
+
+def _noise_spark(spark, sf_dir, kind: str):
+    from .operators.noise import inject_noise
+
+    p = _prep(spark, sf_dir)
+    return inject_noise(p.corpus.select("id", "y"), p.num_classes, 0.3, kind=kind, label_col="y")
+
+
+for _kind in ("inc", "exc"):
+    def _make(kind):
+        def q(spark, sf_dir):
+            out = _noise_spark(spark, sf_dir, kind)
+            return out.select("id", "label_clean", F.col("y").alias("label"), "is_noisy_row",
+                              "is_flipped", "shuffle_pos")
+        return q
+    query(f"noise_{_kind}", _with(S.corpus_cte(), _ord_sql(), _noise_sql(_kind)) + """
+SELECT id, label_clean, label, is_noisy_row, label <> label_clean AS is_flipped, shuffle_pos FROM noisy""")(
+        _make(_kind))
+
+
+@query("noise_split", _with(S.corpus_cte(), _ord_sql()) + """
+SELECT id, shuffle_pos, shuffle_pos >= trunc((1.0::DOUBLE - 0.3::DOUBLE) * n) AS is_noisy_row FROM ord""")
+def q_noise_split(spark, sf_dir):
+    from .operators.order import shuffled_ordinal
+
+    p = _prep(spark, sf_dir)
+    o = shuffled_ordinal(p.corpus.select("id"), name="shuffle_pos", total="_n")
+    return o.select("id", "shuffle_pos",
+                    (F.col("shuffle_pos") >= F.floor(F.lit(1.0 - 0.3) * F.col("_n"))).alias("is_noisy_row"))
+
+
+@query("noise_sizes", _with(S.corpus_cte(), _ord_sql(), _noise_sql("inc").replace("nz AS", "nzi AS").replace(
+    "noisy AS", "noisy_inc AS").replace("FROM nz)", "FROM nzi)"), _noise_sql("exc").replace(
+    "nz AS", "nze AS").replace("noisy AS", "noisy_exc AS").replace("FROM nz)", "FROM nze)")) + """
+SELECT 'inc' AS kind, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(sum(CASE WHEN is_noisy_row THEN 0 ELSE 1 END) AS BIGINT) AS n_clean,
+       CAST(sum(CASE WHEN is_noisy_row THEN 1 ELSE 0 END) AS BIGINT) AS n_noisy,
+       CAST(sum(CASE WHEN label <> label_clean THEN 1 ELSE 0 END) AS BIGINT) AS n_flipped FROM noisy_inc
+UNION ALL
+SELECT 'exc', CAST(count(*) AS BIGINT), CAST(sum(CASE WHEN is_noisy_row THEN 0 ELSE 1 END) AS BIGINT),
+       CAST(sum(CASE WHEN is_noisy_row THEN 1 ELSE 0 END) AS BIGINT),
+       CAST(sum(CASE WHEN label <> label_clean THEN 1 ELSE 0 END) AS BIGINT) FROM noisy_exc""")
+def q_noise_sizes(spark, sf_dir):
+    parts = []
+    for kind in ("inc", "exc"):
+        out = _noise_spark(spark, sf_dir, kind)
+        parts.append(out.agg(
+            F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows"),
+            F.sum(F.when(F.col("is_noisy_row"), 0).otherwise(1)).cast("long").alias("n_clean"),
+            F.sum(F.when(F.col("is_noisy_row"), 1).otherwise(0)).cast("long").alias("n_noisy"),
+            F.sum(F.when(F.col("is_flipped"), 1).otherwise(0)).cast("long").alias("n_flipped")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("complement_targets", _with(S.corpus_cte()) + f"""
+SELECT id, y, CAST(e.epoch AS INTEGER) AS epoch,
+       CAST((y + 1 + {S.draw('comp', 'e.epoch', 'id')} % 3) % 4 AS INTEGER) AS comp
+FROM corpus, (VALUES (0), (1), (2)) e(epoch)""")
+def q_complement_targets(spark, sf_dir):
+    from .operators.noise import complement_label
+
+    p = _prep(spark, sf_dir)
+    rows = p.corpus.select("id", "y", F.explode(F.array(*[F.lit(e) for e in range(3)])).alias("epoch"))
+    return rows.select("id", "y", "epoch",
+                       complement_label("y", p.num_classes, F.col("epoch"), id_col="id").alias("comp"))
+
+
+# ---------------------------------------------------------------- splits, batches, unions
+
+@query("valid_split", _with(S.corpus_cte(), _ord_sql(purpose="valid")) + """
+SELECT id, shuffle_pos AS pos, shuffle_pos >= n - trunc(0.2::DOUBLE * n) AS is_valid FROM ord""")
+def q_valid_split(spark, sf_dir):
+    from .operators.order import exact_split
+
+    p = _prep(spark, sf_dir)
+    return exact_split(p.corpus.select("id"), 0.2, purpose="valid").select("id", "pos", "is_valid")
+
+
+TAIL = 250
+
+
+@query("tail_valid_split", _with(S.corpus_cte()) + f""",
+cat AS (SELECT id, CASE WHEN split = 'test' THEN 1 ELSE 0 END AS part FROM corpus),
+ord AS (SELECT id, CAST(row_number() OVER (ORDER BY part, id) - 1 AS BIGINT) AS pos,
+        count(*) OVER () AS n FROM cat)
+SELECT id, pos, pos >= n - {TAIL} AS is_valid FROM ord""")
+def q_tail_valid_split(spark, sf_dir):
+    from .operators.order import tail_split
+
+    p = _prep(spark, sf_dir)
+    train = p.corpus.where(F.col("split") != "test").select("id", F.lit(0).alias("part"))
+    test = p.corpus.where(F.col("split") == "test").select("id", F.lit(1).alias("part"))
+    cat = train.unionByName(test)
+    return tail_split(cat, TAIL, order_by=["part", "id"]).select("id", "pos", "is_valid")
+
+
+def _batches_sql(drop_last: bool, shuffled: bool) -> str:
+    order = f"{S.shuffle_key('shuffle', 'id')}, id" if shuffled else "id"
+    where = "WHERE pos < floor(n / 64) * 64" if drop_last else ""
+    return _with(S.corpus_cte()) + f""",
+ord AS (SELECT id, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS pos, count(*) OVER () AS n
+        FROM corpus WHERE split = 'train')
+SELECT id, pos, CAST(floor(pos / 64) AS BIGINT) AS batch_id FROM ord {where}"""
+
+
+def _batches_q(drop_last: bool, shuffled: bool):
+    def q(spark, sf_dir):
+        from .operators.order import batches
+
+        p = _prep(spark, sf_dir)
+        train = p.corpus.where(F.col("split") == "train").select("id")
+        return batches(train, 64, drop_last=drop_last, shuffle=shuffled).select("id", "pos", "batch_id")
+    return q
+
+
+query("batches", _batches_sql(False, False))(_batches_q(False, False))
+query("batches_drop_last", _batches_sql(True, False))(_batches_q(True, False))
+query("batches_shuffled", _batches_sql(False, True))(_batches_q(False, True))
+
+
+@query("train_dev_union", _with(S.corpus_cte()) + """
+SELECT id, split FROM corpus WHERE split = 'train' UNION ALL SELECT id, split FROM corpus WHERE split = 'dev'""")
+def q_train_dev_union(spark, sf_dir):
+    c = _prep(spark, sf_dir).corpus
+    return (c.where(F.col("split") == "train").select("id", "split")
+            .unionByName(c.where(F.col("split") == "dev").select("id", "split")))
