@@ -325,3 +325,98 @@ def q_train_dev_union(spark, sf_dir):
     c = _prep(spark, sf_dir).corpus
     return (c.where(F.col("split") == "train").select("id", "split")
             .unionByName(c.where(F.col("split") == "dev").select("id", "split")))
+
+
+# ---------------------------------------------------------------- vectors
+
+def _vectors(spark, sf_dir):
+    from .plans.features import build_vectors
+
+    return build_vectors(spark, sf_dir, _prep(spark, sf_dir))
+
+
+def _long(df, id_col: str, vec_col: str):
+    """One row per vector component: ``id, j, value`` (rounded)."""
+    return df.select(id_col, F.posexplode(vec_col).alias("j", "_v")).select(
+        id_col, "j", (F.round("_v", 6) + F.lit(0.0)).alias("value"))
+
+
+def _checksums(df, key: str, vec_col: str = "vec"):
+    return df.select(key, F.size(vec_col).cast("long").alias("dim"),
+                     (F.round(F.aggregate(vec_col, F.lit(0.0), lambda a, x: a + x), 6)
+                      + F.lit(0.0)).alias("v_sum"),
+                     (F.round(F.aggregate(vec_col, F.lit(0.0), lambda a, x: a + x * x), 6)
+                      + F.lit(0.0)).alias("v_sq"))
+
+
+_CHK_SQL = ("CAST(len(vec) AS BIGINT) AS dim, round(list_reduce(list_prepend(0.0::DOUBLE, vec), "
+            "lambda a, x: a + x), 6) + 0.0::DOUBLE AS v_sum, round(list_reduce(list_prepend(0.0::DOUBLE, vec), "
+            "lambda a, x: a + x * x), 6) + 0.0::DOUBLE AS v_sq")
+
+VEC_BASE = INDEX + (S.VOCAB_ALL_CTE, S.DIM_CTE, S.EMB_CTE)
+
+
+def _roundtrip_vectors(spark, sf_dir, in_vocab: bool):
+    from .operators.vectors import read_word_vectors, write_word_vectors
+    from .session import scratch_path
+
+    v = _vectors(spark, sf_dir)
+    path = write_word_vectors(v.vectors, scratch_path(spark, "word-vectors"))
+    vocab = v.prep.vocab if in_vocab else None
+    got, _info = read_word_vectors(spark, path, vocab=vocab)
+    return _checksums(got, "token")
+
+
+@query("read_word_vectors", _with(*VEC_BASE, S.wv_cte()) + f"""
+SELECT token, {_CHK_SQL} FROM wv""")
+def q_read_word_vectors(spark, sf_dir):
+    return _roundtrip_vectors(spark, sf_dir, in_vocab=False)
+
+
+@query("word_vectors_in_vocab", _with(*VEC_BASE, S.wv_cte()) + f"""
+SELECT token, {_CHK_SQL} FROM wv WHERE token IN (SELECT token FROM vocab)""")
+def q_word_vectors_in_vocab(spark, sf_dir):
+    return _roundtrip_vectors(spark, sf_dir, in_vocab=True)
+
+
+@query("lookup_table", _with(*VEC_BASE, S.lookup_ctes()) + f"""
+SELECT id, {_CHK_SQL} FROM lookup""")
+def q_lookup_table(spark, sf_dir):
+    return _checksums(_vectors(spark, sf_dir).lookup, "id")
+
+
+@query("vector_dim", """
+SELECT CAST(mode(len(embedding)) AS BIGINT) AS dim, CAST(count(*) AS BIGINT) AS n_vectors FROM embeddings""")
+def q_vector_dim(spark, sf_dir):
+    from .operators.vectors import vector_dim
+
+    return vector_dim(table(spark, sf_dir, "embeddings"), "embedding")
+
+
+@query("mean_pool_features", _with(*VEC_BASE, S.lookup_ctes(), S.pool_mean_ctes(254)) + """
+SELECT id, j, round(value, 6) + 0.0::DOUBLE AS value FROM feat""")
+def q_mean_pool_features(spark, sf_dir):
+    from .plans.features import pooled_features
+
+    return _long(pooled_features(_vectors(spark, sf_dir)), "id", "features")
+
+
+@query("attention_pool", _with(*VEC_BASE, S.lookup_ctes()) + """,
+ex AS (SELECT t.id, u.token, u.pos FROM toks t, unnest(list_slice(t.tokens, 1, 64)) WITH ORDINALITY AS u(token, pos)),
+h AS (SELECT e.id, e.pos, coalesce(tv.vec, unkv.vec) AS h FROM ex e CROSS JOIN unkv LEFT JOIN tv ON e.token = tv.token),
+q AS (SELECT id, arg_max(h, pos) AS q FROM h GROUP BY id),
+sc AS (SELECT h.id, h.pos, h.h, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(h.h, q.q), lambda p: p[1] * p[2])),
+       lambda a, x: a + x) AS s FROM h JOIN q ON h.id = q.id),
+ex2 AS (SELECT id, h, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM sc),
+z AS (SELECT id, sum(e) AS z FROM ex2 GROUP BY id),
+el AS (SELECT x.id, CAST(u.j - 1 AS INTEGER) AS j, sum(u.v * x.e) AS num
+       FROM ex2 x, unnest(x.h) WITH ORDINALITY AS u(v, j) GROUP BY x.id, u.j)
+SELECT t.id, CAST(r.j AS INTEGER) AS j, round(coalesce(el.num / z.z, 0.0::DOUBLE), 6) + 0.0::DOUBLE AS value
+FROM toks t CROSS JOIN dimt CROSS JOIN range(dimt.d) r(j)
+LEFT JOIN el ON el.id = t.id AND el.j = r.j LEFT JOIN z ON z.id = t.id""")
+def q_attention_pool(spark, sf_dir):
+    from .operators.vectors import attention_pool
+
+    v = _vectors(spark, sf_dir)
+    pooled = attention_pool(v.prep.tokens, v.token_vecs, v.dim, max_items=64, unk=v.unk)
+    return _long(pooled, "id", "features")

@@ -77,3 +77,52 @@ def draw(purpose: str, *keys: str) -> str:
 
 def sql_tokenize_text(expr: str = "text") -> str:
     return sql_tokenize(expr)
+
+
+# ---- vectors ------------------------------------------------------------
+
+VOCAB_ALL_CTE = """vocab_all AS (SELECT DISTINCT unnest(tokens) AS token FROM toks)"""
+
+DIM_CTE = """dimt AS (SELECT CAST(mode(len(embedding)) AS BIGINT) AS d, count(*) AS n FROM embeddings)"""
+
+EMB_CTE = """emb AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS row,
+                    list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings)"""
+
+
+def wv_cte() -> str:
+    return f"""wv AS (SELECT v.token, e.vec FROM vocab_all v CROSS JOIN dimt
+  JOIN emb e ON e.row = {draw('wv', 'v.token')} % dimt.n)"""
+
+
+def special_vec_sql(id_expr: str) -> str:
+    """Needs ``dimt`` in scope (column ``d``)."""
+    comp = (f"list_transform(range(dimt.d), lambda j: ((2.0::DOUBLE * {draw('special', id_expr, 'j')}"
+            f" / 4294967296.0::DOUBLE) - 1.0::DOUBLE) * (1.0::DOUBLE / sqrt(dimt.d::DOUBLE)))")
+    zeros = "list_transform(range(dimt.d), lambda j: 0.0::DOUBLE)"
+    return f"(CASE WHEN {id_expr} = 0 THEN {zeros} ELSE {comp} END)"
+
+
+def lookup_ctes() -> str:
+    """``lookup(id, vec)`` and ``tv(token, vec)``; needs word_index, vocab_all, dimt, emb."""
+    return f"""{wv_cte()},
+lookup AS (
+  SELECT w.id, CASE WHEN w.id IN (0, 1, 2, 3) THEN {special_vec_sql('w.id')}
+                    ELSE coalesce(v.vec, {special_vec_sql('3')}) END AS vec
+  FROM word_index w CROSS JOIN dimt LEFT JOIN wv v ON w.token = v.token),
+tv AS (SELECT w.token, l.vec FROM word_index w JOIN lookup l ON w.id = l.id WHERE w.id > 3),
+unkv AS (SELECT vec FROM lookup WHERE id = 3)"""
+
+
+def pool_mean_ctes(max_items: int, name: str = "feat") -> str:
+    """``{name}(id, j, value)`` long-format mean of token vectors (needs toks, tv, unkv, dimt)."""
+    return f"""{name}_ex AS (
+  SELECT t.id, u.token, u.pos FROM toks t, unnest(list_slice(t.tokens, 1, {max_items})) WITH ORDINALITY AS u(token, pos)),
+{name}_g AS (
+  SELECT e.id, coalesce(tv.vec, unkv.vec) AS vec FROM {name}_ex e CROSS JOIN unkv LEFT JOIN tv ON e.token = tv.token),
+{name}_el AS (
+  SELECT g.id, CAST(u.j - 1 AS INTEGER) AS j, avg(u.v) AS value
+  FROM {name}_g g, unnest(g.vec) WITH ORDINALITY AS u(v, j) GROUP BY g.id, u.j),
+{name} AS (
+  SELECT t.id, CAST(r.j AS INTEGER) AS j, coalesce(el.value, 0.0::DOUBLE) AS value
+  FROM toks t CROSS JOIN dimt CROSS JOIN range(dimt.d) r(j)
+  LEFT JOIN {name}_el el ON el.id = t.id AND el.j = r.j)"""
