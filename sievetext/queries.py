@@ -420,3 +420,189 @@ def q_attention_pool(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     pooled = attention_pool(v.prep.tokens, v.token_vecs, v.dim, max_items=64, unk=v.unk)
     return _long(pooled, "id", "features")
+
+
+# ---------------------------------------------------------------- scores, losses, selection, audit
+# (M1 M3 M4 O5 A4 A5 P4 P5 P6 A6 G6 G7 G1 G2) on `embeddings` with centroid weights
+
+def _emb(spark, sf_dir):
+    from .operators.labels import collect_labels, encode_labels
+    from .operators.model import centroid_model
+    from .plans.features import embeddings_dim
+
+    emb = table(spark, sf_dir, "embeddings").where(F.col("label").isNotNull())
+    labels = collect_labels(emb, "label")
+    df = encode_labels(emb, labels, "label", "y", strict=False).select(
+        "vec_id", "y", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    model = centroid_model(df, len(labels), embeddings_dim(emb), scale=S.CENTROID_SCALE)
+    return df, model, len(labels)
+
+
+def _scored(spark, sf_dir, log: bool = False):
+    from .operators.model import score
+
+    df, model, c = _emb(spark, sf_dir)
+    return score(df, model, log=log), c
+
+
+def _r6(col):
+    return (F.round(col, 6) + F.lit(0.0))
+
+
+@query("linear_logits", _with(S.EMB_SCORE_CTES) + """
+SELECT vec_id, CAST(k AS INTEGER) AS k, round(z, 6) + 0.0::DOUBLE AS logit FROM logit""")
+def q_linear_logits(spark, sf_dir):
+    from .functions.vecmath import linear
+
+    df, model, _c = _emb(spark, sf_dir)
+    z = df.select("vec_id", linear("features", model.W.tolist(), model.b.tolist()).alias("z"))
+    return z.select("vec_id", F.posexplode("z").alias("k", "_z")).select("vec_id", "k", _r6(F.col("_z")).alias("logit"))
+
+
+@query("log_softmax_scores", _with(S.EMB_SCORE_CTES) + """
+SELECT vec_id, CAST(k AS INTEGER) AS k, round(logp, 6) + 0.0::DOUBLE AS log_prob FROM prob""")
+def q_log_softmax_scores(spark, sf_dir):
+    s, _c = _scored(spark, sf_dir, log=True)
+    return s.select("vec_id", F.posexplode("probs").alias("k", "_l")).select(
+        "vec_id", "k", _r6(F.col("_l")).alias("log_prob"))
+
+
+@query("predicted_class", _with(S.EMB_SCORE_CTES) + "SELECT vec_id, y, pred FROM pred")
+def q_predicted_class(spark, sf_dir):
+    from .functions.vecmath import argmax
+
+    s, _c = _scored(spark, sf_dir)
+    return s.select("vec_id", "y", argmax("probs").alias("pred"))
+
+
+@query("accuracy", _with(S.EMB_SCORE_CTES) + """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CASE WHEN pred = y THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
+       round(100.0::DOUBLE * avg(CASE WHEN pred = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pred""")
+def q_accuracy(spark, sf_dir):
+    from .operators.metrics import accuracy
+
+    s, _c = _scored(spark, sf_dir)
+    a = accuracy(s)
+    return a.select("n_rows", "n_correct", F.round("accuracy", 6).alias("accuracy"))
+
+
+BS = 128
+
+
+def _loss_sql(loss_expr: str, src: str, extra: str = "") -> str:
+    return f""",
+rowloss AS (SELECT vec_id, {loss_expr} AS loss{extra} FROM {src}),
+b AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {BS}) AS BIGINT) AS batch_id FROM rowloss),
+bm AS (SELECT batch_id, avg(loss) AS m FROM b GROUP BY batch_id)
+SELECT CAST((SELECT count(*) FROM rowloss) AS BIGINT) AS n_rows,
+       round((SELECT avg(loss) FROM rowloss), 6) AS loss_mean,
+       round((SELECT sum(m) FROM bm) / (SELECT count(*) FROM rowloss), 6) AS loss_reported"""
+
+
+@query("pl_loss", _with(S.EMB_SCORE_CTES) + _loss_sql("-ln(greatest(p_y, 1e-12::DOUBLE))", "py"))
+def q_pl_loss(spark, sf_dir):
+    from .functions.vecmath import nll
+    from .operators.metrics import epoch_loss
+
+    s, _c = _scored(spark, sf_dir)
+    rows = s.select("vec_id", nll("probs", "y").alias("loss"))
+    return epoch_loss(rows, "loss", BS, order_by=["vec_id"])
+
+
+@query("nl_loss", _with(S.EMB_SCORE_CTES, S.comp_sql(0)) + _loss_sql(
+    "-ln(greatest(1.0::DOUBLE - p, 1e-12::DOUBLE))",
+    "(SELECT prob.vec_id, prob.p FROM prob JOIN comp ON prob.vec_id = comp.vec_id AND prob.k = comp.k)",
+    ", ln(greatest(p, 1e-12::DOUBLE)) - 1.0::DOUBLE AS loss_w") + """,
+       round((SELECT avg(loss_w) FROM rowloss), 6) AS loss_as_written_mean""")
+def q_nl_loss(spark, sf_dir):
+    from .functions.vecmath import negative_nll
+    from .operators.metrics import epoch_loss
+    from .operators.noise import complement_label
+
+    s, c = _scored(spark, sf_dir)
+    rows = s.select("vec_id", complement_label("y", c, 0, id_col="vec_id").alias("comp"), "probs")
+    rows = rows.select("vec_id", negative_nll("probs", "comp").alias("loss"),
+                       negative_nll("probs", "comp", form="as_written").alias("loss_w"))
+    out = epoch_loss(rows, "loss", BS, order_by=["vec_id"], extra_means={"loss_w": "loss_as_written_mean"})
+    return out
+
+
+def _select_q(kind: str):
+    def q(spark, sf_dir):
+        from .operators.selection import confident_rows, selection_threshold
+
+        s, c = _scored(spark, sf_dir)
+        t = selection_threshold(kind, c)
+        kept = confident_rows(s, t, probs_col="probs", y_col="y")
+        return kept.select("vec_id", "y", _r6(F.col("p_y")).alias("p_y"))
+    return q
+
+
+query("select_selnl", _with(S.EMB_SCORE_CTES) + """
+SELECT vec_id, y, round(p_y, 6) + 0.0::DOUBLE AS p_y FROM py WHERE p_y > 1.0::DOUBLE / (SELECT c FROM nc)""")(
+    _select_q("selnl"))
+query("select_selpl", _with(S.EMB_SCORE_CTES) + """
+SELECT vec_id, y, round(p_y, 6) + 0.0::DOUBLE AS p_y FROM py WHERE p_y > 0.5::DOUBLE""")(_select_q("selpl"))
+
+
+@query("label_audit", _with(S.EMB_SCORE_CTES) + """
+SELECT vec_id, y AS actual_label, pred AS predicted_label, CASE WHEN y = pred THEN 1 ELSE 0 END AS is_equal FROM pred""")
+def q_label_audit(spark, sf_dir):
+    from .functions.vecmath import argmax
+    from .operators.metrics import label_audit
+
+    s, _c = _scored(spark, sf_dir)
+    preds = s.select("vec_id", F.col("y").alias("actual_label"), argmax("probs").alias("predicted_label"))
+    return label_audit(preds)
+
+
+@query("label_audit_all", _with(S.EMB_SCORE_CTES) + """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CASE WHEN y = pred THEN 1 ELSE 0 END) AS BIGINT) AS n_equal,
+       bool_and(y IS NOT DISTINCT FROM pred) AS all_equal FROM pred""")
+def q_label_audit_all(spark, sf_dir):
+    from .functions.vecmath import argmax
+    from .operators.metrics import label_audit_all
+
+    s, _c = _scored(spark, sf_dir)
+    preds = s.select(F.col("y").alias("actual_label"), argmax("probs").alias("predicted_label"))
+    return label_audit_all(preds)
+
+
+def _grad_sql(g_expr: str, src: str) -> str:
+    return f""",
+g AS (SELECT vec_id, k, {g_expr} AS g FROM {src}),
+grad AS (SELECT g.k, ex.j, sum(g.g * ex.v) AS s FROM g JOIN ex ON g.vec_id = ex.vec_id GROUP BY g.k, ex.j
+         UNION ALL SELECT k, -1 AS j, sum(g) AS s FROM g GROUP BY k)
+SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, round(s / (SELECT n FROM nc), 6) + 0.0::DOUBLE AS grad FROM grad"""
+
+
+def _grad_long(spark, frame, c: int, d: int):
+    """Long form ``k, j, grad`` (mean); bias as j = -1."""
+    exploded = frame.select(F.col("n"), F.posexplode("grad").alias("_i", "_g"))
+    k = F.floor(F.col("_i") / F.lit(d + 1)).cast("int")
+    j = F.pmod(F.col("_i"), F.lit(d + 1)).cast("int")
+    return exploded.select(k.alias("k"), F.when(j == d, F.lit(-1)).otherwise(j).alias("j"),
+                           _r6(F.col("_g") / F.col("n")).alias("grad"))
+
+
+@query("pl_gradient", _with(S.EMB_SCORE_CTES) + _grad_sql(
+    "p - CASE WHEN k = y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", "prob"))
+def q_pl_gradient(spark, sf_dir):
+    from .operators.model import gradient_frame
+
+    df, model, c = _emb(spark, sf_dir)
+    return _grad_long(spark, gradient_frame(df, model, kind="pl"), c, model.dim)
+
+
+@query("nl_gradient", _with(S.EMB_SCORE_CTES, S.comp_sql(0)) + """,
+pk AS (SELECT prob.vec_id, comp.k AS kbar, prob.p AS p_k FROM prob JOIN comp ON prob.vec_id = comp.vec_id AND prob.k = comp.k),
+src AS (SELECT prob.vec_id, prob.k, prob.p, pk.kbar, pk.p_k FROM prob JOIN pk ON prob.vec_id = pk.vec_id)""" + _grad_sql(
+    "p_k / greatest(1.0::DOUBLE - p_k, 1e-12::DOUBLE) * (CASE WHEN k = kbar THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - p)",
+    "src"))
+def q_nl_gradient(spark, sf_dir):
+    from .operators.model import gradient_frame
+    from .operators.noise import complement_label
+
+    df, model, c = _emb(spark, sf_dir)
+    df = df.withColumn("comp", complement_label("y", c, 0, id_col="vec_id"))
+    return _grad_long(spark, gradient_frame(df, model, kind="nl", comp_col="comp"), c, model.dim)

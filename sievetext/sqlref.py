@@ -126,3 +126,31 @@ def pool_mean_ctes(max_items: int, name: str = "feat") -> str:
   SELECT t.id, CAST(r.j AS INTEGER) AS j, coalesce(el.value, 0.0::DOUBLE) AS value
   FROM toks t CROSS JOIN dimt CROSS JOIN range(dimt.d) r(j)
   LEFT JOIN {name}_el el ON el.id = t.id AND el.j = r.j)"""
+
+
+# ---- scoring over `embeddings` with centroid weights -----------------------
+
+# ---- fixed values ------------------------------------------------------
+CENTROID_SCALE = 40.0  # logits = scale x class centroid . x (fixed oracle weights)
+# -------------------------------------------------------------------------
+
+EMB_SCORE_CTES = """e AS (SELECT vec_id, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS y, embedding
+       FROM embeddings WHERE label IS NOT NULL),
+nc AS (SELECT count(DISTINCT y) AS c, count(*) AS n FROM e),
+ex AS (SELECT e.vec_id, e.y, CAST(u.j - 1 AS INTEGER) AS j, CAST(u.v AS DOUBLE) AS v
+       FROM e, unnest(e.embedding) WITH ORDINALITY AS u(v, j)),
+cent AS (SELECT y AS k, j, avg(v) * {scale}::DOUBLE AS w FROM ex GROUP BY y, j),
+logit AS (SELECT ex.vec_id, ex.y, cent.k, sum(ex.v * cent.w) AS z
+          FROM ex JOIN cent ON ex.j = cent.j GROUP BY ex.vec_id, ex.y, cent.k),
+sm AS (SELECT vec_id, y, k, z, z - max(z) OVER (PARTITION BY vec_id) AS zs FROM logit),
+prob AS (SELECT vec_id, y, k, z, exp(zs) / sum(exp(zs)) OVER (PARTITION BY vec_id) AS p,
+                zs - ln(sum(exp(zs)) OVER (PARTITION BY vec_id)) AS logp FROM sm),
+pred AS (SELECT vec_id, y, CAST(k AS INTEGER) AS pred FROM (
+           SELECT vec_id, y, k, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) AS r FROM prob) WHERE r = 1),
+py AS (SELECT vec_id, y, p AS p_y FROM prob WHERE k = y)""".replace("{scale}", repr(CENTROID_SCALE))
+
+
+def comp_sql(epoch: int = 0) -> str:
+    """``comp`` CTE: complementary label per row of ``e`` (needs nc)."""
+    return f"""comp AS (SELECT e.vec_id, CAST((e.y + 1 + {draw('comp', str(epoch), 'e.vec_id')} % (nc.c - 1)) % nc.c AS INTEGER) AS k
+  FROM e CROSS JOIN nc)"""
