@@ -606,3 +606,69 @@ def q_nl_gradient(spark, sf_dir):
     df, model, c = _emb(spark, sf_dir)
     df = df.withColumn("comp", complement_label("y", c, 0, id_col="vec_id"))
     return _grad_long(spark, gradient_frame(df, model, kind="nl", comp_col="comp"), c, model.dim)
+
+
+# ---------------------------------------------------------------- training
+
+QUERY_EPOCHS = 5
+
+
+def _nlnl(spark, sf_dir, stages, epochs=QUERY_EPOCHS):
+    from .plans.nlnl import NLNLConfig, run_nlnl
+
+    cfg = NLNLConfig(nl_epochs=epochs, selnl_epochs=epochs, selpl_epochs=epochs)
+    return run_nlnl(spark, sf_dir, cfg, stages=stages)
+
+
+def _history(spark, res):
+    from .plans.train import history_frame
+
+    h = history_frame(spark, res.history)
+    return h.select("step", "stage", "epoch", "n_rows", _r6(F.col("train_loss")).alias("train_loss"),
+                    _r6(F.col("train_pos_loss")).alias("train_pos_loss"),
+                    _r6(F.col("dev_loss")).alias("dev_loss"), "test_accuracy", "stopped")
+
+
+@query("train_nl")
+def q_train_nl(spark, sf_dir):
+    return _history(spark, _nlnl(spark, sf_dir, ("nl",)))
+
+
+@query("train_pl")
+def q_train_pl(spark, sf_dir):
+    return _history(spark, _nlnl(spark, sf_dir, ("pl",)))
+
+
+@query("training_history")
+def q_training_history(spark, sf_dir):
+    return _history(spark, _nlnl(spark, sf_dir, ("nl", "selnl", "selpl")))
+
+
+@query("train_nl_selnl_selpl")
+def q_train_nl_selnl_selpl(spark, sf_dir):
+    from .plans.nlnl import scored_rows
+
+    res = _nlnl(spark, sf_dir, ("nl", "selnl", "selpl"))
+    return scored_rows(res).select("id", "y", "label_clean", "is_flipped",
+                                   _r6(F.col("p_y")).alias("p_y"), "pred", "kept")
+
+
+@query("weights_roundtrip", _with(S.EMB_SCORE_CTES) + """
+SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, round(w, 6) + 0.0::DOUBLE AS w FROM cent
+UNION ALL SELECT CAST(k AS INTEGER), -1, 0.0::DOUBLE FROM (SELECT DISTINCT k FROM cent)""")
+def q_weights_roundtrip(spark, sf_dir):
+    from .plans.train import load_weights, save_weights, weights_frame
+    from .session import scratch_path
+
+    _df, model, _c = _emb(spark, sf_dir)
+    path = save_weights(spark, model, scratch_path(spark, "weights"))
+    back = load_weights(spark, path)
+    assert back.W.shape == model.W.shape
+    # long form straight from the written table (no driver round trip of values)
+    rows = spark.read.parquet(path)
+    w = rows.where(F.col("name") == "weight").select(
+        F.element_at("shape", 2).alias("_d"), F.posexplode("values").alias("_i", "_v"))
+    b = rows.where(F.col("name") == "bias").select(F.posexplode("values").alias("k", "_v"))
+    return (w.select((F.floor(F.col("_i") / F.col("_d"))).cast("int").alias("k"),
+                     F.pmod(F.col("_i"), F.col("_d")).cast("int").alias("j"), _r6(F.col("_v")).alias("w"))
+            .unionByName(b.select(F.col("k").cast("int"), F.lit(-1).alias("j"), _r6(F.col("_v")).alias("w"))))
