@@ -136,56 +136,71 @@ def special_vector(special_id: int | Column, dim: int, seed: int = 7) -> Column:
 
 def lookup_table(index: DataFrame, vectors: DataFrame, dim: int, seed: int = 7,
                  specials=(0, 1, 2, 3)) -> DataFrame:
-    """``(id, vec)`` for every id of the word index.
+    """``(id, token, vec)`` for every id of the word index.
 
     Words without a vector take the <UNK> vector (Q5: ids stay dense and
     correct instead of pointing at the wrong row).  Specials get
     :func:`special_vector`.
     """
     unk = special_vector(UNK_ID, dim, seed)
-    joined = index.join(vectors, "token", "left")
+    joined = index.join(vectors.select("token", "vec"), "token", "left")
     is_special = F.col("id").isin(*specials)
     vec = F.when(is_special, special_vector(F.col("id").cast("int"), dim, seed)).otherwise(
         F.coalesce(F.col("vec"), unk))
-    return joined.select("id", vec.alias("vec"))
+    return joined.select("id", "token", vec.alias("vec"))
 
 
 def token_vectors(index: DataFrame, lookup: DataFrame) -> DataFrame:
     """``(token, vec)`` for the words of the index (specials excluded)."""
-    return index.where(F.col("id") > F.lit(UNK_ID)).join(lookup, "id").select("token", "vec")
+    return index.where(F.col("id") > F.lit(UNK_ID)).join(lookup.select("id", "vec"), "id").select("token", "vec")
 
 
 # ---------------------------------------------------------------- pooling
 
+def _vector_table(table: DataFrame, key: str, dim: int, broadcast: bool | None) -> DataFrame:
+    t = table.select(key, "vec")
+    if broadcast is None:
+        t, _ = broadcast_if_small(t, 8 * dim + 64)
+    elif broadcast:
+        t = F.broadcast(t)
+    return t
+
+
 def _gather(df: DataFrame, id_col: str, items: Column, table: DataFrame, key: str,
-            broadcast: bool) -> DataFrame:
-    exploded = df.select(id_col, F.posexplode(items).alias("_pos", key))
-    right = F.broadcast(table) if broadcast else table
-    return exploded.join(right, key, "left")
+            dim: int, unk: Column | None, broadcast: bool | None, keep=()) -> DataFrame:
+    """``id, *keep, _pos, _has, h``: one row per item (and one row with a zero
+    vector and ``_has`` false for a row without items)."""
+    exploded = df.select(id_col, *keep, F.posexplode_outer(items).alias("_pos", key))
+    joined = exploded.join(_vector_table(table, key, dim, broadcast), key, "left")
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    fill = unk if unk is not None else zeros
+    h = F.when(F.col(key).isNull(), zeros).otherwise(F.coalesce(F.col("vec"), fill))
+    return joined.select(id_col, *keep, "_pos", F.col(key).isNotNull().alias("_has"), h.alias("h"))
 
 
 def mean_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id",
               items_col: str = "tokens", key: str = "token", max_items: int | None = None,
-              unk: Column | None = None, broadcast: bool = False,
+              unk: Column | None = None, broadcast: bool | None = None,
               out_col: str = "features", keep=()) -> DataFrame:
     """Mean of the vectors of each row's items.
 
     ``items_col`` holds tokens (``key='token'``, ``table=(token, vec)``) or ids
     (``key='id'``, ``table=(id, vec)``); items missing from ``table`` take
-    ``unk`` (default: zeros).  Rows without items get a zero vector.  The
-    per-row sum is a JVM vector aggregate; groups are bounded by
-    ``max_items``.
+    ``unk`` (default: zeros); rows without items get a zero vector.
+
+    Plan: explode (at most ``max_items`` per row) -> join with the vector
+    table (broadcast when its row count proves it small, else a shuffle join
+    with AQE skew splitting) -> per-row JVM vector sum.  The sum is partially
+    aggregated before its shuffle, so at most one partial vector per row and
+    map task crosses the network.
     """
     items = F.col(items_col) if max_items is None else F.slice(items_col, 1, max_items)
-    joined = _gather(df.select(id_col, items_col), id_col, items, table, key, broadcast)
-    fill = unk if unk is not None else F.array_repeat(F.lit(0.0), dim)
-    vecs = joined.select(id_col, array_to_vector(F.coalesce(F.col("vec"), fill)).alias("_v"))
-    sums = vecs.groupBy(id_col).agg(Summarizer.sum(F.col("_v")).alias("_s"),
-                                    F.count(F.lit(1)).alias("_n"))
-    pooled = sums.select(id_col, F.transform(vector_to_array("_s"), lambda x: x / F.col("_n")).alias("_f"))
-    base = df.select(id_col, *keep)
-    return base.join(pooled, id_col, "left").select(
-        id_col, *keep, F.coalesce("_f", F.array_repeat(F.lit(0.0), dim)).alias(out_col))
+    g = _gather(df, id_col, items, table, key, dim, unk, broadcast, keep)
+    sums = g.groupBy(id_col).agg(Summarizer.sum(array_to_vector("h")).alias("_s"),
+                                 F.count(F.when(F.col("_has"), 1)).alias("_n"),
+                                 *[F.first(c).alias(c) for c in keep])
+    mean = F.transform(vector_to_array("_s"), lambda x: x / F.greatest(F.col("_n"), F.lit(1)))
+    return sums.select(id_col, *keep, mean.alias(out_col))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -194,17 +209,17 @@ def dot(a: Column, b: Column) -> Column:
 
 def attention_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id",
                    items_col: str = "tokens", key: str = "token", max_items: int | None = None,
-                   unk: Column | None = None, out_col: str = "features") -> DataFrame:
+                   unk: Column | None = None, broadcast: bool | None = None,
+                   out_col: str = "features") -> DataFrame:
     """Softmax attention pooling (M6): ``w_t = softmax_t(h_t . q)``, result
     ``sum_t w_t h_t``, with ``h_t`` the item vectors and ``q`` the vector of the
-    last item.  Windows and the aggregate share one partitioning by row id.
+    last item.  The windows and the aggregate share one partitioning by row
+    id; a window holds at most ``max_items`` rows.
     """
     from pyspark.sql import Window
 
     items = F.col(items_col) if max_items is None else F.slice(items_col, 1, max_items)
-    joined = _gather(df.select(id_col, items_col), id_col, items, table, key, False)
-    fill = unk if unk is not None else F.array_repeat(F.lit(0.0), dim)
-    h = joined.select(id_col, "_pos", F.coalesce(F.col("vec"), fill).alias("h"))
+    h = _gather(df, id_col, items, table, key, dim, unk, broadcast)
     whole = Window.partitionBy(id_col).orderBy("_pos").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
     scored = (h.withColumn("_q", F.last("h").over(whole))
@@ -214,9 +229,7 @@ def attention_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id"
         F.transform("h", lambda x: x * F.col("_e"))).alias("_wh"))
     sums = weighted.groupBy(id_col).agg(Summarizer.sum(F.col("_wh")).alias("_s"),
                                         F.sum("_e").alias("_z"))
-    pooled = sums.select(id_col, F.transform(vector_to_array("_s"), lambda x: x / F.col("_z")).alias("_f"))
-    return df.select(id_col).join(pooled, id_col, "left").select(
-        id_col, F.coalesce("_f", F.array_repeat(F.lit(0.0), dim)).alias(out_col))
+    return sums.select(id_col, F.transform(vector_to_array("_s"), lambda x: x / F.col("_z")).alias(out_col))
 
 
 def vector_dim(vectors: DataFrame, vec_col: str = "vec") -> DataFrame:

@@ -3,16 +3,16 @@ features (the frozen-embedding input of the classifiers)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.vectors import (assign_vectors, lookup_table, mean_pool, special_vector,
-                                 token_vectors)
+from ..operators.vectors import assign_vectors, lookup_table, mean_pool, special_vector
 from ..operators.vocab import UNK_ID
+from ..session import materialize
 from ..sources.tables import table
-from .prepare import MAX_LENGTH, Prepared, prepare, vocab_of
+from .prepare import MAX_LENGTH, Prepared, prepare
 
 
 def embeddings_dim(embeddings: DataFrame, vec_col: str = "embedding") -> int:
@@ -20,33 +20,49 @@ def embeddings_dim(embeddings: DataFrame, vec_col: str = "embedding") -> int:
     return int(embeddings.agg(F.mode(F.size(vec_col))).first()[0])
 
 
-@dataclass
 class Vectors:
-    prep: Prepared
-    vectors: DataFrame        # token, vec  (all splits' words: the "vector file")
-    lookup: DataFrame         # id, vec     (every id of the word index)
-    token_vecs: DataFrame     # token, vec  (words of the index)
-    dim: int
+    """Word vectors for a prepared corpus.
+
+    ``vectors``: ``(token, vec)`` for every word of the corpus, the content a
+    pre-trained vector file would have (built from ``embeddings`` by a keyed
+    rule).  ``table``: ``(id, token, vec)`` for every id of the word index,
+    written once; ``lookup`` and ``token_vecs`` are projections of it.
+    """
+
+    def __init__(self, prep: Prepared, seed: int = 7):
+        self.prep, self.seed = prep, seed
+        self.embeddings = table(prep.spark, prep.sf_dir, "embeddings")
+        self.dim = embeddings_dim(self.embeddings)
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return assign_vectors(self.prep.vocab_all, self.embeddings, seed=self.seed)
+
+    @cached_property
+    def table(self) -> DataFrame:
+        t = lookup_table(self.prep.index, self.vectors, self.dim, seed=self.seed)
+        return materialize(t, "lookup") if self.prep.materialized else t
+
+    @property
+    def lookup(self) -> DataFrame:
+        return self.table.select("id", "vec")
+
+    @property
+    def token_vecs(self) -> DataFrame:
+        return self.table.where(F.col("id") > F.lit(UNK_ID)).select("token", "vec")
 
     @property
     def unk(self):
-        return special_vector(UNK_ID, self.dim)
+        return special_vector(UNK_ID, self.dim, self.seed)
 
 
 def build_vectors(spark: SparkSession, sf_dir: str, prep: Prepared | None = None,
                   seed: int = 7) -> Vectors:
-    prep = prep or prepare(spark, sf_dir)
-    emb = table(spark, sf_dir, "embeddings")
-    dim = embeddings_dim(emb)
-    all_words = vocab_of(prep.tokens, splits=("train", "dev", "test"))
-    vectors = assign_vectors(all_words, emb, seed=seed)
-    in_vocab = vectors.join(prep.vocab, "token", "left_semi")
-    lookup = lookup_table(prep.index, in_vocab, dim, seed=seed)
-    return Vectors(prep, vectors, lookup, token_vectors(prep.index, lookup), dim)
+    return Vectors(prep or prepare(spark, sf_dir), seed=seed)
 
 
 def pooled_features(v: Vectors, max_tokens: int = MAX_LENGTH - 2,
-                    broadcast: bool = False) -> DataFrame:
+                    broadcast: bool | None = None) -> DataFrame:
     """``id, y, split, features``: mean of the vectors of the first
     ``max_tokens`` tokens, unknown words through the <UNK> vector."""
     return mean_pool(v.prep.tokens, v.token_vecs, v.dim, max_items=max_tokens,

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.vecmath import argmax, pick
 from ..operators.model import score
 from ..operators.noise import inject_noise
+from ..session import materialize
 from .features import build_vectors, pooled_features
 from .prepare import prepare
-from .train import Adam, Trainer, checkpointed
+from .train import Adam, Trainer
 
 
 @dataclass
@@ -60,12 +61,14 @@ class NLNLResult:
 def noisy_feature_set(spark: SparkSession, sf_dir: str, cfg: NLNLConfig) -> NoisySet:
     prep = prepare(spark, sf_dir, label=cfg.label)
     vecs = build_vectors(spark, sf_dir, prep, seed=cfg.seed)
-    feats = pooled_features(vecs)
+    feats = materialize(pooled_features(vecs), "features")
     nontest = feats.where(F.col("split") != "test")
     noisy = inject_noise(nontest, prep.num_classes, cfg.noise_ratio, kind=cfg.noise_kind,
                          seed=cfg.seed, label_col="y")
-    data = checkpointed(noisy.select("id", "y", "label_clean", "is_flipped", "split", "features"))
-    test = checkpointed(feats.where(F.col("split") == "test").select("id", "y", "features"))
+    data = materialize(noisy.select("id", "y", "label_clean", "is_flipped", "split", "features"),
+                       "noisy-features")
+    test = materialize(feats.where(F.col("split") == "test").select("id", "y", "features"),
+                       "test-features")
     return NoisySet(data.where(F.col("split") == "train").drop("split"),
                     data.where(F.col("split") == "dev").drop("split"),
                     test, prep.num_classes, vecs.dim)

@@ -1,13 +1,17 @@
-"""The data-preparation chain of the reference, as one lazy Spark plan:
+"""The data-preparation chain of the reference as Spark stages:
 
 labelled text -> normalise + tokenise -> vocabulary (train + dev) -> word index
--> fixed-length id sequences.  Nothing here collects data; the only driver
-action is the bounded class list of the corpus reader.
+-> fixed-length id sequences.
+
+Stages that several consumers read (the token table, the vocabulary with its
+split flag, the word index) are written once to the shared scratch folder on
+first use, like the reference keeps them in memory; everything else stays a
+lazy plan.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +19,11 @@ from pyspark.sql import functions as F
 from ..functions.text import Tokenizer, tokenize
 from ..operators.encode import encode_fixed
 from ..operators.vocab import vocabulary, word_index
+from ..session import materialize
 from ..sources.tables import labeled_corpus_and_classes
 
 MAX_LENGTH = 256  # sequence length of the reference runner
+VOCAB_SPLITS = ("train", "dev")
 
 
 def with_tokens(df: DataFrame, text_col: str = "text", tokenizer: Tokenizer = "blank",
@@ -25,27 +31,61 @@ def with_tokens(df: DataFrame, text_col: str = "text", tokenizer: Tokenizer = "b
     return df.withColumn(out_col, tokenize(text_col, tokenizer))
 
 
-def vocab_of(toks: DataFrame, splits=("train", "dev")) -> DataFrame:
+def vocab_of(toks: DataFrame, splits=VOCAB_SPLITS) -> DataFrame:
     """Vocabulary of the given splits (train + dev; test-only words stay unknown, Q14)."""
     return vocabulary(toks.where(F.col("split").isin(*splits)))
 
 
-@dataclass
+def vocab_with_flag(toks: DataFrame, splits=VOCAB_SPLITS) -> DataFrame:
+    """``(token, in_vocab)`` over all splits in one aggregation: every word of
+    the corpus, flagged when it occurs in one of ``splits``."""
+    flag = F.col("split").isin(*splits)
+    ex = toks.select(F.explode("tokens").alias("token"), flag.alias("_f"))
+    return ex.groupBy("token").agg(F.max("_f").alias("in_vocab"))
+
+
 class Prepared:
-    corpus: DataFrame      # id, text, label, y, split
-    tokens: DataFrame      # id, y, split, tokens
-    vocab: DataFrame       # token
-    index: DataFrame       # token, id
-    num_classes: int
-    labels: list
+    """Lazy handle on the prepared corpus; stages are built on first access."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, label: str = "lang",
+                 tokenizer: Tokenizer = "blank", materialized: bool = True):
+        self.spark, self.sf_dir, self.label = spark, sf_dir, label
+        self.tokenizer = tokenizer
+        self.materialized = materialized
+        self.corpus, self.labels = labeled_corpus_and_classes(spark, sf_dir, label=label)
+        self.num_classes = len(self.labels)
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if self.materialized else df
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """``id, y, split, tokens``."""
+        toks = with_tokens(self.corpus, tokenizer=self.tokenizer).select("id", "y", "split", "tokens")
+        return self._keep(toks, "tokens")
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """``token, in_vocab`` for every word of the corpus."""
+        return self._keep(vocab_with_flag(self.tokens), "words")
+
+    @property
+    def vocab(self) -> DataFrame:
+        return self.words.where(F.col("in_vocab")).select("token")
+
+    @property
+    def vocab_all(self) -> DataFrame:
+        return self.words.select("token")
+
+    @cached_property
+    def index(self) -> DataFrame:
+        """``token, id``: specials 0-3, words from 4 in token order."""
+        return self._keep(word_index(self.vocab), "word-index")
 
 
 def prepare(spark: SparkSession, sf_dir: str, label: str = "lang",
-            tokenizer: Tokenizer = "blank") -> Prepared:
-    corpus, labels = labeled_corpus_and_classes(spark, sf_dir, label=label)
-    toks = with_tokens(corpus, tokenizer=tokenizer).select("id", "y", "split", "tokens")
-    vocab = vocab_of(toks)
-    return Prepared(corpus, toks, vocab, word_index(vocab), len(labels), labels)
+            tokenizer: Tokenizer = "blank", materialized: bool = True) -> Prepared:
+    return Prepared(spark, sf_dir, label=label, tokenizer=tokenizer, materialized=materialized)
 
 
 def encoded(prep: Prepared, max_length: int = MAX_LENGTH) -> DataFrame:

@@ -64,3 +64,27 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared scratch folder."""
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet under the shared scratch folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the table instead of re-running
+    the plan), lets several consumers share one computation, and gives later
+    joins real size statistics.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df, *keys: str):
+    """Hash-repartition a source on ``keys`` only when its scan has fewer
+    partitions than the cluster's parallelism (a file with one row group is
+    read by one task).  Large inputs of many files are left untouched."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_mod
 from ..operators.labels import collect_labels, encode_labels
+from ..session import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -58,7 +59,7 @@ def labeled_corpus_and_classes(spark: SparkSession, sf_dir: str, label: str = "l
             F.col("doc_id").alias("id"), "text", "label")
     else:
         raise ValueError(f"unknown label {label!r}")
-    base = base.where(F.col("text").isNotNull() & F.col("label").isNotNull())
+    base = spread(base.where(F.col("text").isNotNull() & F.col("label").isNotNull()), "id")
     classes = labels if labels is not None else collect_labels(base, "label")
     coded = encode_labels(base, classes, "label", "y", strict=False)
     return coded.withColumn("split", split_expr("id", seed)), classes
