@@ -672,3 +672,83 @@ def q_weights_roundtrip(spark, sf_dir):
     return (w.select((F.floor(F.col("_i") / F.col("_d"))).cast("int").alias("k"),
                      F.pmod(F.col("_i"), F.col("_d")).cast("int").alias("j"), _r6(F.col("_v")).alias("w"))
             .unionByName(b.select(F.col("k").cast("int"), F.lit(-1).alias("j"), _r6(F.col("_v")).alias("w"))))
+
+
+# ---------------------------------------------------------------- language-model targets
+
+@query("lm_next_token", _with(*BASE) + """,
+ex AS (SELECT t.id, CAST(u.pos - 1 AS INTEGER) AS pos, u.token
+       FROM toks t, unnest(list_slice(t.tokens, 1, 64)) WITH ORDINALITY AS u(token, pos))
+SELECT id, pos, token, lead(token) OVER (PARTITION BY id ORDER BY pos) AS next_token FROM ex""")
+def q_lm_next_token(spark, sf_dir):
+    from .operators.lm import next_token_pairs
+
+    return next_token_pairs(_prep(spark, sf_dir).tokens, max_tokens=64)
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+@query("read_labeled_csv", _with(S.corpus_cte()) + "SELECT label, text FROM corpus")
+def q_read_labeled_csv(spark, sf_dir):
+    from .session import scratch_path
+    from .sources.files import read_csv, write_csv
+
+    c = _prep(spark, sf_dir).corpus
+    path = write_csv(c.select("label", "text"), scratch_path(spark, "labeled-csv"))
+    return read_csv(spark, path)
+
+
+@query("export_csv_roundtrip", _with(S.corpus_cte()) + """
+SELECT CAST(id AS VARCHAR) AS id, label, text FROM corpus WHERE split IN ('train', 'dev')""")
+def q_export_csv_roundtrip(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    from .session import scratch_path
+    from .sources.files import read_csv, write_csv
+
+    c = _prep(spark, sf_dir).corpus
+    train_dev = (c.where(F.col("split") == "train").select("id", "label", "text")
+                 .unionByName(c.where(F.col("split") == "dev").select("id", "label", "text")))
+    path = write_csv(train_dev, scratch_path(spark, "export-csv"))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "label", "text")])
+    return read_csv(spark, path, schema)
+
+
+@query("read_predictions_json", _with(S.EMB_SCORE_CTES) + """
+SELECT CAST(vec_id AS BIGINT) AS id, CAST(y AS BIGINT) AS actual_label, CAST(pred AS BIGINT) AS predicted_label,
+       CASE WHEN y = pred THEN 1 ELSE 0 END AS is_equal FROM pred""")
+def q_read_predictions_json(spark, sf_dir):
+    from .functions.vecmath import argmax
+    from .operators.metrics import label_audit
+    from .session import scratch_path
+    from .sources.files import read_json, write_json
+
+    s, _c = _scored(spark, sf_dir)
+    preds = s.select(F.col("vec_id").alias("id"), F.col("y").cast("long").alias("actual_label"),
+                     argmax("probs").cast("long").alias("predicted_label"))
+    path = write_json(preds, scratch_path(spark, "predictions-json"))
+    return label_audit(read_json(spark, path))
+
+
+@query("read_text_folder", """
+SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL""")
+def q_read_text_folder(spark, sf_dir):
+    from .session import scratch_path
+    from .sources.files import read_text_folder, write_text_folder
+
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select(
+        F.col("doc_id").alias("id"), "text")
+    path = write_text_folder(docs, scratch_path(spark, "text-folder"))
+    return read_text_folder(spark, path).select("id", "text")
+
+
+@query("prepared_roundtrip", _with(*INDEX, S.encode_ctes(64)) + """
+SELECT id, y, array_to_string(ids, ' ') AS ids FROM enc""")
+def q_prepared_roundtrip(spark, sf_dir):
+    from .session import scratch_path
+    from .sources.files import read_parquet, write_parquet
+
+    p = _prep(spark, sf_dir)
+    path = write_parquet(encode_fixed(p.tokens, p.index, 64, keep=("y",)), scratch_path(spark, "prepared"))
+    back = read_parquet(spark, path)
+    return back.select("id", "y", ids_to_string("ids").alias("ids"))

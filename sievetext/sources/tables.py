@@ -59,8 +59,9 @@ def labeled_corpus_and_classes(spark: SparkSession, sf_dir: str, label: str = "l
             F.col("doc_id").alias("id"), "text", "label")
     else:
         raise ValueError(f"unknown label {label!r}")
-    base = spread(base.where(F.col("text").isNotNull() & F.col("label").isNotNull()), "id")
+    base = base.where(F.col("text").isNotNull() & F.col("label").isNotNull())
     classes = labels if labels is not None else collect_labels(base, "label")
+    base = spread(base, "id")
     coded = encode_labels(base, classes, "label", "y", strict=False)
     return coded.withColumn("split", split_expr("id", seed)), classes
 
