@@ -65,3 +65,11 @@ def sql_draw(seed: int, purpose: str, *keys: str) -> str:
 
 def sql_shuffle_key(seed: int, purpose: str, *keys: str) -> str:
     return f"md5({sql_draw_key(seed, purpose, *keys)})"
+
+
+def py_draw(seed: int, purpose: str, *keys) -> int:
+    """The same draw in plain Python, for driver-side model initialisation."""
+    import hashlib
+
+    s = ":".join([str(seed), purpose] + [str(k) for k in keys])
+    return int(hashlib.md5(s.encode()).hexdigest()[:8], 16)

@@ -3,9 +3,9 @@
 The driver holds the weights (c x (d+1) numbers) and the Adam state, nothing
 else.  One epoch is one Spark job: the current weights travel with the task
 closure, every partition returns partial sums, the JVM adds them, the driver
-steps.  Features are checkpointed once (a reliable, written copy in the
-cluster's checkpoint folder), so an epoch never re-runs the text preparation
-and a lost executor re-reads the checkpoint instead of the lineage.
+steps.  Features are written once to the shared scratch folder (the cluster's
+checkpoint directory), so an epoch never re-runs the text preparation and a
+lost executor re-reads that table instead of the lineage.
 
 Each step is a full-batch step instead of the reference's 512-row
 mini-batches (one job per mini-batch would not scale); the learning rate is
@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 from ..operators.metrics import accuracy
 from ..operators.model import SoftmaxHead, gradient, score
 from ..operators.noise import complement_label
-from ..session import scratch_root
 
 # ---- fixed values of the reference runner ---------------------------------
 REFERENCE_LR = 0.001
@@ -66,12 +65,6 @@ def clip_by_norm(grad: np.ndarray, max_norm: float | None) -> tuple[np.ndarray,
     return grad, norm
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's checkpoint folder (never local)."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def with_epoch_complement(df: DataFrame, num_classes: int, epoch: int, seed: int = 7,
                           id_col: str = "id", y_col: str = "y") -> DataFrame:
     return df.withColumn("comp", complement_label(y_col, num_classes, epoch, seed, id_col))
@@ -192,3 +185,37 @@ def load_weights(spark: SparkSession, path: str) -> SoftmaxHead:
     rows = {r["name"]: r for r in spark.read.schema(WEIGHTS_SCHEMA).parquet(path).collect()}
     W = np.asarray(rows["weight"]["values"]).reshape(rows["weight"]["shape"])
     return SoftmaxHead(W, np.asarray(rows["bias"]["values"]))
+
+
+def fit_cnn(runner, model, epochs: int, kind: str = "nl", lr: float = 0.01,
+            select: str | None = None, gamma: float = 0.5, seed: int = 7,
+            stage: str | None = None, history: list | None = None, optimizer: Adam | None = None):
+    """The same epoch loop for the CNN (G5 through G1/G2): one Spark job per
+    step, dropout masks keyed by (row, feature, step)."""
+    history = history if history is not None else []
+    opt = optimizer or Adam(lr=lr)
+    c = model.num_classes
+    threshold = None if select is None else (1.0 / c if select == "selnl" else gamma)
+    max_norm = GRAD_CLIP_PL if kind == "pl" else None
+    for epoch in range(1, epochs + 1):
+        t0 = time.time()
+        step = len(history) + 1
+        comp = None
+        if kind == "nl":
+            runner.data = with_epoch_complement(runner.data.drop("comp") if "comp" in runner.data.columns
+                                                else runner.data, c, step, seed)
+            comp = "comp"
+        row = runner.gradient_frame(model, kind=kind, epoch=step, comp_col=comp,
+                                    threshold=threshold).first()
+        n = int(row["n"] or 0)
+        if n == 0:
+            history.append({"step": step, "stage": stage or kind, "epoch": epoch, "n_rows": 0,
+                            "seconds": time.time() - t0, "stopped": True})
+            break
+        grad, norm = clip_by_norm(np.asarray(row["grad"]) / n, max_norm)
+        model = model.with_flat(opt.step(model.flat(), grad))
+        history.append({"step": step, "stage": stage or kind, "epoch": epoch, "n_rows": n,
+                        "train_loss": row["loss"] / n,
+                        "train_pos_loss": (row["aux_loss"] if kind == "nl" else row["loss"]) / n,
+                        "grad_norm": norm, "seconds": time.time() - t0, "stopped": False})
+    return model, history

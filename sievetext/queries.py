@@ -752,3 +752,45 @@ def q_prepared_roundtrip(spark, sf_dir):
     path = write_parquet(encode_fixed(p.tokens, p.index, 64, keep=("y",)), scratch_path(spark, "prepared"))
     back = read_parquet(spark, path)
     return back.select("id", "y", ids_to_string("ids").alias("ids"))
+
+
+# ---------------------------------------------------------------- CNN
+
+CNN_LEN = 32
+
+
+def _cnn_setup(spark, sf_dir, length=CNN_LEN):
+    from .operators.cnn import CNNRunner, CNNText
+    from .plans.features import Vectors
+
+    p = _prep(spark, sf_dir)
+    v = Vectors(p)
+    enc = encode_fixed(p.tokens, p.index, length, keep=("y", "split"))
+    return p, v, enc, CNNRunner, CNNText
+
+
+@query("cnn_scores", _with(*VEC_BASE, S.lookup_ctes(), S.encode_ctes(CNN_LEN),
+                           "nclass AS (SELECT count(DISTINCT lang) AS c FROM documents "
+                           "WHERE text IS NOT NULL AND lang IS NOT NULL)",
+                           S.cnn_ctes(CNN_LEN)) + """
+SELECT id, CAST(k AS INTEGER) AS k, round(p, 6) + 0.0::DOUBLE AS prob FROM cnnprob""")
+def q_cnn_scores(spark, sf_dir):
+    p, v, enc, CNNRunner, CNNText = _cnn_setup(spark, sf_dir)
+    runner = CNNRunner(enc, v.lookup, v.dim, CNN_LEN, keep=("y",))
+    s = runner.score(CNNText(p.num_classes, v.dim))
+    return s.select("id", F.posexplode("probs").alias("k", "_p")).select("id", "k", _r6(F.col("_p")).alias("prob"))
+
+
+@query("train_cnn")
+def q_train_cnn(spark, sf_dir):
+    from .operators.noise import inject_noise
+    from .plans.train import fit_cnn, history_frame
+
+    p, v, enc, CNNRunner, CNNText = _cnn_setup(spark, sf_dir)
+    train = enc.where(F.col("split") == "train")
+    noisy = inject_noise(train, p.num_classes, 0.3, kind="exc", label_col="y").select("id", "y", "ids")
+    runner = CNNRunner(noisy, v.lookup, v.dim, CNN_LEN, keep=("y",))
+    model, hist = fit_cnn(runner, CNNText(p.num_classes, v.dim), 3, kind="nl", lr=0.01, stage="nl")
+    model, hist = fit_cnn(runner, model, 3, kind="pl", lr=0.01, select="selpl", stage="selpl", history=hist)
+    return history_frame(spark, hist).select("step", "stage", "epoch", "n_rows",
+                                             _r6(F.col("train_loss")).alias("train_loss"), "stopped")

@@ -154,3 +154,37 @@ def comp_sql(epoch: int = 0) -> str:
     """``comp`` CTE: complementary label per row of ``e`` (needs nc)."""
     return f"""comp AS (SELECT e.vec_id, CAST((e.y + 1 + {draw('comp', str(epoch), 'e.vec_id')} % (nc.c - 1)) % nc.c AS INTEGER) AS k
   FROM e CROSS JOIN nc)"""
+
+
+# ---- CNN scores (weights from keyed draws) ---------------------------------
+
+def cnn_ctes(length: int, sizes=(2, 3, 4, 5, 6), n_filters: int = 5) -> str:
+    """``cnnprob(id, k, p)``; needs enc (ids of ``length``), lookup, dimt, nclass(c)."""
+    widths = ", ".join(f"({w})" for w in sizes)
+    nf = n_filters * len(sizes)
+    u = lambda *keys: f"({draw('cnn', *keys)} / 4294967296.0::DOUBLE)"
+    return f"""widths AS (SELECT * FROM (VALUES {widths}) v(width)),
+cw AS (SELECT w.width, f.f, j.j, list_transform(range(dimt.d), lambda e:
+         (2.0::DOUBLE * {u("'conv' || CAST(w.width AS VARCHAR)", 'f.f', 'j.j', 'e')} - 1.0::DOUBLE)
+         * (1.0::DOUBLE / sqrt((w.width * dimt.d)::DOUBLE))) AS wv
+       FROM widths w CROSS JOIN range({n_filters}) f(f) CROSS JOIN range({max(sizes)}) j(j) CROSS JOIN dimt
+       WHERE j.j < w.width),
+cb AS (SELECT w.width, f.f, (2.0::DOUBLE * {u("'conv' || CAST(w.width AS VARCHAR) || '_b'", 'f.f')} - 1.0::DOUBLE)
+         * (1.0::DOUBLE / sqrt((w.width * dimt.d)::DOUBLE)) AS b
+       FROM widths w CROSS JOIN range({n_filters}) f(f) CROSS JOIN dimt),
+cx AS (SELECT e.id, CAST(u.pos - 1 AS BIGINT) AS pos, l.vec
+       FROM enc e, unnest(e.ids) WITH ORDINALITY AS u(wid, pos) JOIN lookup l ON l.id = u.wid),
+proj AS (SELECT cx.id, cx.pos, cw.width, cw.f, cw.j, list_dot_product(cx.vec, cw.wv) AS pr FROM cx CROSS JOIN cw),
+conv AS (SELECT id, width, f, pos - j AS t, sum(pr) AS s FROM proj
+         WHERE pos - j >= 0 AND pos - j <= {length} - width GROUP BY id, width, f, pos - j),
+pooled AS (SELECT c.id, c.width, c.f, max(greatest(c.s + cb.b, 0.0::DOUBLE)) AS h
+           FROM conv c JOIN cb ON c.width = cb.width AND c.f = cb.f GROUP BY c.id, c.width, c.f),
+fcw AS (SELECT k.k, m.m, (2.0::DOUBLE * {u("'fc'", 'k.k', 'm.m')} - 1.0::DOUBLE) * (1.0::DOUBLE / sqrt({nf}.0::DOUBLE)) AS w
+        FROM nclass CROSS JOIN range(nclass.c) k(k) CROSS JOIN range({nf}) m(m)),
+fcb AS (SELECT k.k, (2.0::DOUBLE * {u("'fc_b'", 'k.k')} - 1.0::DOUBLE) * (1.0::DOUBLE / sqrt({nf}.0::DOUBLE)) AS b
+        FROM nclass CROSS JOIN range(nclass.c) k(k)),
+clogit AS (SELECT p.id, fcw.k, sum(p.h * fcw.w) + fcb.b AS z
+           FROM pooled p JOIN fcw ON fcw.m = (p.width - {min(sizes)}) * {n_filters} + p.f
+           JOIN fcb ON fcb.k = fcw.k GROUP BY p.id, fcw.k, fcb.b),
+cshift AS (SELECT id, k, exp(z - max(z) OVER (PARTITION BY id)) AS ez FROM clogit),
+cnnprob AS (SELECT id, k, ez / sum(ez) OVER (PARTITION BY id) AS p FROM cshift)"""
