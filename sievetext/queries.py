@@ -17,7 +17,7 @@ from .operators.encode import decode_ids, encode_capped, encode_fixed, ids_to_st
 from .operators.labels import class_count
 from .operators.vocab import frequency_index, token_counts
 from .plans.prepare import prepare
-from .sources.tables import table
+from .sources.tables import documents, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -49,17 +49,17 @@ def _prep(spark: SparkSession, sf_dir: str, label: str = "lang"):
 @query("normalize_text", f"""
 SELECT doc_id, {S.normalize('text')} AS norm_text FROM documents""")
 def q_normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", normalize("text").alias("norm_text"))
+    return documents(spark, sf_dir).select("doc_id", normalize("text").alias("norm_text"))
 
 
 @query("tokenize_docs", _with(*BASE) + """
 SELECT id AS doc_id, array_to_string(tokens, ' ') AS tokens, CAST(len(tokens) AS BIGINT) AS n_tokens
 FROM toks""")
 def q_tokenize_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    toks = tokenize("text")
-    return docs.select("doc_id", F.array_join(toks, " ").alias("tokens"),
-                       F.size(toks).cast("long").alias("n_tokens"))
+    docs = documents(spark, sf_dir).where(F.col("text").isNotNull())
+    toks = docs.select("doc_id", tokenize("text").alias("_t"))
+    return toks.select("doc_id", F.array_join("_t", " ").alias("tokens"),
+                       F.size("_t").cast("long").alias("n_tokens"))
 
 
 # ---------------------------------------------------------------- corpus, labels
@@ -794,3 +794,26 @@ def q_train_cnn(spark, sf_dir):
     model, hist = fit_cnn(runner, model, 3, kind="pl", lr=0.01, select="selpl", stage="selpl", history=hist)
     return history_frame(spark, hist).select("step", "stage", "epoch", "n_rows",
                                              _r6(F.col("train_loss")).alias("train_loss"), "stopped")
+
+
+# ---------------------------------------------------------------- streaming encode
+
+@query("stream_encode", _with(*INDEX) + """,
+stoks AS (SELECT doc_id AS id, NULL::INTEGER AS y, """ + S.sql_tokenize_text() + """ AS tokens
+          FROM documents WHERE text IS NOT NULL),
+""" + S.encode_ctes(64, src="stoks", name="senc") + """
+SELECT id, array_to_string(ids, ' ') AS ids FROM senc""")
+def q_stream_encode(spark, sf_dir):
+    from .session import scratch_path
+    from .streaming.encode_stream import start_encoding
+
+    p = _prep(spark, sf_dir)
+    schema = table(spark, sf_dir, "documents").schema
+    # a glob, so the file's folder is the stream's directory
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{sf_dir.rstrip('/')}/documents.parq[u]et")
+    out = scratch_path(spark, "stream-encoded")
+    q = start_encoding(stream.select(F.col("doc_id").alias("id"), "text"), p.index, 64, out,
+                       scratch_path(spark, "stream-checkpoint"), available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("id", ids_to_string("ids").alias("ids"))

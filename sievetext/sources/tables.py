@@ -74,3 +74,9 @@ def conversations_corpus(spark: SparkSession, sf_dir: str, seed: int = DEFAULT_S
     classes = collect_labels(base, "label")
     return encode_labels(base, classes, "label", "y", strict=False).withColumn(
         "split", split_expr("id", seed))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` spread over the cluster's parallelism (by ``doc_id``) when
+    the scan alone would leave tasks idle."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
