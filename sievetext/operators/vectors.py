@@ -178,22 +178,98 @@ def _gather(df: DataFrame, id_col: str, items: Column, table: DataFrame, key: st
     return joined.select(id_col, *keep, "_pos", F.col(key).isNotNull().alias("_has"), h.alias("h"))
 
 
+def broadcast_vector_table(table: DataFrame, key: str, dim: int, unk: Column | None = None,
+                           budget: int = DEFAULT_BROADCAST_BYTES):
+    """``(keys, M)`` of a vector table as a Spark broadcast, or ``None`` when its
+    row count does not prove it fits ``budget``.  ``M`` gets one extra last
+    row: the vector for items missing from the table (``unk`` or zeros)."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = table.count()
+    if n * (8 * dim + 64) > budget:
+        return None
+    spark = table.sparkSession
+    miss = unk if unk is not None else F.array_repeat(F.lit(0.0), dim)
+    fill = spark.range(1).select(miss.alias("vec")).first()["vec"]
+    at = table.select(key, "vec").toArrow()
+    vec = at.column("vec").combine_chunks()
+    body = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), dim)
+    M = np.vstack([body, np.asarray(fill, dtype=np.float64)[None, :]])
+    keys = at.column(key).combine_chunks()
+    return spark.sparkContext.broadcast((pa.array(keys), M))
+
+
+def _local_pool(df: DataFrame, bc, dim: int, id_col: str, items_col: str, max_items: int | None,
+                keep, out_col: str, how: str) -> DataFrame:
+    """Row-local pooling over Arrow batches with a broadcast vector table: the
+    items of a row are looked up with ``pyarrow.compute.index_in`` and reduced
+    with NumPy segment sums -- no shuffle."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql import types as T
+
+    from .model import list_column
+
+    fields = [df.schema[id_col]] + [df.schema[c] for c in keep]
+    schema = T.StructType(fields + [T.StructField(out_col, T.ArrayType(T.DoubleType()), False)])
+    names = [f.name for f in fields]
+
+    def run(batches):
+        keys, M = bc.value
+        for rb in batches:
+            col = rb.column(items_col)
+            if max_items is not None:
+                col = pc.list_slice(col, 0, max_items)
+            lens = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.list_flatten(col)
+            idx = pc.fill_null(pc.index_in(flat, value_set=keys), -1).to_numpy(zero_copy_only=False)
+            V = M[idx.astype(np.int64)]
+            n = len(lens)
+            out = np.zeros((n, dim))
+            nz = lens > 0
+            if nz.any():
+                starts = (np.cumsum(lens) - lens)[nz]
+                if how == "mean":
+                    out[nz] = np.add.reduceat(V, starts, axis=0) / lens[nz][:, None]
+                else:
+                    q = V[starts + lens[nz] - 1]
+                    s = np.einsum("td,td->t", V, np.repeat(q, lens[nz], axis=0))
+                    m = np.maximum.reduceat(s, starts)
+                    e = np.exp(s - np.repeat(m, lens[nz]))
+                    z = np.add.reduceat(e, starts)
+                    out[nz] = np.add.reduceat(V * e[:, None], starts, axis=0) / z[:, None]
+            yield pa.RecordBatch.from_arrays([rb.column(c) for c in names] + [list_column(out)],
+                                             names=names + [out_col])
+
+    return df.select(id_col, *keep, items_col).mapInArrow(run, schema)
+
+
 def mean_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id",
               items_col: str = "tokens", key: str = "token", max_items: int | None = None,
               unk: Column | None = None, broadcast: bool | None = None,
-              out_col: str = "features", keep=()) -> DataFrame:
+              out_col: str = "features", keep=(), method: str = "auto") -> DataFrame:
     """Mean of the vectors of each row's items.
 
     ``items_col`` holds tokens (``key='token'``, ``table=(token, vec)``) or ids
     (``key='id'``, ``table=(id, vec)``); items missing from ``table`` take
     ``unk`` (default: zeros); rows without items get a zero vector.
 
-    Plan: explode (at most ``max_items`` per row) -> join with the vector
-    table (broadcast when its row count proves it small, else a shuffle join
-    with AQE skew splitting) -> per-row JVM vector sum.  The sum is partially
-    aggregated before its shuffle, so at most one partial vector per row and
-    map task crosses the network.
+    ``method="local"`` (chosen by ``"auto"`` when the table's row count
+    proves it fits the broadcast budget): the table is broadcast and each row
+    is pooled where it lies, with Arrow look-ups and NumPy segment sums -- no
+    shuffle.  ``method="join"`` (beyond the budget): explode (at most
+    ``max_items`` per row) -> join with the vector table (shuffle join with
+    AQE skew splitting) -> per-row JVM vector sum, partially aggregated before
+    its shuffle, so at most one partial vector per row and map task crosses
+    the network.
     """
+    if method in ("auto", "local"):
+        bc = broadcast_vector_table(table, key, dim, unk,
+                                    budget=DEFAULT_BROADCAST_BYTES if method == "auto" else 1 << 62)
+        if bc is not None:
+            return _local_pool(df, bc, dim, id_col, items_col, max_items, keep, out_col, "mean")
     items = F.col(items_col) if max_items is None else F.slice(items_col, 1, max_items)
     g = _gather(df, id_col, items, table, key, dim, unk, broadcast, keep)
     sums = g.groupBy(id_col).agg(Summarizer.sum(array_to_vector("h")).alias("_s"),
@@ -210,14 +286,21 @@ def dot(a: Column, b: Column) -> Column:
 def attention_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id",
                    items_col: str = "tokens", key: str = "token", max_items: int | None = None,
                    unk: Column | None = None, broadcast: bool | None = None,
-                   out_col: str = "features") -> DataFrame:
+                   out_col: str = "features", method: str = "auto") -> DataFrame:
     """Softmax attention pooling (M6): ``w_t = softmax_t(h_t . q)``, result
     ``sum_t w_t h_t``, with ``h_t`` the item vectors and ``q`` the vector of the
-    last item.  The windows and the aggregate share one partitioning by row
-    id; a window holds at most ``max_items`` rows.
+    last item.  ``method`` as in :func:`mean_pool`; on the join path the
+    windows and the aggregate share one partitioning by row id and a window
+    holds at most ``max_items`` rows.
     """
     from pyspark.sql import Window
 
+    if method in ("auto", "local"):
+        bc = broadcast_vector_table(table, key, dim, unk,
+                                    budget=DEFAULT_BROADCAST_BYTES if method == "auto" else 1 << 62)
+        if bc is not None:
+            return _local_pool(df, bc, dim, id_col, items_col, max_items, (), out_col, "attention")
+
     items = F.col(items_col) if max_items is None else F.slice(items_col, 1, max_items)
     h = _gather(df, id_col, items, table, key, dim, unk, broadcast)
     whole = Window.partitionBy(id_col).orderBy("_pos").rowsBetween(

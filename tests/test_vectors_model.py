@@ -133,3 +133,20 @@ def test_three_stage_cleaning_learns(spark):
     s = scored_rows(res).agg(F.avg((~F.col("is_flipped")).cast("double")).alias("all"),
                              F.avg(F.when(F.col("kept"), (~F.col("is_flipped")).cast("double"))).alias("kept")).first()
     assert s.kept > s.all
+
+
+@pytest.mark.parametrize("how", ["mean", "attention"])
+def test_pool_local_equals_join(spark, how):
+    from sievetext.operators.vectors import attention_pool
+    from sievetext.plans.features import Vectors
+    from sievetext.plans.prepare import prepare
+
+    p = prepare(spark, "/root/testdata/sf0.001")
+    v = Vectors(p)
+    fn = mean_pool if how == "mean" else attention_pool
+    a = {r.id: r.features for r in fn(p.tokens, v.token_vecs, v.dim, max_items=40, unk=v.unk,
+                                      method="local").collect()}
+    b = {r.id: r.features for r in fn(p.tokens, v.token_vecs, v.dim, max_items=40, unk=v.unk,
+                                      method="join").collect()}
+    assert a.keys() == b.keys()
+    assert max(abs(x - y) for i in a for x, y in zip(a[i], b[i])) < 1e-9
