@@ -817,3 +817,27 @@ def q_stream_encode(spark, sf_dir):
                        scratch_path(spark, "stream-checkpoint"), available_now=True)
     q.awaitTermination()
     return spark.read.parquet(out).select("id", ids_to_string("ids").alias("ids"))
+
+
+# ---------------------------------------------------------------- loaders by name
+
+@query("labeled_corpus_quality", _with(S.corpus_cte("quality")) + """
+SELECT id, CAST(label AS BIGINT) AS label, y, split FROM corpus""")
+def q_labeled_corpus_quality(spark, sf_dir):
+    from .sources.registry import load_dataset
+
+    df, _classes = load_dataset(spark, "documents_quality", sf_dir)
+    return df.select("id", F.col("label").cast("long").alias("label"), "y", "split")
+
+
+@query("conversations_corpus", """
+SELECT conv_id * 100000 + turn AS id, role AS label,
+       CAST(dense_rank() OVER (ORDER BY role) - 1 AS INTEGER) AS y,
+       CASE WHEN """ + S.draw("split", "conv_id * 100000 + turn") + """ % 10 < 8 THEN 'train'
+            WHEN """ + S.draw("split", "conv_id * 100000 + turn") + """ % 10 = 8 THEN 'dev' ELSE 'test' END AS split
+FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL""")
+def q_conversations_corpus(spark, sf_dir):
+    from .sources.registry import load_dataset
+
+    df, _classes = load_dataset(spark, "conversations_role", sf_dir)
+    return df.select("id", "label", "y", "split")

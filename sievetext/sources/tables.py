@@ -66,14 +66,16 @@ def labeled_corpus_and_classes(spark: SparkSession, sf_dir: str, label: str = "l
     return coded.withColumn("split", split_expr("id", seed)), classes
 
 
-def conversations_corpus(spark: SparkSession, sf_dir: str, seed: int = DEFAULT_SEED) -> DataFrame:
+def conversations_corpus_and_classes(spark: SparkSession, sf_dir: str,
+                                     seed: int = DEFAULT_SEED) -> tuple[DataFrame, list]:
     """``conversations`` turns labelled by ``role``; id = conv_id * 100000 + turn."""
     conv = table(spark, sf_dir, "conversations")
     base = conv.select((F.col("conv_id") * F.lit(100000) + F.col("turn")).alias("id"),
-                       "text", F.col("role").alias("label")).where(F.col("text").isNotNull())
+                       "text", F.col("role").alias("label")).where(
+        F.col("text").isNotNull() & F.col("role").isNotNull())
     classes = collect_labels(base, "label")
-    return encode_labels(base, classes, "label", "y", strict=False).withColumn(
-        "split", split_expr("id", seed))
+    coded = encode_labels(spread(base, "id"), classes, "label", "y", strict=False)
+    return coded.withColumn("split", split_expr("id", seed)), classes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
