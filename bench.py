@@ -30,6 +30,8 @@ HEADLINE = [
     "log_softmax_scores",
     "nl_gradient",
     "nl_loss",
+    "lm_next_token",
+    "cnn_scores",
     "train_nl_selnl_selpl",
 ]
 

@@ -1,17 +1,21 @@
 """Language-model targets (W3): each token's target is the next token of
-the same text (``label_for_lm``).  A window per text, ordered by position;
-a window holds at most ``max_tokens`` rows."""
+the same text (``label_for_lm``).
+
+The reference's notion is a shift by one inside a text.  Because a text is
+one row, the shift is computed inside the row (``get(tokens, i + 1)`` in a
+``transform``) before exploding: no window, no shuffle, linear in the text
+length, whole texts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def next_token_pairs(toks: DataFrame, id_col: str = "id", tokens_col: str = "tokens",
-                     max_tokens: int | None = None) -> DataFrame:
+def next_token_pairs(toks: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
     """``id, pos, token, next_token`` (null after the last token)."""
-    items = F.col(tokens_col) if max_tokens is None else F.slice(tokens_col, 1, max_tokens)
-    ex = toks.select(id_col, F.posexplode(items).alias("pos", "token"))
-    w = Window.partitionBy(id_col).orderBy("pos")
-    return ex.withColumn("next_token", F.lead("token").over(w))
+    t = F.col(tokens_col)
+    pairs = F.transform(t, lambda x, i: F.struct(x.alias("token"), F.get(t, i + 1).alias("next_token")))
+    ex = toks.select(id_col, F.posexplode(pairs).alias("pos", "_p"))
+    return ex.select(id_col, "pos", "_p.token", "_p.next_token")

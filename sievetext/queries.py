@@ -108,7 +108,7 @@ def q_encode_fixed(spark, sf_dir):
     return enc.select("id", "y", "split", ids_to_string("ids").alias("ids"))
 
 
-@query("decode_ids", _with(*INDEX, S.encode_ctes(32)) + """,
+@query("decode_ids", _with(*INDEX, S.encode_ctes(256)) + """,
 dec AS (
   SELECT e.id, list(w.token ORDER BY u.pos) AS toks
   FROM enc e, unnest(e.ids) WITH ORDINALITY AS u(wid, pos)
@@ -116,30 +116,25 @@ dec AS (
 SELECT id, array_to_string(toks, ' ') AS text FROM dec""")
 def q_decode_ids(spark, sf_dir):
     p = _prep(spark, sf_dir)
-    enc = encode_fixed(p.tokens, p.index, 32)
+    enc = encode_fixed(p.tokens, p.index, 256)
     dec = decode_ids(enc, p.index)
     return dec.select("id", F.array_join("tokens", " ").alias("text"))
 
 
 @query("pad_left", _with(*INDEX) + """,
-ex AS (
-  SELECT t.id, u.token, u.pos FROM toks t, unnest(list_slice(t.tokens, 1, 48)) WITH ORDINALITY AS u(token, pos)),
+ex AS (SELECT t.id, u.token, u.pos FROM toks t, unnest(t.tokens) WITH ORDINALITY AS u(token, pos)),
 seqs AS (
   SELECT t.id, coalesce(list(coalesce(w.id, 3) ORDER BY e.pos) FILTER (WHERE e.pos IS NOT NULL), []::BIGINT[]) AS s
   FROM toks t LEFT JOIN ex e ON t.id = e.id LEFT JOIN word_index w ON e.token = w.token GROUP BY t.id)
-SELECT id, array_to_string(CASE WHEN len(s) >= 32 THEN list_slice(s, len(s) - 31, len(s))
-       ELSE list_concat(list_transform(range(32 - len(s)), lambda x: 0::BIGINT), s) END, ' ') AS ids
+SELECT id, array_to_string(CASE WHEN len(s) >= 256 THEN list_slice(s, len(s) - 255, len(s))
+       ELSE list_concat(list_transform(range(256 - len(s)), lambda x: 0::BIGINT), s) END, ' ') AS ids
 FROM seqs""")
 def q_pad_left(spark, sf_dir):
+    from .operators.encode import word_ids
+
     p = _prep(spark, sf_dir)
-    head = p.tokens.select("id", F.slice("tokens", 1, 48).alias("tokens"))
-    exploded = head.select("id", F.posexplode_outer("tokens").alias("_pos", "token"))
-    joined = exploded.join(p.index.select("token", F.col("id").alias("_wid")), "token", "left")
-    item = F.when(F.col("token").isNotNull(),
-                  F.struct("_pos", F.coalesce("_wid", F.lit(3).cast("long")).alias("w")))
-    seqs = joined.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("_s"))
-    seq = F.transform("_s", lambda s: s["w"])
-    return seqs.select("id", ids_to_string(pad_left(seq, 32)).alias("ids"))
+    seqs = word_ids(p.tokens, p.index)
+    return seqs.select("id", ids_to_string(pad_left("ids", 256)).alias("ids"))
 
 
 @query("encode_capped", _with(*BASE) + """,
@@ -171,13 +166,13 @@ def q_encode_capped(spark, sf_dir):
 @query("encode_with_vocab", _with(*INDEX) + """,
 btoks AS (SELECT item_id AS id, NULL::INTEGER AS y, """ + S.sql_tokenize_text() + """ AS tokens
           FROM benchmark WHERE text IS NOT NULL),
-""" + S.encode_ctes(64, src="btoks", name="benc") + """
+""" + S.encode_ctes(256, src="btoks", name="benc") + """
 SELECT id AS item_id, array_to_string(ids, ' ') AS ids FROM benc""")
 def q_encode_with_vocab(spark, sf_dir):
     p = _prep(spark, sf_dir)
     bench = (table(spark, sf_dir, "benchmark").where(F.col("text").isNotNull())
              .select(F.col("item_id").alias("id"), tokenize("text").alias("tokens")))
-    enc = encode_fixed(bench, p.index, 64)
+    enc = encode_fixed(bench, p.index, 256)
     return enc.select(F.col("id").alias("item_id"), ids_to_string("ids").alias("ids"))
 
 
@@ -402,7 +397,7 @@ def q_mean_pool_features(spark, sf_dir):
 
 
 @query("attention_pool", _with(*VEC_BASE, S.lookup_ctes()) + """,
-ex AS (SELECT t.id, u.token, u.pos FROM toks t, unnest(list_slice(t.tokens, 1, 64)) WITH ORDINALITY AS u(token, pos)),
+ex AS (SELECT t.id, u.token, u.pos FROM toks t, unnest(list_slice(t.tokens, 1, 254)) WITH ORDINALITY AS u(token, pos)),
 h AS (SELECT e.id, e.pos, coalesce(tv.vec, unkv.vec) AS h FROM ex e CROSS JOIN unkv LEFT JOIN tv ON e.token = tv.token),
 q AS (SELECT id, arg_max(h, pos) AS q FROM h GROUP BY id),
 sc AS (SELECT h.id, h.pos, h.h, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(h.h, q.q), lambda p: p[1] * p[2])),
@@ -418,7 +413,7 @@ def q_attention_pool(spark, sf_dir):
     from .operators.vectors import attention_pool
 
     v = _vectors(spark, sf_dir)
-    pooled = attention_pool(v.prep.tokens, v.token_vecs, v.dim, max_items=64, unk=v.unk)
+    pooled = attention_pool(v.prep.tokens, v.token_vecs, v.dim, max_items=254, unk=v.unk)
     return _long(pooled, "id", "features")
 
 
@@ -678,12 +673,12 @@ def q_weights_roundtrip(spark, sf_dir):
 
 @query("lm_next_token", _with(*BASE) + """,
 ex AS (SELECT t.id, CAST(u.pos - 1 AS INTEGER) AS pos, u.token
-       FROM toks t, unnest(list_slice(t.tokens, 1, 64)) WITH ORDINALITY AS u(token, pos))
+       FROM toks t, unnest(t.tokens) WITH ORDINALITY AS u(token, pos))
 SELECT id, pos, token, lead(token) OVER (PARTITION BY id ORDER BY pos) AS next_token FROM ex""")
 def q_lm_next_token(spark, sf_dir):
     from .operators.lm import next_token_pairs
 
-    return next_token_pairs(_prep(spark, sf_dir).tokens, max_tokens=64)
+    return next_token_pairs(_prep(spark, sf_dir).tokens)
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -742,21 +737,21 @@ def q_read_text_folder(spark, sf_dir):
     return read_text_folder(spark, path).select("id", "text")
 
 
-@query("prepared_roundtrip", _with(*INDEX, S.encode_ctes(64)) + """
+@query("prepared_roundtrip", _with(*INDEX, S.encode_ctes(256)) + """
 SELECT id, y, array_to_string(ids, ' ') AS ids FROM enc""")
 def q_prepared_roundtrip(spark, sf_dir):
     from .session import scratch_path
     from .sources.files import read_parquet, write_parquet
 
     p = _prep(spark, sf_dir)
-    path = write_parquet(encode_fixed(p.tokens, p.index, 64, keep=("y",)), scratch_path(spark, "prepared"))
+    path = write_parquet(encode_fixed(p.tokens, p.index, 256, keep=("y",)), scratch_path(spark, "prepared"))
     back = read_parquet(spark, path)
     return back.select("id", "y", ids_to_string("ids").alias("ids"))
 
 
 # ---------------------------------------------------------------- CNN
 
-CNN_LEN = 32
+CNN_LEN = 256
 
 
 def _cnn_setup(spark, sf_dir, length=CNN_LEN):
@@ -801,7 +796,7 @@ def q_train_cnn(spark, sf_dir):
 @query("stream_encode", _with(*INDEX) + """,
 stoks AS (SELECT doc_id AS id, NULL::INTEGER AS y, """ + S.sql_tokenize_text() + """ AS tokens
           FROM documents WHERE text IS NOT NULL),
-""" + S.encode_ctes(64, src="stoks", name="senc") + """
+""" + S.encode_ctes(256, src="stoks", name="senc") + """
 SELECT id, array_to_string(ids, ' ') AS ids FROM senc""")
 def q_stream_encode(spark, sf_dir):
     from .session import scratch_path
@@ -813,7 +808,7 @@ def q_stream_encode(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(
         f"{sf_dir.rstrip('/')}/documents.parq[u]et")
     out = scratch_path(spark, "stream-encoded")
-    q = start_encoding(stream.select(F.col("doc_id").alias("id"), "text"), p.index, 64, out,
+    q = start_encoding(stream.select(F.col("doc_id").alias("id"), "text"), p.index, 256, out,
                        scratch_path(spark, "stream-checkpoint"), available_now=True)
     q.awaitTermination()
     return spark.read.parquet(out).select("id", ids_to_string("ids").alias("ids"))

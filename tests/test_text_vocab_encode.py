@@ -74,3 +74,19 @@ def test_encode_capped_keras_rules(spark):
     got = {r.id: r.ids for r in encode_capped(docs, findex, num_words=6, max_len=5).collect()}
     assert got[0] == [0, 1, 5, 4, 2]   # c (id 6) is over the cap -> 2
     assert got[1] == [2, 2, 2, 2, 2]   # 5 tokens, start dropped by pre-truncation
+
+
+def test_next_token_pairs_whole_text(spark):
+    from sievetext.operators.lm import next_token_pairs
+
+    df = _docs(spark, ["a b c", "", "x"]).select("id", tokenize("text").alias("tokens"))
+    got = sorted((r.id, r.pos, r.token, r.next_token) for r in next_token_pairs(df).collect())
+    assert got == [(0, 0, "a", "b"), (0, 1, "b", "c"), (0, 2, "c", None), (2, 0, "x", None)]
+
+
+def test_word_ids_whole_text(spark):
+    from sievetext.operators.encode import word_ids
+
+    df = _docs(spark, ["hello a zzz world " * 3]).select("id", tokenize("text").alias("tokens"))
+    got = word_ids(df, _index(spark)).first().ids
+    assert got == [5, 4, 3, 6] * 3
