@@ -64,7 +64,13 @@ def tokenize(text: ColumnOrName, tokenizer: Tokenizer = "blank",
     (plus the two word_tokenize rules that survive normalisation) or a
     function Column -> array Column supplied by the user.
     """
-    norm = _c(text) if normalized else normalize(text)
+    if normalized:
+        norm = _c(text)
+    elif tokenizer in ("blank", "treebank"):
+        # the split drops empty tokens, so the strip of normalize() is not needed
+        norm = F.regexp_replace(F.lower(_c(text)), PUNCT_CLASS, "")
+    else:
+        norm = normalize(text)
     if callable(tokenizer):
         return tokenizer(norm)
     if tokenizer == "blank":

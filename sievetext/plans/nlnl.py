@@ -69,9 +69,11 @@ def noisy_feature_set(spark: SparkSession, sf_dir: str, cfg: NLNLConfig) -> Nois
                        "noisy-features")
     test = materialize(feats.where(F.col("split") == "test").select("id", "y", "features"),
                        "test-features")
-    return NoisySet(data.where(F.col("split") == "train").drop("split"),
-                    data.where(F.col("split") == "dev").drop("split"),
-                    test, prep.num_classes, vecs.dim)
+    # every epoch scans these: keep them in the columnar cache (a lost block is
+    # re-read from the written table, not recomputed from the text)
+    return NoisySet(data.where(F.col("split") == "train").drop("split").persist(),
+                    data.where(F.col("split") == "dev").drop("split").persist(),
+                    test.persist(), prep.num_classes, vecs.dim)
 
 
 def run_nlnl(spark: SparkSession, sf_dir: str, cfg: NLNLConfig | None = None,
