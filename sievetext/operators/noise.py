@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_mod
-from .order import shuffled_ordinal
+from ..functions.draws import draw_mod, shuffle_key
+from .order import shuffled_ordinal, with_ordinal
 
 NOISE_KINDS = ("inc", "exc")
 
@@ -38,25 +38,46 @@ def noisy_label(kind: str, label: Column, num_classes: int, seed: int, id_col: s
 
 def inject_noise(df: DataFrame, num_classes: int, ratio: float, kind: str = "inc",
                  seed: int = 7, id_col: str = "id", label_col: str = "label",
-                 num_partitions: int | None = None) -> DataFrame:
+                 with_position: bool = False, num_partitions: int | None = None) -> DataFrame:
     """Corrupt ``label_col`` on an exact share ``ratio`` of the rows.
 
-    Adds ``label_clean`` (the given label), ``is_noisy_row`` (in the noisy part),
-    ``is_flipped`` (label actually changed) and ``shuffle_pos`` (position in the
-    keyed order, the reference's row order of the result).
+    Adds ``label_clean`` (the given label), ``is_noisy_row`` (in the noisy part)
+    and ``is_flipped`` (label actually changed); with ``with_position`` also
+    ``shuffle_pos``, the row's place in the keyed order (the reference's row
+    order of the result).
+
+    Only the narrow ``(md5 key, id)`` pairs are range-sorted, to find the key
+    at position ``int((1-r)*n)``; rows are then flagged by comparing their own
+    key with that cut-off, so wide rows (texts, feature vectors) are never
+    shuffled.  ``with_position`` joins the narrow positions back on the id.
     """
     _check(kind, num_classes, ratio)
-    ordered = shuffled_ordinal(df, seed=seed, purpose="shuffle", id_col=id_col,
-                               name="shuffle_pos", total="_n", num_partitions=num_partitions)
-    n_clean = F.floor(F.lit(1.0 - float(ratio)) * F.col("_n"))
-    noisy = F.col("shuffle_pos") >= n_clean
+    key = shuffle_key(seed, "shuffle", id_col)
+    if with_position:
+        ordered = shuffled_ordinal(df.select(id_col), seed=seed, purpose="shuffle", id_col=id_col,
+                                   name="shuffle_pos", total="_n", num_partitions=num_partitions)
+        base = df.join(ordered, id_col)
+        noisy = F.col("shuffle_pos") >= F.floor(F.lit(1.0 - float(ratio)) * F.col("_n"))
+    else:
+        n = df.count()
+        n_clean = int((1.0 - float(ratio)) * n)
+        base = df
+        if n_clean >= n:
+            noisy = F.lit(False)
+        else:
+            narrow = df.select(id_col, key.alias("_k"))
+            ordered = with_ordinal(narrow, ["_k", id_col], name="_pos", num_partitions=num_partitions)
+            cut = ordered.where(F.col("_pos") == F.lit(n_clean)).select("_k", id_col).first()
+            ck, cid = F.lit(cut["_k"]), F.lit(cut[id_col]).cast(df.schema[id_col].dataType)
+            # (key, id) >= (cut key, cut id), lexicographically
+            noisy = (key > ck) | ((key == ck) & (F.col(id_col) >= cid))
     clean = F.col(label_col)
     new = F.when(noisy, noisy_label(kind, clean, num_classes, seed, id_col)).otherwise(clean.cast("int"))
-    return (ordered.withColumn("label_clean", clean.cast("int"))
-            .withColumn(label_col, new)
-            .withColumn("is_noisy_row", noisy)
-            .withColumn("is_flipped", F.col(label_col) != F.col("label_clean"))
-            .drop("_n"))
+    out = (base.withColumn("label_clean", clean.cast("int"))
+           .withColumn("is_noisy_row", noisy)
+           .withColumn(label_col, new)
+           .withColumn("is_flipped", F.col(label_col) != F.col("label_clean")))
+    return out.drop("_n")
 
 
 def generate_noise(df: DataFrame, noise_type: str = "inc", num_classes: int = 6,

@@ -32,9 +32,13 @@ _PART_BITS = 33
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Explicit count, else the larger of ``spark.sql.shuffle.partitions`` and
+    the input's own partition count (so a huge input keeps input-sized
+    partitions through the range sort)."""
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(conf, df.rdd.getNumPartitions())
 
 
 def with_ordinal(df: DataFrame, order_by: Sequence[Column | str], name: str = "pos",

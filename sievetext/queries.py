@@ -199,7 +199,8 @@ def _noise_spark(spark, sf_dir, kind: str):
     from .operators.noise import inject_noise
 
     p = _prep(spark, sf_dir)
-    return inject_noise(p.corpus.select("id", "y"), p.num_classes, 0.3, kind=kind, label_col="y")
+    return inject_noise(p.corpus.select("id", "y"), p.num_classes, 0.3, kind=kind, label_col="y",
+                        with_position=True)
 
 
 for _kind in ("inc", "exc"):
