@@ -120,55 +120,78 @@ GRAD_SCHEMA = T.StructType([
     T.StructField("aux_loss", T.DoubleType()),
     T.StructField("grad", T.ArrayType(T.DoubleType())),
 ])
-
-
-def _partial(kind: str, W, b, d, form, threshold, features_col, y_col, comp_col):
-    c = W.shape[0]
+ROLE_GRAD_SCHEMA = T.StructType([T.StructField("role", T.IntegerType())] + GRAD_SCHEMA.fields)
+
+
+def _sums(kind, X, y, k, W, b, d, form, threshold):
+    """Loss sums and gradient sums (c x (d+1)) of one batch."""
+    P = softmax_np(X @ W.T + b)
+    rows = np.arange(len(y))
+    if threshold is not None:
+        keep = P[rows, y] > threshold
+        X, y, P = X[keep], y[keep], P[keep]
+        k = k[keep] if k is not None else None
+        rows = np.arange(len(y))
+    G = np.zeros((W.shape[0], d + 1))
+    if len(y) == 0:
+        return 0, 0.0, 0.0, G
+    py = np.maximum(P[rows, y], PROB_FLOOR)
+    aux = 0.0
+    if kind == "pl":
+        dZ = P.copy()
+        dZ[rows, y] -= 1.0
+        loss = float(-np.log(py).sum())
+    else:
+        pk = P[rows, k]
+        onek = np.zeros_like(P)
+        onek[rows, k] = 1.0
+        if form == "complement":
+            q = np.maximum(1.0 - pk, PROB_FLOOR)
+            dZ = (pk / q)[:, None] * (onek - P)
+            loss = float(-np.log(q).sum())
+        else:  # as_written: log p_k - 1
+            dZ = onek - P
+            loss = float((np.log(np.maximum(pk, PROB_FLOOR)) - 1.0).sum())
+        aux = float(-np.log(py).sum())
+    G[:, :d] = dZ.T @ X
+    G[:, d] = dZ.sum(axis=0)
+    return len(y), loss, aux, G
+
+
+def _partial(kind, W, b, d, form, threshold, features_col, y_col, comp_col, role_col=None):
+    """Per-partition sums; with ``role_col`` one row per role (0 = trained
+    rows, selection applies; others = evaluated rows, all count)."""
 
     def run(batches):
-        G = np.zeros((c, d + 1))
-        n, loss, aux = 0, 0.0, 0.0
+        acc = {}
         for rb in batches:
             if rb.num_rows == 0:
                 continue
             X = matrix(rb.column(features_col), d)
             y = rb.column(y_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            P = softmax_np(X @ W.T + b)
-            rows = np.arange(len(y))
-            if threshold is not None:
-                keep = P[rows, y] > threshold
-                X, y, P = X[keep], y[keep], P[keep]
-                rows = np.arange(len(y))
-                if comp_col:
-                    k_all = rb.column(comp_col).to_numpy(zero_copy_only=False).astype(np.int64)
-                    k = k_all[keep]
-            elif comp_col:
-                k = rb.column(comp_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(y) == 0:
-                continue
-            py = np.maximum(P[rows, y], PROB_FLOOR)
-            if kind == "pl":
-                dZ = P.copy()
-                dZ[rows, y] -= 1.0
-                loss += float(-np.log(py).sum())
-            else:
-                pk = P[rows, k]
-                onek = np.zeros_like(P)
-                onek[rows, k] = 1.0
-                if form == "complement":
-                    q = np.maximum(1.0 - pk, PROB_FLOOR)
-                    dZ = (pk / q)[:, None] * (onek - P)
-                    loss += float(-np.log(q).sum())
-                else:  # as_written: log p_k - 1
-                    dZ = onek - P
-                    loss += float((np.log(np.maximum(pk, PROB_FLOOR)) - 1.0).sum())
-                aux += float(-np.log(py).sum())
-            G[:, :d] += dZ.T @ X
-            G[:, d] += dZ.sum(axis=0)
-            n += len(y)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([n], pa.int64()), pa.array([loss]), pa.array([aux]),
-             list_column(G.reshape(1, -1))], names=["n", "loss", "aux_loss", "grad"])
+            k = (rb.column(comp_col).to_numpy(zero_copy_only=False).astype(np.int64)
+                 if comp_col else None)
+            roles = (rb.column(role_col).to_numpy(zero_copy_only=False).astype(np.int64)
+                     if role_col else np.zeros(len(y), np.int64))
+            for r in np.unique(roles):
+                m = roles == r
+                got = _sums(kind, X[m], y[m], k[m] if k is not None else None, W, b, d, form,
+                            threshold if r == 0 else None)
+                a = acc.setdefault(int(r), [0, 0.0, 0.0, np.zeros((W.shape[0], d + 1))])
+                a[0] += got[0]
+                a[1] += got[1]
+                a[2] += got[2]
+                a[3] += got[3]
+        if not acc:
+            acc[0] = [0, 0.0, 0.0, np.zeros((W.shape[0], d + 1))]
+        rs = sorted(acc)
+        cols = [pa.array([acc[r][0] for r in rs], pa.int64()), pa.array([acc[r][1] for r in rs]),
+                pa.array([acc[r][2] for r in rs]),
+                list_column(np.stack([acc[r][3].ravel() for r in rs]))]
+        names = ["n", "loss", "aux_loss", "grad"]
+        if role_col:
+            cols, names = [pa.array(rs, pa.int32())] + cols, ["role"] + names
+        yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -176,33 +199,34 @@ def _partial(kind: str, W, b, d, form, threshold, features_col, y_col, comp_col)
 def gradient_frame(df: DataFrame, model: SoftmaxHead, kind: str = "pl",
                    form: str = "complement", threshold: float | None = None,
                    features_col: str = "features", y_col: str = "y",
-                   comp_col: str | None = None) -> DataFrame:
-    """One row: ``n, loss, aux_loss, grad`` = sums over the rows of ``df``.
+                   comp_col: str | None = None, role_col: str | None = None) -> DataFrame:
+    """Sums over the rows of ``df``: ``n, loss, aux_loss, grad`` (one row, or one
+    row per role with ``role_col``).
 
     ``kind='pl'``: NLL of ``y``.  ``kind='nl'``: loss of the complementary label
     in ``comp_col`` (``form`` as in Q1); ``aux_loss`` is the positive loss
     tracked beside it.  With ``threshold`` only rows whose current ``p[y]`` is
     strictly above it take part (the SelNL / SelPL selection, made with the
-    same weights in the same pass).  ``grad`` is c x (d+1) row-major, the
-    last column for the bias; divide by ``n`` for the mean.
+    same weights in the same pass); with ``role_col`` the selection applies
+    to role 0 only, so a training set and an evaluation set share one scan.
+    ``grad`` is c x (d+1) row-major, the last column for the bias; divide by
+    ``n`` for the mean.
     """
     if kind not in ("pl", "nl"):
         raise ValueError("kind must be 'pl' or 'nl'")
     if kind == "nl" and not comp_col:
         raise ValueError("nl needs comp_col")
-    cols = [features_col, y_col] + ([comp_col] if comp_col else [])
+    cols = [features_col, y_col] + ([comp_col] if comp_col else []) + ([role_col] if role_col else [])
     run = _partial(kind, model.W, model.b, model.dim, form, threshold, features_col, y_col,
-                   comp_col if kind == "nl" else None)
-    parts = df.select(*cols).mapInArrow(run, GRAD_SCHEMA)
-    return parts.agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"),
-                     F.sum("aux_loss").alias("aux_loss"),
-                     vector_to_array(Summarizer.sum(array_to_vector("grad"))).alias("grad"))
+                   comp_col if kind == "nl" else None, role_col)
+    parts = df.select(*cols).mapInArrow(run, ROLE_GRAD_SCHEMA if role_col else GRAD_SCHEMA)
+    aggs = [F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("aux_loss").alias("aux_loss"),
+            vector_to_array(Summarizer.sum(array_to_vector("grad"))).alias("grad")]
+    return parts.groupBy("role").agg(*aggs) if role_col else parts.agg(*aggs)
 
 
-def gradient(df: DataFrame, model: SoftmaxHead, **kw) -> dict:
-    """Run :func:`gradient_frame` and return mean loss and mean gradient."""
-    row = gradient_frame(df, model, **kw).first()
-    n = int(row["n"] or 0)
+def _mean(row, model) -> dict:
+    n = int(row["n"] or 0) if row is not None else 0
     if n == 0:
         return {"n": 0, "loss": float("nan"), "aux_loss": float("nan"),
                 "grad": np.zeros(model.num_classes * (model.dim + 1))}
@@ -210,6 +234,17 @@ def gradient(df: DataFrame, model: SoftmaxHead, **kw) -> dict:
             "grad": np.asarray(row["grad"]) / n}
 
 
+def gradients_by_role(df: DataFrame, model: SoftmaxHead, role_col: str = "_role", **kw) -> dict:
+    """:func:`gradient_frame` per role in one job: ``{role: mean sums}``."""
+    rows = gradient_frame(df, model, role_col=role_col, **kw).collect()
+    return {int(r["role"]): _mean(r, model) for r in rows}
+
+
+def gradient(df: DataFrame, model: SoftmaxHead, **kw) -> dict:
+    """Run :func:`gradient_frame` and return mean loss and mean gradient."""
+    return _mean(gradient_frame(df, model, **kw).first(), model)
+
+
 def centroid_model(df: DataFrame, num_classes: int, dim: int, scale: float = 10.0,
                    features_col: str = "features", y_col: str = "y") -> SoftmaxHead:
     """Weights = ``scale`` x class centroids, no bias: fixed, data-derived

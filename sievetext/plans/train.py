@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.metrics import accuracy
-from ..operators.model import SoftmaxHead, gradient, score
+from ..operators.model import SoftmaxHead, gradient, gradients_by_role, score
 from ..operators.noise import complement_label
 
 # ---- fixed values of the reference runner ---------------------------------
@@ -109,19 +109,54 @@ class Trainer:
                             comp_col="comp")
         return gradient(df, self.model, kind="pl", threshold=threshold)
 
+    def _frame(self, train: DataFrame, dev: DataFrame | None, kind: str, step: int) -> DataFrame:
+        """Rows of one pass: training rows (role 0) and, when given, the dev rows
+        (role 1) that evaluate the previous step's weights.  Complementary
+        labels are keyed by the step each role stands for."""
+        cols = ["id", "y", "features"]
+        frame = train.select(*cols).withColumn("_role", F.lit(0))
+        if dev is not None:
+            frame = frame.unionByName(dev.select(*cols).withColumn("_role", F.lit(1)))
+        if kind == "nl":
+            c = self.num_classes
+            comp = F.when(F.col("_role") == 0, complement_label("y", c, step, self.seed)).otherwise(
+                complement_label("y", c, step - 1, self.seed))
+            frame = frame.withColumn("comp", comp)
+        return frame
+
     def fit(self, train: DataFrame, epochs: int, kind: str = "nl", select: str | None = None,
             gamma: float = 0.5, dev: DataFrame | None = None, test: DataFrame | None = None,
             stage: str | None = None, clip: float | None = "auto") -> SoftmaxHead:
+        """Run up to ``epochs`` steps; one Spark job per step.
+
+        The dev loss of step e (weights after step e, as the reference
+        evaluates) is computed in the same scan as step e+1's gradient, which
+        uses exactly those weights; only the last step needs one more scan.
+        """
         if kind not in ("nl", "pl"):
             raise ValueError("kind must be 'nl' or 'pl'")
         max_norm = (GRAD_CLIP_PL if kind == "pl" else None) if clip == "auto" else clip
         threshold = self._threshold(select, gamma)
         stage = stage or (kind if select is None else select)
         c, d = self.num_classes, self.dim
+        pending = None  # last row, waiting for its dev loss
+
+        def finish(row):
+            if self.on_epoch_end:
+                self.on_epoch_end(row)
+
         for epoch in range(1, epochs + 1):
             t0 = time.time()
             step = len(self.history) + 1
-            g = self._pass(train, kind, step, threshold)
+            with_dev = dev if pending is not None else None
+            res = gradients_by_role(self._frame(train, with_dev, kind, step), self.model, kind=kind,
+                                    form=self.form, threshold=threshold,
+                                    comp_col="comp" if kind == "nl" else None)
+            if pending is not None:
+                pending["dev_loss"] = res.get(1, {"loss": float("nan")})["loss"]
+                finish(pending)
+                pending = None
+            g = res.get(0, {"n": 0})
             if g["n"] == 0:  # empty selection: the reference stops the stage
                 self.history.append({"step": step, "stage": stage, "epoch": epoch, "n_rows": 0,
                                      "seconds": time.time() - t0, "stopped": True})
@@ -131,14 +166,17 @@ class Trainer:
             row = {"step": step, "stage": stage, "epoch": epoch, "n_rows": g["n"],
                    "train_loss": g["loss"], "train_pos_loss": g["aux_loss"] if kind == "nl" else g["loss"],
                    "grad_norm": norm, "stopped": False}
-            if dev is not None:
-                row["dev_loss"] = self._pass(dev, kind, step, None)["loss"]
             if test is not None and (epoch % self.eval_every == 0 or epoch == epochs):
                 row["test_accuracy"] = float(accuracy(score(test, self.model)).first()["accuracy"])
             row["seconds"] = time.time() - t0
             self.history.append(row)
-            if self.on_epoch_end:
-                self.on_epoch_end(row)
+            if dev is not None:
+                pending = row
+            else:
+                finish(row)
+        if pending is not None:
+            pending["dev_loss"] = self._pass(dev, kind, pending["step"], None)["loss"]
+            finish(pending)
         return self.model
 
     def history_frame(self, spark: SparkSession) -> DataFrame:
