@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import Tokenizer, tokenize
 from ..operators.encode import encode_fixed
+from ..operators.joins import hot_keys
 from ..operators.vocab import vocabulary, word_index
 from ..session import materialize
 from ..sources.tables import labeled_corpus_and_classes
 
 MAX_LENGTH = 256  # sequence length of the reference runner
+HOT_WORDS = 1_000_000  # bounded broadcast half of the split token look-up
 VOCAB_SPLITS = ("train", "dev")
 
 
@@ -37,11 +39,13 @@ def vocab_of(toks: DataFrame, splits=VOCAB_SPLITS) -> DataFrame:
 
 
 def vocab_with_flag(toks: DataFrame, splits=VOCAB_SPLITS) -> DataFrame:
-    """``(token, in_vocab)`` over all splits in one aggregation: every word of
-    the corpus, flagged when it occurs in one of ``splits``."""
+    """``(token, in_vocab, n_occ)`` over all splits in one aggregation: every
+    word of the corpus, flagged when it occurs in one of ``splits``, with its
+    number of occurrences (partial aggregation before the shuffle)."""
     flag = F.col("split").isin(*splits)
     ex = toks.select(F.explode("tokens").alias("token"), flag.alias("_f"))
-    return ex.groupBy("token").agg(F.max("_f").alias("in_vocab"))
+    return ex.groupBy("token").agg(F.max("_f").alias("in_vocab"),
+                                   F.count(F.lit(1)).alias("n_occ"))
 
 
 class Prepared:
@@ -82,6 +86,18 @@ class Prepared:
         """``token, id``: specials 0-3, words from 4 in token order."""
         return self._keep(word_index(self.vocab), "word-index")
 
+    def lookup_hot(self, k: int = HOT_WORDS) -> DataFrame | None:
+        """``None`` when the whole index has at most ``k`` rows (it is
+        broadcast by its measured size), else :meth:`hot_index` for a split
+        look-up.  Counting the written index reads parquet metadata only."""
+        return None if self.index.count() <= k else self.hot_index(k)
+
+    def hot_index(self, k: int = HOT_WORDS) -> DataFrame:
+        """The index rows of the ``k`` most frequent vocabulary words: the
+        broadcast half of a split look-up (at most ``k`` rows)."""
+        hot = hot_keys(self.words.where(F.col("in_vocab")), "token", "n_occ", k)
+        return self.index.join(hot, "token", "left_semi")
+
 
 def prepare(spark: SparkSession, sf_dir: str, label: str = "lang",
             tokenizer: Tokenizer = "blank", materialized: bool = True) -> Prepared:
@@ -90,4 +106,5 @@ def prepare(spark: SparkSession, sf_dir: str, label: str = "lang",
 
 def encoded(prep: Prepared, max_length: int = MAX_LENGTH) -> DataFrame:
     """``id, y, split, ids`` for all splits."""
-    return encode_fixed(prep.tokens, prep.index, max_length, keep=("y", "split"))
+    return encode_fixed(prep.tokens, prep.index, max_length, keep=("y", "split"),
+                        hot=prep.lookup_hot())

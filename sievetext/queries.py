@@ -104,7 +104,7 @@ SELECT e.id, e.y, c.split, array_to_string(e.ids, ' ') AS ids
 FROM enc e JOIN corpus c ON e.id = c.id""")
 def q_encode_fixed(spark, sf_dir):
     p = _prep(spark, sf_dir)
-    enc = encode_fixed(p.tokens, p.index, 256, keep=("y", "split"))
+    enc = encode_fixed(p.tokens, p.index, 256, keep=("y", "split"), hot=p.lookup_hot())
     return enc.select("id", "y", "split", ids_to_string("ids").alias("ids"))
 
 
@@ -133,7 +133,7 @@ def q_pad_left(spark, sf_dir):
     from .operators.encode import word_ids
 
     p = _prep(spark, sf_dir)
-    seqs = word_ids(p.tokens, p.index)
+    seqs = word_ids(p.tokens, p.index, hot=p.lookup_hot())
     return seqs.select("id", ids_to_string(pad_left("ids", 256)).alias("ids"))
 
 

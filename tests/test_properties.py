@@ -87,3 +87,16 @@ def test_noise_counts(spark, ratio):
     inc = inject_noise(df, 5, ratio, "inc").agg(F.sum(F.col("is_flipped").cast("int")),
                                                F.sum(F.col("is_noisy_row").cast("int"))).first()
     assert exc == noisy and inc[1] == noisy and inc[0] <= noisy
+
+
+def test_split_lookup_equals_plain_join(spark):
+    from sievetext.operators.encode import word_ids
+    from sievetext.plans.prepare import prepare
+
+    p = prepare(spark, "/root/testdata/sf0.001")
+    plain = {r.id: r.ids for r in encode_fixed(p.tokens, p.index, 64).collect()}
+    split = {r.id: r.ids for r in encode_fixed(p.tokens, p.index, 64, hot=p.hot_index(50)).collect()}
+    assert plain == split
+    whole = {r.id: r.ids for r in word_ids(p.tokens, p.index).collect()}
+    whole_split = {r.id: r.ids for r in word_ids(p.tokens, p.index, hot=p.hot_index(10)).collect()}
+    assert whole == whole_split
