@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import DRAW_RANGE, draw, draw_mod
 from ..functions.text import WS_CLASS
+from .joins import split_lookup
 from .order import with_ordinal
 from .vocab import PAD_ID, UNK_ID
 
@@ -167,11 +168,17 @@ def _vector_table(table: DataFrame, key: str, dim: int, broadcast: bool | None)
 
 
 def _gather(df: DataFrame, id_col: str, items: Column, table: DataFrame, key: str,
-            dim: int, unk: Column | None, broadcast: bool | None, keep=()) -> DataFrame:
+            dim: int, unk: Column | None, broadcast: bool | None, keep=(),
+            hot: DataFrame | None = None) -> DataFrame:
     """``id, *keep, _pos, _has, h``: one row per item (and one row with a zero
-    vector and ``_has`` false for a row without items)."""
+    vector and ``_has`` false for a row without items).  With ``hot`` (a
+    bounded subset of ``table``: the vectors of the most frequent items) the
+    look-up is split: hot items by broadcast, only the rest shuffled."""
     exploded = df.select(id_col, *keep, F.posexplode_outer(items).alias("_pos", key))
-    joined = exploded.join(_vector_table(table, key, dim, broadcast), key, "left")
+    if hot is not None:
+        joined = split_lookup(exploded, table.select(key, "vec"), key, hot.select(key, "vec"), ["vec"])
+    else:
+        joined = exploded.join(_vector_table(table, key, dim, broadcast), key, "left")
     zeros = F.array_repeat(F.lit(0.0), dim)
     fill = unk if unk is not None else zeros
     h = F.when(F.col(key).isNull(), zeros).otherwise(F.coalesce(F.col("vec"), fill))
@@ -249,7 +256,8 @@ def _local_pool(df: DataFrame, bc, dim: int, id_col: str, items_col: str, max_it
 def mean_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id",
               items_col: str = "tokens", key: str = "token", max_items: int | None = None,
               unk: Column | None = None, broadcast: bool | None = None,
-              out_col: str = "features", keep=(), method: str = "auto") -> DataFrame:
+              out_col: str = "features", keep=(), method: str = "auto",
+              hot: DataFrame | None = None) -> DataFrame:
     """Mean of the vectors of each row's items.
 
     ``items_col`` holds tokens (``key='token'``, ``table=(token, vec)``) or ids
@@ -271,7 +279,7 @@ def mean_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id",
         if bc is not None:
             return _local_pool(df, bc, dim, id_col, items_col, max_items, keep, out_col, "mean")
     items = F.col(items_col) if max_items is None else F.slice(items_col, 1, max_items)
-    g = _gather(df, id_col, items, table, key, dim, unk, broadcast, keep)
+    g = _gather(df, id_col, items, table, key, dim, unk, broadcast, keep, hot)
     sums = g.groupBy(id_col).agg(Summarizer.sum(array_to_vector("h")).alias("_s"),
                                  F.count(F.when(F.col("_has"), 1)).alias("_n"),
                                  *[F.first(c).alias(c) for c in keep])
@@ -286,7 +294,8 @@ def dot(a: Column, b: Column) -> Column:
 def attention_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id",
                    items_col: str = "tokens", key: str = "token", max_items: int | None = None,
                    unk: Column | None = None, broadcast: bool | None = None,
-                   out_col: str = "features", method: str = "auto") -> DataFrame:
+                   out_col: str = "features", method: str = "auto",
+                   hot: DataFrame | None = None) -> DataFrame:
     """Softmax attention pooling (M6): ``w_t = softmax_t(h_t . q)``, result
     ``sum_t w_t h_t``, with ``h_t`` the item vectors and ``q`` the vector of the
     last item.  ``method`` as in :func:`mean_pool`; on the join path the
@@ -302,7 +311,7 @@ def attention_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id"
             return _local_pool(df, bc, dim, id_col, items_col, max_items, (), out_col, "attention")
 
     items = F.col(items_col) if max_items is None else F.slice(items_col, 1, max_items)
-    h = _gather(df, id_col, items, table, key, dim, unk, broadcast)
+    h = _gather(df, id_col, items, table, key, dim, unk, broadcast, (), hot)
     whole = Window.partitionBy(id_col).orderBy("_pos").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
     scored = (h.withColumn("_q", F.last("h").over(whole))

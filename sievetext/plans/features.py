@@ -8,7 +8,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.vectors import assign_vectors, lookup_table, mean_pool, special_vector
+from ..operators.joins import hot_keys
+from ..operators.vectors import (DEFAULT_BROADCAST_BYTES, assign_vectors, lookup_table, mean_pool,
+                                 special_vector)
 from ..operators.vocab import UNK_ID
 from ..session import materialize
 from ..sources.tables import table
@@ -55,6 +57,13 @@ class Vectors:
     def unk(self):
         return special_vector(UNK_ID, self.dim, self.seed)
 
+    def hot_vecs(self, budget: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+        """Vectors of the most frequent words, as many as ``budget`` bytes hold:
+        the broadcast half of a split look-up when the whole table is too big."""
+        k = max(1, budget // (8 * self.dim + 64))
+        hot = hot_keys(self.prep.words.where(F.col("in_vocab")), "token", "n_occ", k)
+        return self.token_vecs.join(hot, "token", "left_semi")
+
 
 def build_vectors(spark: SparkSession, sf_dir: str, prep: Prepared | None = None,
                   seed: int = 7) -> Vectors:
@@ -66,4 +75,4 @@ def pooled_features(v: Vectors, max_tokens: int = MAX_LENGTH - 2,
     """``id, y, split, features``: mean of the vectors of the first
     ``max_tokens`` tokens, unknown words through the <UNK> vector."""
     return mean_pool(v.prep.tokens, v.token_vecs, v.dim, max_items=max_tokens,
-                     unk=v.unk, broadcast=broadcast, keep=("y", "split"))
+                     unk=v.unk, broadcast=broadcast, keep=("y", "split"), hot=v.hot_vecs())

@@ -150,3 +150,18 @@ def test_pool_local_equals_join(spark, how):
                                       method="join").collect()}
     assert a.keys() == b.keys()
     assert max(abs(x - y) for i in a for x, y in zip(a[i], b[i])) < 1e-9
+
+
+def test_pool_split_lookup_equals_plain_join(spark):
+    from sievetext.plans.features import Vectors
+    from sievetext.plans.prepare import prepare
+
+    p = prepare(spark, "/root/testdata/sf0.001")
+    v = Vectors(p)
+    hot = v.hot_vecs(budget=20 * (8 * v.dim + 64))  # 20 hot words
+    assert hot.count() == 20
+    a = {r.id: r.features for r in mean_pool(p.tokens, v.token_vecs, v.dim, max_items=40, unk=v.unk,
+                                             method="join").collect()}
+    b = {r.id: r.features for r in mean_pool(p.tokens, v.token_vecs, v.dim, max_items=40, unk=v.unk,
+                                             method="join", hot=hot).collect()}
+    assert max(abs(x - y) for i in a for x, y in zip(a[i], b[i])) < 1e-9
