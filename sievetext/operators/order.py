@@ -132,3 +132,10 @@ def tail_split(df: DataFrame, n_tail: int, order_by: Sequence[Column | str] = ("
     validation (P7, the position slices of the pre-encoded loader)."""
     ordered = with_ordinal(df, list(order_by), total="_n", num_partitions=num_partitions)
     return ordered.withColumn(name, F.col("pos") >= F.col("_n") - F.lit(int(n_tail))).drop("_n")
+
+
+def subset(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows of ``df`` whose id is in ``ids`` (O6, the subset sampler): a
+    left-semi join, so ``df`` is never widened and duplicates in ``ids`` do
+    not duplicate rows."""
+    return df.join(ids.select(id_col), id_col, "left_semi")

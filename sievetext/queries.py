@@ -837,3 +837,19 @@ def q_conversations_corpus(spark, sf_dir):
 
     df, _classes = load_dataset(spark, "conversations_role", sf_dir)
     return df.select("id", "label", "y", "split")
+
+
+@query("subset_batches", _with(S.EMB_SCORE_CTES) + """,
+sel AS (SELECT vec_id FROM py WHERE p_y > 1.0::DOUBLE / (SELECT c FROM nc)),
+ord AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS pos
+        FROM e WHERE vec_id IN (SELECT vec_id FROM sel))
+SELECT vec_id, pos, CAST(floor(pos / 64) AS BIGINT) AS batch_id FROM ord""")
+def q_subset_batches(spark, sf_dir):
+    from .operators.order import batches, subset
+    from .operators.selection import confident_rows, selection_threshold
+
+    s, c = _scored(spark, sf_dir)
+    chosen = confident_rows(s, selection_threshold("selnl", c)).select("vec_id")
+    df, _model, _c = _emb(spark, sf_dir)
+    rows = subset(df.select("vec_id"), chosen, "vec_id")
+    return batches(rows, 64, order_by=["vec_id"]).select("vec_id", "pos", "batch_id")
