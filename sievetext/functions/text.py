@@ -44,7 +44,8 @@ def normalize(text: ColumnOrName) -> Column:
 
 
 def _blank_split(norm: Column) -> Column:
-    return F.filter(F.split(norm, f"{WS_CLASS}+"), lambda t: t != F.lit(""))
+    # array_remove (not a lambda filter) keeps the expression in generated code
+    return F.array_remove(F.split(norm, f"{WS_CLASS}+"), "")
 
 
 def _treebank(norm: Column) -> Column:

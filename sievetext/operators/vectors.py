@@ -38,7 +38,7 @@ def broadcast_if_small(df: DataFrame, bytes_per_row: int,
 
 def format_vector_lines(vectors: DataFrame, token_col: str = "token", vec_col: str = "vec") -> DataFrame:
     """``word v1 v2 ... vd`` lines, one blank between (the text format)."""
-    nums = F.transform(vec_col, lambda x: x.cast("string"))
+    nums = F.col(vec_col).cast("array<string>")
     return vectors.select(F.concat_ws(" ", F.col(token_col), F.array_join(nums, " ")).alias("value"))
 
 
@@ -103,7 +103,7 @@ def read_word_vectors(spark: SparkSession, path: str, vocab: DataFrame | None =
 
 def embedding_rows(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(row, vec)``: the vector table in ``id_col`` order with dense row numbers."""
-    base = embeddings.select(id_col, F.transform(vec_col, lambda x: x.cast("double")).alias("vec"))
+    base = embeddings.select(id_col, F.col(vec_col).cast("array<double>").alias("vec"))
     return with_ordinal(base, [id_col], name="row").select("row", "vec")
 
 

@@ -429,7 +429,7 @@ def _emb(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings").where(F.col("label").isNotNull())
     labels = collect_labels(emb, "label")
     df = encode_labels(emb, labels, "label", "y", strict=False).select(
-        "vec_id", "y", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+        "vec_id", "y", F.col("embedding").cast("array<double>").alias("features"))
     model = centroid_model(df, len(labels), embeddings_dim(emb), scale=S.CENTROID_SCALE)
     return df, model, len(labels)
 
