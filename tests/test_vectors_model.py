@@ -165,3 +165,52 @@ def test_pool_split_lookup_equals_plain_join(spark):
     b = {r.id: r.features for r in mean_pool(p.tokens, v.token_vecs, v.dim, max_items=40, unk=v.unk,
                                              method="join", hot=hot).collect()}
     assert max(abs(x - y) for i in a for x, y in zip(a[i], b[i])) < 1e-9
+
+
+def test_as_written_gradient_matches_finite_differences(spark):
+    df, X, y, comp = _toy(spark)
+    m = SoftmaxHead(np.random.default_rng(5).normal(size=(3, 5)) * 0.3)
+    g = gradient(df, m, kind="nl", form="as_written", comp_col="comp")
+
+    def loss(mod):
+        P = mod.probs(X)
+        return (np.log(P[np.arange(len(y)), comp]) - 1.0).mean()
+
+    f = m.flat()
+    num = np.zeros_like(f)
+    for i in range(len(f)):
+        a, b = f.copy(), f.copy()
+        a[i] += 1e-6
+        b[i] -= 1e-6
+        num[i] = (loss(SoftmaxHead.from_flat(a, 3, 5)) - loss(SoftmaxHead.from_flat(b, 3, 5))) / 2e-6
+    assert np.abs(num - g["grad"]).max() < 1e-6
+
+
+def test_cnn_gradient_matches_finite_differences():
+    from sievetext.operators.cnn import CNNText, dropout_mask
+    from sievetext.operators.model import softmax_np
+
+    rng = np.random.default_rng(0)
+    m = CNNText(3, 4, sizes=(2, 3), n_filters=2, dropout=0.2)
+    X = rng.normal(size=(5, 7, 4))
+    y = np.array([0, 1, 2, 1, 0])
+    mask = dropout_mask(np.arange(5), 4, 0.2, 7, 1)
+
+    def loss(mod):
+        h, _ = mod.features(X)
+        P = softmax_np((h * mask) @ mod.params["fc"].T + mod.params["fc_b"])
+        return -np.log(P[np.arange(5), y]).sum()
+
+    h, cache = m.features(X)
+    P = softmax_np((h * mask) @ m.params["fc"].T + m.params["fc_b"])
+    dZ = P.copy()
+    dZ[np.arange(5), y] -= 1
+    g = m.backward(X, dZ, h, mask, cache)
+    f = m.flat()
+    num = np.zeros_like(f)
+    for i in range(len(f)):
+        a, b = f.copy(), f.copy()
+        a[i] += 1e-6
+        b[i] -= 1e-6
+        num[i] = (loss(m.with_flat(a)) - loss(m.with_flat(b))) / 2e-6
+    assert np.abs(num - g).max() < 1e-6
