@@ -214,3 +214,24 @@ def test_cnn_gradient_matches_finite_differences():
         b[i] -= 1e-6
         num[i] = (loss(m.with_flat(a)) - loss(m.with_flat(b))) / 2e-6
     assert np.abs(num - g).max() < 1e-6
+
+
+def test_cnn_join_path_equals_broadcast_path(spark):
+    from sievetext.operators.cnn import CNNRunner, CNNText
+    from sievetext.plans.features import Vectors
+    from sievetext.plans.prepare import prepare
+    from sievetext.operators.encode import encode_fixed
+
+    p = prepare(spark, "/root/testdata/sf0.001")
+    v = Vectors(p)
+    enc = encode_fixed(p.tokens, p.index, 24, keep=("y",))
+    model = CNNText(p.num_classes, v.dim)
+    a = {r.id: r.probs for r in CNNRunner(enc, v.lookup, v.dim, 24).score(model).collect()}
+    runner = CNNRunner(enc, v.lookup, v.dim, 24, budget=0)
+    assert runner.bc is None
+    b = {r.id: r.probs for r in runner.score(model).collect()}
+    assert a.keys() == b.keys()
+    assert max(abs(x - y) for i in a for x, y in zip(a[i], b[i])) < 1e-9
+    ga = CNNRunner(enc, v.lookup, v.dim, 24).gradient_frame(model, kind="pl").first()
+    gb = runner.gradient_frame(model, kind="pl").first()
+    assert ga["n"] == gb["n"] and abs(ga["loss"] - gb["loss"]) < 1e-8
