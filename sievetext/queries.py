@@ -653,7 +653,7 @@ def q_train_nl_selnl_selpl(spark, sf_dir):
 SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, round(w, 6) + 0.0::DOUBLE AS w FROM cent
 UNION ALL SELECT CAST(k AS INTEGER), -1, 0.0::DOUBLE FROM (SELECT DISTINCT k FROM cent)""")
 def q_weights_roundtrip(spark, sf_dir):
-    from .plans.train import load_weights, save_weights, weights_frame
+    from .plans.train import load_weights, save_weights
     from .session import scratch_path
 
     _df, model, _c = _emb(spark, sf_dir)
