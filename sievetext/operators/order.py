@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import shuffle_key
+from ..session import input_partitions
 
 _PART_BITS = 33
 
@@ -38,7 +39,7 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(conf, df.rdd.getNumPartitions())
+    return max(conf, input_partitions(df) or 0)
 
 
 def with_ordinal(df: DataFrame, order_by: Sequence[Column | str], name: str = "pos",

@@ -79,12 +79,22 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
+def input_partitions(df) -> int | None:
+    """Partition count of a DataFrame's plan (planning only, no job); ``None``
+    where the session cannot tell."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. sessions without RDD access
+        return None
+
+
 def spread(df, *keys: str):
     """Hash-repartition a source on ``keys`` only when its scan has fewer
     partitions than the cluster's parallelism (a file with one row group is
     read by one task).  Large inputs of many files are left untouched."""
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    have = input_partitions(df)
+    if have is None or have >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
