@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from typing import Callable, Union
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,7 +85,6 @@ def tokenize(text: ColumnOrName, tokenizer: Tokenizer = "blank",
 def python_tokenizer(fn: Callable[[str], list]) -> Callable[[Column], Column]:
     """Wrap a plain Python ``str -> list[str]`` tokeniser as an Arrow-batched
     pandas UDF (slow path, for user tokenisers with no Column form)."""
-    import pandas as pd
     from pyspark.sql.types import ArrayType, StringType
 
     @F.pandas_udf(ArrayType(StringType()))

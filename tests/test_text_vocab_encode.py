@@ -90,3 +90,15 @@ def test_word_ids_whole_text(spark):
     df = _docs(spark, ["hello a zzz world " * 3]).select("id", tokenize("text").alias("tokens"))
     got = word_ids(df, _index(spark)).first().ids
     assert got == [5, 4, 3, 6] * 3
+
+
+def test_user_tokenizers(spark):
+    from sievetext.functions.text import python_tokenizer
+
+    df = _docs(spark, ["Hello, World! again", "x-y z"])
+    by_char = python_tokenizer(lambda t: list(t.replace(" ", "")))
+    got = [r.t for r in df.select(tokenize("text", by_char).alias("t")).collect()]
+    assert got == [list("helloworldagain"), list("xyz")]
+    col_fn = lambda norm: F.split(norm, "o")  # noqa: E731 - a Column -> Column tokenizer
+    got2 = [r.t for r in df.select(tokenize("text", col_fn).alias("t")).collect()]
+    assert got2[0] == ["hell", " w", "rld again"]
