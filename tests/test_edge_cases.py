@@ -78,3 +78,13 @@ def test_gradient_on_empty_selection(spark):
     g = gradient(df, SoftmaxHead(np.zeros((2, 2))), kind="pl", threshold=0.99)
     assert g["n"] == 0
     assert score(df.limit(0), SoftmaxHead(np.zeros((2, 2)))).count() == 0
+
+
+def test_many_classes_use_the_join_path(spark):
+    df = spark.range(500).select("id", (F.col("id") % 100).cast("string").alias("label"))
+    labels = collect_labels(df)
+    assert len(labels) == 100
+    out = {r.id: r.y for r in encode_labels(df, labels, code_col="y").collect()}
+    assert all(out[i] == labels.index(str(i % 100)) for i in range(500))
+    with pytest.raises(KeyError):
+        encode_labels(df, labels[:-1], code_col="y")
