@@ -238,13 +238,11 @@ def fit_cnn(runner, model, epochs: int, kind: str = "nl", lr: float = 0.01,
     for epoch in range(1, epochs + 1):
         t0 = time.time()
         step = len(history) + 1
-        comp = None
+        data, comp = runner.data, None
         if kind == "nl":
-            runner.data = with_epoch_complement(runner.data.drop("comp") if "comp" in runner.data.columns
-                                                else runner.data, c, step, seed)
-            comp = "comp"
+            data, comp = with_epoch_complement(runner.data, c, step, seed), "comp"
         row = runner.gradient_frame(model, kind=kind, epoch=step, comp_col=comp,
-                                    threshold=threshold).first()
+                                    threshold=threshold, data=data).first()
         n = int(row["n"] or 0)
         if n == 0:
             history.append({"step": step, "stage": stage or kind, "epoch": epoch, "n_rows": 0,
