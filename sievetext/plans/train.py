@@ -14,6 +14,7 @@ larger accordingly (Adam moves each weight by about ``lr`` per step).
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass, field
 from typing import Callable
@@ -126,7 +127,8 @@ class Trainer:
 
     def fit(self, train: DataFrame, epochs: int, kind: str = "nl", select: str | None = None,
             gamma: float = 0.5, dev: DataFrame | None = None, test: DataFrame | None = None,
-            stage: str | None = None, clip: float | None = "auto") -> SoftmaxHead:
+            stage: str | None = None, clip: float | None = "auto",
+            state_path: str | None = None, save_every: int = 5) -> SoftmaxHead:
         """Run up to ``epochs`` steps; one Spark job per step.
 
         The dev loss of step e (weights after step e, as the reference
@@ -174,14 +176,54 @@ class Trainer:
                 pending = row
             else:
                 finish(row)
+            if state_path and epoch % save_every == 0 and pending is None:
+                self.save_state(train.sparkSession, state_path)
         if pending is not None:
             pending["dev_loss"] = self._pass(dev, kind, pending["step"], None)["loss"]
             finish(pending)
+        if state_path:
+            self.save_state(train.sparkSession, state_path)
         return self.model
 
     def history_frame(self, spark: SparkSession) -> DataFrame:
         return history_frame(spark, self.history)
 
+    # ---- resuming (the reference's ``jump_to_epoch``) ----------------------
+    def save_state(self, spark: SparkSession, path: str) -> str:
+        """Write weights, optimizer state and history as one parquet row to
+        ``path/step-NNNNNN`` (a new folder per save; earlier saves stay valid)."""
+        opt = self.optimizer
+        zeros = np.zeros_like(self.model.flat())
+        row = (len(self.history), self.model.flat().tolist(),
+               (opt.m if opt.m is not None else zeros).tolist(),
+               (opt.v if opt.v is not None else zeros).tolist(), int(opt.t),
+               json.dumps(self.history))
+        out = f"{path.rstrip('/')}/step-{len(self.history):06d}"
+        spark.createDataFrame([row], STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(out)
+        return out
+
+    def load_state(self, spark: SparkSession, path: str) -> bool:
+        """Resume from the latest save under ``path``; ``False`` if there is none."""
+        try:
+            rows = spark.read.schema(STATE_SCHEMA).parquet(f"{path.rstrip('/')}/step-*") \
+                .orderBy(F.col("step").desc()).limit(1).collect()
+        except Exception:  # noqa: BLE001 - no save yet
+            return False
+        if not rows:
+            return False
+        r = rows[0]
+        self.model = SoftmaxHead.from_flat(np.asarray(r["params"]), self.num_classes, self.dim)
+        self.optimizer.m, self.optimizer.v = np.asarray(r["adam_m"]), np.asarray(r["adam_v"])
+        self.optimizer.t = int(r["adam_t"])
+        self.history = json.loads(r["history"])
+        return True
+
+
+STATE_SCHEMA = T.StructType([
+    T.StructField("step", T.LongType()), T.StructField("params", T.ArrayType(T.DoubleType())),
+    T.StructField("adam_m", T.ArrayType(T.DoubleType())), T.StructField("adam_v", T.ArrayType(T.DoubleType())),
+    T.StructField("adam_t", T.LongType()), T.StructField("history", T.StringType()),
+])
 
 HISTORY_SCHEMA = T.StructType([
     T.StructField("step", T.LongType()), T.StructField("stage", T.StringType()),

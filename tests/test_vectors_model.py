@@ -235,3 +235,19 @@ def test_cnn_join_path_equals_broadcast_path(spark):
     ga = CNNRunner(enc, v.lookup, v.dim, 24).gradient_frame(model, kind="pl").first()
     gb = runner.gradient_frame(model, kind="pl").first()
     assert ga["n"] == gb["n"] and abs(ga["loss"] - gb["loss"]) < 1e-8
+
+
+def test_trainer_resume_reproduces_uninterrupted_run(spark):
+    from sievetext.plans.train import Adam, Trainer
+
+    df, X, y, comp = _toy(spark, n=120)
+    full = Trainer(3, 5, Adam(lr=0.1))
+    full.fit(df, 6, "nl")
+    path = scratch_path(spark, "trainer-state")
+    first = Trainer(3, 5, Adam(lr=0.1))
+    first.fit(df, 4, "nl", state_path=path, save_every=2)
+    resumed = Trainer(3, 5, Adam(lr=0.1))
+    assert resumed.load_state(spark, path) and len(resumed.history) == 4
+    resumed.fit(df, 2, "nl")
+    assert np.abs(resumed.model.flat() - full.model.flat()).max() < 1e-12
+    assert [h["step"] for h in resumed.history] == [1, 2, 3, 4, 5, 6]
