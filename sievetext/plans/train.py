@@ -297,3 +297,47 @@ def fit_cnn(runner, model, epochs: int, kind: str = "nl", lr: float = 0.01,
                         "train_pos_loss": (row["aux_loss"] if kind == "nl" else row["loss"]) / n,
                         "grad_norm": norm, "seconds": time.time() - t0, "stopped": False})
     return model, history
+
+
+# ---------------------------------------------------------------- single passes by name
+# The reference's per-pass functions, as one Spark job each over a table of
+# ``id, y, features`` rows.
+
+def evaluate_pl(df: DataFrame, model: SoftmaxHead) -> float:
+    """Mean NLL of the labels (G6), no update."""
+    return gradient(df, model, kind="pl")["loss"]
+
+
+def evaluate_nl(df: DataFrame, model: SoftmaxHead, num_classes: int, epoch: int,
+                seed: int = 7, form: str = "complement") -> float:
+    """Mean complementary-label loss (G6) with labels drawn for ``epoch``."""
+    d = with_epoch_complement(df, num_classes, epoch, seed)
+    return gradient(d, model, kind="nl", form=form, comp_col="comp")["loss"]
+
+
+def test_accuracy(df: DataFrame, model: SoftmaxHead) -> float:
+    """Percent of rows whose arg-max class is the label (A5)."""
+    return float(accuracy(score(df, model)).first()["accuracy"])
+
+
+test_accuracy.__test__ = False  # not a pytest test despite the name
+
+
+def train_pl(df: DataFrame, trainer: "Trainer", **kw) -> float:
+    """One positive step over all rows (G2); returns the step's mean loss."""
+    trainer.fit(df, 1, "pl", **kw)
+    return trainer.history[-1].get("train_loss", float("nan"))
+
+
+def train_nl(df: DataFrame, trainer: "Trainer", **kw) -> tuple[float, float]:
+    """One negative step (G1); returns (negative loss, positive loss)."""
+    trainer.fit(df, 1, "nl", **kw)
+    h = trainer.history[-1]
+    return h.get("train_loss", float("nan")), h.get("train_pos_loss", float("nan"))
+
+
+def threshold_data(df: DataFrame, model: SoftmaxHead, threshold: float):
+    """Rows whose ``p[y]`` is over ``threshold``, or ``None`` when none is."""
+    from ..operators.selection import selection_or_none
+
+    return selection_or_none(score(df, model, drop_features=False), threshold)

@@ -251,3 +251,19 @@ def test_trainer_resume_reproduces_uninterrupted_run(spark):
     resumed.fit(df, 2, "nl")
     assert np.abs(resumed.model.flat() - full.model.flat()).max() < 1e-12
     assert [h["step"] for h in resumed.history] == [1, 2, 3, 4, 5, 6]
+
+
+def test_named_passes(spark):
+    from sievetext.plans import train as T
+
+    df, X, y, comp = _toy(spark, n=90)
+    tr = T.Trainer(3, 5, T.Adam(lr=0.1))
+    neg, pos = T.train_nl(df, tr)
+    assert neg == tr.history[-1]["train_loss"] and pos > 0
+    loss = T.train_pl(df, tr)
+    assert abs(T.evaluate_pl(df, tr.model) - _loss_np(tr.model, X, y, comp, "pl")) < 1e-9
+    assert loss > 0 and T.evaluate_nl(df, tr.model, 3, epoch=1) > 0
+    assert 0.0 <= T.test_accuracy(df, tr.model) <= 100.0
+    assert T.threshold_data(df, tr.model, 1.0) is None
+    kept = T.threshold_data(df, tr.model, 0.0)
+    assert kept.count() == 90 and "features" in kept.columns
