@@ -34,3 +34,22 @@ def test_entry_and_registry(spark):
     df = e.entry(spark)
     assert df.columns == ["id", "y", "label_clean", "is_flipped", "p_y", "pred", "kept"]
     assert df.count() > 0
+
+
+def test_reference_flow_by_name(spark):
+    from sievetext import compat
+    from sievetext.sources.tables import labeled_corpus
+
+    corpus = labeled_corpus(spark, SF)
+    vocab = compat.create_vocab(corpus)
+    index = compat.load_word_idx_maps(vocab)
+    loader = compat.create_dataloader(corpus, index, max_length=32, batch_size=16)
+    rows = loader.collect()
+    assert len(rows) == corpus.count() and max(r.batch_id for r in rows) == (len(rows) - 1) // 16
+    with_comp = compat.choose_complement_targets(loader, 4, epoch=1).collect()
+    assert all(r.comp != r.y for r in with_comp)
+    toks = corpus.select("id", "y", tokenize("text").alias("tokens"))
+    train, valid, widx = compat.load_data_set(toks, max_len=20, vocab_size=500, batch_size=8, n_valid=50)
+    assert valid.count() == 50 and train.count() % 8 == 0
+    assert {r.token: r.id for r in widx.where("id < 3").collect()} == {"<PAD>": 0, "<START>": 1, "<UNK>": 2}
+    assert all(len(r.ids) == 20 for r in valid.collect())
