@@ -17,5 +17,7 @@ def next_token_pairs(toks: DataFrame, id_col: str = "id", tokens_col: str = "tok
     """``id, pos, token, next_token`` (null after the last token)."""
     t = F.col(tokens_col)
     pairs = F.transform(t, lambda x, i: F.struct(x.alias("token"), F.get(t, i + 1).alias("next_token")))
-    ex = toks.select(id_col, F.posexplode(pairs).alias("pos", "_p"))
+    # posexplode_outer + filter: a plain posexplode would make Catalyst push
+    # an inferred size(...) > 0 filter, with the tokenisation, below a repartition
+    ex = toks.select(id_col, F.posexplode_outer(pairs).alias("pos", "_p")).where(F.col("pos").isNotNull())
     return ex.select(id_col, "pos", "_p.token", "_p.next_token")

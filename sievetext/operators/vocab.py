@@ -27,6 +27,14 @@ KERAS_INDEX_FROM = 3
 KERAS_OOV_ID = 2
 # --------------------------------------------------------------------------
 
+def explode_tokens(df: DataFrame, tokens_col: str = "tokens", *keep) -> DataFrame:
+    """One row per token.  ``explode_outer`` plus a null filter, not
+    ``explode``: from a plain explode Catalyst infers ``size(tokens) > 0`` and
+    pushes it, with the whole tokenisation, below earlier repartitions."""
+    return (df.select(*keep, F.explode_outer(tokens_col).alias("token"))
+            .where(F.col("token").isNotNull()))
+
+
 INDEX_SCHEMA = T.StructType([T.StructField("token", T.StringType(), False),
                              T.StructField("id", T.LongType(), False)])
 
@@ -40,7 +48,7 @@ def vocabulary(*token_tables: DataFrame, tokens_col: str = "tokens") -> DataFram
     """
     if not token_tables:
         raise ValueError("need at least one table")
-    exploded = [t.select(F.explode(tokens_col).alias("token")) for t in token_tables]
+    exploded = [explode_tokens(t, tokens_col) for t in token_tables]
     allt = exploded[0]
     for t in exploded[1:]:
         allt = allt.unionByName(t)
@@ -69,7 +77,7 @@ def word_index(vocab: DataFrame, specials: Sequence[tuple[str, int]] = SPECIALS,
 
 def token_counts(*token_tables: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """``(token, count)`` over the given tables (partial + final aggregate)."""
-    exploded = [t.select(F.explode(tokens_col).alias("token")) for t in token_tables]
+    exploded = [explode_tokens(t, tokens_col) for t in token_tables]
     allt = exploded[0]
     for t in exploded[1:]:
         allt = allt.unionByName(t)

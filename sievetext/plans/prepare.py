@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.text import Tokenizer, tokenize
 from ..operators.encode import encode_fixed
 from ..operators.joins import hot_keys
-from ..operators.vocab import vocabulary, word_index
+from ..operators.vocab import explode_tokens, vocabulary, word_index
 from ..session import materialize
 from ..sources.tables import labeled_corpus_and_classes
 
@@ -43,7 +43,7 @@ def vocab_with_flag(toks: DataFrame, splits=VOCAB_SPLITS) -> DataFrame:
     word of the corpus, flagged when it occurs in one of ``splits``, with its
     number of occurrences (partial aggregation before the shuffle)."""
     flag = F.col("split").isin(*splits)
-    ex = toks.select(F.explode("tokens").alias("token"), flag.alias("_f"))
+    ex = explode_tokens(toks.withColumn("_f", flag), "tokens", "_f")
     return ex.groupBy("token").agg(F.max("_f").alias("in_vocab"),
                                    F.count(F.lit(1)).alias("n_occ"))
 

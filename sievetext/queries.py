@@ -452,7 +452,9 @@ def q_linear_logits(spark, sf_dir):
 
     df, model, _c = _emb(spark, sf_dir)
     z = df.select("vec_id", linear("features", model.W.tolist(), model.b.tolist()).alias("z"))
-    return z.select("vec_id", F.posexplode("z").alias("k", "_z")).select("vec_id", "k", _r6(F.col("_z")).alias("logit"))
+    # outer + filter: a plain posexplode would re-evaluate the dot products in an inferred filter
+    ex = z.select("vec_id", F.posexplode_outer("z").alias("k", "_z")).where(F.col("k").isNotNull())
+    return ex.select("vec_id", "k", _r6(F.col("_z")).alias("logit"))
 
 
 @query("log_softmax_scores", _with(S.EMB_SCORE_CTES) + """
