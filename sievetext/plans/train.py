@@ -176,7 +176,9 @@ class Trainer:
                 pending = row
             else:
                 finish(row)
-            if state_path and epoch % save_every == 0 and pending is None:
+            if state_path and epoch % save_every == 0:
+                # the last saved row may still wait for its dev loss; a resumed
+                # run continues from the same weights and optimizer state
                 self.save_state(train.sparkSession, state_path)
         if pending is not None:
             pending["dev_loss"] = self._pass(dev, kind, pending["step"], None)["loss"]
