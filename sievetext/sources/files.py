@@ -17,18 +17,23 @@ PREDICTIONS_SCHEMA = T.StructType([T.StructField("id", T.LongType()),
                                    T.StructField("predicted_label", T.LongType())])
 
 _CSV_OPTS = dict(header=False, quote='"', escape='"', multiLine=True)
+# A field is null only when it is empty and unquoted; a quoted "" is the empty
+# string.  The reader's null token is therefore one that never appears.
+_NO_NULL_TOKEN = "\u0000"
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """Headerless CSV without an index column (S8); texts may hold newlines
-    and quotes, so fields are quoted and quotes doubled."""
-    df.write.mode("overwrite").options(**_CSV_OPTS, quoteAll=True).csv(path)
+    """Headerless CSV without an index column (S8).  Fields with separators,
+    quotes or newlines are quoted (quotes doubled); empty strings are written
+    as ``""``, nulls as nothing."""
+    df.write.mode("overwrite").options(**_CSV_OPTS).csv(path)
     return path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = LABELED_CSV_SCHEMA) -> DataFrame:
-    """Headerless labelled CSV, columns in schema order."""
-    return spark.read.schema(schema).options(**_CSV_OPTS).csv(path)
+    """Headerless labelled CSV, columns in schema order (S1, S7); texts may span
+    lines.  Empty quoted fields stay empty strings, empty unquoted ones are null."""
+    return spark.read.schema(schema).options(**_CSV_OPTS, nullValue=_NO_NULL_TOKEN).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> str:

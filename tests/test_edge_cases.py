@@ -88,3 +88,23 @@ def test_many_classes_use_the_join_path(spark):
     assert all(out[i] == labels.index(str(i % 100)) for i in range(500))
     with pytest.raises(KeyError):
         encode_labels(df, labels[:-1], code_col="y")
+
+
+def test_json_array_file_and_csv_quotes(spark):
+    import os
+
+    from sievetext.session import scratch_path
+    from sievetext.sources.files import read_csv, read_json, write_csv
+
+    root = scratch_path(spark, "json-array")
+    local = root[len("file:"):] if root.startswith("file:") else root
+    os.makedirs(local, exist_ok=True)
+    with open(os.path.join(local, "preds.json"), "w") as f:
+        f.write('[{"id": 1, "actual_label": 2, "predicted_label": 2},\n'
+                ' {"id": 2, "actual_label": 0, "predicted_label": 1}]')
+    got = sorted(tuple(r) for r in read_json(spark, root, multi_line=True).collect())
+    assert got == [(1, 2, 2), (2, 0, 1)]
+    rows = [("a", 'say "hi",\nthen go'), ("b", "")]
+    path = write_csv(spark.createDataFrame(rows, "label string, text string"), scratch_path(spark, "csvq"))
+    back = sorted((r.label, r.text) for r in read_csv(spark, path).collect())
+    assert back == sorted(rows)
