@@ -25,10 +25,19 @@ DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 
 # ---------------------------------------------------------------- sizing
 
+def broadcast_budget(spark) -> int:
+    """Byte budget for broadcasting a table: ``spark.sievetext.broadcastBytes``
+    (default 256 MiB)."""
+    from ..session import setting
+
+    return setting(spark, "broadcastBytes", DEFAULT_BROADCAST_BYTES)
+
+
 def broadcast_if_small(df: DataFrame, bytes_per_row: int,
-                       budget: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+                       budget: int | None = None) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only when its row count proves it fits ``budget``;
     otherwise return it unchanged for a shuffle join (AQE splits skew)."""
+    budget = broadcast_budget(df.sparkSession) if budget is None else budget
     n = df.count()
     small = n * max(1, bytes_per_row) <= budget
     return (F.broadcast(df) if small else df), small
@@ -186,13 +195,14 @@ def _gather(df: DataFrame, id_col: str, items: Column, table: DataFrame, key: st
 
 
 def broadcast_vector_table(table: DataFrame, key: str, dim: int, unk: Column | None = None,
-                           budget: int = DEFAULT_BROADCAST_BYTES):
+                           budget: int | None = None):
     """``(keys, M)`` of a vector table as a Spark broadcast, or ``None`` when its
     row count does not prove it fits ``budget``.  ``M`` gets one extra last
     row: the vector for items missing from the table (``unk`` or zeros)."""
     import numpy as np
     import pyarrow as pa
 
+    budget = broadcast_budget(table.sparkSession) if budget is None else budget
     n = table.count()
     if n * (8 * dim + 64) > budget:
         return None
@@ -274,8 +284,7 @@ def mean_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id",
     the network.
     """
     if method in ("auto", "local"):
-        bc = broadcast_vector_table(table, key, dim, unk,
-                                    budget=DEFAULT_BROADCAST_BYTES if method == "auto" else 1 << 62)
+        bc = broadcast_vector_table(table, key, dim, unk, budget=None if method == "auto" else 1 << 62)
         if bc is not None:
             return _local_pool(df, bc, dim, id_col, items_col, max_items, keep, out_col, "mean")
     items = F.col(items_col) if max_items is None else F.slice(items_col, 1, max_items)
@@ -305,8 +314,7 @@ def attention_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id"
     from pyspark.sql import Window
 
     if method in ("auto", "local"):
-        bc = broadcast_vector_table(table, key, dim, unk,
-                                    budget=DEFAULT_BROADCAST_BYTES if method == "auto" else 1 << 62)
+        bc = broadcast_vector_table(table, key, dim, unk, budget=None if method == "auto" else 1 << 62)
         if bc is not None:
             return _local_pool(df, bc, dim, id_col, items_col, max_items, (), out_col, "attention")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import hot_keys
-from ..operators.vectors import (DEFAULT_BROADCAST_BYTES, assign_vectors, lookup_table, mean_pool,
+from ..operators.vectors import (assign_vectors, broadcast_budget, lookup_table, mean_pool,
                                  special_vector)
 from ..operators.vocab import UNK_ID
 from ..session import materialize
@@ -57,9 +57,10 @@ class Vectors:
     def unk(self):
         return special_vector(UNK_ID, self.dim, self.seed)
 
-    def hot_vecs(self, budget: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    def hot_vecs(self, budget: int | None = None) -> DataFrame:
         """Vectors of the most frequent words, as many as ``budget`` bytes hold:
         the broadcast half of a split look-up when the whole table is too big."""
+        budget = broadcast_budget(self.prep.spark) if budget is None else budget
         k = max(1, budget // (8 * self.dim + 64))
         hot = hot_keys(self.prep.words.where(F.col("in_vocab")), "token", "n_occ", k)
         return self.token_vecs.join(hot, "token", "left_semi")

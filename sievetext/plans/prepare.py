@@ -20,7 +20,7 @@ from ..functions.text import Tokenizer, tokenize
 from ..operators.encode import encode_fixed
 from ..operators.joins import hot_keys
 from ..operators.vocab import explode_tokens, vocabulary, word_index
-from ..session import materialize
+from ..session import materialize, setting
 from ..sources.tables import labeled_corpus_and_classes
 
 MAX_LENGTH = 256  # sequence length of the reference runner
@@ -86,10 +86,12 @@ class Prepared:
         """``token, id``: specials 0-3, words from 4 in token order."""
         return self._keep(word_index(self.vocab), "word-index")
 
-    def lookup_hot(self, k: int = HOT_WORDS) -> DataFrame | None:
+    def lookup_hot(self, k: int | None = None) -> DataFrame | None:
         """``None`` when the whole index has at most ``k`` rows (it is
         broadcast by its measured size), else :meth:`hot_index` for a split
-        look-up.  Counting the written index reads parquet metadata only."""
+        look-up.  ``k`` defaults to ``spark.sievetext.hotWords`` (1 000 000).
+        Counting the written index reads parquet metadata only."""
+        k = setting(self.spark, "hotWords", HOT_WORDS) if k is None else k
         return None if self.index.count() <= k else self.hot_index(k)
 
     def hot_index(self, k: int = HOT_WORDS) -> DataFrame:

@@ -98,3 +98,12 @@ def spread(df, *keys: str):
     if have is None or have >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
+def setting(spark: SparkSession, name: str, default: int) -> int:
+    """An integer knob from the session: ``spark.sievetext.<name>``."""
+    try:
+        value = spark.conf.get(f"spark.sievetext.{name}", None)
+    except Exception:  # noqa: BLE001
+        value = None
+    return int(value) if value not in (None, "") else int(default)
