@@ -66,6 +66,14 @@ class Vectors:
         return self.token_vecs.join(hot, "token", "left_semi")
 
 
+    def hot_lookup(self, budget: int | None = None) -> DataFrame:
+        """``(id, vec)`` of the specials and the most frequent words, as many as
+        ``budget`` bytes hold (the CNN's split gather)."""
+        budget = broadcast_budget(self.prep.spark) if budget is None else budget
+        k = max(1, budget // (8 * self.dim + 64))
+        return self.lookup.join(self.prep.hot_index(k).select("id"), "id", "left_semi")
+
+
 def build_vectors(spark: SparkSession, sf_dir: str, prep: Prepared | None = None,
                   seed: int = 7) -> Vectors:
     return Vectors(prep or prepare(spark, sf_dir), seed=seed)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.text import Tokenizer, tokenize
 from ..operators.encode import encode_fixed
 from ..operators.joins import hot_keys
-from ..operators.vocab import explode_tokens, vocabulary, word_index
+from ..operators.vocab import UNK_ID, explode_tokens, vocabulary, word_index
 from ..session import materialize, setting
 from ..sources.tables import labeled_corpus_and_classes
 
@@ -95,10 +95,12 @@ class Prepared:
         return None if self.index.count() <= k else self.hot_index(k)
 
     def hot_index(self, k: int = HOT_WORDS) -> DataFrame:
-        """The index rows of the ``k`` most frequent vocabulary words: the
-        broadcast half of a split look-up (at most ``k`` rows)."""
+        """The index rows of the ``k`` most frequent vocabulary words and of the
+        specials (``<PAD>`` is the most frequent id of padded sequences): the
+        broadcast half of a split look-up (at most ``k + 4`` rows)."""
         hot = hot_keys(self.words.where(F.col("in_vocab")), "token", "n_occ", k)
-        return self.index.join(hot, "token", "left_semi")
+        return (self.index.join(hot, "token", "left_semi")
+                .unionByName(self.index.where(F.col("id") <= F.lit(UNK_ID))))
 
 
 def prepare(spark: SparkSession, sf_dir: str, label: str = "lang",

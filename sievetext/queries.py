@@ -116,8 +116,8 @@ dec AS (
 SELECT id, array_to_string(toks, ' ') AS text FROM dec""")
 def q_decode_ids(spark, sf_dir):
     p = _prep(spark, sf_dir)
-    enc = encode_fixed(p.tokens, p.index, 256)
-    dec = decode_ids(enc, p.index)
+    enc = encode_fixed(p.tokens, p.index, 256, hot=p.lookup_hot())
+    dec = decode_ids(enc, p.index, hot=p.lookup_hot())
     return dec.select("id", F.array_join("tokens", " ").alias("text"))
 
 
@@ -774,7 +774,7 @@ def _cnn_setup(spark, sf_dir, length=CNN_LEN):
 SELECT id, CAST(k AS INTEGER) AS k, round(p, 6) + 0.0::DOUBLE AS prob FROM cnnprob""")
 def q_cnn_scores(spark, sf_dir):
     p, v, enc, CNNRunner, CNNText = _cnn_setup(spark, sf_dir)
-    runner = CNNRunner(enc, v.lookup, v.dim, CNN_LEN, keep=("y",))
+    runner = CNNRunner(enc, v.lookup, v.dim, CNN_LEN, keep=("y",), hot=v.hot_lookup())
     s = runner.score(CNNText(p.num_classes, v.dim))
     return s.select("id", F.posexplode("probs").alias("k", "_p")).select("id", "k", _r6(F.col("_p")).alias("prob"))
 
@@ -787,7 +787,7 @@ def q_train_cnn(spark, sf_dir):
     p, v, enc, CNNRunner, CNNText = _cnn_setup(spark, sf_dir)
     train = enc.where(F.col("split") == "train")
     noisy = inject_noise(train, p.num_classes, 0.3, kind="exc", label_col="y").select("id", "y", "ids")
-    runner = CNNRunner(noisy, v.lookup, v.dim, CNN_LEN, keep=("y",))
+    runner = CNNRunner(noisy, v.lookup, v.dim, CNN_LEN, keep=("y",), hot=v.hot_lookup())
     model, hist = fit_cnn(runner, CNNText(p.num_classes, v.dim), 3, kind="nl", lr=0.01, stage="nl")
     model, hist = fit_cnn(runner, model, 3, kind="pl", lr=0.01, select="selpl", stage="selpl", history=hist)
     return history_frame(spark, hist).select("step", "stage", "epoch", "n_rows",

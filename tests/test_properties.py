@@ -100,3 +100,23 @@ def test_split_lookup_equals_plain_join(spark):
     whole = {r.id: r.ids for r in word_ids(p.tokens, p.index).collect()}
     whole_split = {r.id: r.ids for r in word_ids(p.tokens, p.index, hot=p.hot_index(10)).collect()}
     assert whole == whole_split
+
+
+def test_split_lookup_for_decode_and_cnn_gather(spark):
+    from sievetext.operators.cnn import CNNRunner, CNNText
+    from sievetext.operators.encode import decode_ids
+    from sievetext.plans.features import Vectors
+    from sievetext.plans.prepare import prepare
+
+    p = prepare(spark, "/root/testdata/sf0.001")
+    enc = encode_fixed(p.tokens, p.index, 24, keep=("y",))
+    hot = p.hot_index(30).unionByName(p.index.where("id < 4"))
+    a = {r.id: r.tokens for r in decode_ids(enc, p.index).collect()}
+    b = {r.id: r.tokens for r in decode_ids(enc, p.index, hot=hot).collect()}
+    assert a == b
+    v = Vectors(p)
+    hot_vecs = v.lookup.join(hot.select("id"), "id", "left_semi")
+    m = CNNText(p.num_classes, v.dim)
+    x = {r.id: r.probs for r in CNNRunner(enc, v.lookup, v.dim, 24, budget=0).score(m).collect()}
+    y = {r.id: r.probs for r in CNNRunner(enc, v.lookup, v.dim, 24, budget=0, hot=hot_vecs).score(m).collect()}
+    assert max(abs(s - t) for i in x for s, t in zip(x[i], y[i])) < 1e-12
