@@ -26,7 +26,8 @@ def split_lookup(left: DataFrame, table: DataFrame, key: str, hot: DataFrame,
     answered by the broadcast; the others by a shuffle join with ``table``.
     """
     cols = left.columns
-    marked = hot.select(key, *values).withColumn("_hot", F.lit(True))
+    # one row per hot key, whatever the caller passed (the hot side is bounded)
+    marked = hot.select(key, *values).dropDuplicates([key]).withColumn("_hot", F.lit(True))
     tagged = left.join(F.broadcast(marked), key, "left")
     done = F.col("_hot").isNotNull() | F.col(key).isNull()
     hit = tagged.where(done).select(*cols, *values)

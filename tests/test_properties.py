@@ -110,7 +110,8 @@ def test_split_lookup_for_decode_and_cnn_gather(spark):
 
     p = prepare(spark, "/root/testdata/sf0.001")
     enc = encode_fixed(p.tokens, p.index, 24, keep=("y",))
-    hot = p.hot_index(30).unionByName(p.index.where("id < 4"))
+    hot = p.hot_index(30)
+    assert hot.where("id < 4").count() == 4
     a = {r.id: r.tokens for r in decode_ids(enc, p.index).collect()}
     b = {r.id: r.tokens for r in decode_ids(enc, p.index, hot=hot).collect()}
     assert a == b
