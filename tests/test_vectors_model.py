@@ -267,3 +267,14 @@ def test_named_passes(spark):
     assert T.threshold_data(df, tr.model, 1.0) is None
     kept = T.threshold_data(df, tr.model, 0.0)
     assert kept.count() == 90 and "features" in kept.columns
+
+
+def test_empty_selection_stops_the_stage(spark):
+    from sievetext.plans.train import Adam, Trainer
+
+    df, X, y, comp = _toy(spark, n=60)
+    tr = Trainer(3, 5, Adam(lr=0.1))
+    before = tr.model.flat().copy()
+    tr.fit(df, 5, "pl", select="selpl", gamma=1.0, dev=df)
+    assert len(tr.history) == 1 and tr.history[0]["stopped"] and tr.history[0]["n_rows"] == 0
+    assert np.array_equal(before, tr.model.flat())
