@@ -883,3 +883,29 @@ def q_adam_first_step(spark, sf_dir):
     return (w.select(F.floor(F.col("_i") / F.col("_d")).cast("int").alias("k"),
                      F.pmod(F.col("_i"), F.col("_d")).cast("int").alias("j"), _r6(F.col("_v")).alias("w"))
             .unionByName(b.select(F.col("k").cast("int"), F.lit(-1).alias("j"), _r6(F.col("_v")).alias("w"))))
+
+
+@query("adam_first_step_pl", _with(S.EMB_SCORE_CTES) + """,
+kk AS (SELECT k.k FROM nc CROSS JOIN range(nc.c) k(k)),
+g AS (SELECT e.vec_id, kk.k,
+             1.0::DOUBLE / nc.c - CASE WHEN kk.k = e.y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS g
+      FROM e CROSS JOIN nc CROSS JOIN kk),
+grad AS (SELECT g.k, ex.j, sum(g.g * ex.v) / (SELECT n FROM nc) AS s FROM g JOIN ex ON g.vec_id = ex.vec_id
+         GROUP BY g.k, ex.j
+         UNION ALL SELECT k, -1 AS j, sum(g) / (SELECT n FROM nc) AS s FROM g GROUP BY k)
+SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j,
+       round(-0.3::DOUBLE * s / (abs(s) + 1e-8::DOUBLE), 6) + 0.0::DOUBLE AS w FROM grad""")
+def q_adam_first_step_pl(spark, sf_dir):
+    """Weights after one full-batch PL step from zero (G2 + G3, clipping at 10)."""
+    from .plans.train import Adam, Trainer, weights_frame
+
+    df, _model, c = _emb(spark, sf_dir)
+    tr = Trainer(c, _model.dim, Adam(lr=0.3))
+    tr.fit(df.withColumnRenamed("vec_id", "id"), 1, "pl")
+    rows = weights_frame(spark, tr.model)
+    w = rows.where(F.col("name") == "weight").select(
+        F.element_at("shape", 2).alias("_d"), F.posexplode("values").alias("_i", "_v"))
+    b = rows.where(F.col("name") == "bias").select(F.posexplode("values").alias("k", "_v"))
+    return (w.select(F.floor(F.col("_i") / F.col("_d")).cast("int").alias("k"),
+                     F.pmod(F.col("_i"), F.col("_d")).cast("int").alias("j"), _r6(F.col("_v")).alias("w"))
+            .unionByName(b.select(F.col("k").cast("int"), F.lit(-1).alias("j"), _r6(F.col("_v")).alias("w"))))
