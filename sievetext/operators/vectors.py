@@ -117,13 +117,15 @@ def embedding_rows(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str =
 
 
 def assign_vectors(vocab: DataFrame, embeddings: DataFrame, seed: int = 7,
-                   id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+                   id_col: str = "vec_id", vec_col: str = "embedding",
+                   n: int | None = None) -> DataFrame:
     """Give every vocabulary word a vector of a vector table:
     ``row = draw(seed,'wv',token) % count`` in ``id_col`` order -> ``(token, vec)``.
 
     This stands in for a pre-trained vector file built from the given data.
+    ``n``: the table's row count when the caller already has it.
     """
-    n = embeddings.count()
+    n = embeddings.count() if n is None else int(n)
     if n == 0:
         raise ValueError("empty vector table")
     keyed = vocab.select("token", draw_mod(seed, "wv", n, "token").alias("row"))

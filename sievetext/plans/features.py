@@ -34,11 +34,14 @@ class Vectors:
     def __init__(self, prep: Prepared, seed: int = 7):
         self.prep, self.seed = prep, seed
         self.embeddings = table(prep.spark, prep.sf_dir, "embeddings")
-        self.dim = embeddings_dim(self.embeddings)
+        # dimension (most common length, A7) and row count in one pass
+        stats = self.embeddings.agg(F.mode(F.size("embedding")).alias("d"),
+                                    F.count(F.lit(1)).alias("n")).first()
+        self.dim, self.n_vectors = int(stats["d"]), int(stats["n"])
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return assign_vectors(self.prep.vocab_all, self.embeddings, seed=self.seed)
+        return assign_vectors(self.prep.vocab_all, self.embeddings, seed=self.seed, n=self.n_vectors)
 
     @cached_property
     def table(self) -> DataFrame:
