@@ -36,6 +36,14 @@ def split_lookup(left: DataFrame, table: DataFrame, key: str, hot: DataFrame,
 
 
 def hot_keys(counts: DataFrame, key: str, count_col: str, k: int) -> DataFrame:
-    """The ``k`` most frequent keys (ties by key): a top-k report, the one
-    place a limit is the point; its size is ``k`` rows by construction."""
-    return counts.orderBy(F.col(count_col).desc(), F.col(key)).limit(int(k)).select(key)
+    """The ``k`` most frequent keys (ties by key), at most ``k`` rows.
+
+    Ranked with the distributed ordinal (range sort on count, key) and cut at
+    position ``k`` -- not ``orderBy().limit(k)``, whose top-k merge would send
+    ``k`` rows from every partition into one task when ``k`` is large.
+    """
+    from .order import with_ordinal
+
+    ranked = with_ordinal(counts.select(key, count_col), [F.col(count_col).desc(), F.col(key)],
+                          name="_rank")
+    return ranked.where(F.col("_rank") < F.lit(int(k))).select(key)
