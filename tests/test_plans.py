@@ -56,3 +56,21 @@ def test_local_pool_has_no_shuffle(spark):
     v = Vectors(p)
     plan = _plan(mean_pool(p.tokens, v.token_vecs, v.dim, max_items=254, unk=v.unk, method="local"))
     assert "Exchange" not in plan and "MapInArrow" in plan.replace("PythonMapInArrow", "MapInArrow")
+
+
+def test_split_lookup_shuffles_only_rare_rows(spark):
+    p = prepare(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(encode_fixed(p.tokens, p.index, 64, hot=p.hot_index(50)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    # the hot words are resolved by a broadcast join on the token rows ...
+    assert any("BroadcastHashJoin" in ln and "LeftOuter" in ln for ln in lines)
+    # ... and the token-keyed shuffle of the rare branch sits above the "not hot" filter
+    rare = next(i for i, ln in enumerate(lines) if "SortMergeJoin" in ln and "LeftOuter" in ln)
+    exch = next(i for i in range(rare, len(lines)) if "Exchange hashpartitioning(token" in lines[i])
+    assert any("isnull(_hot" in ln for ln in lines[exch:exch + 4])
