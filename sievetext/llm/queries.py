@@ -3,14 +3,23 @@ whole tables, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, quality, simhash
+from . import (chat, decontaminate, langid, matrices, packing, pii, quality, secrets, simhash,
+               toxicity)
 from .common import table
 
 
+def op1_chat_format(spark, sf_dir):
+    return chat.chat_digest(table(spark, sf_dir, "conversations"))
+
+
 def op2_pii(spark, sf_dir):
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark, sf_dir):
+    return langid.language_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality.quality_digest(table(spark, sf_dir, "documents"))
 
@@ -24,11 +33,24 @@ def op6_decontaminate(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_secrets(spark, sf_dir):
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark, sf_dir):
+    return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_token_matrices(spark, sf_dir):
+    return matrices.matrix_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_pii, op4_quality_rules, op5_simhash, op6_decontaminate, op10_packing)}
+    op1_chat_format, op2_pii, op3_language_id, op4_quality_rules, op5_simhash, op6_decontaminate,
+    op7_secrets, op8_toxicity, op9_token_matrices, op10_packing)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE_SQL}
