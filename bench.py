@@ -11,6 +11,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -41,10 +42,11 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = sys.argv[1:]
     from sievetext.queries import QUERIES
-    from sievetext.session import local_session, scratch_root
+    from sievetext.session import local_session
 
-    spark = local_session(cpus, shuffle_partitions=max(8, 2 * int(cpus)), app="sievetext-bench")
-    scratch_root(spark)
+    shared = tempfile.TemporaryDirectory(prefix="sievetext-bench-")
+    spark = local_session(cpus, shuffle_partitions=max(8, 2 * int(cpus)), app="sievetext-bench",
+                          extra={"spark.checkpoint.dir": shared.name})
     # Untimed warm-up on the smallest data set next to the bench one: JIT
     # compilation and Python worker start-up are not part of a query's cost.
     warm = os.environ.get("BENCH_WARMUP_DIR",
@@ -64,6 +66,7 @@ def main():
            "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus)}
     print(json.dumps(out))
     spark.stop()
+    shared.cleanup()
 
 
 if __name__ == "__main__":

@@ -6,17 +6,19 @@ window would pull every row into one task, so the ordinal is built the way a
 distributed ``zipWithIndex`` is:
 
 1. range-repartition on the order keys into a fixed number of partitions
-   (keys end with a unique id, so one hot key value is still split);
-2. count rows per partition (one row per partition, partial aggregation);
-3. prefix-sum those counts (a table with one row per partition, so its
-   size is bounded by the partition count) and broadcast it;
-4. sort inside each partition and add the partition offset to the row's
-   position inside the partition.
-
-Steps 2 and 4 read the same range shuffle (Spark reuses the exchange), and
-the explicit partition count keeps AQE from coalescing it differently for
-the two readers.  The result is deterministic for a total order, so a lost
-executor recomputes exactly the same numbers.
+   (keys end with a unique id, so one hot key value is still split), sort
+   inside each and number its rows from 0;
+2. write these rows once to the shared scratch folder, with their partition;
+3. count the written rows per partition (partial aggregation) and prefix-sum
+   the counts (one row per partition, so the table is bounded by the partition
+   count);
+4. add the partition's offset to each written row.
+
+The counts and the rows are read from the same written table.  Two readers of
+one lazy range shuffle would not do: Spark prunes them to different columns,
+each then samples range bounds of its own, and offsets no longer fit.  A lost
+executor re-reads the table.  Callers pass only the columns they need, since
+these are written.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import shuffle_key
-from ..session import input_partitions
+from ..session import input_partitions, materialize
 
 _PART_BITS = 33
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     """Explicit count, else the larger of ``spark.sql.shuffle.partitions`` and
-    the input's own partition count (so a huge input keeps input-sized
-    partitions through the range sort)."""
+    the input's partition count as the planner estimates it (so a huge input
+    keeps input-sized partitions through the range sort)."""
     if num_partitions:
         return int(num_partitions)
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -51,9 +53,12 @@ def with_ordinal(df: DataFrame, order_by: Sequence[Column | str], name: str = "p
     """
     n_parts = _num_partitions(df, num_partitions)
     keys = [F.col(k) if isinstance(k, str) else k for k in order_by]
-    ranged = df.repartitionByRange(n_parts, *keys)
-    counts = ranged.groupBy(F.spark_partition_id().alias("_ord_part")).agg(
-        F.count(F.lit(1)).alias("_ord_cnt"))
+    local = F.monotonically_increasing_id() - F.shiftleft(
+        F.spark_partition_id().cast("long"), _PART_BITS)
+    body = materialize(df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+                       .withColumn("_ord_part", F.spark_partition_id())
+                       .withColumn("_ord_local", local), "ranged")
+    counts = body.groupBy("_ord_part").agg(F.count(F.lit(1)).alias("_ord_cnt"))
     running = Window.orderBy("_ord_part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
     offsets = counts.select(
@@ -61,11 +66,6 @@ def with_ordinal(df: DataFrame, order_by: Sequence[Column | str], name: str = "p
         F.coalesce(F.sum("_ord_cnt").over(running), F.lit(0)).cast("long").alias("_ord_off"),
         F.sum("_ord_cnt").over(every).cast("long").alias("_ord_total"),
     )
-    local = F.monotonically_increasing_id() - F.shiftleft(
-        F.spark_partition_id().cast("long"), _PART_BITS)
-    body = (ranged.sortWithinPartitions(*keys)
-            .withColumn("_ord_part", F.spark_partition_id())
-            .withColumn("_ord_local", local))
     out = (body.join(F.broadcast(offsets), "_ord_part")
            .withColumn(name, F.col("_ord_off") + F.col("_ord_local")))
     if total:

@@ -7,11 +7,18 @@ cluster has not named a checkpoint directory (local runs and tests).
 
 from __future__ import annotations
 
+import atexit
+import os
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+#: Most partitions that a size estimate may ask for.
+MAX_PARTITIONS = 200_000
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "sievetext", extra: dict | None = None) -> SparkSession:
@@ -42,8 +49,9 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written tables and checkpoints.
 
     Uses the checkpoint directory the cluster names (``spark.checkpoint.dir``
-    or one set on the context).  Only when none is set (local runs, tests) a
-    fresh folder is made and registered as the checkpoint directory.
+    or one set on the context).  Where none is set, a local master (driver and
+    executors are one process) gets a fresh folder that goes when Python ends;
+    on any other master that is an error: its machines share no such folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,7 +64,10 @@ def scratch_root(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             named = None
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="sievetext-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named
 
@@ -80,9 +91,25 @@ def materialize(df, name: str):
 
 
 def input_partitions(df) -> int | None:
-    """Partition count of a DataFrame's plan (planning only, no job); ``None``
-    where the session cannot tell."""
+    """Number of input-sized partitions of a plan, from the estimated size of
+    the tables it reads and ``spark.sql.files.maxPartitionBytes``: never runs a
+    job; ``None`` where the session cannot tell."""
     try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+        size = sum(n for n in sizes if n < 1 << 60)  # more means "unknown"
+        part = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    except Exception:  # noqa: BLE001 - e.g. sessions without a local JVM
+        return None
+    return max(1, min(-(-size // max(1, part)), MAX_PARTITIONS))
+
+
+def scan_partitions(df) -> int | None:
+    """Partition count of a plan without an exchange (a scan and row-local
+    steps); ``None`` for any other plan, because asking would run its stages."""
+    try:
+        if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+            return None
         return df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. sessions without RDD access
         return None
@@ -94,12 +121,24 @@ def spread(df, *keys: str):
     read by one task).  Large inputs of many files are left untouched."""
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
-    have = input_partitions(df)
+    have = scan_partitions(df)
     if have is None or have >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session that was started
+    outside the repository and without an installed copy (``pip install .`` or
+    ``spark-submit --py-files`` do the same)."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="sievetext-pkg-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    packed = shutil.make_archive(os.path.join(folder, "sievetext"), "zip",
+                                 root_dir=os.path.dirname(here), base_dir=os.path.basename(here))
+    spark.sparkContext.addPyFile(packed)
+
+
 def setting(spark: SparkSession, name: str, default: int) -> int:
     """An integer knob from the session: ``spark.sievetext.<name>``."""
     try:

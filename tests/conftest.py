@@ -10,10 +10,10 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from sievetext.session import local_session, scratch_root
+def spark(tmp_path_factory):
+    from sievetext.session import local_session
 
-    s = local_session("*", shuffle_partitions=8)
-    scratch_root(s)  # registers a scratch checkpoint dir when none is set
+    shared = tmp_path_factory.mktemp("shared")
+    s = local_session("*", shuffle_partitions=8, extra={"spark.checkpoint.dir": str(shared)})
     yield s
     s.stop()

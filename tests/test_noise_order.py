@@ -60,6 +60,27 @@ def test_ordinal_dense_and_ordered(spark, parts):
     assert by_pos == sorted(by_pos)
 
 
+@pytest.mark.parametrize("n,parts", [(20_000, 1), (20_000, 3), (20_000, 8), (1_000_000, 8)])
+def test_ordinal_of_wide_rows(spark, n, parts):
+    """Rows wider than their sort keys: every position occurs once, in order."""
+    df = spark.range(0, n, 1, 7).select((F.col("id") * 7919 % 5003).alias("k"), "id",
+                                        F.md5(F.col("id").cast("string")).alias("payload"))
+    out = with_ordinal(df, ["k", "id"], num_partitions=parts, total="n").cache()
+    want = spark.range(n).withColumnRenamed("id", "pos")
+    assert out.join(want, "pos").count() == n and out.select("pos").distinct().count() == n
+    assert out.where(F.col("n") != n).isEmpty()
+    assert out.where(F.md5(F.col("id").cast("string")) != F.col("payload")).isEmpty()
+    before = out.select((F.col("pos") + 1).alias("pos"), F.struct("k", "id").alias("before"))
+    assert out.join(before, "pos").where(F.col("before") >= F.struct("k", "id")).isEmpty()
+    out.unpersist()
+
+
+def test_wide_batches_are_full(spark):
+    df = spark.range(0, 200_000, 1, 5).withColumn("payload", F.sha2(F.col("id").cast("string"), 256))
+    sizes = batches(df, 64, num_partitions=8).groupBy("batch_id").count().select("count").distinct().collect()
+    assert [r[0] for r in sizes] == [64]
+
+
 def test_batches_and_split(spark):
     df = spark.range(130)
     b = batches(df, 64, drop_last=True).collect()
