@@ -21,6 +21,8 @@ from .order import with_ordinal
 from .vocab import PAD_ID, UNK_ID
 
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
+#: Vectors that a pooling task gathers at a time.
+SLICE_ITEMS = 16_384
 
 
 # ---------------------------------------------------------------- sizing
@@ -181,19 +183,23 @@ def _vector_table(table: DataFrame, key: str, dim: int, broadcast: bool | None)
 def _gather(df: DataFrame, id_col: str, items: Column, table: DataFrame, key: str,
             dim: int, unk: Column | None, broadcast: bool | None, keep=(),
             hot: DataFrame | None = None) -> DataFrame:
-    """``id, *keep, _pos, _has, h``: one row per item (and one row with a zero
-    vector and ``_has`` false for a row without items).  With ``hot`` (a
-    bounded subset of ``table``: the vectors of the most frequent items) the
-    look-up is split: hot items by broadcast, only the rest shuffled."""
-    exploded = df.select(id_col, *keep, F.posexplode_outer(items).alias("_pos", key))
+    """``id, *keep, _n, h``: one row per distinct item of a row with its number
+    of occurrences (and one row with ``_n`` 0 and a zero vector for a row without
+    items).  Counting before the look-up sends each distinct item once, however
+    long the text.  With ``hot`` (a bounded subset of ``table``: the vectors of
+    the most frequent items) the look-up is split: hot items by broadcast, only
+    the rest shuffled."""
+    exploded = df.select(id_col, *keep, F.explode_outer(items).alias(key))
+    counted = exploded.groupBy(id_col, key).agg(
+        F.count(key).alias("_n"), *[F.first(c).alias(c) for c in keep])
     if hot is not None:
-        joined = split_lookup(exploded, table.select(key, "vec"), key, hot.select(key, "vec"), ["vec"])
+        joined = split_lookup(counted, table.select(key, "vec"), key, hot.select(key, "vec"), ["vec"])
     else:
-        joined = exploded.join(_vector_table(table, key, dim, broadcast), key, "left")
+        joined = counted.join(_vector_table(table, key, dim, broadcast), key, "left")
     zeros = F.array_repeat(F.lit(0.0), dim)
     fill = unk if unk is not None else zeros
-    h = F.when(F.col(key).isNull(), zeros).otherwise(F.coalesce(F.col("vec"), fill))
-    return joined.select(id_col, *keep, "_pos", F.col(key).isNotNull().alias("_has"), h.alias("h"))
+    h = F.when(F.col("_n") == 0, zeros).otherwise(F.coalesce(F.col("vec"), fill))
+    return joined.select(id_col, *keep, "_n", h.alias("h"))
 
 
 def broadcast_vector_table(table: DataFrame, key: str, dim: int, unk: Column | None = None,
@@ -219,6 +225,42 @@ def broadcast_vector_table(table: DataFrame, key: str, dim: int, unk: Column | N
     return spark.sparkContext.broadcast((pa.array(keys), M))
 
 
+def _segment_sums(M, idx, rows, n: int, weights):
+    """Sum of ``M[idx]`` (times ``weights``) by row, ``SLICE_ITEMS`` vectors at a
+    time; ``rows`` ascends."""
+    import numpy as np
+
+    out = np.zeros((n, M.shape[1]))
+    for a in range(0, len(idx), SLICE_ITEMS):
+        r, V = rows[a:a + SLICE_ITEMS], M[idx[a:a + SLICE_ITEMS]]
+        if weights is not None:
+            V = V * weights[a:a + SLICE_ITEMS, None]
+        first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        out[r[first]] += np.add.reduceat(V, first, axis=0)
+    return out
+
+
+def _attended(M, idx, rows, lens):
+    """Softmax-attention sums by row; the query is the row's last vector."""
+    import numpy as np
+
+    if not len(idx):
+        return np.zeros((len(lens), M.shape[1]))
+    starts = (np.cumsum(lens) - lens)[lens > 0]
+    last = np.zeros(len(lens), np.int64)
+    last[lens > 0] = idx[starts + lens[lens > 0] - 1]
+    s = np.empty(len(idx))
+    for a in range(0, len(idx), SLICE_ITEMS):
+        part = slice(a, a + SLICE_ITEMS)
+        s[part] = np.einsum("td,td->t", M[idx[part]], M[last[rows[part]]])
+    top = np.zeros(len(lens))
+    top[lens > 0] = np.maximum.reduceat(s, starts)
+    e = np.exp(s - top[rows])
+    z = np.ones(len(lens))
+    z[lens > 0] = np.add.reduceat(e, starts)
+    return _segment_sums(M, idx, rows, len(lens), e) / z[:, None]
+
+
 def _local_pool(df: DataFrame, bc, dim: int, id_col: str, items_col: str, max_items: int | None,
                 keep, out_col: str, how: str) -> DataFrame:
     """Row-local pooling over Arrow batches with a broadcast vector table: the
@@ -244,21 +286,12 @@ def _local_pool(df: DataFrame, bc, dim: int, id_col: str, items_col: str, max_it
             lens = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = pc.list_flatten(col)
             idx = pc.fill_null(pc.index_in(flat, value_set=keys), -1).to_numpy(zero_copy_only=False)
-            V = M[idx.astype(np.int64)]
-            n = len(lens)
-            out = np.zeros((n, dim))
-            nz = lens > 0
-            if nz.any():
-                starts = (np.cumsum(lens) - lens)[nz]
-                if how == "mean":
-                    out[nz] = np.add.reduceat(V, starts, axis=0) / lens[nz][:, None]
-                else:
-                    q = V[starts + lens[nz] - 1]
-                    s = np.einsum("td,td->t", V, np.repeat(q, lens[nz], axis=0))
-                    m = np.maximum.reduceat(s, starts)
-                    e = np.exp(s - np.repeat(m, lens[nz]))
-                    z = np.add.reduceat(e, starts)
-                    out[nz] = np.add.reduceat(V * e[:, None], starts, axis=0) / z[:, None]
+            idx = idx.astype(np.int64)
+            rows = np.repeat(np.arange(len(lens)), lens)
+            if how == "mean":
+                out = _segment_sums(M, idx, rows, len(lens), None) / np.maximum(lens, 1)[:, None]
+            else:
+                out = _attended(M, idx, rows, lens)
             yield pa.RecordBatch.from_arrays([rb.column(c) for c in names] + [list_column(out)],
                                              names=names + [out_col])
 
@@ -269,7 +302,7 @@ def mean_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id",
               items_col: str = "tokens", key: str = "token", max_items: int | None = None,
               unk: Column | None = None, broadcast: bool | None = None,
               out_col: str = "features", keep=(), method: str = "auto",
-              hot: DataFrame | None = None) -> DataFrame:
+              hot=None) -> DataFrame:
     """Mean of the vectors of each row's items.
 
     ``items_col`` holds tokens (``key='token'``, ``table=(token, vec)``) or ids
@@ -279,20 +312,22 @@ def mean_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id",
     ``method="local"`` (chosen by ``"auto"`` when the table's row count
     proves it fits the broadcast budget): the table is broadcast and each row
     is pooled where it lies, with Arrow look-ups and NumPy segment sums -- no
-    shuffle.  ``method="join"`` (beyond the budget): explode (at most
-    ``max_items`` per row) -> join with the vector table (shuffle join with
-    AQE skew splitting) -> per-row JVM vector sum, partially aggregated before
-    its shuffle, so at most one partial vector per row and map task crosses
-    the network.
+    shuffle.  ``method="join"`` (beyond the budget): explode -> count per row
+    and item -> join with the vector table (shuffle join with AQE skew
+    splitting) -> per-row JVM vector sum, partially aggregated before its
+    shuffle.  Whole rows are pooled unless ``max_items`` says otherwise; both
+    methods give the same result.  ``hot``: a bounded subset of ``table`` (or a
+    function that makes it) for the split look-up of the join path.
     """
     if method in ("auto", "local"):
         bc = broadcast_vector_table(table, key, dim, unk, budget=None if method == "auto" else 1 << 62)
         if bc is not None:
             return _local_pool(df, bc, dim, id_col, items_col, max_items, keep, out_col, "mean")
     items = F.col(items_col) if max_items is None else F.slice(items_col, 1, max_items)
+    hot = hot() if callable(hot) else hot
     g = _gather(df, id_col, items, table, key, dim, unk, broadcast, keep, hot)
-    sums = g.groupBy(id_col).agg(Summarizer.sum(array_to_vector("h")).alias("_s"),
-                                 F.count(F.when(F.col("_has"), 1)).alias("_n"),
+    weighted = array_to_vector(F.transform("h", lambda x: x * F.col("_n")))
+    sums = g.groupBy(id_col).agg(Summarizer.sum(weighted).alias("_s"), F.sum("_n").alias("_n"),
                                  *[F.first(c).alias(c) for c in keep])
     mean = F.transform(vector_to_array("_s"), lambda x: x / F.greatest(F.col("_n"), F.lit(1)))
     return sums.select(id_col, *keep, mean.alias(out_col))
@@ -306,12 +341,12 @@ def attention_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id"
                    items_col: str = "tokens", key: str = "token", max_items: int | None = None,
                    unk: Column | None = None, broadcast: bool | None = None,
                    out_col: str = "features", method: str = "auto",
-                   hot: DataFrame | None = None) -> DataFrame:
+                   hot=None) -> DataFrame:
     """Softmax attention pooling (M6): ``w_t = softmax_t(h_t . q)``, result
     ``sum_t w_t h_t``, with ``h_t`` the item vectors and ``q`` the vector of the
-    last item.  ``method`` as in :func:`mean_pool`; on the join path the
-    windows and the aggregate share one partitioning by row id and a window
-    holds at most ``max_items`` rows.
+    last item.  ``method`` as in :func:`mean_pool`; on the join path each
+    distinct item of a row is weighted once, and the window and the aggregate
+    share one partitioning by row id.
     """
     from pyspark.sql import Window
 
@@ -321,17 +356,21 @@ def attention_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id"
             return _local_pool(df, bc, dim, id_col, items_col, max_items, (), out_col, "attention")
 
     items = F.col(items_col) if max_items is None else F.slice(items_col, 1, max_items)
+    hot = hot() if callable(hot) else hot
     h = _gather(df, id_col, items, table, key, dim, unk, broadcast, (), hot)
-    whole = Window.partitionBy(id_col).orderBy("_pos").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
-    scored = (h.withColumn("_q", F.last("h").over(whole))
-              .withColumn("_score", dot(F.col("h"), F.col("_q")))
-              .withColumn("_e", F.exp(F.col("_score") - F.max("_score").over(whole))))
-    weighted = scored.select(id_col, "_e", array_to_vector(
+    last = df.select(id_col, F.when(F.size(items) > 0, F.element_at(items, -1)).alias(key))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    fill = F.when(F.col(key).isNull(), zeros).otherwise(unk if unk is not None else zeros)
+    q = (last.join(_vector_table(table, key, dim, broadcast), key, "left")
+         .select(id_col, F.coalesce("vec", fill).alias("_q")))
+    scored = h.join(q, id_col).withColumn("_score", dot(F.col("h"), F.col("_q")))
+    weight = F.col("_n") * F.exp(F.col("_score") - F.max("_score").over(Window.partitionBy(id_col)))
+    weighted = scored.withColumn("_e", weight).select(id_col, "_e", array_to_vector(
         F.transform("h", lambda x: x * F.col("_e"))).alias("_wh"))
     sums = weighted.groupBy(id_col).agg(Summarizer.sum(F.col("_wh")).alias("_s"),
                                         F.sum("_e").alias("_z"))
-    return sums.select(id_col, F.transform(vector_to_array("_s"), lambda x: x / F.col("_z")).alias(out_col))
+    z = F.when(F.col("_z") > 0, F.col("_z")).otherwise(1.0)
+    return sums.select(id_col, F.transform(vector_to_array("_s"), lambda x: x / z).alias(out_col))
 
 
 def vector_dim(vectors: DataFrame, vec_col: str = "vec") -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators.vectors import (assign_vectors, broadcast_budget, lookup_table,
 from ..operators.vocab import UNK_ID
 from ..session import materialize
 from ..sources.tables import table
-from .prepare import MAX_LENGTH, Prepared, prepare
+from .prepare import Prepared, prepare
 
 
 def embeddings_dim(embeddings: DataFrame, vec_col: str = "embedding") -> int:
@@ -82,9 +82,10 @@ def build_vectors(spark: SparkSession, sf_dir: str, prep: Prepared | None = None
     return Vectors(prep or prepare(spark, sf_dir), seed=seed)
 
 
-def pooled_features(v: Vectors, max_tokens: int = MAX_LENGTH - 2,
+def pooled_features(v: Vectors, max_tokens: int | None = None,
                     broadcast: bool | None = None) -> DataFrame:
-    """``id, y, split, features``: mean of the vectors of the first
-    ``max_tokens`` tokens, unknown words through the <UNK> vector."""
+    """``id, y, split, features``: mean of the vectors of all tokens of a text
+    (of the first ``max_tokens`` where that is given), unknown words through the
+    <UNK> vector."""
     return mean_pool(v.prep.tokens, v.token_vecs, v.dim, max_items=max_tokens,
-                     unk=v.unk, broadcast=broadcast, keep=("y", "split"), hot=v.hot_vecs())
+                     unk=v.unk, broadcast=broadcast, keep=("y", "split"), hot=v.hot_vecs)

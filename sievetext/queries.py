@@ -389,7 +389,7 @@ def q_vector_dim(spark, sf_dir):
     return vector_dim(table(spark, sf_dir, "embeddings"), "embedding")
 
 
-@query("mean_pool_features", _with(*VEC_BASE, S.lookup_ctes(), S.pool_mean_ctes(254)) + """
+@query("mean_pool_features", _with(*VEC_BASE, S.lookup_ctes(), S.pool_mean_ctes()) + """
 SELECT id, j, round(value, 6) + 0.0::DOUBLE AS value FROM feat""")
 def q_mean_pool_features(spark, sf_dir):
     from .plans.features import pooled_features
@@ -398,7 +398,7 @@ def q_mean_pool_features(spark, sf_dir):
 
 
 @query("attention_pool", _with(*VEC_BASE, S.lookup_ctes()) + """,
-ex AS (SELECT t.id, u.token, u.pos FROM toks t, unnest(list_slice(t.tokens, 1, 254)) WITH ORDINALITY AS u(token, pos)),
+ex AS (SELECT t.id, u.token, u.pos FROM toks t, unnest(t.tokens) WITH ORDINALITY AS u(token, pos)),
 h AS (SELECT e.id, e.pos, coalesce(tv.vec, unkv.vec) AS h FROM ex e CROSS JOIN unkv LEFT JOIN tv ON e.token = tv.token),
 q AS (SELECT id, arg_max(h, pos) AS q FROM h GROUP BY id),
 sc AS (SELECT h.id, h.pos, h.h, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(h.h, q.q), lambda p: p[1] * p[2])),
@@ -414,7 +414,7 @@ def q_attention_pool(spark, sf_dir):
     from .operators.vectors import attention_pool
 
     v = _vectors(spark, sf_dir)
-    pooled = attention_pool(v.prep.tokens, v.token_vecs, v.dim, max_items=254, unk=v.unk)
+    pooled = attention_pool(v.prep.tokens, v.token_vecs, v.dim, unk=v.unk, hot=v.hot_vecs)
     return _long(pooled, "id", "features")
 
 

@@ -113,10 +113,10 @@ tv AS (SELECT w.token, l.vec FROM word_index w JOIN lookup l ON w.id = l.id WHER
 unkv AS (SELECT vec FROM lookup WHERE id = 3)"""
 
 
-def pool_mean_ctes(max_items: int, name: str = "feat") -> str:
+def pool_mean_ctes(name: str = "feat") -> str:
     """``{name}(id, j, value)`` long-format mean of token vectors (needs toks, tv, unkv, dimt)."""
     return f"""{name}_ex AS (
-  SELECT t.id, u.token, u.pos FROM toks t, unnest(list_slice(t.tokens, 1, {max_items})) WITH ORDINALITY AS u(token, pos)),
+  SELECT t.id, u.token, u.pos FROM toks t, unnest(t.tokens) WITH ORDINALITY AS u(token, pos)),
 {name}_g AS (
   SELECT e.id, coalesce(tv.vec, unkv.vec) AS vec FROM {name}_ex e CROSS JOIN unkv LEFT JOIN tv ON e.token = tv.token),
 {name}_el AS (

@@ -144,12 +144,32 @@ def test_pool_local_equals_join(spark, how):
     p = prepare(spark, "/root/testdata/sf0.001")
     v = Vectors(p)
     fn = mean_pool if how == "mean" else attention_pool
-    a = {r.id: r.features for r in fn(p.tokens, v.token_vecs, v.dim, max_items=40, unk=v.unk,
-                                      method="local").collect()}
-    b = {r.id: r.features for r in fn(p.tokens, v.token_vecs, v.dim, max_items=40, unk=v.unk,
-                                      method="join").collect()}
-    assert a.keys() == b.keys()
-    assert max(abs(x - y) for i in a for x, y in zip(a[i], b[i])) < 1e-9
+    none = spark.createDataFrame([(-1, None), (-2, [])], "id long, tokens array<string>")
+    rows = p.tokens.select("id", "tokens").unionByName(none)
+    for cut in (None, 40):  # whole texts, and cut ones
+        a = {r.id: r.features for r in fn(rows, v.token_vecs, v.dim, max_items=cut, unk=v.unk,
+                                          method="local").collect()}
+        b = {r.id: r.features for r in fn(rows, v.token_vecs, v.dim, max_items=cut, unk=v.unk,
+                                          method="join").collect()}
+        assert a.keys() == b.keys() and -1 in a
+        assert a[-1] == a[-2] == b[-1] == b[-2] == [0.0] * v.dim
+        assert max(abs(x - y) for i in a for x, y in zip(a[i], b[i])) < 1e-9
+
+
+def test_lookup_table_of_many_vectors_has_one_row_per_id(spark):
+    """A vector table of many more rows than one partition holds."""
+    from sievetext.operators.vectors import assign_vectors, embedding_rows, lookup_table
+    from sievetext.plans.prepare import prepare
+
+    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    many = spark.range(100).withColumnRenamed("id", "k").join(emb, F.lit(True)).select(
+        (F.col("vec_id") * 100 + F.col("k")).alias("vec_id"), "embedding")
+    n = many.count()
+    rows = embedding_rows(many)
+    assert rows.select("row").distinct().count() == n and rows.agg(F.max("row")).first()[0] == n - 1
+    p = prepare(spark, "/root/testdata/sf0.001")
+    table = lookup_table(p.index, assign_vectors(p.vocab_all, many), 64)
+    assert table.count() == p.index.count() == table.select("id").distinct().count()
 
 
 def test_pool_split_lookup_equals_plain_join(spark):
