@@ -124,7 +124,7 @@ class Generation:
 
 _TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.DOTALL)
 _TOKEN = re.compile(r"\s*(?:(\"[^\"]*\"|'[^']*')|(\d+)|([A-Za-z_]\w*)|(==|!=|[+.|()]))")
-_BINARY = (("or",), ("and",), ("==", "!="), ("+",))
+_LEVELS = (("or",), ("and",), ("not",), ("==", "!="), ("+",))
 
 
 class _Expression:
@@ -152,16 +152,16 @@ class _Expression:
         return out
 
     def binary(self, level: int):
-        if level == len(_BINARY):
-            return self.unary()
+        if level == len(_LEVELS):
+            return self.value()
+        if _LEVELS[level] == ("not",):
+            return Op("not", (self.binary(level),)) if self.take("not") else self.binary(level + 1)
         left = self.binary(level + 1)
-        while sign := self.take(*_BINARY[level]):
+        while sign := self.take(*_LEVELS[level]):
             left = Op(sign, (left, self.binary(level + 1)))
         return left
 
-    def unary(self):
-        if self.take("not"):
-            return Op("not", (self.unary(),))
+    def value(self):
         out = self.atom()
         while sign := self.take(".", "|"):
             name = self.take()

@@ -43,9 +43,11 @@ ALPHABETS = (("[0-9a-f]+|[0-9A-F]+", 16), ("[A-Z2-7]+=*", 32), ("[a-z0-9]+", 36)
              ("[A-Za-z0-9]+", 62), ("", 64))
 # Upper ends of the length classes.
 LENGTH_ENDS = (28, 40, 64)
-# Ordinary text: chance that two letters of a word are equal, and that the class
-# (lower, upper, digit, other) changes between neighbours.
+# Ordinary text: chance that two letters of a word are equal, and that one run of
+# a name, capitals, digits or other characters ends after a character.
 TEXT_PAIRS, TEXT_CHANGES = 0.066, 0.06
+# Ordinary names: words, capitalised or not, joined by one separator each.
+NAME = "(?:[-_/]?[A-Z]?[a-z]+)+"
 RANDOM_Z = 3.3
 FALSE_DISCOVERY = 0.01
 BIN = 0.01
@@ -128,10 +130,12 @@ def battery(token: Column) -> Column:
         size = F.when(token.rlike(f"^(?:{pattern})$"), F.lit(k)).otherwise(size)
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
         token, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0"), "[^aA0]+", "-")
+    names = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        token, NAME, "a"), "[A-Z]+", "A"), "[0-9]+", "0"), "[^aA0]+", "-")
     codes = F.transform(F.split(token, ""), lambda c: F.ascii(c).cast("double"))
     one = F.array(F.struct(codes.alias("x"), F.length(token).cast("double").alias("n"),
                            size.cast("double").alias("k"), F.length(classes).cast("double").alias("runs"),
-                           token.alias("token")))
+                           F.length(names).cast("double").alias("names")))
 
     def zero():
         return F.lit(0.0)
@@ -146,7 +150,7 @@ def battery(token: Column) -> Column:
         lag = F.aggregate(F.zip_with(x, F.slice(x, 2, F.size(x)), lambda u, v: F.coalesce(u * v, zero())),
                           zero(), lambda a, v: a + v)
         ends = F.element_at(x, 1) + F.element_at(x, -1)
-        return F.struct(r["n"].alias("n"), r["k"].alias("k"), r["runs"].alias("runs"),
+        return F.struct(r["n"].alias("n"), r["k"].alias("k"), r["runs"].alias("runs"), r["names"].alias("names"),
                         same.alias("same"), s1.alias("s1"), s2.alias("s2"), lag.alias("lag"),
                         ends.alias("ends"))
 
@@ -164,7 +168,7 @@ def battery(token: Column) -> Column:
         pairs = n * (n - 1) / 2
         equal = (r["same"] - n) / 2
         few = (pairs * TEXT_PAIRS - equal) / F.sqrt(pairs * TEXT_PAIRS * (1 - TEXT_PAIRS))
-        many = (r["runs"] - 1 - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
+        many = (r["names"] - 1 - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
         passed = (F.abs(chi) <= 2 * RANDOM_Z) & (F.abs(runs) <= RANDOM_Z) & (F.abs(serial) <= RANDOM_Z)
         return F.struct(n.cast("int").alias("n"), k.cast("int").alias("alphabet"), chi.alias("chi"),
                         runs.alias("runs"), serial.alias("serial"), passed.alias("random"),
