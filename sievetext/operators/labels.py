@@ -1,12 +1,13 @@
 """Label maps and class counts.
 
 The class list is the one thing the driver must hold (the model has one row
-of weights per class), so it is collected, behind an explicit bound.
+of weights per class), so it is collected, behind an explicit bound: more than
+``MAX_CLASSES`` distinct values raise, because such a column is not a class label.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CLASSES = 10_000
@@ -42,10 +43,11 @@ def _ddl_type(labels: list) -> str:
 
 
 def code_expr(col: Column | str, labels: list) -> Column:
-    """Class code of a label column for a small class list (no join): -1 if absent."""
+    """Class code of a label column for a small class list (no join): -1 if it is
+    absent or null."""
     c = F.col(col) if isinstance(col, str) else col
     arr = F.array(*[F.lit(v) for v in labels])
-    return (F.array_position(arr, c) - 1).cast("int")
+    return (F.coalesce(F.array_position(arr, c), F.lit(0)) - 1).cast("int")
 
 
 def encode_labels(df: DataFrame, labels: list, label_col: str = "label",
@@ -53,8 +55,9 @@ def encode_labels(df: DataFrame, labels: list, label_col: str = "label",
     """Replace labels by codes 0..c-1.
 
     Up to 64 classes the code is an inline expression; beyond, a broadcast
-    join with the collected (bounded) class list.  ``strict`` counts rows whose
-    label is missing from the list first and raises, naming them (Q15).
+    join with the collected (bounded) class list; a null label is missing from
+    any list, on both paths.  ``strict`` looks for rows whose label is missing
+    first and raises, naming up to 20 labels and counting the rows (Q15).
     """
     if len(labels) <= _INLINE_CLASSES:
         out = df.withColumn(code_col, code_expr(label_col, labels))
@@ -64,9 +67,12 @@ def encode_labels(df: DataFrame, labels: list, label_col: str = "label",
         out = df.join(F.broadcast(codes), F.col(label_col) == F.col("_lab"), "left").drop("_lab")
         missing = F.col(code_col).isNull()
     if strict:
-        bad = out.where(missing).select(label_col).distinct().limit(20).collect()
-        if bad:
-            raise KeyError(f"labels not in the label map: {[r[0] for r in bad]}")
+        bad = out.where(missing).groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+        first = bad.select(label_col, "n", F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all")) \
+            .orderBy(F.col("n").desc()).limit(20).collect()
+        if first:
+            raise KeyError(f"{first[0]['all']} rows with labels not in the label map: "
+                           f"{[r[0] for r in first]}")
     return out.where(~missing) if not strict else out
 
 

@@ -3,13 +3,15 @@
 Scoring and gradient passes run as ``mapInArrow`` over Arrow record batches:
 the feature column arrives as one contiguous float64 buffer, NumPy does the
 matrix products, and each partition sends back either scored rows or a
-single row of partial sums.  The partial sums are added by the JVM vector
-aggregate (``Summarizer.sum``), the DataFrame form of ``treeAggregate``.
+single row of partial sums.  The partial sums are added in two levels by the JVM
+vector aggregate (``Summarizer.sum``), so no task meets one row of every
+partition.
 Only model-sized data (c x (d+1) numbers) ever reaches the driver.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vecmath import PROB_FLOOR
+from ..session import input_partitions
 
 
 @dataclass
@@ -220,9 +223,26 @@ def gradient_frame(df: DataFrame, model: SoftmaxHead, kind: str = "pl",
     run = _partial(kind, model.W, model.b, model.dim, form, threshold, features_col, y_col,
                    comp_col if kind == "nl" else None, role_col)
     parts = df.select(*cols).mapInArrow(run, ROLE_GRAD_SCHEMA if role_col else GRAD_SCHEMA)
-    aggs = [F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("aux_loss").alias("aux_loss"),
-            vector_to_array(Summarizer.sum(array_to_vector("grad"))).alias("grad")]
-    return parts.groupBy("role").agg(*aggs) if role_col else parts.agg(*aggs)
+    return tree_sum(parts, fan_in(df), "role" if role_col else None)
+
+
+def fan_in(df: DataFrame) -> int:
+    """Groups of the first level of :func:`tree_sum`: about the square root of
+    the number of partitions, so neither level meets more than that in a task."""
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, math.isqrt(max(conf, input_partitions(df) or 0)))
+
+
+def tree_sum(parts: DataFrame, groups: int, by: str | None = None) -> DataFrame:
+    """Sums of per-partition rows in two levels: first within ``groups`` groups
+    of partitions, then over the groups."""
+    def sums():
+        return [F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("aux_loss").alias("aux_loss"),
+                vector_to_array(Summarizer.sum(array_to_vector("grad"))).alias("grad")]
+
+    keys = [by] if by else []
+    first = parts.groupBy(*keys, F.pmod(F.spark_partition_id(), F.lit(groups)).alias("_group")).agg(*sums())
+    return first.groupBy(by).agg(*sums()) if by else first.agg(*sums())
 
 
 def _mean(row, model) -> dict:

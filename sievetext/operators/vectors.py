@@ -11,7 +11,7 @@ import math
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import DRAW_RANGE, draw, draw_mod
@@ -66,8 +66,11 @@ def parse_vector_lines(spark: SparkSession, path: str, vocab: DataFrame | None =
     parsed, so unneeded lines are never converted.  ``_line`` orders lines by
     file, split and position in the split (for "last line wins").
     """
-    raw = spark.read.text(path).select(
-        "value",
+    # Only \n ends a line; bytes that are not UTF-8 are ignored.
+    whole = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
+        F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")))
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        whole.alias("value"),
         F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
                  F.monotonically_increasing_id()).alias("_line"))
     stripped = F.regexp_replace("value", f"{WS_CLASS}+$", "")
@@ -95,14 +98,16 @@ def read_word_vectors(spark: SparkSession, path: str, vocab: DataFrame | None =
     if on_error not in ("raise", "drop"):
         raise ValueError("on_error must be 'raise' or 'drop'")
     lines = parse_vector_lines(spark, path, vocab)
-    if dim is None:
-        dim = lines.agg(F.mode("_dim")).first()[0]
     bad_num = F.exists("vec", lambda x: x.isNull())
-    stats = lines.agg(
-        F.sum(F.when(F.col("_dim") != F.lit(dim), 1).otherwise(0)).alias("dropped_length"),
-        F.sum(F.when((F.col("_dim") == F.lit(dim)) & bad_num, 1).otherwise(0)).alias("malformed"),
-    ).first()
-    info = {"dim": dim, "dropped_length": int(stats[0] or 0), "malformed": int(stats[1] or 0)}
+    # one scan: lines and malformed lines per length, the wanted length first
+    by_dim = lines.groupBy("_dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad_num).alias("bad"))
+    wanted = F.lit(False) if dim is None else F.col("_dim") == F.lit(dim)
+    best = by_dim.withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(0)))).orderBy(
+        wanted.desc(), F.col("n").desc(), "_dim").first()
+    found = best is not None and (dim is None or best["_dim"] == dim)
+    dim = best["_dim"] if best is not None and dim is None else dim
+    info = {"dim": dim, "dropped_length": int(best["all"] - (best["n"] if found else 0)) if best else 0,
+            "malformed": int(best["bad"]) if found else 0}
     if info["malformed"] and on_error == "raise":
         raise ValueError(f"{info['malformed']} word-vector lines have a malformed number")
     good = lines.where((F.col("_dim") == F.lit(dim)) & ~bad_num)
@@ -348,8 +353,6 @@ def attention_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id"
     distinct item of a row is weighted once, and the window and the aggregate
     share one partitioning by row id.
     """
-    from pyspark.sql import Window
-
     if method in ("auto", "local"):
         bc = broadcast_vector_table(table, key, dim, unk, budget=None if method == "auto" else 1 << 62)
         if bc is not None:

@@ -70,6 +70,16 @@ def q_labeled_corpus(spark, sf_dir):
     return _prep(spark, sf_dir).corpus.select("id", "text", "label", "y", "split")
 
 
+@query("corpus_audit", """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (text IS NULL) AS BIGINT) AS n_without_text,
+       CAST(count(*) FILTER (lang IS NULL AND text IS NOT NULL) AS BIGINT) AS n_without_label,
+       CAST(count(*) FILTER (lang IS NOT NULL AND text IS NOT NULL) AS BIGINT) AS n_kept FROM documents""")
+def q_corpus_audit(spark, sf_dir):
+    from .sources.tables import corpus_audit
+
+    return corpus_audit(spark, sf_dir)
+
+
 @query("label_codes", _with(S.corpus_cte()) + """
 SELECT label, y AS code, CAST(count(*) AS BIGINT) AS n_rows FROM corpus GROUP BY label, y""")
 def q_label_codes(spark, sf_dir):
@@ -133,7 +143,10 @@ def q_pad_left(spark, sf_dir):
     from .operators.encode import word_ids
 
     p = _prep(spark, sf_dir)
-    seqs = word_ids(p.tokens, p.index, hot=p.lookup_hot())
+    # the operator keeps the last 256 ids, so only those tokens are looked up
+    n = F.least(F.size("tokens"), F.lit(256))
+    last = p.tokens.withColumn("tokens", F.when(n > 0, F.slice("tokens", -n, n)).otherwise(F.col("tokens")))
+    seqs = word_ids(last, p.index, hot=p.lookup_hot())
     return seqs.select("id", ids_to_string(pad_left("ids", 256)).alias("ids"))
 
 
@@ -156,10 +169,15 @@ seqs AS (SELECT id, CASE WHEN n + 1 <= 128 THEN list_concat([1::BIGINT], ids) EL
 SELECT id, array_to_string(list_concat(list_transform(range(128 - len(s)), lambda x: 0::BIGINT), s), ' ') AS ids
 FROM seqs""")
 def q_encode_capped(spark, sf_dir):
+    from .plans.prepare import HOT_WORDS
+    from .session import materialize, setting
+
     p = _prep(spark, sf_dir)
     counts = token_counts(p.tokens.where(F.col("split").isin("train", "dev")))
-    findex = frequency_index(counts, specials=())
-    enc = encode_capped(p.tokens, findex, num_words=1000, max_len=128)
+    findex = materialize(frequency_index(counts, specials=()), "frequency-index")
+    # ids follow frequency, so the first ids are the hot words
+    enc = encode_capped(p.tokens, findex, num_words=1000, max_len=128,
+                        hot=findex.where(F.col("id") <= setting(spark, "hotWords", HOT_WORDS)))
     return enc.select("id", ids_to_string("ids").alias("ids"))
 
 
@@ -172,7 +190,7 @@ def q_encode_with_vocab(spark, sf_dir):
     p = _prep(spark, sf_dir)
     bench = (table(spark, sf_dir, "benchmark").where(F.col("text").isNotNull())
              .select(F.col("item_id").alias("id"), tokenize("text").alias("tokens")))
-    enc = encode_fixed(bench, p.index, 256)
+    enc = encode_fixed(bench, p.index, 256, hot=p.lookup_hot())
     return enc.select(F.col("id").alias("item_id"), ids_to_string("ids").alias("ids"))
 
 
@@ -375,6 +393,26 @@ def q_word_vectors_in_vocab(spark, sf_dir):
     return _roundtrip_vectors(spark, sf_dir, in_vocab=True)
 
 
+@query("word_vector_audit", _with(*VEC_BASE) + """
+SELECT dimt.d AS dim, CAST(1 AS BIGINT) AS dropped_length, CAST(1 AS BIGINT) AS malformed,
+       CAST((SELECT count(*) FROM vocab_all) AS BIGINT) AS n_words FROM dimt""")
+def q_word_vector_audit(spark, sf_dir):
+    """A ``count dim`` header is dropped and counted, so is a line with a
+    malformed number."""
+    from .operators.vectors import format_vector_lines, read_word_vectors
+    from .session import scratch_path
+
+    v = _vectors(spark, sf_dir)
+    head = spark.createDataFrame([(f"{v.n_vectors} {v.dim}",), ("<bad>" + " x" * v.dim,)], "value string")
+    path = scratch_path(spark, "word-vectors")
+    format_vector_lines(v.vectors).unionByName(head).write.mode("overwrite").text(path)
+    got, info = read_word_vectors(spark, path, on_error="drop")
+    return got.agg(F.lit(info["dim"]).cast("long").alias("dim"),
+                   F.lit(info["dropped_length"]).cast("long").alias("dropped_length"),
+                   F.lit(info["malformed"]).cast("long").alias("malformed"),
+                   F.count(F.lit(1)).alias("n_words"))
+
+
 @query("lookup_table", _with(*VEC_BASE, S.lookup_ctes()) + f"""
 SELECT id, {_CHK_SQL} FROM lookup""")
 def q_lookup_table(spark, sf_dir):
@@ -747,7 +785,7 @@ def q_prepared_roundtrip(spark, sf_dir):
     from .sources.files import read_parquet, write_parquet
 
     p = _prep(spark, sf_dir)
-    path = write_parquet(encode_fixed(p.tokens, p.index, 256, keep=("y",)), scratch_path(spark, "prepared"))
+    path = write_parquet(encode_fixed(p.tokens, p.index, 256, keep=("y",), hot=p.lookup_hot()), scratch_path(spark, "prepared"))
     back = read_parquet(spark, path)
     return back.select("id", "y", ids_to_string("ids").alias("ids"))
 
@@ -760,11 +798,12 @@ CNN_LEN = 256
 def _cnn_setup(spark, sf_dir, length=CNN_LEN):
     from .operators.cnn import CNNRunner, CNNText
     from .plans.features import Vectors
+    from .session import materialize
 
     p = _prep(spark, sf_dir)
     v = Vectors(p)
-    enc = encode_fixed(p.tokens, p.index, length, keep=("y", "split"))
-    return p, v, enc, CNNRunner, CNNText
+    enc = encode_fixed(p.tokens, p.index, length, keep=("y", "split"), hot=p.lookup_hot())
+    return p, v, materialize(enc, "cnn-ids"), CNNRunner, CNNText
 
 
 @query("cnn_scores", _with(*VEC_BASE, S.lookup_ctes(), S.encode_ctes(CNN_LEN),
@@ -783,10 +822,12 @@ def q_cnn_scores(spark, sf_dir):
 def q_train_cnn(spark, sf_dir):
     from .operators.noise import inject_noise
     from .plans.train import fit_cnn, history_frame
+    from .session import materialize
 
     p, v, enc, CNNRunner, CNNText = _cnn_setup(spark, sf_dir)
     train = enc.where(F.col("split") == "train")
-    noisy = inject_noise(train, p.num_classes, 0.3, kind="exc", label_col="y").select("id", "y", "ids")
+    noisy = materialize(inject_noise(train, p.num_classes, 0.3, kind="exc", label_col="y")
+                        .select("id", "y", "ids"), "cnn-train")
     runner = CNNRunner(noisy, v.lookup, v.dim, CNN_LEN, keep=("y",), hot=v.hot_lookup())
     model, hist = fit_cnn(runner, CNNText(p.num_classes, v.dim), 3, kind="nl", lr=0.01, stage="nl")
     model, hist = fit_cnn(runner, model, 3, kind="pl", lr=0.01, select="selpl", stage="selpl", history=hist)
@@ -803,7 +844,7 @@ stoks AS (SELECT doc_id AS id, NULL::INTEGER AS y, """ + S.sql_tokenize_text() +
 SELECT id, array_to_string(ids, ' ') AS ids FROM senc""")
 def q_stream_encode(spark, sf_dir):
     from .session import scratch_path
-    from .streaming.encode_stream import start_encoding
+    from .streaming.encode_stream import read_encoded, start_encoding
 
     p = _prep(spark, sf_dir)
     schema = table(spark, sf_dir, "documents").schema
@@ -812,9 +853,9 @@ def q_stream_encode(spark, sf_dir):
         f"{sf_dir.rstrip('/')}/documents.parq[u]et")
     out = scratch_path(spark, "stream-encoded")
     q = start_encoding(stream.select(F.col("doc_id").alias("id"), "text"), p.index, 256, out,
-                       scratch_path(spark, "stream-checkpoint"), available_now=True)
+                       scratch_path(spark, "stream-checkpoint"), available_now=True, hot=p.lookup_hot())
     q.awaitTermination()
-    return spark.read.parquet(out).select("id", ids_to_string("ids").alias("ids"))
+    return read_encoded(spark, out).select("id", ids_to_string("ids").alias("ids"))
 
 
 # ---------------------------------------------------------------- loaders by name
@@ -829,10 +870,10 @@ def q_labeled_corpus_quality(spark, sf_dir):
 
 
 @query("conversations_corpus", """
-SELECT conv_id * 100000 + turn AS id, role AS label,
+SELECT conv_id * 4294967296 + turn AS id, role AS label,
        CAST(dense_rank() OVER (ORDER BY role) - 1 AS INTEGER) AS y,
-       CASE WHEN """ + S.draw("split", "conv_id * 100000 + turn") + """ % 10 < 8 THEN 'train'
-            WHEN """ + S.draw("split", "conv_id * 100000 + turn") + """ % 10 = 8 THEN 'dev' ELSE 'test' END AS split
+       CASE WHEN """ + S.draw("split", "conv_id * 4294967296 + turn") + """ % 10 < 8 THEN 'train'
+            WHEN """ + S.draw("split", "conv_id * 4294967296 + turn") + """ % 10 = 8 THEN 'dev' ELSE 'test' END AS split
 FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL""")
 def q_conversations_corpus(spark, sf_dir):
     from .sources.registry import load_dataset

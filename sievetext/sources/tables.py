@@ -48,7 +48,9 @@ def labeled_corpus_and_classes(spark: SparkSession, sf_dir: str, label: str = "l
 
     ``label`` is ``lang`` (4 classes) or ``quality`` / ``toxic`` (binary,
     through an inner join with ``labels`` on ``doc_id``).  Rows with null text
-    are rejected (dropped), as the reference asserts text is a string.
+    (the reference asserts text is a string) or null label are rejected;
+    :func:`corpus_audit` counts them.  Labels missing from a given ``labels``
+    list raise.
     """
     docs = table(spark, sf_dir, "documents")
     if label == "lang":
@@ -62,15 +64,31 @@ def labeled_corpus_and_classes(spark: SparkSession, sf_dir: str, label: str = "l
     base = base.where(F.col("text").isNotNull() & F.col("label").isNotNull())
     classes = labels if labels is not None else collect_labels(base, "label")
     base = spread(base, "id")
-    coded = encode_labels(base, classes, "label", "y", strict=False)
+    # a class list taken from these very rows lacks none of them; a given one may
+    coded = encode_labels(base, classes, "label", "y", strict=labels is not None)
     return coded.withColumn("split", split_expr("id", seed)), classes
 
 
+def corpus_audit(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
+    """One row of counts over the rows that :func:`labeled_corpus` reads: all,
+    without text, without label, and kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    if label != "lang":
+        lab = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("lang"))
+        docs = docs.drop("lang").join(lab, "doc_id")
+    no_text, no_label = F.col("text").isNull(), F.col("lang").isNull()
+    return docs.agg(F.count(F.lit(1)).alias("n_rows"),
+                    F.count_if(no_text).alias("n_without_text"),
+                    F.count_if(no_label & ~no_text).alias("n_without_label"),
+                    F.count_if(~no_text & ~no_label).alias("n_kept"))
+
+
 def conversations_corpus_and_classes(spark: SparkSession, sf_dir: str,
                                      seed: int = DEFAULT_SEED) -> tuple[DataFrame, list]:
-    """``conversations`` turns labelled by ``role``; id = conv_id * 100000 + turn."""
+    """``conversations`` turns labelled by ``role``; id = conv_id * 2**32 + turn
+    (no two turns below 2**32 meet)."""
     conv = table(spark, sf_dir, "conversations")
-    base = conv.select((F.col("conv_id") * F.lit(100000) + F.col("turn")).alias("id"),
+    base = conv.select((F.col("conv_id") * F.lit(1 << 32) + F.col("turn")).alias("id"),
                        "text", F.col("role").alias("label")).where(
         F.col("text").isNotNull() & F.col("role").isNotNull())
     classes = collect_labels(base, "label")
