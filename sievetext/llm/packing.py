@@ -17,8 +17,11 @@ rows are packed as rows of their own; an empty table has no pieces.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,13 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Rank buckets; pieces of one length are numbered per bucket.
 BUCKETS = 256
-_CACHE_ENTRIES = 150_000
+#: Chunks whose ids an encoder keeps (about 200 bytes each).
+CACHE_CHUNKS = 400_000
+# Fixed value: the vocabulary's mark of a word's last token.
+WORD_END = "</w>"
+# Points between a letter or digit and ASCII white space (or the end); not
+# behind the one letter that lower case ends with a mark.
+_POINTS = re.compile(r"[.,;:!?](?<=[^\W_\u0130].)[.,;:!?]*(?=[ \t-\r]|\Z)")
 
 
 class RoomTree:
@@ -107,31 +116,67 @@ def plan_windows(counts: dict[int, int], window: int = WINDOW,
 
 
 class Encoder:
-    """Ids of whole texts with a public tokenizer.  Pre-tokenisation never
-    crosses ASCII white space, so ids are kept per blank-separated chunk in a
-    bounded cache; only unseen chunks reach the tokenizer."""
+    """Ids of whole texts with a public tokenizer that lowers case and splits
+    texts into runs of letters, digits and runs of other characters.
+
+    These pieces never cross white space, and points behind a letter or digit
+    are a piece of their own, so ids are kept in a bounded cache per chunk
+    between blanks, in lower case, points apart.  Only unseen chunks reach the
+    tokenizer, all of a text's in one call where each is one run of letters:
+    the vocabulary marks the last token of a run, which cuts the ids apart
+    again."""
 
     def __init__(self, path: str, end_id: int = END_ID):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
         self.end = np.uint32(end_id).astype("<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian uint32 ids of the text and the end id."""
-        chunks = (text or "").encode("utf-8", "surrogatepass").split()
+        apart = _POINTS.sub(r" \g<0> ", text or "")
+        chunks = apart.encode("utf-8", "surrogatepass").lower().split()
         known = self.known
-        if len(known) > _CACHE_ENTRIES:
+        if len(known) > CACHE_CHUNKS:
             known.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        new = set(chunks).difference(known)
         if new:
-            done = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new],
-                                                    add_special_tokens=False)
-            for c, e in zip(new, done, strict=True):
-                known[c] = np.array(e.ids, dtype="<u4").tobytes()
+            self._encode(new)
         return b"".join([known[c] for c in chunks]) + self.end
 
+    def _encode(self, pieces: set[bytes]):
+        """Ids of chunks that each stand alone, into the cache."""
+        known, run, rest = self.known, [], []
+        for p in pieces:
+            text = p.decode("utf-8", "replace")
+            (run if text.isalpha() else rest).append((p, text))
+        if run:
+            ids = np.array(self.tokenizer.encode(" ".join([t for _, t in run]), add_special_tokens=False).ids,
+                           dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(run):
+                raw, at = ids.tobytes(), 0
+                for (p, _), end in zip(run, (4 * ends).tolist(), strict=True):
+                    known[p] = raw[at:end]
+                    at = end
+            else:  # a letter that lower case or NFC splits
+                rest += run
+        if rest:
+            done = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+            for (p, _), e in zip(rest, done, strict=True):
+                known[p] = np.array(e.ids, dtype="<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder and its cache per Python worker, kept from task to task."""
+    return Encoder(path, end_id)
+
 
 def cut(n: int, window: int) -> Iterator[tuple[int, int]]:
     """``(start, length)`` of the pieces of ``n`` ids: full windows, then the rest."""
@@ -151,11 +196,11 @@ def pieces(docs: DataFrame, path: str, keys: list[str], text_col: str = "text",
 
     @F.arrow_udf(f"struct<doc_tokens:bigint,pieces:array<struct<{ddl}>>>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(path, end_id)
+        coder = encoder(path, end_id)
         for texts in batches:
             rows = []
             for t in texts:
-                ids = encoder.encode(t.as_py())
+                ids = coder.encode(t.as_py())
                 n = len(ids) // 4
                 parts = []
                 for start, length in cut(n, window):
