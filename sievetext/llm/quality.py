@@ -160,3 +160,41 @@ def quality_digest(docs: DataFrame) -> DataFrame:
     found = with_verdict(docs.select("doc_id", "text", "source"), keep_text=False)
     return found.select("doc_id", *COUNTS, "base_failed", "kept", "mild_failed",
                         F.round("host_rate", 9).alias("host_rate"))
+
+
+ORACLE_SQL = f"""
+with d as (
+  select row_number() over () as k, doc_id, source, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+                lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) as lines
+  from documents),
+windows as (
+  select k, i, array_to_string(list_slice(w, i, i + {SPAN - 1}), ' ') as gram
+  from (select k, w, unnest(range(1, len(w) - {SPAN - 2})) as i from d)),
+again as (select k, i from (select *, count(*) over (partition by k, gram) as n from windows) where n > 1),
+repeats as (select k, count(distinct p) as n from (select k, unnest(range(i, i + {SPAN})) as p from again) group by k),
+c as (
+  select d.k, doc_id, coalesce('=' || source, '') as host, cast(len(w) as bigint) as n_words,
+    cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')) as bigint) as n_symbols,
+    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+    cast(coalesce(repeats.n, 0) as bigint) as n_repeat_words, len(lines) as n_lines
+  from d left join repeats on repeats.k = d.k),
+s as (
+  select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed,
+    n_symbols > {MAX_SYMBOLS_PER_WORD} * n_words or n_dup_lines > {MAX_DUP_LINES} * n_lines
+      or not word_chars / greatest(n_words, 1) between {MEAN_WORD_CHARS[0]} and {MEAN_WORD_CHARS[1]} as mild_failed
+  from c),
+hosts as (select host, count(*) as n, count(*) filter (base_failed or mild_failed) as f from s group by host),
+spread as (
+  select greatest(least(avg(f / n), 0.999), 0.001) as m, coalesce(var_samp(f / n), 0) as v, avg(1.0 / n) as e from hosts),
+prior as (
+  select m, case when v - m * (1 - m) * e > 0
+    then greatest(least(m * (1 - m) / (v - m * (1 - m) * e) - 1, 1000.0), 1.0) else 1000.0 end as a from spread),
+rates as (select host, (f + m * a) / (n + a) as host_rate from hosts, prior)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not (host_rate > {MAX_HOST_RATE} and mild_failed) as kept, mild_failed,
+  round(host_rate, 9) as host_rate
+from s join rates using (host)
+"""

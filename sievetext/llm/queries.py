@@ -53,4 +53,8 @@ QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_pii, op3_language_id, op4_quality_rules, op5_simhash, op6_decontaminate,
     op7_secrets, op8_toxicity, op9_token_matrices, op10_packing)}
 
-ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat.ORACLE_SQL,
+    "op4_quality_rules": quality.ORACLE_SQL,
+    "op6_decontaminate": decontaminate.ORACLE_SQL,
+}

@@ -48,3 +48,20 @@ def test_stages_keep_the_columns(spark, awkward):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, awkward)
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+
+
+@pytest.mark.parametrize("name", ["op4_quality_rules", "op6_decontaminate"])
+def test_sql_on_awkward_tables(spark, awkward, name):
+    import duckdb
+
+    from sievetext.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{awkward}/{t}.parquet/*.parquet')")
+    got = QUERIES[name](spark, awkward)
+    rel = con.execute(ORACLES[name])
+    names = [c[0] for c in rel.description]
+    assert sorted(names) == sorted(got.columns)
+    want = [dict(zip(names, r, strict=True)) for r in rel.fetchall()]
+    assert sorted(str(sorted(r.items())) for r in want) == sorted(str(sorted(r.asDict().items())) for r in got.collect())
