@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import Tokenizer, tokenize
-from .operators.encode import encode_capped, encode_fixed
+from .operators.encode import encode_capped, encode_fixed, word_ids
 from .operators.noise import complement_label, generate_noise  # noqa: F401 - re-exported
 from .operators.order import batches, tail_split
 from .operators.vectors import lookup_table, read_word_vectors
-from .operators.vocab import (KERAS_SPECIALS, frequency_index, specials_frame, token_counts,
-                              vocabulary, word_index)
+from .operators.vocab import (KERAS_OOV_ID, KERAS_SPECIALS, KERAS_SPECIALS_EOS, START_ID,
+                              frequency_index, specials_frame, token_counts, vocabulary, word_index)
+from .session import materialize
 
 
 def create_vocab(corpus: DataFrame, tokenizer: Tokenizer = "blank", text_col: str = "text",
@@ -70,3 +71,27 @@ def load_data_set(sequences: DataFrame, max_len: int, vocab_size: int, batch_siz
     train = batches(split.where(~F.col("is_valid")).drop("is_valid"), batch_size, drop_last=True)
     index = specials_frame(sequences.sparkSession, KERAS_SPECIALS).unionByName(words)
     return train, split.where(F.col("is_valid")).drop("is_valid"), index
+
+
+def load_data_set_multiclass(train: DataFrame, test: DataFrame, max_len: int, vocab_size: int,
+                             batch_size: int, tokens_col: str = "tokens"
+                             ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The multi-class form of :func:`load_data_set` over tables ``id, y, tokens``:
+    all training rows are batched (no validation tail, ``drop_last``) and the
+    index knows ``<EOS>`` = 3.  Returns the training batches, the training and
+    the test set as unpadded id sequences, the padded test rows and the index."""
+    words = materialize(frequency_index(
+        token_counts(train, test, tokens_col=tokens_col), specials=()), "frequency-index")
+
+    def padded(rows):
+        return encode_capped(rows, words, vocab_size, max_len, tokens_col=tokens_col, keep=("y",))
+
+    def unpadded(rows):
+        ids = word_ids(rows, words, tokens_col=tokens_col, unk_id=KERAS_OOV_ID)
+        capped = F.transform("ids", lambda i: F.when(i >= vocab_size, F.lit(KERAS_OOV_ID).cast("long")).otherwise(i))
+        start = F.array(F.lit(START_ID).cast("long"))
+        return rows.select("id", "y").join(ids.select("id", F.concat(start, capped).alias("ids")), "id")
+
+    index = specials_frame(train.sparkSession, KERAS_SPECIALS_EOS).unionByName(words)
+    return (batches(padded(train), batch_size, drop_last=True), unpadded(train), unpadded(test),
+            padded(test), index)

@@ -25,6 +25,7 @@ from ..sources.tables import labeled_corpus_and_classes
 
 MAX_LENGTH = 256  # sequence length of the reference runner
 HOT_WORDS = 1_000_000  # bounded broadcast half of the split token look-up
+HOT_WORD_BYTES = 256  # longer words are never broadcast, they take the shuffle join
 VOCAB_SPLITS = ("train", "dev")
 
 
@@ -97,8 +98,10 @@ class Prepared:
     def hot_index(self, k: int = HOT_WORDS) -> DataFrame:
         """The index rows of the ``k`` most frequent vocabulary words and of the
         specials (``<PAD>`` is the most frequent id of padded sequences): the
-        broadcast half of a split look-up (at most ``k + 4`` rows)."""
-        hot = hot_keys(self.words.where(F.col("in_vocab")), "token", "n_occ", k)
+        broadcast half of a split look-up (at most ``k + 4`` rows of words of
+        at most ``HOT_WORD_BYTES`` bytes)."""
+        short = F.col("in_vocab") & (F.octet_length("token") <= HOT_WORD_BYTES)
+        hot = hot_keys(self.words.where(short), "token", "n_occ", k)
         return (self.index.join(hot, "token", "left_semi")
                 .unionByName(self.index.where(F.col("id") <= F.lit(UNK_ID))))
 

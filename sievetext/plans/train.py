@@ -167,9 +167,13 @@ class Trainer:
             self.model = SoftmaxHead.from_flat(self.optimizer.step(self.model.flat(), grad), c, d)
             row = {"step": step, "stage": stage, "epoch": epoch, "n_rows": g["n"],
                    "train_loss": g["loss"], "train_pos_loss": g["aux_loss"] if kind == "nl" else g["loss"],
-                   "grad_norm": norm, "stopped": False}
+                   # the reference prints the sum of batch means over the rows (Q11);
+                   # a full-batch step has one batch
+                   "reported_loss": g["loss"] / g["n"], "grad_norm": norm, "stopped": False}
             if test is not None and (epoch % self.eval_every == 0 or epoch == epochs):
-                row["test_accuracy"] = float(accuracy(score(test, self.model)).first()["accuracy"])
+                row["test_accuracy"] = test_accuracy(test, self.model)
+            if epoch % self.eval_every == 0:
+                row["train_accuracy"] = test_accuracy(train, self.model)
             row["seconds"] = time.time() - t0
             self.history.append(row)
             if dev is not None:
@@ -231,7 +235,8 @@ HISTORY_SCHEMA = T.StructType([
     T.StructField("step", T.LongType()), T.StructField("stage", T.StringType()),
     T.StructField("epoch", T.LongType()), T.StructField("n_rows", T.LongType()),
     T.StructField("train_loss", T.DoubleType()), T.StructField("train_pos_loss", T.DoubleType()),
-    T.StructField("dev_loss", T.DoubleType()), T.StructField("test_accuracy", T.DoubleType()),
+    T.StructField("reported_loss", T.DoubleType()), T.StructField("dev_loss", T.DoubleType()),
+    T.StructField("train_accuracy", T.DoubleType()), T.StructField("test_accuracy", T.DoubleType()),
     T.StructField("grad_norm", T.DoubleType()), T.StructField("seconds", T.DoubleType()),
     T.StructField("stopped", T.BooleanType()),
 ])

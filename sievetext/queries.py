@@ -126,8 +126,9 @@ dec AS (
 SELECT id, array_to_string(toks, ' ') AS text FROM dec""")
 def q_decode_ids(spark, sf_dir):
     p = _prep(spark, sf_dir)
-    enc = encode_fixed(p.tokens, p.index, 256, hot=p.lookup_hot())
-    dec = decode_ids(enc, p.index, hot=p.lookup_hot())
+    hot = p.lookup_hot()
+    enc = encode_fixed(p.tokens, p.index, 256, hot=hot)
+    dec = decode_ids(enc, p.index, hot=hot)
     return dec.select("id", F.array_join("tokens", " ").alias("text"))
 
 
@@ -150,9 +151,11 @@ def q_pad_left(spark, sf_dir):
     return seqs.select("id", ids_to_string(pad_left("ids", 256)).alias("ids"))
 
 
-@query("encode_capped", _with(*BASE) + """,
+def _capped_sql(splits: str) -> str:
+    """Capped, left-padded sequences ``seqs(id, s)``; the index counts ``splits``."""
+    return _with(*BASE) + f""",
 counts AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM toks
-           WHERE split IN ('train', 'dev')) GROUP BY token),
+           WHERE split IN ({splits})) GROUP BY token),
 findex AS (SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 3 AS BIGINT) AS id FROM counts),
 last AS (
   SELECT id, len(tokens) AS n,
@@ -166,8 +169,13 @@ mapped AS (
                   FILTER (WHERE e.pos IS NOT NULL), []::BIGINT[]) AS ids
   FROM last l LEFT JOIN ex e ON l.id = e.id LEFT JOIN findex f ON e.token = f.token GROUP BY l.id, l.n),
 seqs AS (SELECT id, CASE WHEN n + 1 <= 128 THEN list_concat([1::BIGINT], ids) ELSE ids END AS s FROM mapped)
-SELECT id, array_to_string(list_concat(list_transform(range(128 - len(s)), lambda x: 0::BIGINT), s), ' ') AS ids
-FROM seqs""")
+"""
+
+
+_CAPPED_IDS = ("array_to_string(list_concat(list_transform(range(128 - len(s)), lambda x: 0::BIGINT), s), ' ') AS ids")
+
+
+@query("encode_capped", _capped_sql("'train', 'dev'") + f"SELECT id, {_CAPPED_IDS} FROM seqs")
 def q_encode_capped(spark, sf_dir):
     from .plans.prepare import HOT_WORDS
     from .session import materialize, setting
@@ -181,6 +189,18 @@ def q_encode_capped(spark, sf_dir):
     return enc.select("id", ids_to_string("ids").alias("ids"))
 
 
+@query("load_multiclass", _capped_sql("'train', 'test'") + f"""
+SELECT seqs.id, toks.y, {_CAPPED_IDS} FROM seqs JOIN toks ON seqs.id = toks.id WHERE toks.split = 'test'""")
+def q_load_multiclass(spark, sf_dir):
+    """The padded test rows of the multi-class pre-encoded data set."""
+    from .compat import load_data_set_multiclass
+
+    p = _prep(spark, sf_dir)
+    rows = [p.tokens.where(F.col("split") == s).select("id", "y", "tokens") for s in ("train", "test")]
+    test = load_data_set_multiclass(*rows, max_len=128, vocab_size=1000, batch_size=64)[3]
+    return test.select("id", "y", ids_to_string("ids").alias("ids"))
+
+
 @query("encode_with_vocab", _with(*INDEX) + """,
 btoks AS (SELECT item_id AS id, NULL::INTEGER AS y, """ + S.sql_tokenize_text() + """ AS tokens
           FROM benchmark WHERE text IS NOT NULL),
@@ -893,8 +913,7 @@ def q_subset_batches(spark, sf_dir):
 
     s, c = _scored(spark, sf_dir)
     chosen = confident_rows(s, selection_threshold("selnl", c)).select("vec_id")
-    df, _model, _c = _emb(spark, sf_dir)
-    rows = subset(df.select("vec_id"), chosen, "vec_id")
+    rows = subset(s.select("vec_id"), chosen, "vec_id")
     return batches(rows, 64, order_by=["vec_id"]).select("vec_id", "pos", "batch_id")
 
 
@@ -950,3 +969,75 @@ def q_adam_first_step_pl(spark, sf_dir):
     return (w.select(F.floor(F.col("_i") / F.col("_d")).cast("int").alias("k"),
                      F.pmod(F.col("_i"), F.col("_d")).cast("int").alias("j"), _r6(F.col("_v")).alias("w"))
             .unionByName(b.select(F.col("k").cast("int"), F.lit(-1).alias("j"), _r6(F.col("_v")).alias("w"))))
+
+
+# ---------------------------------------------------------------- three training steps in SQL
+# (G1 G2 G3 G4 G9 M8 P4): NL, SelNL and SelPL, one step each, from the centroid
+# weights, with both Adam moments carried on; features are scaled so that the
+# gradient norm of the positive step is over the clip.
+
+STEP_LR = 0.002
+STEP_SCALE = 200.0
+STEPS = (("nl", None), ("nl", "1.0::DOUBLE / (SELECT c FROM nc)"), ("pl", "0.5::DOUBLE"))
+
+
+def _step_sql(i: int, kind: str, threshold: str | None) -> str:
+    comp = S.comp_sql(i).replace("comp AS", f"comp{i} AS", 1)
+    keep = f"WHERE py{i}.p > {threshold}" if threshold else ""
+    if kind == "pl":
+        g = f"pr{i}.p - CASE WHEN pr{i}.k = sel{i}.y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+        join, clip = "", "least(1.0::DOUBLE, 10.0::DOUBLE / (sqrt(sum(s * s) OVER ()) + 1e-6::DOUBLE))"
+    else:
+        g = (f"pc{i}.p / greatest(1.0::DOUBLE - pc{i}.p, 1e-12::DOUBLE) "
+             f"* (CASE WHEN pr{i}.k = comp{i}.k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - pr{i}.p)")
+        join = (f"JOIN comp{i} ON comp{i}.vec_id = sel{i}.vec_id "
+                f"JOIN pr{i} pc{i} ON pc{i}.vec_id = sel{i}.vec_id AND pc{i}.k = comp{i}.k")
+        clip = "1.0::DOUBLE"
+    return f"""{comp},
+lg{i} AS (SELECT xb.vec_id, w{i - 1}.k, sum(xb.v * w{i - 1}.w) AS z FROM xb JOIN w{i - 1} ON xb.j = w{i - 1}.j GROUP BY xb.vec_id, w{i - 1}.k),
+sh{i} AS (SELECT vec_id, k, exp(z - max(z) OVER (PARTITION BY vec_id)) AS ez FROM lg{i}),
+pr{i} AS (SELECT vec_id, CAST(k AS INTEGER) AS k, ez / sum(ez) OVER (PARTITION BY vec_id) AS p FROM sh{i}),
+py{i} AS (SELECT e.vec_id, e.y, pr{i}.p FROM e JOIN pr{i} ON e.vec_id = pr{i}.vec_id AND e.y = pr{i}.k),
+sel{i} AS (SELECT vec_id, y FROM py{i} {keep}),
+g{i} AS (SELECT sel{i}.vec_id, pr{i}.k, {g} AS g FROM sel{i} JOIN pr{i} ON pr{i}.vec_id = sel{i}.vec_id {join}),
+mean{i} AS (SELECT g{i}.k, xb.j, sum(g{i}.g * xb.v) / (SELECT count(*) FROM sel{i}) AS s
+            FROM g{i} JOIN xb ON xb.vec_id = g{i}.vec_id GROUP BY g{i}.k, xb.j),
+cut{i} AS (SELECT k, j, s, s * {clip} AS d, sqrt(sum(s * s) OVER ()) AS norm FROM mean{i}),
+w{i} AS (SELECT c.k, c.j, 0.9::DOUBLE * p.m + 0.1::DOUBLE * c.d AS m, 0.999::DOUBLE * p.q + 0.001::DOUBLE * c.d * c.d AS q,
+         p.w - {STEP_LR}::DOUBLE * ((0.9::DOUBLE * p.m + 0.1::DOUBLE * c.d) / (1.0::DOUBLE - pow(0.9::DOUBLE, {i})))
+           / (sqrt((0.999::DOUBLE * p.q + 0.001::DOUBLE * c.d * c.d) / (1.0::DOUBLE - pow(0.999::DOUBLE, {i}))) + 1e-8::DOUBLE) AS w
+         FROM cut{i} c JOIN w{i - 1} p ON p.k = c.k AND p.j = c.j)"""
+
+
+@query("three_training_steps", _with(
+    S.EMB_SCORE_CTES,
+    f"xb AS (SELECT vec_id, j, v * {STEP_SCALE}::DOUBLE AS v FROM ex UNION ALL SELECT vec_id, -1, 1.0::DOUBLE FROM e)",
+    f"w0 AS (SELECT k, j, w / {STEP_SCALE}::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS q FROM cent "
+    "UNION ALL SELECT DISTINCT k, -1, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM cent)",
+    *[_step_sql(i + 1, *s) for i, s in enumerate(STEPS)]) + """
+SELECT CAST(w3.k AS INTEGER) AS k, CAST(w3.j AS INTEGER) AS j, round(w3.w, 6) + 0.0::DOUBLE AS w,
+       CAST((SELECT count(*) FROM sel2) AS BIGINT) AS n_selnl, CAST((SELECT count(*) FROM sel3) AS BIGINT) AS n_selpl,
+       (SELECT max(norm) FROM cut3) > 10 AS clipped FROM w3""")
+def q_three_training_steps(spark, sf_dir):
+    """Weights after NL, SelNL and SelPL steps of the training loop."""
+    from .operators.model import SoftmaxHead
+    from .plans.train import Adam, Trainer, weights_frame
+
+    df, model, c = _emb(spark, sf_dir)
+    rows = df.select(F.col("vec_id").alias("id"), "y",
+                     F.transform("features", lambda x: x * F.lit(STEP_SCALE)).alias("features"))
+    tr = Trainer(c, model.dim, Adam(lr=STEP_LR), model=SoftmaxHead(model.W / STEP_SCALE))
+    tr.fit(rows, 1, "nl")
+    tr.fit(rows, 1, "nl", select="selnl")
+    tr.fit(rows, 1, "pl", select="selpl", gamma=0.5)
+    log = tr.history
+    both = weights_frame(spark, tr.model)
+    w = both.where(F.col("name") == "weight").select(
+        F.element_at("shape", 2).alias("_d"), F.posexplode("values").alias("_i", "_v")).select(
+        F.floor(F.col("_i") / F.col("_d")).cast("int").alias("k"),
+        F.pmod(F.col("_i"), F.col("_d")).cast("int").alias("j"), _r6(F.col("_v")).alias("w"))
+    b = both.where(F.col("name") == "bias").select(F.posexplode("values").alias("k", "_v")).select(
+        F.col("k").cast("int"), F.lit(-1).alias("j"), _r6(F.col("_v")).alias("w"))
+    return w.unionByName(b).select(
+        "k", "j", "w", F.lit(log[1]["n_rows"]).cast("long").alias("n_selnl"),
+        F.lit(log[2]["n_rows"]).cast("long").alias("n_selpl"), F.lit(log[2]["grad_norm"] > 10).alias("clipped"))

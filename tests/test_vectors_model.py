@@ -298,3 +298,76 @@ def test_empty_selection_stops_the_stage(spark):
     tr.fit(df, 5, "pl", select="selpl", gamma=1.0, dev=df)
     assert len(tr.history) == 1 and tr.history[0]["stopped"] and tr.history[0]["n_rows"] == 0
     assert np.array_equal(before, tr.model.flat())
+
+
+def test_three_training_steps_select_and_clip(spark):
+    from sievetext.queries import QUERIES
+
+    r = QUERIES["three_training_steps"](spark, "/root/testdata/sf0.01").first()
+    assert r.clipped and 0 < r.n_selpl < r.n_selnl < 500
+
+
+def test_cnn_selection_does_not_depend_on_the_epoch(spark):
+    """Rows are chosen without dropout, whatever mask the epoch trains with."""
+    from sievetext.operators.cnn import CNNRunner, CNNText
+
+    rng = np.random.default_rng(3)
+    enc = spark.createDataFrame([(i, i % 3, rng.integers(0, 30, 12).tolist()) for i in range(200)],
+                                "id long, y int, ids array<long>")
+    lookup = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(30)], "id long, vec array<double>")
+    runner, model = CNNRunner(enc, lookup, 6, 12), CNNText(3, 6, dropout=0.5)
+    kept = [runner.gradient_frame(model, kind="pl", epoch=e, threshold=0.34).first()["n"] for e in (1, 2, 3)]
+    probs = {r.id: r.probs[r.y] for r in runner.score(model).collect()}
+    assert kept == [sum(p > 0.34 for p in probs.values())] * 3
+
+
+def test_gradient_sums_in_two_levels(spark):
+    from sievetext.operators.model import gradient_frame
+
+    df, _, y, _ = _toy(spark)
+    out = gradient_frame(df.repartition(7), SoftmaxHead.zeros(3, 5))
+    assert out.first()["n"] == len(y)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ObjectHashAggregate") >= 4 or \
+        out._jdf.queryExecution().executedPlan().toString().count("HashAggregate") >= 4
+
+
+def test_null_label_is_missing_for_any_number_of_classes(spark):
+    from sievetext.operators.labels import encode_labels
+
+    for n in (4, 100):
+        labels = [f"l{i:03d}" for i in range(n)]
+        df = spark.createDataFrame([(labels[1],), (None,), ("other",)], "label string")
+        with pytest.raises(KeyError, match="2 rows"):
+            encode_labels(df, labels)
+        assert encode_labels(df, labels, strict=False).count() == 1
+
+
+def test_vector_file_lines(spark, tmp_path):
+    r"""Only \n ends a line; bytes that are not UTF-8 are ignored."""
+    (tmp_path / "v.txt").write_bytes(b"a\rb 1 2\nc\xff 3 4\n2 2\nd 5 6\nd 7 8\n")
+    got, info = read_word_vectors(spark, str(tmp_path / "v.txt"))
+    rows = {r.token: r.vec for r in got.collect()}
+    assert rows == {"a\rb": [1.0, 2.0], "c": [3.0, 4.0], "d": [7.0, 8.0]} and info["dropped_length"] == 1
+
+
+def test_multiclass_sequences(spark):
+    from sievetext import compat
+
+    rows = spark.createDataFrame([(i, i % 3, ["a"] * (i + 1) + ["b"]) for i in range(10)],
+                                 "id long, y int, tokens array<string>")
+    train, train_set, test_set, padded, index = compat.load_data_set_multiclass(
+        rows.where("id < 7"), rows.where("id >= 7"), max_len=4, vocab_size=5, batch_size=3)
+    assert {r.token: r.id for r in index.collect()} == {"<PAD>": 0, "<START>": 1, "<UNK>": 2, "<EOS>": 3, "a": 4, "b": 5}
+    assert train.count() == 6 and test_set.count() == 3 and padded.count() == 3
+    assert train_set.where("id = 0").first()["ids"] == [1, 4, 2]
+
+
+def test_history_has_the_reported_loss_and_train_accuracy(spark):
+    from sievetext.plans.train import Trainer, history_frame
+
+    df, _, y, _ = _toy(spark)
+    tr = Trainer(3, 5)
+    tr.fit(df, 5, "pl")
+    rows = history_frame(spark, tr.history).collect()
+    assert rows[0].reported_loss == pytest.approx(rows[0].train_loss / len(y))
+    assert rows[0].train_accuracy is None and 0 <= rows[4].train_accuracy <= 100
