@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, small_batches
 
 # The control strings of the template below.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -406,7 +406,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, conv_col: st
     key = free_name(rows, "conversation")
     kind = rows.select(F.col(conv_col)).schema[0].dataType.simpleString()
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in TURN_FIELDS]
-    ordered = (rows.select(F.col(conv_col).alias(key), "turn", *text)
+    ordered = (small_batches(rows).select(F.col(conv_col).alias(key), "turn", *text)
                .repartition(key).sortWithinPartitions(key, "turn", *TURN_FIELDS))
 
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

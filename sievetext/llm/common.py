@@ -13,6 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Text bytes of one Arrow batch between Spark and Python.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT = 64 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands whole texts to Python in batches of
+    :data:`BATCH_BYTES`: rows of long texts fill Spark's default of 64 MB per
+    batch and task.  A size that the user has chosen stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY).lower() in (f"{_BATCH_DEFAULT}b", str(_BATCH_DEFAULT)):
+        conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    return df
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

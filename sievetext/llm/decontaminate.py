@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_CHARS, free_name, without
+from .common import BLOCK_CHARS, free_name, small_batches, without
 
 WINDOW = 10
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -222,7 +222,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     ``spans`` (hit words, as word positions) and ``items`` (ids as strings)."""
     sc = docs.sparkSession.sparkContext
     shared = [sc.broadcast(a) for a in automata(benchmark, window=window, block_chars=block_chars)]
-    out = without(docs, output)
+    out = without(small_batches(docs), output)
     parts = []
     for b in shared:
         name = free_name(out, f"block{len(parts)}")
@@ -285,4 +285,29 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", F.col("c.n_words").alias("n_words"), F.col("c.n_hit").alias("n_hit"),
         F.size("c.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("c.items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("c.n_hit") > 0).alias("contaminated"), F.col("c.longest").alias("longest_match"))
+        (F.col("c.n_hit") > 0).alias("contaminated"))
+
+
+_SQL_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+              "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+ORACLE_SQL = f"""
+with d as (select row_number() over () as k, doc_id, {_SQL_WORDS} as w from documents),
+b as (select item_id, {_SQL_WORDS} as w from benchmark),
+item as (select item_id, w, least({WINDOW}, len(w)) as n from b where len(w) > 0),
+item_window as (
+  select distinct item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') as gram
+  from (select *, unnest(range(1, len(w) - n + 2)) as i from item)),
+sizes as (select distinct n from item_window),
+doc_window as (
+  select k, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') as gram
+  from (select k, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+hit as (select k, i, n, item_id from doc_window join item_window using (n, gram)),
+hit_words as (select k, count(distinct p) as n_hit
+              from (select distinct k, unnest(range(i, i + n)) as p from hit) group by k),
+hit_items as (select k, count(*) as n_items, string_agg(v, ',' order by v) as names
+              from (select distinct k, cast(item_id as varchar) as v from hit where item_id is not null) group by k)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(names, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit_words using (k) left join hit_items using (k)
+"""

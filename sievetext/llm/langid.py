@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, without
+from .common import crc_mod, small_batches, without
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 200
@@ -357,7 +357,7 @@ def with_language(docs: DataFrame, field: Field, text_col: str = "text",
         for texts in batches:
             yield pa.array(label_texts(shared.value, featurize, texts.to_pylist()), type=_RESULT)
 
-    return without(docs, output).withColumn(output, label(F.col(text_col).cast("string")))
+    return without(small_batches(docs), output).withColumn(output, label(F.col(text_col).cast("string")))
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import small_batches
 
 WINDOW = 4096
 END_ID = 2
@@ -210,7 +211,7 @@ def pieces(docs: DataFrame, path: str, keys: list[str], text_col: str = "text",
                 rows.append({"doc_tokens": n, "pieces": parts})
             yield pa.array(rows, type=result)
 
-    coded = docs.select(*[F.col(k) for k in keys], encode(F.col(text_col).cast("string")).alias("_doc"))
+    coded = small_batches(docs).select(*[F.col(k) for k in keys], encode(F.col(text_col).cast("string")).alias("_doc"))
     return (coded.select(*keys, F.col("_doc.doc_tokens").alias("doc_tokens"),
                          F.explode("_doc.pieces").alias("_piece"))
             .select(*keys, "doc_tokens", "_piece.*"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, joined_spans, without
+from .common import free_name, joined_spans, small_batches, without
 
 # The kinds in output order; the first four are the base kinds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -203,7 +203,7 @@ def _span_udf(threshold: float):
 def with_pii(docs: DataFrame, text_col: str = "text", output: str = "pii",
              threshold: float = 0.5) -> DataFrame:
     """``docs`` plus the array of spans ``(kind, start, end, score)``."""
-    return without(docs, output).withColumn(output, _span_udf(threshold)(F.col(text_col).cast("string")))
+    return without(small_batches(docs), output).withColumn(output, _span_udf(threshold)(F.col(text_col).cast("string")))
 
 
 def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5,
@@ -217,7 +217,7 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5,
         return pa.array([redact_text(t, find_spans(t, threshold)) for t in plain], pa.string())
 
     new = free_name(docs, "redacted")
-    out = docs.withColumn(new, hidden(F.col(text_col).cast("string")))
+    out = small_batches(docs).withColumn(new, hidden(F.col(text_col).cast("string")))
     length = F.length(F.col(new)).cast("long")
     return out.select(*[
         F.col(new).alias(c) if c == text_col

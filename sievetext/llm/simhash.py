@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import free_name
+from .common import free_name, small_batches
 from .graph import components
 
 SHINGLE = 3
@@ -78,7 +78,7 @@ def _fingerprint_udf(shingle: int):
 def with_fingerprint(docs: DataFrame, text_col: str = "text", output: str = "fingerprint",
                      shingle: int = SHINGLE) -> DataFrame:
     """``docs`` plus the fingerprint as a signed 64-bit number."""
-    return docs.withColumn(output, _fingerprint_udf(shingle)(F.col(text_col).cast("string")))
+    return small_batches(docs).withColumn(output, _fingerprint_udf(shingle)(F.col(text_col).cast("string")))
 
 
 def _byte(fp: Column, position: int) -> Column:

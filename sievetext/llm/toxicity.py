@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, without
+from .common import crc_mod, small_batches, without
 
 SAMPLE_DOCS = 6000
 SAMPLE_CHARS = 200_000
@@ -190,7 +190,7 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text",
                 {"start": a, "end": b, "score": s} for a, b, s in found]})
         return pa.array(rows, type=_RESULT)
 
-    return without(docs, output).withColumn(output, judge(F.col(text_col).cast("string")))
+    return without(small_batches(docs), output).withColumn(output, judge(F.col(text_col).cast("string")))
 
 
 def held_out(n: int = HELD_OUT) -> Column:
