@@ -49,11 +49,13 @@ def choose_complement_targets(df: DataFrame, num_classes: int, epoch: int, label
 
 def create_dataloader(corpus: DataFrame, index: DataFrame, max_length: int = 256,
                       batch_size: int = 32, shuffle: bool = False, tokenizer: Tokenizer = "blank",
-                      text_col: str = "text", label_col: str = "y") -> DataFrame:
+                      text_col: str = "text", label_col: str = "y",
+                      hot: DataFrame | None = None) -> DataFrame:
     """``id, y, ids, pos, batch_id``: texts encoded to ``max_length`` ids, in
-    consecutive batches (keyed shuffle when asked)."""
+    consecutive batches (keyed shuffle when asked).  ``hot``: a bounded subset
+    of ``index`` (the most frequent words) for the split look-up."""
     toks = corpus.select("id", F.col(label_col).alias("y"), tokenize(text_col, tokenizer).alias("tokens"))
-    enc = encode_fixed(toks, index, max_length, keep=("y",))
+    enc = encode_fixed(toks, index, max_length, keep=("y",), hot=hot)
     return batches(enc, batch_size, shuffle=shuffle)
 
 
