@@ -6,9 +6,9 @@ belongs to; languages follow each other with learned transition weights.
 Forward-backward gives every word's label probabilities in a possibly
 code-switched text, and their mean over the words gives the text's language.
 
-The field is fitted on the driver over a bounded sample (about ``sample_docs``
-documents a language by a hash of the id, the first ``sample_chars`` characters
-of each).  Its training sequences join stretches of two languages, so switches
+The field is fitted on the driver over a bounded sample (about ``SAMPLE_DOCS``
+documents a language by a hash of the id, ``SAMPLE_TOTAL`` in all, the first
+``SAMPLE_CHARS`` characters of each).  Its training sequences join stretches of two languages, so switches
 are learned from data although documents carry one label each.  Labelling runs
 over whole texts in place; documents are not shuffled.
 
@@ -31,6 +31,7 @@ from .common import crc_mod, small_batches, without
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 200
+SAMPLE_TOTAL = 2000
 SAMPLE_CHARS = 2000
 MAX_LANGUAGES = 200
 FOLDS, HELD_OUT_FOLD = 3, 1
@@ -330,6 +331,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     counts = (usable.groupBy("lang").agg(F.count("*").alias("n"))
               .orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect())
     share = F.lit(0.0)
+    sample_docs = min(sample_docs, max(1, SAMPLE_TOTAL // max(1, len(counts))))
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_docs / r["n"]))).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))

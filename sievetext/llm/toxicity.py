@@ -5,8 +5,8 @@ words; a document is toxic if any sentence is, so its score is the noisy-or of
 the sentence scores.  Only document labels train the sentence weights.
 
 The model is fitted on the driver over a bounded sample of labelled documents
-(``sample_docs`` documents, the least by a hash of the id; their sentences up to
-``sample_chars`` characters a document); it is a table of word weights and
+(of ``SAMPLE_DOCS`` ids, the least by a hash, those whose whole text has at most
+``SAMPLE_CHARS`` characters); it is a table of word weights and
 serves all documents, whole texts, in place.  Documents are not shuffled.
 
 Defined cases: null and empty texts, and texts without words, have no sentence
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, small_batches, without
 
 SAMPLE_DOCS = 6000
-SAMPLE_CHARS = 200_000
+SAMPLE_CHARS = 30_000
 MIN_DOCS = 5
 STEMS = (4, 5, 6)
 CACHE_WORDS = 200_000
@@ -163,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
                           & (crc_mod("doc_id", held_out) != 0))
     chosen = (usable.select("doc_id", F.col("toxic").cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_docs))
-    rows = (docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("body"))
-            .join(F.broadcast(chosen), "doc_id").where("body is not null")
+    rows = (docs.select("doc_id", F.col("text").alias("body"))
+            .where(F.length("body") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
             .orderBy("doc_id", "label", "body").collect())
     return fit([sentences(r["body"]) for r in rows], [r["label"] for r in rows])
 
