@@ -93,8 +93,10 @@ def list_column(M: np.ndarray) -> pa.Array:
 # ---------------------------------------------------------------- scoring
 
 def score(df: DataFrame, model: SoftmaxHead, features_col: str = "features",
-          out_col: str = "probs", log: bool = False, drop_features: bool = True) -> DataFrame:
-    """Add class probabilities (or log-probabilities) as ``array<double>``."""
+          out_col: str = "probs", log: bool = False, drop_features: bool = True,
+          raw: bool = False) -> DataFrame:
+    """Add class probabilities (log-probabilities with ``log``, the linear
+    layer's outputs with ``raw``) as ``array<double>``."""
     W, b, d = model.W, model.b, model.dim
     fields = [f for f in df.schema.fields if not (drop_features and f.name == features_col)]
     schema = T.StructType(fields + [T.StructField(out_col, T.ArrayType(T.DoubleType()), False)])
@@ -104,8 +106,10 @@ def score(df: DataFrame, model: SoftmaxHead, features_col: str = "features",
         for rb in batches:
             X = matrix(rb.column(features_col), d)
             Z = X @ W.T + b
-            Z = Z - Z.max(axis=1, keepdims=True) if len(Z) else Z
-            if log:
+            Z = Z - Z.max(axis=1, keepdims=True) if len(Z) and not raw else Z
+            if raw:
+                P = Z
+            elif log:
                 P = Z - np.log(np.exp(Z).sum(axis=1, keepdims=True)) if len(Z) else Z
             else:
                 E = np.exp(Z)

@@ -506,11 +506,11 @@ def _r6(col):
 @query("linear_logits", _with(S.EMB_SCORE_CTES) + """
 SELECT vec_id, CAST(k AS INTEGER) AS k, round(z, 6) + 0.0::DOUBLE AS logit FROM logit""")
 def q_linear_logits(spark, sf_dir):
-    from .functions.vecmath import linear
+    from .operators.model import score
 
     df, model, _c = _emb(spark, sf_dir)
-    z = df.select("vec_id", linear("features", model.W.tolist(), model.b.tolist()).alias("z"))
-    # outer + filter: a plain posexplode would re-evaluate the dot products in an inferred filter
+    z = score(df, model, out_col="z", raw=True)
+    # outer + filter: a plain posexplode would re-evaluate the layer in an inferred filter
     ex = z.select("vec_id", F.posexplode_outer("z").alias("k", "_z")).where(F.col("k").isNotNull())
     return ex.select("vec_id", "k", _r6(F.col("_z")).alias("logit"))
 

@@ -16,6 +16,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_WRITTEN: list[str] = []
 #: Most partitions that a size estimate may ask for.
 MAX_PARTITIONS = 200_000
 
@@ -74,7 +75,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared scratch folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this Python process has written, once no
+    DataFrame over them is needed any more; returns their number."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    n = 0
+    while _WRITTEN:
+        path = hadoop(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def materialize(df, name: str):

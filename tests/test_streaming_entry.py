@@ -56,3 +56,37 @@ def test_reference_flow_by_name(spark):
     assert valid.count() == 50 and train.count() % 8 == 0
     assert {r.token: r.id for r in widx.where("id < 3").collect()} == {"<PAD>": 0, "<START>": 1, "<UNK>": 2}
     assert all(len(r.ids) == 20 for r in valid.collect())
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    import os
+
+    from sievetext import session
+
+    kept, session._WRITTEN = session._WRITTEN, []
+    try:
+        session.materialize(spark.range(5), "dropped")
+        path = session._WRITTEN[0].removeprefix("file:")
+        assert os.path.isdir(path) and session.drop_scratch(spark) == 1 and not os.path.exists(path)
+    finally:
+        session._WRITTEN = kept
+
+
+def test_only_a_local_master_makes_its_own_folder(monkeypatch):
+    from sievetext import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {"spark.checkpoint.dir": None}
+
+    import pytest
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(Session())
