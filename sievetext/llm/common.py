@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Text bytes of one Arrow batch between Spark and Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BATCH_DEFAULT = 64 << 20
 
