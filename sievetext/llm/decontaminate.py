@@ -171,20 +171,24 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _RESULT = pa.struct([
     ("n_words", pa.int64()), ("longest", pa.int64()),
     ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-    ("items", pa.list_(pa.string()))])
-_RESULT_DDL = ("struct<n_words:bigint,longest:bigint,"
-               "spans:array<struct<start:bigint,end:bigint>>,items:array<string>>")
+    ("items", pa.list_(pa.string())), ("cleaned", pa.string())])
+_RESULT_DDL = ("struct<n_words:bigint,longest:bigint,spans:array<struct<start:bigint,end:bigint>>,"
+               "items:array<string>,cleaned:string>")
 
 
-def _scan_udf(shared):
+def _scan_udf(shared, cut: bool):
+    """Matches with one automaton; with ``cut`` also the text less its hit words
+    (null where there are none)."""
     @F.arrow_udf(_RESULT_DDL)
     def scan(texts: pa.Array) -> pa.Array:
         automaton = shared.value
         rows = []
         for t in texts:
-            n, longest, spans, items = automaton.scan(t.as_py())
+            text = t.as_py()
+            n, longest, spans, items = automaton.scan(text)
             rows.append({"n_words": n, "longest": longest, "items": items,
-                         "spans": [{"start": a, "end": b} for a, b in spans]})
+                         "spans": [{"start": a, "end": b} for a, b in spans],
+                         "cleaned": cut_words(text, spans) if cut and spans else None})
         return pa.array(rows, type=_RESULT)
 
     return scan
@@ -217,26 +221,42 @@ def _covered(spans: Column) -> Column:
 
 def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                        output: str = "contamination", window: int = WINDOW,
-                       block_chars: int = BLOCK_CHARS) -> DataFrame:
+                       block_chars: int = BLOCK_CHARS, cut: bool = False) -> DataFrame:
     """``docs`` plus ``output``: struct of ``n_words``, ``n_hit``, ``longest``,
-    ``spans`` (hit words, as word positions) and ``items`` (ids as strings)."""
+    ``spans`` (hit words, as word positions), ``items`` (ids as strings) and,
+    with ``cut``, ``cleaned`` (the text less its hit words where it has some).
+
+    One block cuts in the pass that finds the words; several blocks cut in a
+    pass of their own, once the spans of all are known."""
     sc = docs.sparkSession.sparkContext
     shared = [sc.broadcast(a) for a in automata(benchmark, window=window, block_chars=block_chars)]
     out = without(small_batches(docs), output)
     parts = []
     for b in shared:
         name = free_name(out, f"block{len(parts)}")
-        out = out.withColumn(name, _scan_udf(b)(F.col(text_col).cast("string")))
+        out = out.withColumn(name, _scan_udf(b, cut and len(shared) == 1)(F.col(text_col).cast("string")))
         parts.append(name)
     spans = reduce(F.concat, [F.col(f"{p}.spans") for p in parts])
     items = reduce(F.concat, [F.col(f"{p}.items") for p in parts])
+    fields = [F.col(f"{parts[0]}.cleaned").alias("cleaned")] if cut and len(parts) == 1 else []
+    if cut and len(parts) > 1:
+        fields = [F.when(F.size(spans) > 0, _cut_udf()(F.col(text_col).cast("string"), spans)).alias("cleaned")]
     return out.withColumn(output, F.struct(
-        F.col(f"{parts[0]}.n_words").alias("n_words"), _covered(spans).alias("n_hit"),
+        *fields, F.col(f"{parts[0]}.n_words").alias("n_words"), _covered(spans).alias("n_hit"),
         F.greatest(F.lit(0).cast("long"), *[F.col(f"{p}.longest") for p in parts]).alias("longest"),
         F.array_sort(spans).alias("spans"),
         F.sort_array(F.array_distinct(items)).alias("items"))).drop(*parts)
 
 
+def _cut_udf():
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([cut_words(t.as_py(), [(s["start"], s["end"]) for s in (p.as_py() or ())])
+                         for t, p in zip(texts, spans, strict=True)], pa.string())
+
+    return cut
+
+
 def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """``text`` less the words at the spans (word positions, end exclusive) and
     what stands between them; what is left is joined with a blank."""
@@ -258,18 +278,11 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     """Drop documents whose hit words exceed ``max_coverage`` of their words;
     cut the hit words out of the others.  Clean documents stay as they are;
     columns and their order stay."""
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([cut_words(t.as_py(), [(s["start"], s["end"]) for s in (p.as_py() or ())])
-                         for t, p in zip(texts, spans, strict=True)], pa.string())
-
     state = free_name(docs, "contamination")
     new = free_name(docs, "cleaned")
-    found = with_contamination(docs, benchmark, text_col, state, window, block_chars)
+    found = with_contamination(docs, benchmark, text_col, state, window, block_chars, cut=True)
     kept = found.where(F.col(f"{state}.n_hit") <= F.lit(max_coverage) * F.col(f"{state}.n_words"))
-    out = kept.withColumn(new, F.when(F.col(f"{state}.n_hit") > 0,
-                                      cut(F.col(text_col).cast("string"), F.col(f"{state}.spans")))
+    out = kept.withColumn(new, F.when(F.col(f"{state}.n_hit") > 0, F.col(f"{state}.cleaned"))
                           .otherwise(F.col(text_col).cast("string")))
     length = F.length(F.col(new)).cast("long")
     return out.select(*[

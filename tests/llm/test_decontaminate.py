@@ -85,3 +85,17 @@ def test_removal(spark, awkward):
 def test_cut_words():
     assert dc.cut_words("A b, c d. E", [(1, 3)]) == "A d. E"
     assert dc.cut_words("A b", [(0, 2)]) == ""
+
+
+def test_one_block_and_many_blocks_cut_alike(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    one, many = ({r.doc_id: (r.text, r.n_chars) for r in dc.remove_contamination(docs, bench, block_chars=n).collect()}
+                 for n in (dc.BLOCK_CHARS, 4000))
+    assert one == many
+    before = {r.doc_id: r.text for r in docs.collect()}
+    assert any(t != before[d] for d, (t, _) in one.items())
+    dirty = {r.doc_id for r in dc.contamination_digest(docs, bench).where("contaminated").collect()}
+    assert all(one[d][0] == t for d, t in before.items() if d not in dirty)
+    items = [(str(r.item_id), r.text) for r in bench.collect()]
+    left = dc.ItemAutomaton(items)
+    assert sum(bool(left.scan(t)[2]) for t, _ in one.values()) <= 1  # a cut may join new neighbours
