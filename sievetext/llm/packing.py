@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -127,15 +127,22 @@ class Encoder:
     the vocabulary marks the last token of a run, which cuts the ids apart
     again."""
 
-    def __init__(self, path: str, end_id: int = END_ID):
+    def __init__(self, path: str, end_id: int = END_ID, cache_chunks: int = CACHE_CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        # The same merges without normalising and splitting, for words that
+        # normalising leaves alone.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = Sequence(
+            [WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.last = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith(WORD_END)
+                                 for i in range(size)), bool, size)
         self.known: dict[bytes, bytes] = {}
+        self.cache_chunks = cache_chunks
         self.end = np.uint32(end_id).astype("<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
@@ -143,7 +150,7 @@ class Encoder:
         apart = _POINTS.sub(r" \g<0> ", text or "")
         chunks = apart.encode("utf-8", "surrogatepass").lower().split()
         known = self.known
-        if len(known) > CACHE_CHUNKS:
+        if len(known) > self.cache_chunks:
             known.clear()
         new = set(chunks).difference(known)
         if new:
@@ -157,8 +164,10 @@ class Encoder:
             text = p.decode("utf-8", "replace")
             (run if text.isalpha() else rest).append((p, text))
         if run:
-            ids = np.array(self.tokenizer.encode(" ".join([t for _, t in run]), add_special_tokens=False).ids,
-                           dtype="<u4")
+            line = " ".join([t for _, t in run])
+            same = line == line.lower() and unicodedata.is_normalized("NFC", line)
+            coder = self.merges if same else self.tokenizer
+            ids = np.array(coder.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(run):
                 raw, at = ids.tobytes(), 0
@@ -173,12 +182,6 @@ class Encoder:
                 known[p] = np.array(e.ids, dtype="<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, end_id: int) -> Encoder:
-    """One encoder and its cache per Python worker, kept from task to task."""
-    return Encoder(path, end_id)
-
-
 def cut(n: int, window: int) -> Iterator[tuple[int, int]]:
     """``(start, length)`` of the pieces of ``n`` ids: full windows, then the rest."""
     for start in range(0, n, window):
@@ -186,18 +189,17 @@ def cut(n: int, window: int) -> Iterator[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str, keys: list[str], text_col: str = "text",
-           window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+           window: int = WINDOW, end_id: int = END_ID,
+           cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """One row per piece: the key columns, ``start``, ``length``, ``ids_crc32``,
-    ``doc_tokens`` (and the ids as little-endian uint32 bytes)."""
-    fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    ddl = "start:bigint,length:bigint,ids_crc32:bigint"
-    if keep_ids:
-        fields, ddl = [*fields, ("ids", pa.binary())], f"{ddl},ids:binary"
-    result = pa.struct([("doc_tokens", pa.int64()), ("pieces", pa.list_(pa.struct(fields)))])
-
-    @F.arrow_udf(f"struct<doc_tokens:bigint,pieces:array<struct<{ddl}>>>")
+    ``doc_tokens``."""
+    piece = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    result = pa.struct([("doc_tokens", pa.int64()), ("pieces", pa.list_(piece))])
+
+    @F.arrow_udf("struct<doc_tokens:bigint,"
+                 "pieces:array<struct<start:bigint,length:bigint,ids_crc32:bigint>>>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = encoder(path, end_id)
+        coder = Encoder(path, end_id, cache_chunks)  # goes with the task
         for texts in batches:
             rows = []
             for t in texts:
@@ -205,9 +207,8 @@ def pieces(docs: DataFrame, path: str, keys: list[str], text_col: str = "text",
                 n = len(ids) // 4
                 parts = []
                 for start, length in cut(n, window):
-                    part = ids[4 * start:4 * (start + length)]
-                    row = {"start": start, "length": length, "ids_crc32": zlib.crc32(part)}
-                    parts.append(row | {"ids": part} if keep_ids else row)
+                    parts.append({"start": start, "length": length,
+                                  "ids_crc32": zlib.crc32(ids[4 * start:4 * (start + length)])})
                 rows.append({"doc_tokens": n, "pieces": parts})
             yield pa.array(rows, type=result)
 
@@ -230,15 +231,27 @@ def assign(cuts: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
     plan that goes back is about as many rows."""
     spark = cuts.sparkSession
     ranked = cuts.withColumn("_bucket", _rank_bucket(keys))
-    counts = ranked.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "_bucket", "_n",
-                           F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
-    starts = materialize(starts, "piece-counts")
+    starts, place = plan_ranks(ranked.groupBy("length", "_bucket").agg(F.count("*").alias("_n")),
+                               "_bucket", window)
+    own = Window.partitionBy("length", "_bucket").orderBy(*keys, "start", "ids_crc32", "doc_tokens")
+    numbered = (ranked.withColumn("_row", F.row_number().over(own) - 1)
+                .join(starts, ["length", "_bucket"])
+                .withColumn("_place", place("length", (F.col("_row") + F.col("_before")).cast("long"))))
+    return numbered.select(*cuts.columns, "_place.sequence_id", "_place.offset")
+
+
+def plan_ranks(counts: DataFrame, group: str, window: int):
+    """From piece counts ``(length, group, _n)``: how many pieces of the length
+    are in earlier groups (``_before``, written), and a function that places a
+    piece by its length and rank."""
+    spark = counts.sparkSession
+    order = Window.partitionBy("length").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(counts.select("length", group, "_n", F.coalesce(
+        F.sum("_n").over(order), F.lit(0)).alias("_before")), "piece-counts")
     sizes = {int(r["length"]): int(r["n"])
              for r in starts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    plan = np.array(sorted(plan_windows(sizes, window)), dtype=np.int64).reshape(-1, 5)
-    shared = spark.sparkContext.broadcast(plan)
+    shared = spark.sparkContext.broadcast(
+        np.array(sorted(plan_windows(sizes, window)), dtype=np.int64).reshape(-1, 5))
 
     @F.arrow_udf("struct<sequence_id:bigint,offset:bigint>")
     def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
@@ -249,19 +262,16 @@ def assign(cuts: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
         return pa.StructArray.from_arrays(
             [pa.array(rows[at, 3] + r - rows[at, 1]), pa.array(rows[at, 4])], ["sequence_id", "offset"])
 
-    own = Window.partitionBy("length", "_bucket").orderBy(*keys, "start", "ids_crc32", "doc_tokens")
-    numbered = (ranked.withColumn("_row", F.row_number().over(own) - 1)
-                .join(starts.select("length", "_bucket", "_before"), ["length", "_bucket"])
-                .withColumn("_place", place("length", (F.col("_row") + F.col("_before")).cast("long"))))
-    return numbered.select(*cuts.columns, "_place.sequence_id", "_place.offset")
+    return starts.drop("_n"), place
 
 
 def pack(docs: DataFrame, path: str, keys: list[str] | None = None, text_col: str = "text",
-         window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+         window: int = WINDOW, end_id: int = END_ID, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """Pieces of all documents with their window and place in it: key columns,
-    ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``."""
+    ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
+    ``cache_chunks`` trades a task's memory for time; the result is the same."""
     keys = keys or ["doc_id"]
-    cuts = materialize(pieces(docs, path, keys, text_col, window, end_id), "pieces")
+    cuts = materialize(pieces(docs, path, keys, text_col, window, end_id, cache_chunks), "pieces")
     return assign(cuts, keys, window)
 
 
@@ -272,7 +282,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """The rows of the registered query."""
-    return pack(docs.select("doc_id", "text"), tokenizer_path()).select(
+    return pack(docs.select("doc_id", "text"), tokenizer_path(), cache_chunks=cache_chunks).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
