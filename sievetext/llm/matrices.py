@@ -1,9 +1,10 @@
 """Packed token-id matrices, written in binary.
 
 Documents are encoded, cut into windows without loss and packed best-fit
-decreasing (a segment tree over remaining capacities, see ``packing``).  The
-ids then move once to their matrix: ``rows`` consecutive windows, written as
-one row with
+decreasing (a segment tree over remaining capacities, see ``packing``).  Each
+writing task numbers its pieces of every length, so a piece's rank needs only
+the counts per (length, task): the ids are written once and move once, to their
+matrix of ``rows`` consecutive windows, which is written as one row with
 
 * ``ids``: little-endian uint32, ``n_rows`` x ``window``, padded with ``pad_id``;
 * ``cu_seqlens``: cumulative segment lengths of all its windows, from 0, one
@@ -17,6 +18,7 @@ matrix behind.  Defined cases: as for packing; an empty table writes no matrix.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_path
-from .packing import END_ID, WINDOW, assign, pieces, tokenizer_path
+from ..session import scratch_path
+from .common import small_batches
+from .packing import END_ID, WINDOW, Encoder, cut, plan_ranks, tokenizer_path
 
 ROWS = 64
 PAD_ID = 0
+#: Rows of (length, task) counts that may be broadcast (24 bytes each).
+MAX_BROADCAST = 1_000_000
 
 _INTS = pa.list_(pa.int32())
 _SCHEMA = pa.schema([
@@ -40,14 +45,15 @@ _DDL = ("matrix_id bigint, n_rows int, window int, ids binary, row_segments arra
 
 
 def _matrix(matrix: int, segments: list[tuple], window: int, rows: int, pad_id: int) -> dict:
-    """One matrix from its segments ``(sequence, offset, start, ids)`` in order."""
+    """One matrix from its segments ``(sequence, offset, start, id bytes, ids)``
+    in order."""
     last = segments[-1][0] - matrix * rows
     ids = np.full((last + 1, window), pad_id, "<u4")
     row_segments, cu, resets, starts = [0] * (last + 1), [], [], []
     row = -1
-    for sequence, offset, start, raw in segments:
+    for sequence, offset, start, width, raw in segments:
         r = sequence - matrix * rows
-        part = np.frombuffer(raw, "<u4")
+        part = np.frombuffer(raw, f"<u{width}")
         ids[r, offset:offset + len(part)] = part
         if r != row:
             cu.append(0)
@@ -63,7 +69,7 @@ def _matrix(matrix: int, segments: list[tuple], window: int, rows: int, pad_id:
 def matrices(placed: DataFrame, window: int = WINDOW, rows: int = ROWS, pad_id: int = PAD_ID) -> DataFrame:
     """Matrices of placed pieces with their ids; a task holds one at a time."""
     moved = (placed.select((F.col("sequence_id") / rows).cast("long").alias("matrix"),
-                           "sequence_id", "offset", "start", "ids")
+                           "sequence_id", "offset", "start", "width", "ids")
              .repartition("matrix").sortWithinPartitions("matrix", "sequence_id", "offset"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,13 +88,51 @@ def matrices(placed: DataFrame, window: int = WINDOW, rows: int = ROWS, pad_id:
     return moved.mapInArrow(run, _DDL)
 
 
-def write_matrices(docs: DataFrame, out: str, path: str, keys: list[str] | None = None,
-                   text_col: str = "text", window: int = WINDOW, rows: int = ROWS,
-                   end_id: int = END_ID, pad_id: int = PAD_ID) -> None:
-    """Encode, cut, pack and write all documents to the folder ``out``."""
-    keys = keys or ["doc_id"]
-    cuts = materialize(pieces(docs, path, keys, text_col, window, end_id, keep_ids=True), "id-pieces")
-    matrices(assign(cuts, keys, window), window, rows, pad_id).write.mode("overwrite").parquet(out)
+def ranked_pieces(docs: DataFrame, path: str, text_col: str = "text", window: int = WINDOW,
+                  end_id: int = END_ID) -> DataFrame:
+    """One row per piece: ``task``, ``start``, ``length``, ``rank`` among the
+    task's pieces of that length, and the ids in ``width`` bytes each."""
+    piece = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("rank", pa.int64()),
+                       ("width", pa.int32()), ("ids", pa.binary())])
+
+    @F.arrow_udf("array<struct<start:bigint,length:bigint,rank:bigint,width:int,ids:binary>>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder, seen = Encoder(path, end_id), Counter()
+        width = 2 if len(coder.last) <= 1 << 16 else 4
+        for texts in batches:
+            rows = []
+            for t in texts:
+                ids = np.frombuffer(coder.encode(t.as_py()), "<u4").astype(f"<u{width}")
+                parts = []
+                for start, length in cut(len(ids), window):
+                    parts.append({"start": start, "length": length, "rank": seen[length], "width": width,
+                                  "ids": ids[start:start + length].tobytes()})
+                    seen[length] += 1
+                rows.append(parts)
+            yield pa.array(rows, type=pa.list_(piece))
+
+    coded = small_batches(docs).select(F.spark_partition_id().alias("task"),
+                                       encode(F.col(text_col).cast("string")).alias("_pieces"))
+    return coded.select("task", F.explode("_pieces").alias("_piece")).select("task", "_piece.*")
+
+
+def write_matrices(docs: DataFrame, out: str, path: str, text_col: str = "text",
+                   window: int = WINDOW, rows: int = ROWS, end_id: int = END_ID,
+                   pad_id: int = PAD_ID, max_broadcast: int = MAX_BROADCAST) -> None:
+    """Encode, cut, pack and write all documents to the folder ``out``.
+
+    The counts per (length, task) join by broadcast up to ``max_broadcast``
+    rows, and by a shuffle of the pieces beyond."""
+    spark = docs.sparkSession
+    folder = scratch_path(spark, "id-pieces")
+    ranked_pieces(docs, path, text_col, window, end_id).write.option("compression", "zstd").parquet(folder)
+    cuts = spark.read.parquet(folder)
+    starts, place = plan_ranks(cuts.groupBy("length", "task").agg(F.count("*").alias("_n")), "task", window)
+    small = starts.count() <= max_broadcast
+    placed = cuts.join(F.broadcast(starts) if small else starts, ["length", "task"]).withColumn(
+        "_place", place("length", (F.col("rank") + F.col("_before")).cast("long")))
+    packed = matrices(placed.select("start", "width", "ids", "_place.*"), window, rows, pad_id)
+    packed.write.mode("overwrite").option("compression", "zstd").parquet(out)
 
 
 def read_sequences(written: DataFrame) -> DataFrame:

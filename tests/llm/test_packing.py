@@ -97,10 +97,12 @@ def test_packed_documents(spark):
         lengths, packing.WINDOW)
 
 
-def test_matrices_round_trip(spark):
-    docs = small(spark).select("doc_id", "text")
+@pytest.mark.parametrize("max_broadcast", [matrices.MAX_BROADCAST, 0])
+def test_matrices_round_trip(spark, max_broadcast):
+    docs = small(spark).select("doc_id", "text").repartition(3)
     out = scratch_path(spark, "test-matrices")
-    matrices.write_matrices(docs, out, packing.tokenizer_path(), window=512, rows=8, pad_id=9)
+    matrices.write_matrices(docs, out, packing.tokenizer_path(), window=512, rows=8, pad_id=9,
+                            max_broadcast=max_broadcast)
     written = spark.read.parquet(out)
     for m in written.collect():
         ids = np.frombuffer(m.ids, "<u4").reshape(m.n_rows, 512)
