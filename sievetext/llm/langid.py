@@ -223,8 +223,8 @@ def _pair_gradient(scores, labels, lengths, transitions):
 def fit(texts: list[str], labels: list[str], steps: int = 30, rate: float = 0.2, l2: float = 1e-6,
         size: int = 24, seed: int = 7) -> Field:
     """A field from labelled texts, by full-batch Adam on the likelihood of
-    word labels in sequences of ``size`` words; half of the sequences switch
-    language somewhere inside."""
+    word labels in sequences of up to ``size`` words; half of the sequences go
+    on with words of another text.  Short texts and remainders are sequences too."""
     languages = sorted(set(labels))
     k = len(languages)
     featurize, rng = Featurizer(), np.random.default_rng(seed)
@@ -233,7 +233,7 @@ def fit(texts: list[str], labels: list[str], steps: int = 30, rate: float = 0.2,
     label = np.array([code[v] for v in labels], np.int64)[words.text] if len(words.text) else np.zeros(0, np.int64)
     lexicon = np.full(1 << LEXICON_BITS, -1, np.int16)
     field = Field(languages, np.zeros(((1 << BITS) + k + 1, k), np.float32), lexicon, np.zeros((k, k)))
-    if k < 2 or len(label) < size:
+    if k < 2 or not len(label):
         return field
     # Lexicon: words seen three times or more, nine in ten of them in one language.
     slot = _slot(words.key, LEXICON_BITS)
@@ -242,15 +242,29 @@ def fit(texts: list[str], labels: list[str], steps: int = 30, rate: float = 0.2,
     best = share.argmax(axis=1)
     sure = (seen.sum(axis=1) >= 3) & (share.max(axis=1) >= 0.9 * share.sum(axis=1))
     lexicon[sure] = best[sure]
-    # Sequences: two stretches of `size` words whose texts differ, cut at random.
-    start = np.arange(0, len(label) - size, size)
-    start = start[words.text[start] == words.text[start + size - 1]]
-    if not len(start):
-        return field
-    other = rng.permutation(start)
-    cut = np.where(rng.random(len(start)) < 0.5, size, rng.integers(3, size - 2, len(start)))
-    inside = np.arange(size)
-    chosen = np.where(inside < cut[:, None], start[:, None] + inside, other[:, None] + inside).ravel()
+    # Sequences: the texts in runs of up to `size` words; half of the runs, cut
+    # at random where long enough, go on with the end of another run.
+    first = np.flatnonzero(np.append(True, words.text[1:] != words.text[:-1]))
+    count = np.diff(np.append(first, len(label)))
+    runs = -(-count // size)
+    nth = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
+    start = np.repeat(first, runs) + nth * size
+    length = np.minimum(size, np.repeat(first + count, runs) - start)
+    other = rng.permutation(len(start))
+    switch = rng.random(len(start)) < 0.5
+    cut = rng.integers(3, np.maximum(4, length - 2))
+    head = np.where(switch & (length > 5), cut, length)
+    tail = np.where(switch, np.minimum(length[other], size - head), 0)
+    rest = (start + length)[other] - tail
+    # Equally long sequences lie together.
+    order = np.argsort(head + tail, kind="stable")
+    start, head, tail, rest = (x[order] for x in (start, head, tail, rest))
+    lengths = head + tail
+    inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    chosen = inside + np.where(inside < np.repeat(head, lengths), np.repeat(start, lengths),
+                               np.repeat(rest - head, lengths))
+    group = np.searchsorted(lengths, np.unique(lengths))
+    edges = np.append(np.append(0, np.cumsum(lengths))[group], len(chosen))
     y = label[chosen]
     # Features of the chosen words as (feature, word) pairs.
     _, chars, ends = words.slots(chosen)
@@ -265,10 +279,13 @@ def fit(texts: list[str], labels: list[str], steps: int = 30, rate: float = 0.2,
     w, tr = np.zeros((len(used), k)), np.zeros((k, k))
     m1, v1, m2, v2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(tr), np.zeros_like(tr)
     onehot = np.eye(k)[y]
-    lengths = np.full(len(start), size)
+    p = np.empty((len(chosen), k))
     for step in range(1, steps + 1):
         scores = np.add.reduceat(w[feature], begin, axis=0)
-        p, pairs = _pair_gradient(scores, y, lengths, tr)
+        pairs = np.zeros((k, k))
+        for at, a, b in zip(group, edges, edges[1:], strict=False):
+            p[a:b], part = _pair_gradient(scores[a:b], y[a:b], lengths[at:], tr)
+            pairs += part
         g = (p - onehot) / len(start)
         grad = np.stack([np.bincount(feature, weights=g[owner, i], minlength=len(used))
                          for i in range(k)], axis=1) + l2 * w

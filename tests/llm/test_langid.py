@@ -114,3 +114,23 @@ def test_long_text_equals_its_parts_grouping():
     single = [langid.label_texts(field, langid.Featurizer(), [t])[0] for t in texts]
     assert [w["lang"] for w in whole] == [s["lang"] for s in single]
     assert np.allclose([w["score"] for w in whole], [s["score"] for s in single], atol=1e-5)
+
+
+def _short(words, n, seed):
+    rng = np.random.default_rng(seed)
+    return [" ".join(rng.choice(words, rng.integers(3, 21))) for _ in range(n)]
+
+
+def test_languages_of_short_texts():
+    en = "the cat sat on a mat and then it went out into rain with some old friends".split()
+    de = "der hund und die katze im haus sind nicht mehr da weil es regnet heute".split()
+    ja = "今日は 天気が いいです 明日も また 会いましょう 駅まで 歩いて 行きます".split()
+    short = [t for v in (de, ja) for t in _short(v, 40, 1)]
+    names = ["de"] * 40 + ["ja"] * 40
+    test = [t for v in (en, de, ja) for t in _short(v, 10, 2)]
+    want = ["en"] * 10 + ["de"] * 10 + ["ja"] * 10
+    # English has only long texts, then only short ones as the others have.
+    for texts in ([" ".join(_short(en, 60, 3))] * 3, _short(en, 40, 3)):
+        field = langid.fit(texts + short, ["en"] * len(texts) + names)
+        got = langid.label_texts(field, langid.Featurizer(), test)
+        assert [g["lang"] for g in got] == want
