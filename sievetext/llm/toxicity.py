@@ -4,10 +4,12 @@ A document is a bag of sentences.  Each sentence has a logistic score over its
 words; a document is toxic if any sentence is, so its score is the noisy-or of
 the sentence scores.  Only document labels train the sentence weights.
 
-The model is fitted on the driver over a bounded sample of labelled documents
-(of ``SAMPLE_DOCS`` ids, the least by a hash, those whose whole text has at most
-``SAMPLE_CHARS`` characters); it is a table of word weights and
-serves all documents, whole texts, in place.  Documents are not shuffled.
+The model is fitted on the driver over a bounded sample of labelled documents:
+``SAMPLE_DOCS`` of them, half of each class where there are so many, the least
+by a hash, as far as their whole texts stay within ``SAMPLE_CHARS`` characters
+in all.  The bias is then corrected for the classes' sampling rates.  The model
+is a table of word weights and serves all documents, whole texts, in place.
+Documents are not shuffled; their ids and lengths meet the labels.
 
 Defined cases: null and empty texts, and texts without words, have no sentence
 and score 0; documents with several label rows count once per row in training;
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, without
+from ..session import materialize
+from .common import BLOCK_CHARS, crc_mod, small_batches, without
 
 SAMPLE_DOCS = 6000
-SAMPLE_CHARS = 30_000
+SAMPLE_CHARS = BLOCK_CHARS
 MIN_DOCS = 5
 STEMS = (4, 5, 6)
 CACHE_WORDS = 200_000
@@ -156,17 +160,54 @@ def fit(bags: list[list[list[bytes]]], labels: list[int], min_docs: int = MIN_DO
     return Model({w: float(theta[k]) for w, k in vocab.items() if keep[k]}, float(theta[-1]))
 
 
+def sample_places(clean: list[int], toxic: list[int], docs: int, chars: int) -> tuple[list[int], list[int]]:
+    """Which texts of both classes, given their lengths in sample order, fill
+    ``docs`` places and ``chars`` characters: either class may use half of both,
+    and what the other leaves.  A text that no longer fits is passed over."""
+    def fill(lengths: list[int], other: list[int], used: int, part: int = 1) -> list[int]:
+        out, space = [], chars // part - used
+        for k, n in enumerate(lengths):
+            if len(out) >= docs // part - len(other):
+                break
+            if n <= space:
+                out.append(k)
+                space -= n
+        return out
+
+    half = fill(toxic, [], 0, 2)
+    picked = fill(clean, half, sum(toxic[k] for k in half))
+    return picked, fill(toxic, picked, sum(clean[k] for k in picked))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
-          held_out: int = HELD_OUT) -> Model:
+          held_out: int = HELD_OUT, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Model from labelled documents whose crc32(id) is not 0 modulo ``held_out``."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()
                           & (crc_mod("doc_id", held_out) != 0))
-    chosen = (usable.select("doc_id", F.col("toxic").cast("int").alias("label"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_docs))
-    rows = (docs.select("doc_id", F.col("text").alias("body"))
-            .where(F.length("body") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
-            .orderBy("doc_id", "label", "body").collect())
-    return fit([sentences(r["body"]) for r in rows], [r["label"] for r in rows])
+    # Only labelled documents that have words take places.
+    bodies = docs.select("doc_id", F.col("text").alias("body")).where(
+        F.col("body").rlike("[0-9A-Za-z]|[^\x00-\x7F]")).withColumn("hash", F.xxhash64("body"))
+    found = materialize(
+        bodies.select("doc_id", "hash", F.length("body").alias("chars"))
+        .join(usable.select("doc_id", F.col("toxic").cast("int").alias("label")), "doc_id"), "labelled")
+    rank = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.col("hash")]
+    clean, toxic = (found.where((F.col("label") > 0) == F.lit(c)).orderBy(*rank).limit(sample_docs).collect()
+                    for c in (False, True))
+    kept = sample_places([r["chars"] for r in clean], [r["chars"] for r in toxic], sample_docs, sample_chars)
+    copies = Counter((r[k]["doc_id"], r[k]["hash"], r[k]["label"])
+                     for r, picked in zip((clean, toxic), kept, strict=True) for k in picked)
+    chosen = docs.sparkSession.createDataFrame(
+        sorted({c[:2] for c in copies}), found.select("doc_id", "hash").schema)
+    texts = {(r["doc_id"], r["hash"]): sentences(r["body"])
+             for r in bodies.join(F.broadcast(chosen), ["doc_id", "hash"])
+             .dropDuplicates(["doc_id", "hash"]).collect()}
+    rows = [(texts[c[:2]], c[2]) for c, n in sorted(copies.items()) for _ in range(n)]
+    model = fit([bag for bag, _ in rows], [label for _, label in rows])
+    if all(kept):
+        # The classes were sampled at different rates; the odds go back to the labels'.
+        n = {r["y"]: r["count"] for r in found.groupBy((F.col("label") > 0).alias("y")).count().collect()}
+        model.bias += math.log(len(kept[0]) / n[False]) - math.log(len(kept[1]) / n[True])
+    return model
 
 
 _RESULT = pa.struct([("score", pa.float64()), ("sentences", pa.list_(pa.struct([

@@ -68,3 +68,36 @@ def test_scores_of_awkward_rows(spark, awkward):
     assert len(got) == len(ROWS) and all(r.pii == "x" for r in got)
     for r in got:
         assert r.toxicity.score == pytest.approx(model.score(texts[r.doc_id]))
+
+
+def test_rare_class_stays_in_the_sample(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(3000):
+        bag = [" ".join(f"w{rng.randrange(200)}" for _ in range(8)) for _ in range(rng.randint(1, 6))]
+        if i % 150 == 0:
+            bag.append("you scumbag you")
+        rows.append((i, ". ".join(bag)))
+        labels.append((i, int(i % 150 == 0)))
+    labels += [(-i, 0) for i in range(1, 3000)]  # without documents
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample_docs=120)
+    got = {i: model.score(t) >= 0.5 for i, t in rows}
+    assert all(got[i] for i in range(0, 3000, 150)) and sum(got.values()) <= 25
+
+
+def test_long_documents_train_and_repeated_rows_count(spark):
+    long = ". ".join(["river mill gate"] * 3000)
+    rows = [(i, long + (". scumbag" if i % 2 else "")) for i in range(60)] * 2
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert len(long) > 30_000 and model.score(long) < 0.5 <= model.score(long + ". scumbag")
+
+
+def test_sample_places():
+    assert toxicity.sample_places([5] * 9, [5] * 9, 6, 1000) == ([0, 1, 2], [0, 1, 2])
+    assert toxicity.sample_places([5] * 9, [5], 6, 1000) == ([0, 1, 2, 3, 4], [0])
+    assert toxicity.sample_places([5], [5] * 9, 6, 1000) == ([0], [0, 1, 2, 3, 4])
+    clean, toxic = toxicity.sample_places([40, 9, 200, 8], [70, 30, 90], 100, 100)
+    assert (clean, toxic) == ([0, 1, 3], [1])
