@@ -10,7 +10,8 @@ matrix of ``rows`` consecutive windows, which is written as one row with
 * ``cu_seqlens``: cumulative segment lengths of all its windows, from 0, one
   list of ``n_rows`` runs; ``row_segments`` has the number of segments per row;
 * ``position_resets``: where in a row each segment starts, so position ids
-  count from 0 there; ``doc_starts`` has the segment's place in its document.
+  count from 0 there; ``doc_starts`` has the segment's place in its document,
+  and a list per key column (``doc_id``: ``doc_ids``) says which document that is.
 
 Spark's writer commits whole task outputs, so a lost executor leaves no half
 matrix behind.  Defined cases: as for packing; an empty table writes no matrix.
@@ -25,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 from .common import small_batches
@@ -44,14 +47,22 @@ _DDL = ("matrix_id bigint, n_rows int, window int, ids binary, row_segments arra
         "cu_seqlens array<int>, position_resets array<int>, doc_starts array<bigint>")
 
 
-def _matrix(matrix: int, segments: list[tuple], window: int, rows: int, pad_id: int) -> dict:
-    """One matrix from its segments ``(sequence, offset, start, id bytes, ids)``
-    in order."""
+def _key_lists(schema: StructType, keys: list[str]) -> tuple[list[pa.Field], str]:
+    """Arrow fields and DDL of the lists of key values, one per key column."""
+    types = [schema[k].dataType for k in keys]
+    return ([pa.field(f"{k}s", pa.list_(to_arrow_type(t))) for k, t in zip(keys, types, strict=True)],
+            "".join(f", `{k}s` array<{t.simpleString()}>" for k, t in zip(keys, types, strict=True)))
+
+
+def _matrix(matrix: int, segments: list[tuple], window: int, rows: int, pad_id: int,
+            keys: list[str]) -> dict:
+    """One matrix from its segments ``(sequence, offset, start, id width, ids,
+    *key values)`` in order."""
     last = segments[-1][0] - matrix * rows
     ids = np.full((last + 1, window), pad_id, "<u4")
     row_segments, cu, resets, starts = [0] * (last + 1), [], [], []
     row = -1
-    for sequence, offset, start, width, raw in segments:
+    for sequence, offset, start, width, raw, *_ in segments:
         r = sequence - matrix * rows
         part = np.frombuffer(raw, f"<u{width}")
         ids[r, offset:offset + len(part)] = part
@@ -63,13 +74,21 @@ def _matrix(matrix: int, segments: list[tuple], window: int, rows: int, pad_id:
         resets.append(offset)
         starts.append(start)
     return {"matrix_id": matrix, "n_rows": last + 1, "window": window, "ids": ids.tobytes(),
-            "row_segments": row_segments, "cu_seqlens": cu, "position_resets": resets, "doc_starts": starts}
-
-
-def matrices(placed: DataFrame, window: int = WINDOW, rows: int = ROWS, pad_id: int = PAD_ID) -> DataFrame:
-    """Matrices of placed pieces with their ids; a task holds one at a time."""
+            "row_segments": row_segments, "cu_seqlens": cu, "position_resets": resets, "doc_starts": starts,
+            **{f"{k}s": [v[5 + i] for v in segments] for i, k in enumerate(keys)}}
+
+
+def matrices(placed: DataFrame, window: int = WINDOW, rows: int = ROWS, pad_id: int = PAD_ID,
+             keys: list[str] | None = None) -> DataFrame:
+    """Matrices of placed pieces with their ids, and their keys in the columns
+    ``_key0``, ``_key1``, ..; a task holds one at a time."""
+    keys = keys or ["doc_id"]
+    own = [f"_key{i}" for i in range(len(keys))]
+    named = StructType([type(f)(k, f.dataType) for k, f in zip(keys, (placed.schema[c] for c in own), strict=True)])
+    fields, ddl = _key_lists(named, keys)
+    schema = pa.schema([*_SCHEMA, *fields])
     moved = (placed.select((F.col("sequence_id") / rows).cast("long").alias("matrix"),
-                           "sequence_id", "offset", "start", "width", "ids")
+                           "sequence_id", "offset", "start", "width", "ids", *own)
              .repartition("matrix").sortWithinPartitions("matrix", "sequence_id", "offset"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,19 +98,20 @@ def matrices(placed: DataFrame, window: int = WINDOW, rows: int = ROWS, pad_id:
                 if r[0] != now:
                     if segments:
                         yield pa.RecordBatch.from_pylist(
-                            [_matrix(now, segments, window, rows, pad_id)], schema=_SCHEMA)
+                            [_matrix(now, segments, window, rows, pad_id, keys)], schema=schema)
                     now, segments = r[0], []
                 segments.append(r[1:])
         if segments:
-            yield pa.RecordBatch.from_pylist([_matrix(now, segments, window, rows, pad_id)], schema=_SCHEMA)
+            yield pa.RecordBatch.from_pylist([_matrix(now, segments, window, rows, pad_id, keys)], schema=schema)
 
-    return moved.mapInArrow(run, _DDL)
+    return moved.mapInArrow(run, _DDL + ddl)
 
 
 def ranked_pieces(docs: DataFrame, path: str, text_col: str = "text", window: int = WINDOW,
-                  end_id: int = END_ID) -> DataFrame:
-    """One row per piece: ``task``, ``start``, ``length``, ``rank`` among the
-    task's pieces of that length, and the ids in ``width`` bytes each."""
+                  end_id: int = END_ID, keys: list[str] | None = None) -> DataFrame:
+    """One row per piece: ``task``, the key columns as ``_key0``, ``_key1``, ..,
+    ``start``, ``length``, ``rank`` among the task's pieces of that length, and
+    the ids in ``width`` bytes each."""
     piece = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("rank", pa.int64()),
                        ("width", pa.int32()), ("ids", pa.binary())])
 
@@ -111,37 +131,48 @@ def ranked_pieces(docs: DataFrame, path: str, text_col: str = "text", window: in
                 rows.append(parts)
             yield pa.array(rows, type=pa.list_(piece))
 
-    coded = small_batches(docs).select(F.spark_partition_id().alias("task"),
+    named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys or ["doc_id"])]
+    coded = small_batches(docs).select(F.spark_partition_id().alias("task"), *named,
                                        encode(F.col(text_col).cast("string")).alias("_pieces"))
-    return coded.select("task", F.explode("_pieces").alias("_piece")).select("task", "_piece.*")
+    own = [c for c in coded.columns if c != "_pieces"]
+    return coded.select(*own, F.explode("_pieces").alias("_piece")).select(*own, "_piece.*")
 
 
 def write_matrices(docs: DataFrame, out: str, path: str, text_col: str = "text",
                    window: int = WINDOW, rows: int = ROWS, end_id: int = END_ID,
-                   pad_id: int = PAD_ID, max_broadcast: int = MAX_BROADCAST) -> None:
-    """Encode, cut, pack and write all documents to the folder ``out``.
+                   pad_id: int = PAD_ID, max_broadcast: int = MAX_BROADCAST,
+                   keys: list[str] | None = None) -> None:
+    """Encode, cut, pack and write all documents to the folder ``out``; ``keys``
+    (``doc_id``) tell the documents apart.
 
     The counts per (length, task) join by broadcast up to ``max_broadcast``
     rows, and by a shuffle of the pieces beyond."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "id-pieces")
-    ranked_pieces(docs, path, text_col, window, end_id).write.option("compression", "zstd").parquet(folder)
+    keys = keys or ["doc_id"]
+    ranked_pieces(docs, path, text_col, window, end_id, keys).write.option("compression", "zstd").parquet(folder)
     cuts = spark.read.parquet(folder)
     starts, place = plan_ranks(cuts.groupBy("length", "task").agg(F.count("*").alias("_n")), "task", window)
     small = starts.count() <= max_broadcast
     placed = cuts.join(F.broadcast(starts) if small else starts, ["length", "task"]).withColumn(
         "_place", place("length", (F.col("rank") + F.col("_before")).cast("long")))
-    packed = matrices(placed.select("start", "width", "ids", "_place.*"), window, rows, pad_id)
+    own = [f"_key{i}" for i in range(len(keys))]
+    packed = matrices(placed.select("start", "width", "ids", *own, "_place.*"), window, rows, pad_id, keys)
     packed.write.mode("overwrite").option("compression", "zstd").parquet(out)
 
 
 def read_sequences(written: DataFrame) -> DataFrame:
     """One row per window of written matrices: its ids less the padding, segment
-    lengths, position resets and the segments' places in their documents."""
+    lengths, position resets, the segments' places in their documents and the
+    documents' keys."""
+    lists = [f for f in written.schema if f.name not in _SCHEMA.names]
+    keys = [f.name for f in lists]
     schema = pa.schema([("sequence_row", pa.int32()), ("matrix_id", pa.int64()), ("ids", pa.binary()),
-                        ("cu_seqlens", _INTS), ("position_resets", _INTS), ("doc_starts", pa.list_(pa.int64()))])
+                        ("cu_seqlens", _INTS), ("position_resets", _INTS), ("doc_starts", pa.list_(pa.int64())),
+                        *((f.name, to_arrow_type(f.dataType)) for f in lists)])
     ddl = ("sequence_row int, matrix_id bigint, ids binary, cu_seqlens array<int>, "
-           "position_resets array<int>, doc_starts array<bigint>")
+           "position_resets array<int>, doc_starts array<bigint>"
+           + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in lists))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +184,8 @@ def read_sequences(written: DataFrame) -> DataFrame:
                     out.append({"sequence_row": r, "matrix_id": m["matrix_id"],
                                 "ids": ids[r, :cu[-1]].tobytes(), "cu_seqlens": cu,
                                 "position_resets": m["position_resets"][seg:seg + n],
-                                "doc_starts": m["doc_starts"][seg:seg + n]})
+                                "doc_starts": m["doc_starts"][seg:seg + n],
+                                **{k: m[k][seg:seg + n] for k in keys}})
                     at, seg = at + n + 1, seg + n
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -174,4 +206,5 @@ def matrix_digest(docs: DataFrame, rows: int = ROWS) -> DataFrame:
         F.crc32("ids").alias("ids_crc32"),
         F.array_join(F.transform("cu_seqlens", lambda v: v.cast("string")), ",").alias("cu_seqlens"),
         F.array_join(F.transform("position_resets", lambda v: v.cast("string")), ",").alias("position_resets"),
-        F.array_join(F.transform("doc_starts", lambda v: v.cast("string")), ",").alias("doc_starts"))
+        F.array_join(F.transform("doc_starts", lambda v: v.cast("string")), ",").alias("doc_starts"),
+        F.array_join(F.transform("doc_ids", lambda v: v.cast("string")), ",", "null").alias("doc_ids"))

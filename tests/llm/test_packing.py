@@ -124,3 +124,37 @@ def test_matrices_round_trip(spark, max_broadcast):
         for start, n in packing.cut(len(ids), 512):
             want[(start, np.array(ids[start:start + n], "<u4").tobytes())] += 1
     assert got == want
+
+
+def test_documents_are_rebuilt_from_their_own_segments(spark):
+    rows = [(r.doc_id, r.text) for r in small(spark).collect()]
+    # Long documents of one length, whose windows have the same starts.
+    rows += [(10**6 + k, f"word{k} and more of it " * 400) for k in range(5)] + [(None, "a row without an id " * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = scratch_path(spark, "test-rebuilt")
+    matrices.write_matrices(docs, out, packing.tokenizer_path(), window=512, rows=8)
+    parts = {}
+    for r in matrices.read_sequences(spark.read.parquet(out)).collect():
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(r.doc_ids) == len(r.doc_starts)
+        for a, b, start, doc in zip(r.cu_seqlens, r.cu_seqlens[1:], r.doc_starts, r.doc_ids, strict=False):
+            assert parts.setdefault(doc, {}).setdefault(start, ids[a:b]) is not None
+    got = {doc: [v for s in sorted(found) for v in found[s]] for doc, found in parts.items()}
+    assert got == dict(zip([i for i, _ in rows], direct([t for _, t in rows]), strict=True))
+
+
+def test_other_key_columns(spark):
+    docs = spark.createDataFrame([("x", 1, "one two"), ("x", 2, "three"), (None, 1, "")],
+                                 "start string, length int, body string")
+    out = scratch_path(spark, "test-keys")
+    matrices.write_matrices(docs, out, packing.tokenizer_path(), text_col="body", window=8, keys=["start", "length"])
+    found = matrices.read_sequences(spark.read.parquet(out)).collect()
+    assert sorted((str(a), b) for r in found for a, b in zip(r.starts, r.lengths, strict=True)) == [
+        ("None", 1), ("x", 1), ("x", 2)]
+
+
+def test_digest_names_the_documents(spark):
+    ids = {r.doc_id for r in small(spark).collect()}
+    rows = matrices.matrix_digest(small(spark)).collect()
+    assert {int(v) for r in rows for v in r.doc_ids.split(",")} == ids
+    assert all(len(r.doc_ids.split(",")) == r.n_segments for r in rows)
