@@ -53,3 +53,22 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"),
                                                  s["end"].cast("string"))), ",")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lower_sql(column: str) -> str:
+    """DuckDB SQL: A-Z of a text column in lower case, null as the empty text."""
+    return f"translate(coalesce({column}, ''), '{UPPER}', '{LOWER}')"
+
+
+def crc_sql(column: str) -> str:
+    """DuckDB SQL: crc32 of a key as (ASCII) text, bit by bit; null keys count as
+    the empty text."""
+    return f"""xor(list_reduce(
+    list_prepend(cast(4294967295 as ubigint), list_transform(
+      list_filter(string_split(coalesce(cast({column} as varchar), ''), ''), lambda c: c <> ''),
+      lambda c: cast(ascii(c) as ubigint))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), cast([0, 0, 0, 0, 0, 0, 0, 0] as ubigint[])),
+      lambda x, y: xor(x >> 1, cast(3988292384 as ubigint) * (x & 1)))), cast(4294967295 as ubigint))"""

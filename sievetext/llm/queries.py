@@ -3,8 +3,8 @@ whole tables, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from . import (chat, decontaminate, langid, matrices, packing, pii, quality, secrets, simhash,
-               toxicity)
+from . import (chat, collocations, decontaminate, langid, matrices, merkle, ngrams, packing, pii,
+               quality, secrets, simhash, toxicity)
 from .common import table
 
 
@@ -49,12 +49,28 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocation_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark, sf_dir):
+    return merkle.manifest_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_lm_scoring(spark, sf_dir):
+    return ngrams.score_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_pii, op3_language_id, op4_quality_rules, op5_simhash, op6_decontaminate,
-    op7_secrets, op8_toxicity, op9_token_matrices, op10_packing)}
+    op7_secrets, op8_toxicity, op9_token_matrices, op10_packing, op11_collocations,
+    op12_merkle, op13_lm_scoring)}
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat.ORACLE_SQL,
     "op4_quality_rules": quality.ORACLE_SQL,
     "op6_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
+    "op12_merkle": merkle.ORACLE_SQL,
+    "op13_lm_scoring": ngrams.ORACLE_SQL,
 }

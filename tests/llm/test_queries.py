@@ -6,7 +6,7 @@ from fixtures import ROWS, TALK
 from sievetext.llm.queries import QUERIES
 
 PER_DOCUMENT = ["op2_pii", "op3_language_id", "op4_quality_rules", "op5_simhash",
-                "op6_decontaminate", "op7_secrets", "op8_toxicity"]
+                "op6_decontaminate", "op7_secrets", "op8_toxicity", "op12_merkle", "op13_lm_scoring"]
 
 
 @pytest.mark.parametrize("name", PER_DOCUMENT)
@@ -50,7 +50,8 @@ def test_stages_keep_the_columns(spark, awkward):
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
 
 
-@pytest.mark.parametrize("name", ["op4_quality_rules", "op6_decontaminate"])
+@pytest.mark.parametrize("name", ["op4_quality_rules", "op6_decontaminate", "op11_collocations", "op12_merkle",
+                                  "op13_lm_scoring"])
 def test_sql_on_awkward_tables(spark, awkward, name):
     import duckdb
 
