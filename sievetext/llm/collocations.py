@@ -107,7 +107,9 @@ class Codes:
     """Codes of words: negative where the block has the word, else its hash."""
 
     def __init__(self, hashes: np.ndarray, codes: np.ndarray):
-        self.hashes, self.codes, self.seeds, self.known = hashes, codes, {}, {}
+        self.hashes, self.codes = hashes, codes
+        self.seeds: dict[str, int] = {}
+        self.known: dict[str, dict[bytes, int]] = {}
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Hashes of this block become negative codes; other numbers stay."""
@@ -119,16 +121,12 @@ class Codes:
     def encode(self, lang: str, body: bytes) -> np.ndarray:
         from xxhash import xxh64_intdigest as digest
 
-        if lang not in self.seeds:
-            self.seeds[lang] = digest(lang.encode(), seed=42)
-            self.known[lang] = {b".": 0}
-        known, found = self.known[lang], words(body)
-        if len(known) > 400_000:
-            known.clear()
-            known[b"."] = 0
+        if sum(map(len, self.known.values())) > 300_000:
+            self.known.clear()
+        known, found = self.known.setdefault(lang, {b".": 0}), words(body)
         new = list(set(found).difference(known))
         if new:
-            seed = self.seeds[lang]
+            seed = self.seeds.setdefault(lang, digest(lang.encode(), seed=42))
             h = np.array([max(digest(w, seed=seed) >> 1, 1) for w in new], dtype=np.int64)
             known.update(zip(new, self.find(h).tolist(), strict=True))
         return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
@@ -365,8 +363,12 @@ def _propose(shared, bits, length: int):
     return run
 
 
+#: States whose counts travel together.
+COUNT_PART = 1 << 16
+
+
 def _count(shared, depth: int):
-    """``(cid, n)``: bin counts of the accepting states."""
+    """Bin counts of a task's states, in parts of :data:`COUNT_PART` states."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
         seen = np.zeros(len(trie.accept), np.int64)
@@ -376,8 +378,30 @@ def _count(shared, depth: int):
                 if len(row):
                     for _, state in trie.walk(row, depth):
                         seen += np.bincount(state, minlength=len(seen))
-        met = np.flatnonzero((seen > 0) & (trie.accept >= 0))
-        yield pa.RecordBatch.from_arrays([pa.array(trie.accept[met]), pa.array(seen[met])], ["cid", "n"])
+        seen[trie.accept < 0] = 0
+        parts = [(k, seen[k:k + COUNT_PART]) for k in range(0, len(seen), COUNT_PART)]
+        parts = [(k, v) for k, v in parts if v.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()),
+                                          pa.array([v.tobytes() for _, v in parts], pa.binary())], ["first", "counts"])
+
+    return run
+
+
+def _sum(shared):
+    """``(cid, n)`` from the parts of all tasks, equal ones next to each other."""
+    def out(first: int, total: np.ndarray) -> pa.RecordBatch:
+        met = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(shared.value.accept[first + met]), pa.array(total[met])], ["cid", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(0, np.int64)
+        for batch in batches:
+            for first, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if first != now:
+                    yield out(now or 0, total)
+                    now, total = first, np.zeros(len(raw) // 8, np.int64)
+                total = total + np.frombuffer(raw, np.int64)
+        yield out(now or 0, total)
 
     return run
 
@@ -390,8 +414,9 @@ def count_phrases(codes: DataFrame, phrases: DataFrame, depth: int, block: int =
         if not len(ids):
             continue
         shared = spark.sparkContext.broadcast(compile_trie(matrix, ids))
-        counts = codes.mapInArrow(_count(shared, depth), "cid bigint, n bigint").groupBy("cid").agg(F.sum("n").alias("n"))
-        counts = materialize(counts, "phrase-counts")
+        parts = codes.mapInArrow(_count(shared, depth), "first bigint, counts binary")
+        summed = parts.repartition("first").sortWithinPartitions("first").mapInArrow(_sum(shared), "cid bigint, n bigint")
+        counts = materialize(summed, "phrase-counts")
         shared.unpersist()
         out = counts if out is None else out.unionByName(counts)
     return out if out is not None else spark.createDataFrame([], "cid bigint, n bigint")
@@ -486,9 +511,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
 
 def collocation_digest(docs: DataFrame, top: int = TOP) -> DataFrame:
-    """The rows of the registered query: each language's first ``top``."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = collocations(docs.select("lang", "text")).withColumn("rank", F.row_number().over(order))
+    """The rows of the registered query: each language's first ``top``, which are
+    among the first of its parts by hash."""
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    found = collocations(docs.select("lang", "text")).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best)))
+    ranked = found.where(F.col("rank") <= top).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)))
     return ranked.where(F.col("rank") <= top).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 

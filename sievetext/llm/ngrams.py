@@ -44,8 +44,8 @@ from ..session import materialize, scratch_path
 from .common import crc_mod, crc_sql, lower_sql, small_batches
 
 ORDER = 2
-BLOCK_TOKENS = 2_000_000
-SHARD_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
+SHARD_TOKENS = 3_000_000
 BEGIN, END = 1, 2
 ASK, CONTINUED, CONTEXT = 0, 1, 2
 REPLY, STATS = 0, 3
@@ -57,17 +57,76 @@ _GAPS = (0.5, 1.0, 1.5)
 
 # --- arrays ------------------------------------------------------------------
 
+def _planes(column: np.ndarray) -> bytes:
+    """First bytes of all entries, then second bytes, and so on: small numbers
+    leave planes of zeros."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+
+
+def _coded(column: np.ndarray) -> bytes:
+    """A column of 8 bytes an entry: sorted ones by their steps, others by a
+    sorted list of their values where these recur, else as they are."""
+    column = np.ascontiguousarray(column).view(np.uint64)
+    if (column[1:] >= column[:-1]).all():
+        return b"s" + _planes(np.diff(column, prepend=np.uint64(0)))
+    values, at, times = np.unique(column, return_inverse=True, return_counts=True)
+    if 4 * len(values) > 3 * len(column) or int(values[-1]) < 1 << 32:
+        return b"p" + _planes(column)
+    # Frequent values take small numbers, equally frequent ones keep their order.
+    order = np.argsort(-times, kind="stable")
+    number = np.empty(len(values), np.int64)
+    number[order] = np.arange(len(values))
+    return b"v" + len(values).to_bytes(8, "little") + _planes(np.diff(values, prepend=np.uint64(0))) + _planes(
+        times.astype(np.int64)) + _planes(number[at])
+
+
+def _decoded(raw: bytes, n: int) -> np.ndarray:
+    kind, raw = raw[:1], raw[1:]
+    if kind == b"s":
+        return np.cumsum(_from_planes(raw, n), dtype=np.uint64)
+    if kind == b"p":
+        return _from_planes(raw, n)
+    k = int.from_bytes(raw[:8], "little")
+    values = np.cumsum(_from_planes(raw[8:8 + 8 * k], k), dtype=np.uint64)
+    times = _from_planes(raw[8 + 8 * k:8 + 16 * k], k).view(np.int64)
+    order = np.argsort(-times, kind="stable")
+    return values[order][_from_planes(raw[8 + 16 * k:], n).view(np.int64)]
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Columns of one length and 8 bytes an entry, compressed."""
-    raw = b"".join(np.ascontiguousarray(a).view(np.int64).tobytes() for a in arrays)
+    coded = [_coded(a) for a in arrays]
+    raw = b"".join([len(arrays[0]).to_bytes(8, "little"), *[len(c).to_bytes(8, "little") for c in coded], *coded])
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
 
 
 def unpack(data: bytes, columns: int) -> np.ndarray:
     """The columns of :func:`pack` as rows of an int64 matrix."""
-    size = int.from_bytes(data[:8], "little")
-    raw = pa.Codec("zstd").decompress(data[8:], size, asbytes=True) if size else b""
-    return np.frombuffer(raw, np.int64).reshape(columns, -1)
+    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    n, *sizes = (int.from_bytes(raw[8 * k:8 * k + 8], "little") for k in range(columns + 1))
+    out, at = np.empty((columns, n), np.int64), 8 * (columns + 1)
+    for row, size in zip(out, sizes, strict=True):
+        row[:] = _decoded(raw[at:at + size], n).view(np.int64)
+        at += size
+    return out
+
+
+def unpack_values(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The one column of :func:`pack`: its values, sorted, and the place of each
+    entry among them."""
+    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    n, kind, raw = int.from_bytes(raw[:8], "little"), raw[16:17], raw[17:]
+    if kind != b"v":
+        return np.unique(_decoded(kind + raw, n), return_inverse=True)
+    k = int.from_bytes(raw[:8], "little")
+    times = _from_planes(raw[8 + 8 * k:8 + 16 * k], k).view(np.int64)
+    order = np.argsort(-times, kind="stable")
+    return (np.cumsum(_from_planes(raw[8:8 + 8 * k], k), dtype=np.uint64),
+            order[_from_planes(raw[8 + 16 * k:], n).view(np.int64)])
 
 
 def mapped(parts: Iterable[np.ndarray], dtype) -> np.ndarray:
@@ -132,11 +191,10 @@ class Grams:
     """Distinct grams of a block per order, up to ``top``, each order sorted by
     the numbers of its beginning and its end among the grams one shorter."""
 
-    def __init__(self, block: np.ndarray, lengths: np.ndarray, train: np.ndarray, top: int):
+    def __init__(self, hashes: np.ndarray, at: np.ndarray, lengths: np.ndarray, train: np.ndarray, top: int):
         self.starts = np.append(0, np.cumsum(lengths))[:-1]
-        self.within = np.arange(len(block)) - np.repeat(self.starts, lengths)
+        self.within = np.arange(len(at)) - np.repeat(self.starts, lengths)
         trained = np.repeat(train, lengths)
-        hashes, at = np.unique(block, return_inverse=True)
         counted = trained & (self.within > 0)
         self.levels = [Level(hashes, np.bincount(at[counted], minlength=len(hashes)), hashes == BEGIN, at)]
         for k in range(2, top + 1):
@@ -145,7 +203,7 @@ class Grams:
             key = low.at[here - 1] * len(low.hashes) + low.at[here]
             key, inverse = np.unique(key, return_inverse=True)
             prefix, suffix = np.divmod(key, len(low.hashes))
-            at = np.full(len(block), -1, np.int64)
+            at = np.full(len(at), -1, np.int64)
             at[here] = inverse
             counts = np.bincount(inverse[trained[here]], minlength=len(key))
             self.levels.append(Level(mix(low.hashes[prefix], low.hashes[suffix]), counts, low.opens[prefix], at,
@@ -167,7 +225,7 @@ def blocks(docs: DataFrame, keys: list[str], text_col: str, train_col: str, size
         whole = pa.chunked_array(kept).combine_chunks()
         lists = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
         return pa.RecordBatch.from_arrays(
-            [lists, *[pa.array([v.tobytes()], pa.binary()) for v in (np.concatenate(parts), lengths, np.array(train, bool))],
+            [lists, pa.array([pack(np.concatenate(parts))], pa.binary()), *[pa.array([v.tobytes()], pa.binary()) for v in (lengths, np.array(train, bool))],
              pa.array([int(lengths.sum())])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +259,7 @@ def blocks(docs: DataFrame, keys: list[str], text_col: str, train_col: str, size
 
 
 def _grams(row: dict, top: int) -> Grams:
-    return Grams(np.frombuffer(row["tokens"], np.uint64), np.frombuffer(row["lengths"], np.int64),
+    return Grams(*unpack_values(row["tokens"]), np.frombuffer(row["lengths"], np.int64),
                  np.frombuffer(row["train"], bool), top)
 
 
@@ -266,18 +324,25 @@ def answer(shard: int, rows: list[tuple[int, int, bytes]], level: int, order: in
     def parts(data):
         *ends, counts = unpack(data, width)
         ends = [e.view(np.uint64) for e in ends]
-        return (ends[0] if level == 1 else mix(*ends)), ends, counts
+        return (ends[0] if level == 1 else mix(*ends)), ends if level > 1 else [], counts
 
-    every = mapped((parts(d)[0] for _, d in asked), np.uint64)
-    model = mapped([np.unique(every)], np.uint64)  # the shard's sorted gram hashes
-    del every
+    every, back = np.unique(np.concatenate([parts(d)[0] for _, d in asked]), return_inverse=True)
+    model = mapped([every], np.uint64)  # the shard's sorted gram hashes
+    places = mapped([back], np.int64)  # of all entries asked for, block by block
+    del every, back
     raw = np.zeros(len(model), np.int64)
     ends_of = [mapped([np.zeros(len(model), np.uint64)], np.uint64) for _ in range(0 if level == 1 else 2)]
-    for _, data in asked:
-        hashes, ends, counts = parts(data)
-        at = np.searchsorted(model, hashes)
+
+    def placed():
+        first = 0
+        for source, data in asked:
+            _, ends, counts = parts(data)
+            yield source, places[first:first + len(counts)], ends, counts
+            first += len(counts)
+
+    for _, at, ends, counts in placed():
         raw[at] += counts
-        for own, e in zip(ends_of, ends, strict=False):
+        for own, e in zip(ends_of, ends, strict=True):
             own[at] = e
     counts = raw.copy() if level == order or level > 1 else np.zeros(len(model), np.int64)
     context = np.zeros((4, len(model)), np.int64)
@@ -288,10 +353,8 @@ def answer(shard: int, rows: list[tuple[int, int, bytes]], level: int, order: in
         elif kind == CONTEXT:
             hashes, *sums = unpack(data, 5)
             context[:, np.searchsorted(model, hashes.view(np.uint64))] += np.array(sums)
-    for source, data in asked:
-        hashes, ends, _ = parts(data)
-        at = np.searchsorted(model, hashes)
-        if any((own[at] != e).any() for own, e in zip(ends_of, ends, strict=False)):
+    for source, at, ends, _ in placed():
+        if any((own[at] != e).any() for own, e in zip(ends_of, ends, strict=True)):
             raise ValueError("two n-grams share one 64-bit hash")
         reply = [counts[at]] + ([raw[at]] if level == 1 else []) + (list(context[:, at]) if level < order else [])
         yield _out(REPLY, [(source, pack(*reply))], shard)
@@ -343,6 +406,13 @@ class Counted:
         return np.array([0.0] + [min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.0), float(k)) for k in (1, 2, 3)])
 
 
+def drop(spark, path: str, parts: list[str]) -> None:
+    """Delete parts of a written scratch table."""
+    for part in parts:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def count(written: DataFrame, order: int, shard_tokens: int = SHARD_TOKENS) -> Counted:
     """All levels of the model from written blocks, the longest grams first."""
     spark = written.sparkSession
@@ -364,6 +434,8 @@ def count(written: DataFrame, order: int, shard_tokens: int = SHARD_TOKENS) -> C
             out.totals[level] = [int(v or 0) for v in sums]
         else:
             out.totals[level] = [0] * N_STATS
+        if level < order:  # what this level needed is not read again
+            drop(spark, out.paths[level + 1], [f"kind={k}" for k in (CONTINUED, CONTEXT)])
     return out
 
 

@@ -126,6 +126,17 @@ def test_grams_of_one_hash_are_an_error():
         ngrams.mix = mix
 
 
+def test_columns_come_back():
+    rng = np.random.default_rng(5)
+    wide = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    for column in (wide, np.sort(wide), rng.choice(wide[:200], 3000), rng.choice(wide[:1], 50), wide[:1], wide[:0],
+                   np.arange(9, dtype=np.uint64)[::-1], np.zeros(4, np.uint64)):
+        data = ngrams.pack(column)
+        assert (ngrams.unpack(data, 1)[0].view(np.uint64) == column).all()
+        values, at = ngrams.unpack_values(data)
+        assert (values[at] == column).all() and (values == np.unique(column)).all()
+
+
 def test_pack_and_shards():
     a, b = np.arange(1000), np.arange(1000, dtype=np.uint64)[::-1]
     assert (ngrams.unpack(ngrams.pack(a, b), 2) == np.array([a, b.astype(np.int64)])).all()
