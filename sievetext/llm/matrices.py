@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 from .common import small_batches
-from .packing import END_ID, WINDOW, Encoder, cut, plan_ranks, tokenizer_path
+from .packing import END_ID, WINDOW, cut, plan_ranks, tokenizer_path, worker_encoder
 
 ROWS = 64
 PAD_ID = 0
@@ -117,12 +117,12 @@ def ranked_pieces(docs: DataFrame, path: str, text_col: str = "text", window: in
 
     @F.arrow_udf("array<struct<start:bigint,length:bigint,rank:bigint,width:int,ids:binary>>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder, seen = Encoder(path, end_id), Counter()
+        coder, seen = worker_encoder(path, end_id), Counter()
         width = 2 if len(coder.last) <= 1 << 16 else 4
         for texts in batches:
             rows = []
-            for t in texts:
-                ids = np.frombuffer(coder.encode(t.as_py()), "<u4").astype(f"<u{width}")
+            for raw in coder.encode_all(texts.to_pylist()):
+                ids = np.frombuffer(raw, "<u4").astype(f"<u{width}")
                 parts = []
                 for start, length in cut(len(ids), window):
                     parts.append({"start": start, "length": length, "rank": seen[length], "width": width,

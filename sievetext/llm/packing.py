@@ -142,26 +142,36 @@ class Encoder:
         self.last = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith(WORD_END)
                                  for i in range(size)), bool, size)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.cache_chunks = cache_chunks
         self.end = np.uint32(end_id).astype("<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian uint32 ids of the text and the end id."""
-        apart = _POINTS.sub(r" \g<0> ", text or "")
-        chunks = apart.encode("utf-8", "surrogatepass").lower().split()
-        known = self.known
-        if len(known) > self.cache_chunks:
-            known.clear()
-        new = set(chunks).difference(known)
-        if new:
-            self._encode(new)
-        return b"".join([known[c] for c in chunks]) + self.end
-
-    def _encode(self, pieces: set[bytes]):
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """:meth:`encode` of every text; chunks that none of the two generations
+        of known ones has are encoded together."""
+        chunked = [_POINTS.sub(r" \g<0> ", t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        if len(self.known) > self.cache_chunks // 2:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        unseen = []
+        for c in set().union(*chunked).difference(known):
+            ids = before.get(c)
+            if ids is None:
+                unseen.append(c)
+            else:
+                known[c] = ids
+        if unseen:
+            self._encode(unseen)
+        return [b"".join([known[c] for c in chunks]) + self.end for chunks in chunked]
+
+    def _encode(self, pieces: list[bytes]):
         """Ids of chunks that each stand alone, into the cache."""
         known, run, rest = self.known, [], []
-        for p in pieces:
-            text = p.decode("utf-8", "replace")
+        for p, text in zip(pieces, b" ".join(pieces).decode("utf-8", "replace").split(" "), strict=True):
             (run if text.isalpha() else rest).append((p, text))
         if run:
             line = " ".join([t for _, t in run])
@@ -182,6 +192,19 @@ class Encoder:
                 known[p] = np.array(e.ids, dtype="<u4").tobytes()
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def worker_encoder(path: str, end_id: int = END_ID, cache_chunks: int = CACHE_CHUNKS) -> Encoder:
+    """The encoder of this Python worker, which serves task after task: what one
+    task has met is known to the next.  A worker holds one at a time."""
+    key = (path, end_id, cache_chunks)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
+
+
 def cut(n: int, window: int) -> Iterator[tuple[int, int]]:
     """``(start, length)`` of the pieces of ``n`` ids: full windows, then the rest."""
     for start in range(0, n, window):
@@ -199,11 +222,10 @@ def pieces(docs: DataFrame, path: str, keys: list[str], text_col: str = "text",
     @F.arrow_udf("struct<doc_tokens:bigint,"
                  "pieces:array<struct<start:bigint,length:bigint,ids_crc32:bigint>>>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = Encoder(path, end_id, cache_chunks)  # goes with the task
+        coder = worker_encoder(path, end_id, cache_chunks)
         for texts in batches:
             rows = []
-            for t in texts:
-                ids = coder.encode(t.as_py())
+            for ids in coder.encode_all(texts.to_pylist()):
                 n = len(ids) // 4
                 parts = []
                 for start, length in cut(n, window):
