@@ -17,11 +17,13 @@ rows are packed as rows of their own; an empty table has no pieces.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -116,28 +118,61 @@ def plan_windows(counts: dict[int, int], window: int = WINDOW,
     return plan
 
 
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: a
+    fixed public mapping, printable Latin-1 characters for themselves and the
+    others, in order, from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+class MergeRanks:
+    """The same merges as a table from bytes to rank, which a faster public
+    library applies: a word and the blank behind it, which stands for the mark of
+    its last token.  Only for vocabularies of single bytes and one merge for
+    every other token, so a rank tells its pair."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocab, bytes_of = model["vocab"], byte_of_char()
+
+        def raw(token: str) -> bytes:
+            return bytes(bytes_of[c] for c in token.removesuffix(WORD_END)) + b" " * token.endswith(WORD_END)
+
+        single = sorted((t for t in vocab if len(t.removesuffix(WORD_END)) == 1), key=lambda t: t.endswith(WORD_END))
+        tokens = single + ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ranks = {raw(t): k for k, t in enumerate(tokens)}
+        if len(single) != 512 or len(ranks) != len(tokens):
+            raise ValueError("not a vocabulary of single bytes and one merge per token")
+        self.ids = np.array([vocab[t] for t in tokens], "<u4")
+        self.coder = tiktoken.Encoding("merges", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, line: str) -> np.ndarray:
+        """Ids of words between single blanks."""
+        return self.ids[self.coder.encode_to_numpy(line + " ", disallowed_special=())]
+
+
 class Encoder:
     """Ids of whole texts with a public tokenizer that lowers case and splits
     texts into runs of letters, digits and runs of other characters.
 
     These pieces never cross white space, and points behind a letter or digit
     are a piece of their own, so ids are kept in a bounded cache per chunk
-    between blanks, in lower case, points apart.  Only unseen chunks reach the
-    tokenizer, all of a text's in one call where each is one run of letters:
-    the vocabulary marks the last token of a run, which cuts the ids apart
-    again."""
+    between blanks, in lower case, points apart.  Only unseen chunks are encoded,
+    all of a batch at once; those that are one run of letters, and that
+    normalising leaves alone, by their merges: the vocabulary marks the last
+    token of a run, which cuts the ids apart again."""
 
     def __init__(self, path: str, end_id: int = END_ID, cache_chunks: int = CACHE_CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        # The same merges without normalising and splitting, for words that
-        # normalising leaves alone.
-        self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = Sequence(
-            [WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.merges = MergeRanks(path)  # for words that normalising leaves alone
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.last = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith(WORD_END)
                                  for i in range(size)), bool, size)
@@ -170,25 +205,19 @@ class Encoder:
 
     def _encode(self, pieces: list[bytes]):
         """Ids of chunks that each stand alone, into the cache."""
-        known, run, rest = self.known, [], []
-        for p, text in zip(pieces, b" ".join(pieces).decode("utf-8", "replace").split(" "), strict=True):
-            (run if text.isalpha() else rest).append((p, text))
+        known = self.known
+        texts = b" ".join(pieces).decode("utf-8", "replace").split(" ")
+        plain = [t.isalpha() and (t.isascii() or (t == t.lower() and unicodedata.is_normalized("NFC", t))) for t in texts]
+        run = list(compress(pieces, plain))
         if run:
-            line = " ".join([t for _, t in run])
-            same = line == line.lower() and unicodedata.is_normalized("NFC", line)
-            coder = self.merges if same else self.tokenizer
-            ids = np.array(coder.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(run):
-                raw, at = ids.tobytes(), 0
-                for (p, _), end in zip(run, (4 * ends).tolist(), strict=True):
-                    known[p] = raw[at:end]
-                    at = end
-            else:  # a letter that lower case or NFC splits
-                rest += run
-        if rest:
-            done = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
-            for (p, _), e in zip(rest, done, strict=True):
+            ids = self.merges.encode(" ".join(compress(texts, plain)))
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            known.update(zip(run, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        if len(run) < len(pieces):
+            others = [(p, t) for p, t, fits in zip(pieces, texts, plain, strict=True) if not fits]
+            done = self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)
+            for (p, _), e in zip(others, done, strict=True):
                 known[p] = np.array(e.ids, dtype="<u4").tobytes()
 
 
