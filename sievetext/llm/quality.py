@@ -1,11 +1,13 @@
 """Quality rules per document and verdicts per host, in DataFrame functions only.
 
-A document breaks a rule by its own counts.  The share of rule-breaking
+A document breaks a rule by its own counts; its *severity* is how many times it
+exceeds the mild limit that it breaks most.  The share of rule-breaking
 documents of a host is shrunk towards the other hosts with a beta prior fitted
 to all hosts (method of moments, less the binomial noise), so a host of a few
-documents needs more evidence than a large one.  Hosts whose shrunk share
-exceeds ``max_host_rate`` are rejected: of their documents only those that
-break no rule at all stay.
+documents needs more evidence than a large one.  That rate moves the cut-off of
+the host's documents: one is rejected where its severity exceeds 1 / rate.  A
+document within all limits stays on any host, an ordinary host loses those far
+beyond a limit, a host of rate near 1 loses every one beyond a limit.
 
 The counts of a text never leave its row: repeated word windows are found by
 sorting (window hash, position) pairs inside the row.  Host counts combine on
@@ -36,7 +38,6 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOLS_PER_WORD = 0.1
 MAX_DUP_LINES = 0.3
 MEAN_WORD_CHARS = (2.0, 15.0)
-MAX_HOST_RATE = 0.6
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -90,18 +91,20 @@ def base_failed() -> Column:
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def mild_failed() -> Column:
-    """Rules that count for the host, and against documents of rejected hosts."""
+def severity() -> Column:
+    """By how many times the mild limit that is broken most is exceeded; 1 is at
+    the limit.  Denominators are at least 1."""
     mean = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
-    return ((F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * F.col("n_words"))
-            | (F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines"))
-            | ~mean.between(*MEAN_WORD_CHARS))
+    low, high = MEAN_WORD_CHARS
+    return F.greatest(F.col("n_symbols") / F.greatest(MAX_SYMBOLS_PER_WORD * F.col("n_words"), F.lit(1.0)),
+                      F.col("n_dup_lines") / F.greatest(MAX_DUP_LINES * F.col("n_lines"), F.lit(1.0)),
+                      mean / high, low / F.greatest(mean, F.lit(1.0)))
 
 
-def host_verdicts(scored: DataFrame, host_col: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """``(host, host_docs, host_failed, host_rate, host_rejected)`` from documents
-    with ``base_failed`` and ``mild_failed``; the prior is one row of sums over
-    all hosts."""
+def host_verdicts(scored: DataFrame, host_col: str) -> DataFrame:
+    """``(host, host_docs, host_failed, host_rate)`` from documents with
+    ``base_failed`` and ``mild_failed``; the prior is one row of sums over all
+    hosts."""
     failed = (F.col("base_failed") | F.col("mild_failed")).cast("long")
     hosts = materialize(scored.groupBy(F.col(host_col).alias("host")).agg(
         F.count("*").alias("host_docs"), F.sum(failed).alias("host_failed")), "hosts")
@@ -111,8 +114,7 @@ def host_verdicts(scored: DataFrame, host_col: str, max_rate: float = MAX_HOST_R
                   F.avg(1.0 / F.col("host_docs")).alias("noise")).first()
     a, b = beta_prior(m["n"], m["k"], m["mean"], m["var"], m["noise"])
     shrunk = (F.col("host_failed") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b))
-    return hosts.select("host", "host_docs", "host_failed", shrunk.alias("host_rate"),
-                        (shrunk > max_rate).alias("host_rejected"))
+    return hosts.select("host", "host_docs", "host_failed", shrunk.alias("host_rate"))
 
 
 def beta_prior(n, k, mean, var, noise) -> tuple[float, float]:
@@ -129,36 +131,34 @@ def beta_prior(n, k, mean, var, noise) -> tuple[float, float]:
 
 
 def with_verdict(docs: DataFrame, text_col: str = "text", host_col: str = "source",
-                 max_rate: float = MAX_HOST_RATE, keep_text: bool = True) -> DataFrame:
+                 keep_text: bool = True) -> DataFrame:
     """``docs`` (less the text unless ``keep_text``) plus the counts,
-    ``base_failed``, ``mild_failed``, ``host_rate`` and ``kept``.  The counted
-    documents are written once and serve both the hosts and the verdicts."""
-    plain = docs.drop("base_failed", "mild_failed", "host_rate", "host_rejected", "kept")
+    ``base_failed``, ``severity``, ``mild_failed``, ``host_rate`` and ``kept``.  The
+    counted documents are written once and serve both the hosts and the verdicts."""
+    plain = docs.drop("base_failed", "severity", "mild_failed", "host_rate", "kept")
     host = free_name(plain, "host_key")
     keyed = plain.withColumn(host, F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")))
-    scored = counted(keyed, text_col).withColumn("base_failed", base_failed()).withColumn(
-        "mild_failed", mild_failed())
+    scored = counted(keyed, text_col).withColumns({"base_failed": base_failed(), "severity": severity()}).withColumn(
+        "mild_failed", F.col("severity") > 1)
     scored = materialize(scored if keep_text else scored.drop(text_col), "scored")
-    verdicts = host_verdicts(scored, host, max_rate).select(
-        F.col("host").alias(host), "host_rate", "host_rejected")
-    kept = ~F.col("base_failed") & ~(F.col("host_rejected") & F.col("mild_failed"))
-    return scored.join(verdicts, host).withColumn("kept", kept).drop(host, "host_rejected")
+    verdicts = host_verdicts(scored, host).select(F.col("host").alias(host), "host_rate")
+    kept = ~F.col("base_failed") & (F.col("severity") * F.col("host_rate") <= 1)
+    return scored.join(verdicts, host).withColumn("kept", kept).drop(host)
 
 
-def reject(docs: DataFrame, text_col: str = "text", host_col: str = "source",
-           max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def reject(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that the rules keep; columns and their order stay, also
     columns that have the names of the operator's own."""
     inner = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
     at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
-    kept = with_verdict(inner, at[text_col], at[host_col], max_rate).where("kept")
+    kept = with_verdict(inner, at[text_col], at[host_col]).where("kept")
     return kept.select(*[F.col(v).alias(c) for c, v in at.items()])
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
     """The rows of the registered query."""
     found = with_verdict(docs.select("doc_id", "text", "source"), keep_text=False)
-    return found.select("doc_id", *COUNTS, "base_failed", "kept", "mild_failed",
+    return found.select("doc_id", *COUNTS, "base_failed", "kept", F.round("severity", 9).alias("severity"),
                         F.round("host_rate", 9).alias("host_rate"))
 
 
@@ -183,10 +183,12 @@ c as (
   from d left join repeats on repeats.k = d.k),
 s as (
   select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed,
-    n_symbols > {MAX_SYMBOLS_PER_WORD} * n_words or n_dup_lines > {MAX_DUP_LINES} * n_lines
-      or not word_chars / greatest(n_words, 1) between {MEAN_WORD_CHARS[0]} and {MEAN_WORD_CHARS[1]} as mild_failed
+    word_chars / greatest(n_words, 1) as mean,
+    greatest(n_symbols / greatest(cast({MAX_SYMBOLS_PER_WORD} as double) * n_words, 1),
+      n_dup_lines / greatest(cast({MAX_DUP_LINES} as double) * n_lines, 1),
+      mean / {MEAN_WORD_CHARS[1]}, {MEAN_WORD_CHARS[0]} / greatest(mean, 1)) as severity
   from c),
-hosts as (select host, count(*) as n, count(*) filter (base_failed or mild_failed) as f from s group by host),
+hosts as (select host, count(*) as n, count(*) filter (base_failed or severity > 1) as f from s group by host),
 spread as (
   select greatest(least(avg(f / n), 0.999), 0.001) as m, coalesce(var_samp(f / n), 0) as v, avg(1.0 / n) as e from hosts),
 prior as (
@@ -194,7 +196,7 @@ prior as (
     then greatest(least(m * (1 - m) / (v - m * (1 - m) * e) - 1, 1000.0), 1.0) else 1000.0 end as a from spread),
 rates as (select host, (f + m * a) / (n + a) as host_rate from hosts, prior)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (host_rate > {MAX_HOST_RATE} and mild_failed) as kept, mild_failed,
+  not base_failed and severity * host_rate <= 1 as kept, round(severity, 9) as severity,
   round(host_rate, 9) as host_rate
 from s join rates using (host)
 """

@@ -6,14 +6,14 @@ from fixtures import documents, small, write_tables
 from sievetext.llm import decontaminate, packing, pii
 from test_decontaminate import brute as brute_hits
 from test_packing import check_pieces
-from test_quality import brute as brute_counts
-from test_quality import failed
+from test_quality import plain_verdicts
 from test_simhash import brute_components, brute_print
 
 
 def plain(docs, items):
-    """Text by id of what the first four stages leave (no host is rejected here)."""
-    kept = [(i, t) for i, t in docs if not failed(brute_counts(t))]
+    """Text by id of what the first four stages leave of ``(id, text, host)``."""
+    verdicts = plain_verdicts(docs)
+    kept = [(i, t) for i, t, _ in docs if verdicts[i]]
     prints = [(i, brute_print(t)) for i, t in kept]
     first = set(brute_components(prints))
     automaton = decontaminate.ItemAutomaton([(str(n), t) for n, t in items])
@@ -29,7 +29,7 @@ def plain(docs, items):
 
 
 def test_run_equals_plain_stages(spark):
-    docs = [(r.doc_id, r.text) for r in small(spark).collect()]
+    docs = [(r.doc_id, r.text, r.source) for r in small(spark).collect()]
     items = [(r.item_id, r.text) for r in small(spark, "benchmark").collect()]
     want = plain(docs, items)
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
