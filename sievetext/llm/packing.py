@@ -39,7 +39,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Rank buckets; pieces of one length are numbered per bucket.
 BUCKETS = 256
 #: Chunks whose ids an encoder keeps (about 200 bytes each).
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000
+#: Bits of a piece's rank and of a window's length in one 63-bit key.
+RANK_BITS, MAX_WINDOW_BITS = 40, 23
 # Fixed value: the vocabulary's mark of a word's last token.
 WORD_END = "</w>"
 # Points between a letter or digit and ASCII white space (or the end); not
@@ -295,12 +297,16 @@ def plan_ranks(counts: DataFrame, group: str, window: int):
     """From piece counts ``(length, group, _n)``: how many pieces of the length
     are in earlier groups (``_before``, written), and a function that places a
     piece by its length and rank."""
+    if window >= 1 << MAX_WINDOW_BITS:
+        raise ValueError(f"windows hold less than {1 << MAX_WINDOW_BITS} ids")
     spark = counts.sparkSession
     order = Window.partitionBy("length").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(counts.select("length", group, "_n", F.coalesce(
         F.sum("_n").over(order), F.lit(0)).alias("_before")), "piece-counts")
     sizes = {int(r["length"]): int(r["n"])
              for r in starts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    if max(sizes.values(), default=0) >= 1 << RANK_BITS:
+        raise ValueError(f"2**{RANK_BITS} pieces or more have one length")
     shared = spark.sparkContext.broadcast(
         np.array(sorted(plan_windows(sizes, window)), dtype=np.int64).reshape(-1, 5))
 
@@ -308,8 +314,8 @@ def plan_ranks(counts: DataFrame, group: str, window: int):
     def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
         rows = shared.value
         n, r = lengths.to_numpy(), ranks.to_numpy()
-        # Ranks stay below 2**48 and lengths below 2**15: one ordered key.
-        at = np.searchsorted((rows[:, 0] << 48) + rows[:, 1], (n << 48) + r, side="right") - 1
+        # Lengths and ranks are bounded above: one ordered key.
+        at = np.searchsorted((rows[:, 0] << RANK_BITS) + rows[:, 1], (n << RANK_BITS) + r, side="right") - 1
         return pa.StructArray.from_arrays(
             [pa.array(rows[at, 3] + r - rows[at, 1]), pa.array(rows[at, 4])], ["sequence_id", "offset"])
 
