@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_mod, shuffle_key
-from .order import shuffled_ordinal, with_ordinal
+from .order import from_key, shuffled_ordinal
 
 NOISE_KINDS = ("inc", "exc")
 
@@ -46,10 +46,11 @@ def inject_noise(df: DataFrame, num_classes: int, ratio: float, kind: str = "inc
     ``shuffle_pos``, the row's place in the keyed order (the reference's row
     order of the result).
 
-    Only the narrow ``(md5 key, id)`` pairs are range-sorted, to find the key
-    at position ``int((1-r)*n)``; rows are then flagged by comparing their own
-    key with that cut-off, so wide rows (texts, feature vectors) are never
-    shuffled.  ``with_position`` joins the narrow positions back on the id.
+    The key at position ``int((1-r)*n)`` is found by histograms of its digits
+    (:func:`~sievetext.operators.order.key_at`) and every row is flagged by
+    comparing its own key with that cut-off: nothing is sorted or moved.
+    ``with_position`` range-sorts the narrow ``(md5 key, id)`` pairs and joins
+    the positions back on the id.
     """
     _check(kind, num_classes, ratio)
     key = shuffle_key(seed, "shuffle", id_col)
@@ -59,18 +60,8 @@ def inject_noise(df: DataFrame, num_classes: int, ratio: float, kind: str = "inc
         base = df.join(ordered, id_col)
         noisy = F.col("shuffle_pos") >= F.floor(F.lit(1.0 - float(ratio)) * F.col("_n"))
     else:
-        n = df.count()
-        n_clean = int((1.0 - float(ratio)) * n)
         base = df
-        if n_clean >= n:
-            noisy = F.lit(False)
-        else:
-            narrow = df.select(id_col, key.alias("_k"))
-            ordered = with_ordinal(narrow, ["_k", id_col], name="_pos", num_partitions=num_partitions)
-            cut = ordered.where(F.col("_pos") == F.lit(n_clean)).select("_k", id_col).first()
-            ck, cid = F.lit(cut["_k"]), F.lit(cut[id_col]).cast(df.schema[id_col].dataType)
-            # (key, id) >= (cut key, cut id), lexicographically
-            noisy = (key > ck) | ((key == ck) & (F.col(id_col) >= cid))
+        noisy = from_key(df, key, id_col, lambda n: int((1.0 - float(ratio)) * n))
     clean = F.col(label_col)
     new = F.when(noisy, noisy_label(kind, clean, num_classes, seed, id_col)).otherwise(clean.cast("int"))
     out = (base.withColumn("label_clean", clean.cast("int"))

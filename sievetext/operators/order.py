@@ -73,6 +73,73 @@ def with_ordinal(df: DataFrame, order_by: Sequence[Column | str], name: str = "p
     return out.drop("_ord_part", "_ord_local", "_ord_off", "_ord_total")
 
 
+#: Rows of the last histogram bin that are compared one by one.
+SMALL_BIN = 65_536
+_DIGITS = 4
+
+
+def key_at(df: DataFrame, key: Column, id_col: str, place) -> tuple[int, str | None, object]:
+    """Row count ``n``, and the ``(key, id)`` at position ``place(n)`` of the order
+    by them (``None, None`` where there is no such position).
+
+    Nothing is sorted or moved: ``key`` is a hex digest, and each pass counts the
+    rows per next 16 bits of those that share the digits found so far, 65,536
+    counts at most.  A bin of few rows ends the search; digests are spread
+    evenly, so two or three passes over the ids do for any table.  Equal
+    digests (repeated ids) are told apart by the id.
+    """
+    rows = df.select(key.alias("_k"), F.col(id_col).alias("_i"))
+    found, n, left, size = "", None, 0, 0
+    while n is None or (size > SMALL_BIN and len(found) < 32):
+        part = rows.where(F.col("_k").startswith(found)) if found else rows
+        bins = part.groupBy(F.substring("_k", len(found) + 1, _DIGITS).alias("d")).count().collect()
+        if n is None:
+            n = sum(r["count"] for r in bins)
+            left = place(n)
+            if not 0 <= left < n:
+                return n, None, None
+        for r in sorted(bins, key=lambda r: r["d"]):
+            if left < r["count"]:
+                found, size = found + r["d"], r["count"]
+                break
+            left -= r["count"]
+    part = rows.where(F.col("_k").startswith(found)).groupBy("_k", "_i").count()
+    # Whole digests alike mean one id; a bin of more is not met.
+    for r in sorted(part.limit(SMALL_BIN).collect(), key=lambda r: (r["_k"], r["_i"])):
+        if left < r["count"]:
+            return n, r["_k"], r["_i"]
+        left -= r["count"]
+    raise RuntimeError("the ids changed between two passes")
+
+
+def from_key(df: DataFrame, key: Column, id_col: str, place) -> Column:
+    """True for the rows from position ``place(n)`` of the order by (key, id) on:
+    each row is compared with the cut-off, so none is moved."""
+    _, at, row_id = key_at(df, key, id_col, place)
+    if at is None:
+        return F.lit(False)
+    least = F.lit(row_id).cast(df.schema[id_col].dataType)
+    return (key > F.lit(at)) | ((key == F.lit(at)) & (F.col(id_col) >= least))
+
+
+def running_total(df: DataFrame, order_by: Sequence[Column | str], weight: str, name: str = "before",
+                  total: str = "total", num_partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = sum of ``weight`` over the rows before this one in ``order_by``
+    and ``total`` over all, exactly: sums within ranges, and one row per range
+    for the offsets.  As :func:`with_ordinal`, the ranged rows are written once."""
+    keys = [F.col(k) if isinstance(k, str) else k for k in order_by]
+    body = materialize(df.repartitionByRange(_num_partitions(df, num_partitions), *keys)
+                       .withColumn("_part", F.spark_partition_id()), "ranged")
+    sums = body.groupBy("_part").agg(F.sum(weight).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"),
+                          F.sum("_sum").over(Window.partitionBy(F.lit(0))).alias(total))
+    within = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return (body.withColumn("_in", F.coalesce(F.sum(weight).over(within), F.lit(0)))
+            .join(F.broadcast(offsets), "_part")
+            .withColumn(name, F.col("_off") + F.col("_in")).drop("_part", "_in", "_off"))
+
+
 def keyed_shuffle_order(df: DataFrame, seed: int = 7, purpose: str = "shuffle",
                         id_col: str = "id") -> DataFrame:
     """Attach ``_shuffle`` = md5 of ``seed:purpose:id`` (O1): sort by it, then id."""
@@ -112,15 +179,19 @@ def batches(df: DataFrame, batch_size: int, order_by: Sequence[Column | str] = (
 
 def exact_split(df: DataFrame, fraction: float, seed: int = 7, purpose: str = "valid",
                 id_col: str = "id", name: str = "is_valid",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, with_position: bool = True) -> DataFrame:
     """Keyed random split with an exact count (O4, ``split_by_rand_pct``).
 
     The last ``int(fraction * n)`` rows of the keyed order get ``name`` true.
     ``randomSplit`` is not used: its counts are inexact and depend on
-    partitioning.
+    partitioning.  Without positions the rows stay where they are
+    (:func:`key_at`).
     """
     if not 0.0 <= fraction <= 1.0:
         raise ValueError("fraction must be in [0, 1]")
+    if not with_position:
+        return df.withColumn(name, from_key(df, shuffle_key(seed, purpose, id_col), id_col,
+                                            lambda n: n - int(float(fraction) * n)))
     ordered = shuffled_ordinal(df, seed=seed, purpose=purpose, id_col=id_col, total="_n",
                                num_partitions=num_partitions)
     n_valid = F.floor(F.lit(float(fraction)) * F.col("_n"))

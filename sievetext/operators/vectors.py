@@ -197,6 +197,48 @@ def _gather(df: DataFrame, id_col: str, items: Column, table: DataFrame, key: st
     exploded = df.select(id_col, *keep, F.explode_outer(items).alias(key))
     counted = exploded.groupBy(id_col, key).agg(
         F.count(key).alias("_n"), *[F.first(c).alias(c) for c in keep])
+    return _look_up(counted, id_col, table, key, dim, unk, broadcast, keep, hot)
+
+
+def _counted_items(df: DataFrame, id_col: str, items_col: str, key: str, keep=()) -> DataFrame:
+    """``id, *keep, key, _n``: the distinct items of every row with their counts,
+    made where the row lies (and one row with a null item and ``_n`` 0 for a row
+    without items)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql import types as T
+
+    item = T.StructField(key, df.schema[items_col].dataType.elementType)
+    schema = T.StructType([df.schema[id_col], *[df.schema[c] for c in keep], item, T.StructField("_n", T.LongType())])
+
+    def run(batches):
+        for rb in batches:
+            col = rb.column(items_col)
+            lens = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.list_flatten(col).dictionary_encode()
+            rows = np.repeat(np.arange(len(lens)), lens)
+            code = flat.indices.fill_null(len(flat.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = len(flat.dictionary) + 1
+            pairs, n = np.unique(rows * size + code, return_counts=True)
+            none = np.flatnonzero(lens == 0)  # a null item
+            at = np.concatenate([pairs // size, none])
+            code = np.concatenate([pairs % size, np.full(len(none), size - 1)])
+            n = np.concatenate([n, np.zeros(len(none), np.int64)])
+            for k in range(0, len(at), SLICE_ITEMS):
+                part = slice(k, k + SLICE_ITEMS)
+                taken = pa.array(at[part])
+                token = flat.dictionary.take(pa.array(code[part], mask=code[part] == size - 1))
+                yield pa.RecordBatch.from_arrays(
+                    [*[rb.column(c).take(taken) for c in (id_col, *keep)], token, pa.array(n[part])],
+                    names=[id_col, *keep, key, "_n"])
+
+    return df.select(id_col, *keep, items_col).mapInArrow(run, schema)
+
+
+def _look_up(counted: DataFrame, id_col: str, table: DataFrame, key: str, dim: int, unk: Column | None,
+             broadcast: bool | None, keep=(), hot: DataFrame | None = None) -> DataFrame:
+    """``id, *keep, _n, h`` of counted items."""
     if hot is not None:
         joined = split_lookup(counted, table.select(key, "vec"), key, hot.select(key, "vec"), ["vec"])
     else:
@@ -338,10 +380,6 @@ def mean_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id",
     return sums.select(id_col, *keep, mean.alias(out_col))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def attention_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id",
                    items_col: str = "tokens", key: str = "token", max_items: int | None = None,
                    unk: Column | None = None, broadcast: bool | None = None,
@@ -350,8 +388,8 @@ def attention_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id"
     """Softmax attention pooling (M6): ``w_t = softmax_t(h_t . q)``, result
     ``sum_t w_t h_t``, with ``h_t`` the item vectors and ``q`` the vector of the
     last item.  ``method`` as in :func:`mean_pool`; on the join path each
-    distinct item of a row is weighted once, and the window and the aggregate
-    share one partitioning by row id.
+    distinct item of a row is weighted once, and an online softmax merges
+    partial states, so no vector of an item is shuffled to its row.
     """
     if method in ("auto", "local"):
         bc = broadcast_vector_table(table, key, dim, unk, budget=None if method == "auto" else 1 << 62)
@@ -360,20 +398,86 @@ def attention_pool(df: DataFrame, table: DataFrame, dim: int, id_col: str = "id"
 
     items = F.col(items_col) if max_items is None else F.slice(items_col, 1, max_items)
     hot = hot() if callable(hot) else hot
-    h = _gather(df, id_col, items, table, key, dim, unk, broadcast, (), hot)
-    last = df.select(id_col, F.when(F.size(items) > 0, F.element_at(items, -1)).alias(key))
+    # The query vector of a row comes first, one look-up a row, and goes with its
+    # items to theirs; where they meet, states are made and only states move.
+    last = df.select(id_col, items.alias("_items"), F.when(F.size(items) > 0, F.element_at(items, -1)).alias(key))
     zeros = F.array_repeat(F.lit(0.0), dim)
     fill = F.when(F.col(key).isNull(), zeros).otherwise(unk if unk is not None else zeros)
-    q = (last.join(_vector_table(table, key, dim, broadcast), key, "left")
-         .select(id_col, F.coalesce("vec", fill).alias("_q")))
-    scored = h.join(q, id_col).withColumn("_score", dot(F.col("h"), F.col("_q")))
-    weight = F.col("_n") * F.exp(F.col("_score") - F.max("_score").over(Window.partitionBy(id_col)))
-    weighted = scored.withColumn("_e", weight).select(id_col, "_e", array_to_vector(
-        F.transform("h", lambda x: x * F.col("_e"))).alias("_wh"))
-    sums = weighted.groupBy(id_col).agg(Summarizer.sum(F.col("_wh")).alias("_s"),
-                                        F.sum("_e").alias("_z"))
-    z = F.when(F.col("_z") > 0, F.col("_z")).otherwise(1.0)
-    return sums.select(id_col, F.transform(vector_to_array("_s"), lambda x: x / z).alias(out_col))
+    asked = last.join(_vector_table(table, key, dim, broadcast), key, "left").select(
+        id_col, "_items", F.coalesce("vec", fill).alias("_q"))
+    h = _look_up(_counted_items(asked, id_col, "_items", key, ("_q",)), id_col, table, key, dim, unk, broadcast,
+                 ("_q",), hot)
+    return _online_softmax(h, dim, id_col, out_col)
+
+
+def _online_softmax(h: DataFrame, dim: int, id_col: str, out_col: str) -> DataFrame:
+    """``sum_t w_t h_t`` per row from rows ``id, _q, _n, h``, with mergeable states:
+    the maximum score, the sum of the weights below it and the weighted sum of
+    vectors.  Every batch of items gives one state per row id, and the states of
+    a row, next to each other after the shuffle, are merged one by one."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from .model import list_column, matrix
+
+    id_field = h.schema[id_col]
+    id_type = to_arrow_type(id_field.dataType)
+    state = T.StructType([id_field, T.StructField("_m", T.DoubleType()), T.StructField("_z", T.DoubleType()),
+                          T.StructField("_s", T.ArrayType(T.DoubleType()))])
+    result = T.StructType([id_field, T.StructField(out_col, T.ArrayType(T.DoubleType()), False)])
+
+    def reduced(at, scores, weights, vectors):
+        """States by row number ``at`` (ascending) of scored, weighted vectors."""
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        top = np.maximum.reduceat(scores, first)
+        number = np.cumsum(np.append(False, at[1:] != at[:-1]))
+        e = weights * np.exp(scores - top[number])
+        return first, top, np.add.reduceat(e, first), np.add.reduceat(vectors * e[:, None], first, axis=0)
+
+    def part(batches):
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            ids = rb.column(id_col).dictionary_encode()
+            at = ids.indices.fill_null(len(ids.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            V = matrix(rb.column("h"), dim)[order]
+            scores = np.einsum("td,td->t", V, matrix(rb.column("_q"), dim)[order])
+            n = rb.column("_n").to_numpy(zero_copy_only=False).astype(np.float64)[order]
+            first, top, z, s = reduced(at[order], scores, n, V)
+            own = rb.column(id_col).take(pa.array(order[first]))
+            yield pa.RecordBatch.from_arrays([own, pa.array(top), pa.array(z), list_column(s)],
+                                             names=[id_col, "_m", "_z", "_s"])
+
+    def merge(batches):
+        held = None  # id, maximum, weights, sum of the row that may go on
+        for rb in batches:
+            done = []
+            states = zip(rb.column(id_col).to_pylist(), rb.column("_m").to_pylist(), rb.column("_z").to_pylist(),
+                         matrix(rb.column("_s"), dim), strict=True)
+            for row, m, z, s in states:
+                if held is None or held[0] != row:
+                    if held is not None:
+                        done.append(held)
+                    held = (row, m, z, s)
+                else:
+                    top = max(held[1], m)
+                    a, b = np.exp(held[1] - top), np.exp(m - top)
+                    held = (row, top, held[2] * a + z * b, held[3] * a + s * b)
+            if done:
+                yield out(done)
+        if held is not None:
+            yield out([held])
+
+    def out(rows):
+        sums = np.stack([s / (z if z > 0 else 1.0) for _, _, z, s in rows])
+        ids = pa.array([r[0] for r in rows], id_type)
+        return pa.RecordBatch.from_arrays([ids, list_column(sums)], names=[id_col, out_col])
+
+    states = h.select(id_col, "_q", "_n", "h").mapInArrow(part, state)
+    return states.repartition(id_col).sortWithinPartitions(id_col).mapInArrow(merge, result)
 
 
 def vector_dim(vectors: DataFrame, vec_col: str = "vec") -> DataFrame:

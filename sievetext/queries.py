@@ -311,6 +311,27 @@ def q_valid_split(spark, sf_dir):
     return exact_split(p.corpus.select("id"), 0.2, purpose="valid").select("id", "pos", "is_valid")
 
 
+@query("valid_flags", _with(S.corpus_cte(), _ord_sql(purpose="valid")) + """
+SELECT id, shuffle_pos >= n - trunc(0.2::DOUBLE * n) AS is_valid FROM ord""")
+def q_valid_flags(spark, sf_dir):
+    """The exact share without positions: no row moves."""
+    from .operators.order import exact_split
+
+    p = _prep(spark, sf_dir)
+    return exact_split(p.corpus.select("id"), 0.2, purpose="valid", with_position=False).select("id", "is_valid")
+
+
+@query("noise_flags", _with(S.corpus_cte(), _ord_sql(), _noise_sql("exc")) + """
+SELECT id, label, is_noisy_row FROM noisy""")
+def q_noise_flags(spark, sf_dir):
+    """Noise by the dispatcher (N3), without positions."""
+    from .operators.noise import generate_noise
+
+    p = _prep(spark, sf_dir)
+    out = generate_noise(p.corpus.select("id", "y"), "exc", p.num_classes, 0.3, label_col="y")
+    return out.select("id", F.col("y").alias("label"), "is_noisy_row")
+
+
 TAIL = 250
 
 
@@ -742,6 +763,20 @@ def q_lm_next_token(spark, sf_dir):
     return next_token_pairs(_prep(spark, sf_dir).tokens)
 
 
+@query("lm_stream_batches", _with(*BASE) + """,
+ex AS (SELECT t.id, u.pos, u.token FROM toks t, unnest(t.tokens) WITH ORDINALITY AS u(token, pos)),
+stream AS (SELECT row_number() OVER o - 1 AS g, token, lead(token) OVER o AS target, count(*) OVER () AS total
+           FROM ex WINDOW o AS (ORDER BY id, pos)),
+cols AS (SELECT *, (total - 1 + 47) // 48 AS l FROM stream WHERE g < total - 1)
+SELECT CAST((g % l) // 70 AS BIGINT) AS batch, CAST(g // l AS BIGINT) AS "row", CAST((g % l) % 70 AS INTEGER) AS position,
+       token, target FROM cols""")
+def q_lm_stream_batches(spark, sf_dir):
+    """Batches of 48 columns and 70 tokens of the stream of all texts."""
+    from .operators.lm import stream_batches
+
+    return stream_batches(_prep(spark, sf_dir).tokens, 48, 70)
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 @query("read_labeled_csv", _with(S.corpus_cte()) + "SELECT label, text FROM corpus")
@@ -1041,3 +1076,67 @@ def q_three_training_steps(spark, sf_dir):
     return w.unionByName(b).select(
         "k", "j", "w", F.lit(log[1]["n_rows"]).cast("long").alias("n_selnl"),
         F.lit(log[2]["n_rows"]).cast("long").alias("n_selpl"), F.lit(log[2]["grad_norm"] > 10).alias("clipped"))
+
+
+# ---------------------------------------------------------------- mini-batches as local SGD (W2 with G1 G2)
+# From zero weights the probabilities are uniform, so SQL can follow the first
+# step of every shard.  Shards of about a third of a batch hold one batch each.
+
+MINIBATCH_SHARD_ROWS = 160
+
+
+def _minibatch_sql() -> str:
+    shard = f"{S.draw('shard', 'e.vec_id')} % greatest((nc.n + {MINIBATCH_SHARD_ROWS - 1}) // {MINIBATCH_SHARD_ROWS}, 1)"
+    return _with(S.EMB_SCORE_CTES, S.comp_sql(1)) + f""",
+kk AS (SELECT k.k FROM nc CROSS JOIN range(nc.c) k(k)),
+sh AS (SELECT e.vec_id, {shard} AS shard FROM e CROSS JOIN nc),
+sizes AS (SELECT shard, count(*) AS n FROM sh GROUP BY shard),
+g AS (SELECT e.vec_id, sh.shard, kk.k,
+             (1.0::DOUBLE / nc.c) / (1.0::DOUBLE - 1.0::DOUBLE / nc.c)
+             * (CASE WHEN kk.k = comp.k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - 1.0::DOUBLE / nc.c) AS g
+      FROM e JOIN comp ON e.vec_id = comp.vec_id JOIN sh ON sh.vec_id = e.vec_id CROSS JOIN nc CROSS JOIN kk),
+grad AS (SELECT g.shard, g.k, ex.j, sum(g.g * ex.v) / any_value(s.n) AS s, any_value(s.n) AS n
+         FROM g JOIN ex ON g.vec_id = ex.vec_id JOIN sizes s ON s.shard = g.shard GROUP BY g.shard, g.k, ex.j
+         UNION ALL SELECT g.shard, k, -1, sum(g) / any_value(s.n), any_value(s.n)
+         FROM g JOIN sizes s ON s.shard = g.shard GROUP BY g.shard, k)
+SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j,
+       round(sum(n * (-0.3::DOUBLE * s / (abs(s) + 1e-8::DOUBLE))) / any_value((SELECT n FROM nc)), 6) + 0.0::DOUBLE AS w,
+       CAST((SELECT count(*) FROM sizes) AS BIGINT) AS batches
+FROM grad GROUP BY k, j"""
+
+
+@query("train_minibatch", _minibatch_sql())
+def q_train_minibatch(spark, sf_dir):
+    """Averaged weights after a pass in which every shard takes its first step from zero."""
+    from .plans.minibatch import train_minibatch
+    from .plans.train import weights_frame
+
+    df, model, c = _emb(spark, sf_dir)
+    done, log = train_minibatch(df, c, model.dim, 1, "nl", lr=0.3, shard_rows=MINIBATCH_SHARD_ROWS, id_col="vec_id")
+    rows = weights_frame(spark, done)
+    w = rows.where(F.col("name") == "weight").select(
+        F.element_at("shape", 2).alias("_d"), F.posexplode("values").alias("_i", "_v")).select(
+        F.floor(F.col("_i") / F.col("_d")).cast("int").alias("k"),
+        F.pmod(F.col("_i"), F.col("_d")).cast("int").alias("j"), _r6(F.col("_v")).alias("w"))
+    b = rows.where(F.col("name") == "bias").select(F.posexplode("values").alias("k", "_v")).select(
+        F.col("k").cast("int"), F.lit(-1).alias("j"), _r6(F.col("_v")).alias("w"))
+    return w.unionByName(b).withColumn("batches", F.lit(log[0]["batches"]).cast("long"))
+
+
+@query("train_minibatch_epochs")
+def q_train_minibatch_epochs(spark, sf_dir):
+    """NL, SelNL and SelPL by mini-batches of 512 over the pooled text features."""
+    from .plans.minibatch import pack_shards, shard_count, train_minibatch
+    from .plans.nlnl import NLNLConfig, noisy_feature_set
+    from .plans.train import test_accuracy
+
+    data = noisy_feature_set(spark, sf_dir, NLNLConfig())
+    shards = pack_shards(data.train, data.dim, shard_count(data.train.count(), data.dim))
+    model, log = None, []
+    for kind, select in (("nl", None), ("nl", "selnl"), ("pl", "selpl")):
+        model, log = train_minibatch(data.train, data.num_classes, data.dim, QUERY_EPOCHS, kind, select, lr=0.1,
+                                     model=model, shards=shards, history=log)
+    right = test_accuracy(data.test, model)
+    rows = [(r["step"], r["stage"], r["epoch"], r["n_rows"], r.get("batches"), r.get("train_loss"), right) for r in log]
+    return spark.createDataFrame(rows, "step long, stage string, epoch long, n_rows long, batches long, "
+                                       "train_loss double, final_test_accuracy double")

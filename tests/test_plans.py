@@ -74,3 +74,13 @@ def test_split_lookup_shuffles_only_rare_rows(spark):
     rare = next(i for i, ln in enumerate(lines) if "SortMergeJoin" in ln and "LeftOuter" in ln)
     exch = next(i for i in range(rare, len(lines)) if "Exchange hashpartitioning(token" in lines[i])
     assert any("isnull(_hot" in ln for ln in lines[exch:exch + 4])
+
+
+def test_attention_join_path_moves_states_only(spark):
+    """No window; after the look-up one exchange, of states, not of item vectors."""
+    from sievetext.operators.vectors import attention_pool
+
+    p = prepare(spark, SF)
+    v = Vectors(p)
+    plan = _plan(attention_pool(p.tokens, v.token_vecs, v.dim, unk=v.unk, method="join"))
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
