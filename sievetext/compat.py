@@ -16,6 +16,7 @@ from .operators.order import batches, tail_split
 from .operators.vectors import lookup_table, read_word_vectors
 from .operators.vocab import (KERAS_OOV_ID, KERAS_SPECIALS, KERAS_SPECIALS_EOS, START_ID,
                               frequency_index, specials_frame, token_counts, vocabulary, word_index)
+from .plans.prepare import frequent_ids
 from .session import materialize
 
 
@@ -84,12 +85,13 @@ def load_data_set_multiclass(train: DataFrame, test: DataFrame, max_len: int, vo
     the test set as unpadded id sequences, the padded test rows and the index."""
     words = materialize(frequency_index(
         token_counts(train, test, tokens_col=tokens_col), specials=()), "frequency-index")
+    hot = frequent_ids(words)
 
     def padded(rows):
-        return encode_capped(rows, words, vocab_size, max_len, tokens_col=tokens_col, keep=("y",))
+        return encode_capped(rows, words, vocab_size, max_len, tokens_col=tokens_col, keep=("y",), hot=hot)
 
     def unpadded(rows):
-        ids = word_ids(rows, words, tokens_col=tokens_col, unk_id=KERAS_OOV_ID)
+        ids = word_ids(rows, words, tokens_col=tokens_col, unk_id=KERAS_OOV_ID, hot=hot)
         capped = F.transform("ids", lambda i: F.when(i >= vocab_size, F.lit(KERAS_OOV_ID).cast("long")).otherwise(i))
         start = F.array(F.lit(START_ID).cast("long"))
         return rows.select("id", "y").join(ids.select("id", F.concat(start, capped).alias("ids")), "id")

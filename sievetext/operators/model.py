@@ -127,13 +127,18 @@ GRAD_SCHEMA = T.StructType([
     T.StructField("aux_loss", T.DoubleType()),
     T.StructField("grad", T.ArrayType(T.DoubleType())),
 ])
-ROLE_GRAD_SCHEMA = T.StructType([T.StructField("role", T.IntegerType())] + GRAD_SCHEMA.fields)
+#: Rows met and rows whose arg-max class is the label, for the log of the pass.
+SEEN = ("seen", "correct")
+SEEN_GRAD_SCHEMA = T.StructType(GRAD_SCHEMA.fields + [T.StructField(c, T.LongType()) for c in SEEN])
+ROLE_GRAD_SCHEMA = T.StructType([T.StructField("role", T.IntegerType())] + SEEN_GRAD_SCHEMA.fields)
 
 
 def _sums(kind, X, y, k, W, b, d, form, threshold):
-    """Loss sums and gradient sums (c x (d+1)) of one batch."""
+    """Loss sums and gradient sums (c x (d+1)) of one batch, and how many of all
+    its rows have their label as arg-max class (the first of equal ones)."""
     P = softmax_np(X @ W.T + b)
     rows = np.arange(len(y))
+    correct = int((P.argmax(axis=1) == y).sum()) if len(y) else 0
     if threshold is not None:
         keep = P[rows, y] > threshold
         X, y, P = X[keep], y[keep], P[keep]
@@ -141,7 +146,7 @@ def _sums(kind, X, y, k, W, b, d, form, threshold):
         rows = np.arange(len(y))
     G = np.zeros((W.shape[0], d + 1))
     if len(y) == 0:
-        return 0, 0.0, 0.0, G
+        return 0, 0.0, 0.0, G, correct
     py = np.maximum(P[rows, y], PROB_FLOOR)
     aux = 0.0
     if kind == "pl":
@@ -162,7 +167,7 @@ def _sums(kind, X, y, k, W, b, d, form, threshold):
         aux = float(-np.log(py).sum())
     G[:, :d] = dZ.T @ X
     G[:, d] = dZ.sum(axis=0)
-    return len(y), loss, aux, G
+    return len(y), loss, aux, G, correct
 
 
 def _partial(kind, W, b, d, form, threshold, features_col, y_col, comp_col, role_col=None):
@@ -184,18 +189,17 @@ def _partial(kind, W, b, d, form, threshold, features_col, y_col, comp_col, role
                 m = roles == r
                 got = _sums(kind, X[m], y[m], k[m] if k is not None else None, W, b, d, form,
                             threshold if r == 0 else None)
-                a = acc.setdefault(int(r), [0, 0.0, 0.0, np.zeros((W.shape[0], d + 1))])
-                a[0] += got[0]
-                a[1] += got[1]
-                a[2] += got[2]
-                a[3] += got[3]
+                a = acc.setdefault(int(r), [0, 0.0, 0.0, np.zeros((W.shape[0], d + 1)), 0, 0])
+                for i, v in enumerate((*got[:4], int(m.sum()), got[4])):
+                    a[i] = a[i] + v
         if not acc:
-            acc[0] = [0, 0.0, 0.0, np.zeros((W.shape[0], d + 1))]
+            acc[0] = [0, 0.0, 0.0, np.zeros((W.shape[0], d + 1)), 0, 0]
         rs = sorted(acc)
         cols = [pa.array([acc[r][0] for r in rs], pa.int64()), pa.array([acc[r][1] for r in rs]),
                 pa.array([acc[r][2] for r in rs]),
-                list_column(np.stack([acc[r][3].ravel() for r in rs]))]
-        names = ["n", "loss", "aux_loss", "grad"]
+                list_column(np.stack([acc[r][3].ravel() for r in rs])),
+                *[pa.array([acc[r][i] for r in rs], pa.int64()) for i in (4, 5)]]
+        names = ["n", "loss", "aux_loss", "grad", *SEEN]
         if role_col:
             cols, names = [pa.array(rs, pa.int32())] + cols, ["role"] + names
         yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -207,8 +211,8 @@ def gradient_frame(df: DataFrame, model: SoftmaxHead, kind: str = "pl",
                    form: str = "complement", threshold: float | None = None,
                    features_col: str = "features", y_col: str = "y",
                    comp_col: str | None = None, role_col: str | None = None) -> DataFrame:
-    """Sums over the rows of ``df``: ``n, loss, aux_loss, grad`` (one row, or one
-    row per role with ``role_col``).
+    """Sums over the rows of ``df``: ``n, loss, aux_loss, grad, seen, correct`` (one
+    row, or one row per role with ``role_col``).
 
     ``kind='pl'``: NLL of ``y``.  ``kind='nl'``: loss of the complementary label
     in ``comp_col`` (``form`` as in Q1); ``aux_loss`` is the positive loss
@@ -226,7 +230,7 @@ def gradient_frame(df: DataFrame, model: SoftmaxHead, kind: str = "pl",
     cols = [features_col, y_col] + ([comp_col] if comp_col else []) + ([role_col] if role_col else [])
     run = _partial(kind, model.W, model.b, model.dim, form, threshold, features_col, y_col,
                    comp_col if kind == "nl" else None, role_col)
-    parts = df.select(*cols).mapInArrow(run, ROLE_GRAD_SCHEMA if role_col else GRAD_SCHEMA)
+    parts = df.select(*cols).mapInArrow(run, ROLE_GRAD_SCHEMA if role_col else SEEN_GRAD_SCHEMA)
     return tree_sum(parts, fan_in(df), "role" if role_col else None)
 
 
@@ -240,9 +244,12 @@ def fan_in(df: DataFrame) -> int:
 def tree_sum(parts: DataFrame, groups: int, by: str | None = None) -> DataFrame:
     """Sums of per-partition rows in two levels: first within ``groups`` groups
     of partitions, then over the groups."""
+    counts = [c for c in SEEN if c in parts.columns]
+
     def sums():
         return [F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("aux_loss").alias("aux_loss"),
-                vector_to_array(Summarizer.sum(array_to_vector("grad"))).alias("grad")]
+                vector_to_array(Summarizer.sum(array_to_vector("grad"))).alias("grad"),
+                *[F.sum(c).alias(c) for c in counts]]
 
     keys = [by] if by else []
     first = parts.groupBy(*keys, F.pmod(F.spark_partition_id(), F.lit(groups)).alias("_group")).agg(*sums())
@@ -251,11 +258,12 @@ def tree_sum(parts: DataFrame, groups: int, by: str | None = None) -> DataFrame:
 
 def _mean(row, model) -> dict:
     n = int(row["n"] or 0) if row is not None else 0
+    counts = {c: int(row[c] or 0) if row is not None else 0 for c in SEEN}
     if n == 0:
         return {"n": 0, "loss": float("nan"), "aux_loss": float("nan"),
-                "grad": np.zeros(model.num_classes * (model.dim + 1))}
+                "grad": np.zeros(model.num_classes * (model.dim + 1)), **counts}
     return {"n": n, "loss": row["loss"] / n, "aux_loss": row["aux_loss"] / n,
-            "grad": np.asarray(row["grad"]) / n}
+            "grad": np.asarray(row["grad"]) / n, **counts}
 
 
 def gradients_by_role(df: DataFrame, model: SoftmaxHead, role_col: str = "_role", **kw) -> dict:

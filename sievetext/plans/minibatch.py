@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_mod, py_draw
-from ..operators.model import ROLE_GRAD_SCHEMA, SoftmaxHead, _sums, fan_in, list_column, matrix, softmax_np, tree_sum
+from ..operators.model import ROLE_GRAD_SCHEMA, SEEN, SoftmaxHead, _sums, fan_in, list_column, matrix, softmax_np, tree_sum
 from ..session import scratch_path
 from .train import GRAD_CLIP_PL, REFERENCE_LR, Adam, clip_by_norm
 
@@ -107,15 +107,16 @@ def _walk(model: SoftmaxHead, kind: str, epoch: int, batch_size: int, lr: float,
                 steps = 0
                 for a in range(0, len(turn), batch_size):
                     own = turn[a:a + batch_size]
-                    n, own_loss, own_aux, G = _sums(kind, X[own], y[own], None if k is None else k[own],
+                    n, own_loss, own_aux, G, _ = _sums(kind, X[own], y[own], None if k is None else k[own],
                                                     now.W, now.b, d, form, None)
                     grad, _ = clip_by_norm(G.ravel() / n, max_norm)
                     now = SoftmaxHead.from_flat(adam.step(now.flat(), grad), c, d)
                     loss, aux, means, steps = loss + own_loss, aux + own_aux, means + own_loss / n, steps + 1
-                n = len(turn)
+                n = len(turn)  # the selected rows
                 sums = np.concatenate([now.flat() * n, [means, steps]])
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n]), pa.array([loss]), pa.array([aux]),
-                                                  list_column(sums[None])], ["role", "n", "loss", "aux_loss", "grad"])
+                                                  list_column(sums[None]), pa.array([len(ids)]), pa.array([0])],
+                                                 ["role", "n", "loss", "aux_loss", "grad", *SEEN])
 
     return run
 

@@ -106,6 +106,14 @@ class Prepared:
                 .unionByName(self.index.where(F.col("id") <= F.lit(UNK_ID))))
 
 
+def frequent_ids(index: DataFrame) -> DataFrame | None:
+    """The broadcast half of a split look-up in a written frequency index, whose
+    first ids are the most frequent words; ``None`` where the whole index has no
+    more rows than that (``spark.sievetext.hotWords``)."""
+    k = setting(index.sparkSession, "hotWords", HOT_WORDS)
+    return None if index.count() <= k else index.where(F.col("id") <= k)
+
+
 def prepare(spark: SparkSession, sf_dir: str, label: str = "lang",
             tokenizer: Tokenizer = "blank", materialized: bool = True) -> Prepared:
     return Prepared(spark, sf_dir, label=label, tokenizer=tokenizer, materialized=materialized)

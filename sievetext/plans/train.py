@@ -103,21 +103,17 @@ class Trainer:
             return float(gamma)
         raise ValueError("select must be None, 'selnl' or 'selpl'")
 
-    def _pass(self, df: DataFrame, kind: str, epoch: int, threshold: float | None) -> dict:
-        if kind == "nl":
-            d = with_epoch_complement(df, self.num_classes, epoch, self.seed)
-            return gradient(d, self.model, kind="nl", form=self.form, threshold=threshold,
-                            comp_col="comp")
-        return gradient(df, self.model, kind="pl", threshold=threshold)
-
-    def _frame(self, train: DataFrame, dev: DataFrame | None, kind: str, step: int) -> DataFrame:
-        """Rows of one pass: training rows (role 0) and, when given, the dev rows
-        (role 1) that evaluate the previous step's weights.  Complementary
-        labels are keyed by the step each role stands for."""
+    def _frame(self, train: DataFrame | None, dev: DataFrame | None, test: DataFrame | None, kind: str,
+               step: int) -> DataFrame:
+        """Rows of one pass: training rows (role 0) and, when given, the dev and
+        test rows (roles 1 and 2) that evaluate the previous step's weights.
+        Complementary labels are keyed by the step each role stands for."""
         cols = ["id", "y", "features"]
-        frame = train.select(*cols).withColumn("_role", F.lit(0))
-        if dev is not None:
-            frame = frame.unionByName(dev.select(*cols).withColumn("_role", F.lit(1)))
+        frame = None
+        for role, rows in enumerate((train, dev, test)):
+            if rows is not None:
+                part = rows.select(*cols).withColumn("_role", F.lit(role))
+                frame = part if frame is None else frame.unionByName(part)
         if kind == "nl":
             c = self.num_classes
             comp = F.when(F.col("_role") == 0, complement_label("y", c, step, self.seed)).otherwise(
@@ -131,9 +127,10 @@ class Trainer:
             state_path: str | None = None, save_every: int = 5) -> SoftmaxHead:
         """Run up to ``epochs`` steps; one Spark job per step.
 
-        The dev loss of step e (weights after step e, as the reference
-        evaluates) is computed in the same scan as step e+1's gradient, which
-        uses exactly those weights; only the last step needs one more scan.
+        What the log says of step e (dev loss, test accuracy, training accuracy,
+        all with the weights after step e, as the reference evaluates) is counted
+        in the same scan as step e+1's gradient, which uses exactly those
+        weights; only the last step needs one more scan.
         """
         if kind not in ("nl", "pl"):
             raise ValueError("kind must be 'nl' or 'pl'")
@@ -141,24 +138,30 @@ class Trainer:
         threshold = self._threshold(select, gamma)
         stage = stage or (kind if select is None else select)
         c, d = self.num_classes, self.dim
-        pending = None  # last row, waiting for its dev loss
+        pending = None  # last row, waiting for its evaluation
 
-        def finish(row):
-            if self.on_epoch_end:
-                self.on_epoch_end(row)
+        def run(with_train, row, step):
+            """One job: the sums by role, with the rows that evaluate ``row``."""
+            frame = self._frame(train if with_train else None, dev if row else None,
+                                test if row and "test_accuracy" in row else None, kind, step)
+            res = gradients_by_role(frame, self.model, kind=kind, form=self.form, threshold=threshold,
+                                    comp_col="comp" if kind == "nl" else None)
+            if row:
+                if dev is not None:
+                    row["dev_loss"] = res.get(1, {"loss": float("nan")})["loss"]
+                for name, role in (("train_accuracy", 0), ("test_accuracy", 2)):
+                    if name in row:
+                        seen = res.get(role, {"seen": 0})["seen"]
+                        row[name] = 100.0 * res[role]["correct"] / seen if seen else float("nan")
+                if self.on_epoch_end:
+                    self.on_epoch_end(row)
+            return res
 
         for epoch in range(1, epochs + 1):
             t0 = time.time()
             step = len(self.history) + 1
-            with_dev = dev if pending is not None else None
-            res = gradients_by_role(self._frame(train, with_dev, kind, step), self.model, kind=kind,
-                                    form=self.form, threshold=threshold,
-                                    comp_col="comp" if kind == "nl" else None)
-            if pending is not None:
-                pending["dev_loss"] = res.get(1, {"loss": float("nan")})["loss"]
-                finish(pending)
-                pending = None
-            g = res.get(0, {"n": 0})
+            g = run(True, pending, step).get(0, {"n": 0})
+            pending = None
             if g["n"] == 0:  # empty selection: the reference stops the stage
                 self.history.append({"step": step, "stage": stage, "epoch": epoch, "n_rows": 0,
                                      "seconds": time.time() - t0, "stopped": True})
@@ -171,22 +174,21 @@ class Trainer:
                    # a full-batch step has one batch
                    "reported_loss": g["loss"] / g["n"], "grad_norm": norm, "stopped": False}
             if test is not None and (epoch % self.eval_every == 0 or epoch == epochs):
-                row["test_accuracy"] = test_accuracy(test, self.model)
+                row["test_accuracy"] = None
             if epoch % self.eval_every == 0:
-                row["train_accuracy"] = test_accuracy(train, self.model)
+                row["train_accuracy"] = None
             row["seconds"] = time.time() - t0
             self.history.append(row)
-            if dev is not None:
+            if dev is not None or "test_accuracy" in row or "train_accuracy" in row:
                 pending = row
-            else:
-                finish(row)
+            elif self.on_epoch_end:
+                self.on_epoch_end(row)
             if state_path and epoch % save_every == 0:
-                # the last saved row may still wait for its dev loss; a resumed
+                # the last saved row may still wait for its evaluation; a resumed
                 # run continues from the same weights and optimizer state
                 self.save_state(train.sparkSession, state_path)
         if pending is not None:
-            pending["dev_loss"] = self._pass(dev, kind, pending["step"], None)["loss"]
-            finish(pending)
+            run("train_accuracy" in pending, pending, pending["step"] + 1)
         if state_path:
             self.save_state(train.sparkSession, state_path)
         return self.model

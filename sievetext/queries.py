@@ -177,28 +177,45 @@ _CAPPED_IDS = ("array_to_string(list_concat(list_transform(range(128 - len(s)),
 
 @query("encode_capped", _capped_sql("'train', 'dev'") + f"SELECT id, {_CAPPED_IDS} FROM seqs")
 def q_encode_capped(spark, sf_dir):
-    from .plans.prepare import HOT_WORDS
-    from .session import materialize, setting
+    from .plans.prepare import frequent_ids
+    from .session import materialize
 
     p = _prep(spark, sf_dir)
     counts = token_counts(p.tokens.where(F.col("split").isin("train", "dev")))
     findex = materialize(frequency_index(counts, specials=()), "frequency-index")
-    # ids follow frequency, so the first ids are the hot words
-    enc = encode_capped(p.tokens, findex, num_words=1000, max_len=128,
-                        hot=findex.where(F.col("id") <= setting(spark, "hotWords", HOT_WORDS)))
+    enc = encode_capped(p.tokens, findex, num_words=1000, max_len=128, hot=frequent_ids(findex))
     return enc.select("id", ids_to_string("ids").alias("ids"))
 
 
-@query("load_multiclass", _capped_sql("'train', 'test'") + f"""
-SELECT seqs.id, toks.y, {_CAPPED_IDS} FROM seqs JOIN toks ON seqs.id = toks.id WHERE toks.split = 'test'""")
+@query("load_multiclass", _capped_sql("'train', 'test'") + f""",
+padded AS (SELECT seqs.id, toks.y, toks.split, {_CAPPED_IDS} FROM seqs JOIN toks ON seqs.id = toks.id),
+whole AS (
+  SELECT t.id, t.y, t.split, array_to_string(list_concat([1::BIGINT], coalesce(
+    list(CASE WHEN f.id IS NULL OR f.id >= 1000 THEN 2 ELSE f.id END ORDER BY e.pos) FILTER (WHERE e.pos IS NOT NULL),
+    []::BIGINT[])), ' ') AS ids
+  FROM toks t LEFT JOIN (SELECT t.id, u.token, u.pos FROM toks t, unnest(t.tokens) WITH ORDINALITY AS u(token, pos)) e
+    ON t.id = e.id LEFT JOIN findex f ON e.token = f.token GROUP BY t.id, t.y, t.split),
+numbered AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM padded WHERE split = 'train')
+SELECT 'train batches' AS part, id, y, CAST(pos // 64 AS BIGINT) AS batch_id, ids FROM numbered WHERE pos < n // 64 * 64
+UNION ALL SELECT 'train', id, y, NULL, ids FROM whole WHERE split = 'train'
+UNION ALL SELECT 'test', id, y, NULL, ids FROM whole WHERE split = 'test'
+UNION ALL SELECT 'test padded', id, y, NULL, ids FROM padded WHERE split = 'test'
+UNION ALL SELECT 'index', id, NULL, NULL, token FROM findex
+UNION ALL SELECT 'index', id, NULL, NULL, token FROM (VALUES
+  ('<PAD>', 0::BIGINT), ('<START>', 1::BIGINT), ('<UNK>', 2::BIGINT), ('<EOS>', 3::BIGINT)) s(token, id)""")
 def q_load_multiclass(spark, sf_dir):
-    """The padded test rows of the multi-class pre-encoded data set."""
+    """All five results of the multi-class pre-encoded data set (S5), by part."""
     from .compat import load_data_set_multiclass
 
     p = _prep(spark, sf_dir)
     rows = [p.tokens.where(F.col("split") == s).select("id", "y", "tokens") for s in ("train", "test")]
-    test = load_data_set_multiclass(*rows, max_len=128, vocab_size=1000, batch_size=64)[3]
-    return test.select("id", "y", ids_to_string("ids").alias("ids"))
+    found = load_data_set_multiclass(*rows, max_len=128, vocab_size=1000, batch_size=64)
+    none = F.lit(None).cast("long").alias("batch_id")
+    out = found[0].select(F.lit("train batches").alias("part"), "id", "y", "batch_id", ids_to_string("ids").alias("ids"))
+    for part, df in zip(("train", "test", "test padded"), found[1:4], strict=True):
+        out = out.unionByName(df.select(F.lit(part).alias("part"), "id", "y", none, ids_to_string("ids").alias("ids")))
+    return out.unionByName(found[4].select(F.lit("index").alias("part"), F.col("id").cast("long").alias("id"),
+                                           F.lit(None).cast("int").alias("y"), none, F.col("token").alias("ids")))
 
 
 @query("encode_with_vocab", _with(*INDEX) + """,
@@ -789,6 +806,17 @@ def q_read_labeled_csv(spark, sf_dir):
     return read_csv(spark, path)
 
 
+@query("read_csv_split", _with(S.corpus_cte()) + "SELECT label, text FROM corpus")
+def q_read_csv_split(spark, sf_dir):
+    """The same table by the reader that gives one file to several tasks."""
+    from .session import scratch_path
+    from .sources.files import read_csv, write_csv
+
+    c = _prep(spark, sf_dir).corpus
+    path = write_csv(c.select("label", "text"), scratch_path(spark, "labeled-csv"))
+    return read_csv(spark, path, splittable=True)
+
+
 @query("export_csv_roundtrip", _with(S.corpus_cte()) + """
 SELECT CAST(id AS VARCHAR) AS id, label, text FROM corpus WHERE split IN ('train', 'dev')""")
 def q_export_csv_roundtrip(spark, sf_dir):
@@ -812,13 +840,14 @@ def q_read_predictions_json(spark, sf_dir):
     from .functions.vecmath import argmax
     from .operators.metrics import label_audit
     from .session import scratch_path
-    from .sources.files import read_json, write_json
+    from .sources.files import PREDICTIONS_SCHEMA
+    from .sources.splits import read_json_array, write_json_array
 
     s, _c = _scored(spark, sf_dir)
     preds = s.select(F.col("vec_id").alias("id"), F.col("y").cast("long").alias("actual_label"),
                      argmax("probs").cast("long").alias("predicted_label"))
-    path = write_json(preds, scratch_path(spark, "predictions-json"))
-    return label_audit(read_json(spark, path))
+    path = write_json_array(preds, scratch_path(spark, "predictions-json"))
+    return label_audit(read_json_array(spark, path, PREDICTIONS_SCHEMA))
 
 
 @query("read_text_folder", """
@@ -868,7 +897,7 @@ def _cnn_setup(spark, sf_dir, length=CNN_LEN):
 SELECT id, CAST(k AS INTEGER) AS k, round(p, 6) + 0.0::DOUBLE AS prob FROM cnnprob""")
 def q_cnn_scores(spark, sf_dir):
     p, v, enc, CNNRunner, CNNText = _cnn_setup(spark, sf_dir)
-    runner = CNNRunner(enc, v.lookup, v.dim, CNN_LEN, keep=("y",), hot=v.hot_lookup())
+    runner = CNNRunner(enc, v.lookup, v.dim, CNN_LEN, keep=("y",), hot=v.hot_lookup)
     s = runner.score(CNNText(p.num_classes, v.dim))
     return s.select("id", F.posexplode("probs").alias("k", "_p")).select("id", "k", _r6(F.col("_p")).alias("prob"))
 
@@ -883,13 +912,31 @@ def q_train_cnn(spark, sf_dir):
     train = enc.where(F.col("split") == "train")
     noisy = materialize(inject_noise(train, p.num_classes, 0.3, kind="exc", label_col="y")
                         .select("id", "y", "ids"), "cnn-train")
-    runner = CNNRunner(noisy, v.lookup, v.dim, CNN_LEN, keep=("y",), hot=v.hot_lookup())
+    runner = CNNRunner(noisy, v.lookup, v.dim, CNN_LEN, keep=("y",), hot=v.hot_lookup)
     model, hist = fit_cnn(runner, CNNText(p.num_classes, v.dim), 3, kind="nl", lr=0.01, stage="nl")
     model, hist = fit_cnn(runner, model, 3, kind="pl", lr=0.01, select="selpl", stage="selpl", history=hist)
     return history_frame(spark, hist).select("step", "stage", "epoch", "n_rows",
                                              _r6(F.col("train_loss")).alias("train_loss"), "stopped")
 
 
+@query("cnn_gradient", _with(*VEC_BASE, S.lookup_ctes(), S.encode_ctes(CNN_LEN),
+                             "nclass AS (SELECT count(DISTINCT lang) AS c FROM documents "
+                             "WHERE text IS NOT NULL AND lang IS NOT NULL)",
+                             S.cnn_ctes(CNN_LEN), S.cnn_gradient_ctes()) + """
+SELECT rate, CAST(i AS INTEGER) AS i, round(g, 6) + 0.0::DOUBLE AS g FROM cnngrad""")
+def q_cnn_gradient(spark, sf_dir):
+    """Mean gradient of the positive loss by parameter, without and with dropout."""
+    p, v, enc, CNNRunner, CNNText = _cnn_setup(spark, sf_dir)
+    runner = CNNRunner(enc, v.lookup, v.dim, CNN_LEN, keep=("y",), hot=v.hot_lookup)
+    out = None
+    for rate in (0.0, 0.1):
+        sums = runner.gradient_frame(CNNText(p.num_classes, v.dim, dropout=rate), kind="pl", epoch=3)
+        rows = sums.select(F.lit(rate).alias("rate"), "n", F.posexplode("grad").alias("i", "_g")).select(
+            "rate", "i", _r6(F.col("_g") / F.col("n")).alias("g"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ---------------------------------------------------------------- streaming encode
 
 @query("stream_encode", _with(*INDEX) + """,

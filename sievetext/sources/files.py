@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .splits import read_csv_split
+
 LABELED_CSV_SCHEMA = T.StructType([T.StructField("label", T.StringType()),
                                    T.StructField("text", T.StringType())])
 
@@ -30,9 +32,14 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = LABELED_CSV_SCHEMA) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = LABELED_CSV_SCHEMA,
+             splittable: bool = False) -> DataFrame:
     """Headerless labelled CSV, columns in schema order (S1, S7); texts may span
-    lines.  Empty quoted fields stay empty strings, empty unquoted ones are null."""
+    lines.  Empty quoted fields stay empty strings, empty unquoted ones are null.
+    ``splittable`` reads a large file by many tasks (:mod:`.splits`); quotes within
+    a field must then be doubled and the field quoted, as :func:`write_csv` does."""
+    if splittable:
+        return read_csv_split(spark, path, schema, {**_CSV_OPTS, "nullValue": _NO_NULL_TOKEN})
     return spark.read.schema(schema).options(**_CSV_OPTS, nullValue=_NO_NULL_TOKEN).csv(path)
 
 

@@ -188,3 +188,55 @@ clogit AS (SELECT p.id, fcw.k, sum(p.h * fcw.w) + fcb.b AS z
            JOIN fcb ON fcb.k = fcw.k GROUP BY p.id, fcw.k, fcb.b),
 cshift AS (SELECT id, k, exp(z - max(z) OVER (PARTITION BY id)) AS ez FROM clogit),
 cnnprob AS (SELECT id, k, ez / sum(ez) OVER (PARTITION BY id) AS p FROM cshift)"""
+
+
+def cnn_gradient_ctes(rates=(0.0, 0.1), epoch: int = 3, sizes=(2, 3, 4, 5, 6), n_filters: int = 5) -> str:
+    """``cnngrad(rate, i, g)``: mean gradient of the NLL by place in the flat
+    parameters, per dropout rate; needs the CTEs of :func:`cnn_ctes`."""
+    nf, low = n_filters * len(sizes), min(sizes)
+    wide = 18446744073709551616
+
+    def mixed(x, shift, factor):
+        y = f"xor(CAST({x} AS UHUGEINT), CAST({x} AS UHUGEINT) >> {shift})"
+        return f"(({y}) * {factor}::UHUGEINT) % {wide}::UHUGEINT" if factor else y
+
+    start = (f"((g.id::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT) % {wide}::UHUGEINT"
+             f" + (g.m::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT) % {wide}::UHUGEINT"
+             f" + {(SEED * 1000003 + epoch) & 0xFFFFFFFF}::UHUGEINT) % {wide}::UHUGEINT")
+    before = " + ".join(f"CASE WHEN g.width > {w} THEN {n_filters} * ({w} * dimt.d + 1) ELSE 0 END" for w in sizes)
+    convs = " + ".join(f"{n_filters} * ({w} * dimt.d + 1)" for w in sizes)
+    rows = ", ".join(f"({r}::DOUBLE)" for r in rates)
+    return f"""rates AS (SELECT * FROM (VALUES {rows}) v(rate)),
+best AS (SELECT id, width, f, t, v, CAST((width - {low}) * {n_filters} + f AS BIGINT) AS m FROM (
+  SELECT c.id, c.width, c.f, c.t, c.s + cb.b AS v, row_number() OVER (
+           PARTITION BY c.id, c.width, c.f ORDER BY greatest(c.s + cb.b, 0.0::DOUBLE) DESC, c.t) AS r
+  FROM conv c JOIN cb ON c.width = cb.width AND c.f = cb.f) WHERE r = 1),
+m0 AS (SELECT g.*, {start} AS x FROM best g),
+m1 AS (SELECT * REPLACE ({mixed('x', 30, 0xBF58476D1CE4E5B9)} AS x) FROM m0),
+m2 AS (SELECT * REPLACE ({mixed('x', 27, 0x94D049BB133111EB)} AS x) FROM m1),
+m3 AS (SELECT * REPLACE ({mixed('x', 31, None)} AS x) FROM m2),
+hid AS (SELECT m3.* EXCLUDE (x), rate, CASE WHEN rate = 0 THEN 1.0::DOUBLE
+          WHEN CAST(x >> 11 AS DOUBLE) / 9007199254740992.0::DOUBLE >= rate THEN 1.0::DOUBLE / (1.0::DOUBLE - rate)
+          ELSE 0.0::DOUBLE END AS mask FROM m3 CROSS JOIN rates),
+gz AS (SELECT h.rate, h.id, fcw.k, sum(greatest(h.v, 0.0::DOUBLE) * h.mask * fcw.w) + any_value(fcb.b) AS z
+       FROM hid h JOIN fcw ON fcw.m = h.m JOIN fcb ON fcb.k = fcw.k GROUP BY h.rate, h.id, fcw.k),
+ge AS (SELECT *, exp(z - max(z) OVER (PARTITION BY rate, id)) AS ez FROM gz),
+dz AS (SELECT ge.rate, ge.id, ge.k, ez / sum(ez) OVER (PARTITION BY ge.rate, ge.id)
+              - CASE WHEN e.y = ge.k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS dz FROM ge JOIN enc e ON e.id = ge.id),
+dh AS (SELECT h.rate, h.id, h.width, h.f, h.t,
+              sum(dz.dz * fcw.w) * any_value(h.mask) * CASE WHEN any_value(h.v) > 0 THEN 1 ELSE 0 END AS dh
+       FROM hid h JOIN dz ON dz.id = h.id AND dz.rate = h.rate JOIN fcw ON fcw.m = h.m AND fcw.k = dz.k
+       GROUP BY h.rate, h.id, h.width, h.f, h.t),
+shifted AS (SELECT g.*, j.j, cx.vec FROM dh g CROSS JOIN range({max(sizes)}) j(j)
+            JOIN cx ON cx.id = g.id AND cx.pos = g.t + j.j WHERE j.j < g.width AND g.dh <> 0),
+flat AS (
+  SELECT g.rate, {before} + (g.f * g.width + g.j) * dimt.d + u.e - 1 AS i, sum(g.dh * u.v) AS g
+  FROM shifted g CROSS JOIN dimt, unnest(g.vec) WITH ORDINALITY AS u(v, e) GROUP BY ALL
+  UNION ALL SELECT g.rate, {before} + {n_filters} * g.width * dimt.d + g.f, sum(g.dh)
+  FROM dh g CROSS JOIN dimt GROUP BY ALL
+  UNION ALL SELECT h.rate, {convs} + dz.k * {nf} + h.m, sum(dz.dz * greatest(h.v, 0.0::DOUBLE) * h.mask)
+  FROM hid h JOIN dz ON dz.id = h.id AND dz.rate = h.rate CROSS JOIN dimt GROUP BY ALL
+  UNION ALL SELECT dz.rate, {convs} + (SELECT c FROM nclass) * {nf} + dz.k, sum(dz.dz) FROM dz CROSS JOIN dimt GROUP BY ALL),
+places AS (SELECT rate, i.i FROM rates CROSS JOIN dimt CROSS JOIN nclass, range({convs} + c * ({nf} + 1)) i(i)),
+cnngrad AS (SELECT p.rate, p.i, coalesce(g, 0.0::DOUBLE) / (SELECT count(*) FROM enc) AS g
+            FROM places p LEFT JOIN flat ON flat.rate = p.rate AND flat.i = p.i)"""
