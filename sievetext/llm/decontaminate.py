@@ -5,10 +5,13 @@ streamed through it word by word; the state keeps the longest suffix of the
 words read that occurs in an item.  A match of ``window`` words or more marks
 those words; an item of fewer words marks its whole occurrences.
 
-The benchmark is split by a hash into blocks of at most about ``block_chars``
-characters; each block is collected, built and broadcast on its own, and all
-documents stream through every block, so neither the driver nor a task holds
-more than one block's share per pass column.  Documents are never shuffled.
+The benchmark is split by a hash into blocks of about ``block_chars`` characters
+(a million make about 95 MB of automaton; a longer item is a block's worth by
+itself).  One block is one row-local pass.  Several are passes one after the
+other over documents written once with a row number: each collects, builds and
+broadcasts its block, writes the matches of the rows that have some, and
+releases the automaton, so the driver and a worker hold one block at a time.
+The matches join by row number at the end; texts are never shuffled.
 
 Defined cases: null and empty texts have no words; items without words mark
 nothing; an item without id marks words but is not listed; repeated items are
@@ -18,12 +21,12 @@ listed once per id; an empty benchmark marks nothing.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import BLOCK_CHARS, free_name, small_batches, without
 
 WINDOW = 10
@@ -194,17 +197,21 @@ def _scan_udf(shared, cut: bool):
     return scan
 
 
-def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
-             window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> list[ItemAutomaton]:
-    """One automaton per hash block of the benchmark; each block collects about
-    ``block_chars`` characters."""
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
+                block_chars: int = BLOCK_CHARS) -> list[DataFrame]:
+    """The benchmark as ``(name, body)`` in hash blocks of about ``block_chars`` characters."""
     items = benchmark.select(F.col(id_col).cast("string").alias("name"),
                              F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     chars = items.agg(F.sum(F.length("body")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-int(chars) // block_chars))
     block = F.pmod(F.xxhash64("name", "body"), F.lit(n_blocks))
-    return [ItemAutomaton([(r["name"], r["body"]) for r in items.where(block == k).collect()], window)
-            for k in range(n_blocks)]
+    return [items.where(block == k) for k in range(n_blocks)]
+
+
+def _shared(items: DataFrame, window: int):
+    """The automaton of a block as a broadcast; the driver keeps no other copy."""
+    return items.sparkSession.sparkContext.broadcast(
+        ItemAutomaton([(r["name"], r["body"]) for r in items.collect()], window))
 
 
 def _covered(spans: Column) -> Column:
@@ -228,24 +235,37 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     One block cuts in the pass that finds the words; several blocks cut in a
     pass of their own, once the spans of all are known."""
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(a) for a in automata(benchmark, window=window, block_chars=block_chars)]
+    blocks = item_blocks(benchmark, block_chars=block_chars)
     out = without(small_batches(docs), output)
-    parts = []
-    for b in shared:
-        name = free_name(out, f"block{len(parts)}")
-        out = out.withColumn(name, _scan_udf(b, cut and len(shared) == 1)(F.col(text_col).cast("string")))
-        parts.append(name)
-    spans = reduce(F.concat, [F.col(f"{p}.spans") for p in parts])
-    items = reduce(F.concat, [F.col(f"{p}.items") for p in parts])
-    fields = [F.col(f"{parts[0]}.cleaned").alias("cleaned")] if cut and len(parts) == 1 else []
-    if cut and len(parts) > 1:
-        fields = [F.when(F.size(spans) > 0, _cut_udf()(F.col(text_col).cast("string"), spans)).alias("cleaned")]
+    text = F.col(text_col).cast("string")
+    if len(blocks) == 1:
+        found = free_name(out, "block0")
+        out = out.withColumn(found, _scan_udf(_shared(blocks[0], window), cut)(text))
+        spans, own = F.col(f"{found}.spans"), [F.col(f"{found}.cleaned").alias("cleaned")] if cut else []
+        more, drop = [F.col(f"{found}.{c}") for c in ("n_words", "longest", "items")], [found]
+    else:
+        row, matches, n_words = (free_name(out, n) for n in ("row_number", "matches", "n_words"))
+        out = materialize(out.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        per_block = None
+        for k, items in enumerate(blocks):
+            shared = _shared(items, window)
+            each = out.select(row, _scan_udf(shared, False)(text).alias("m")).select(
+                row, *[F.col(f"m.{c}").alias(c) for c in ("n_words", "longest", "spans", "items")])
+            # The first pass also counts the words of every row.
+            each = materialize(each if k == 0 else each.where("longest > 0"), "matches")
+            shared.destroy()
+            per_block = each if per_block is None else per_block.unionByName(each)
+        met = per_block.groupBy(row).agg(
+            F.max("n_words").alias("n_words"), F.max("longest").alias("longest"),
+            F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        out = out.join(met.select(row, F.struct("longest", "spans", "items").alias(matches),
+                                  F.col("n_words").alias(n_words)), row)
+        spans = F.col(f"{matches}.spans")
+        own = [F.when(F.size(spans) > 0, _cut_udf()(text, spans)).alias("cleaned")] if cut else []
+        more, drop = [F.col(n_words), F.col(f"{matches}.longest"), F.col(f"{matches}.items")], [row, matches, n_words]
     return out.withColumn(output, F.struct(
-        *fields, F.col(f"{parts[0]}.n_words").alias("n_words"), _covered(spans).alias("n_hit"),
-        F.greatest(F.lit(0).cast("long"), *[F.col(f"{p}.longest") for p in parts]).alias("longest"),
-        F.array_sort(spans).alias("spans"),
-        F.sort_array(F.array_distinct(items)).alias("items"))).drop(*parts)
+        *own, more[0].alias("n_words"), _covered(spans).alias("n_hit"), more[1].alias("longest"),
+        F.array_sort(spans).alias("spans"), F.sort_array(F.array_distinct(more[2])).alias("items"))).drop(*drop)
 
 
 def _cut_udf():

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, small_batches, without
@@ -32,12 +32,14 @@ from .common import crc_mod, small_batches, without
 UNDETERMINED = "und"
 SAMPLE_DOCS = 200
 SAMPLE_TOTAL = 2000
-SAMPLE_CHARS = 2000
+SAMPLE_CHARS = 1_600_000
 MAX_LANGUAGES = 200
 FOLDS, HELD_OUT_FOLD = 3, 1
 BITS, LEXICON_BITS = 18, 20
 GROUP_CHARS = 1 << 21
 BLOCK = 32
+#: Languages up to which the two sizes above hold; with more, blocks grow and groups shrink.
+_FEW = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,28 +137,40 @@ class Field:
         return out[place]
 
 
+def block_words(languages: int) -> int:
+    """Words of a block: a block has a matrix of languages x languages, so blocks
+    grow with its size and the matrices of a text do not."""
+    return BLOCK * max(1, -(-languages * languages // (_FEW * _FEW)))
+
+
+def group_chars(languages: int) -> int:
+    """Characters that are labelled together: every word has a number per language."""
+    return max(1, GROUP_CHARS * _FEW // max(_FEW, languages))
+
+
 def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """Forward-backward label probabilities of chains laid end to end (every
     chain has a word; a chain starts from any label).
 
-    Chains are cut into blocks of :data:`BLOCK` words; all blocks move in step,
+    Chains are cut into blocks of :func:`block_words` words; all blocks move in step,
     once to get their transfer matrices, and once from the states that these
     give at the block borders, so a long chain needs few array steps.  Blocks
     are laid out longest first: those with a word at a step are a prefix."""
     n, k = scores.shape
-    blocks = -(-lengths // BLOCK)
+    width = min(block_words(k), int(lengths.max()))
+    blocks = -(-lengths // width)
     first = np.cumsum(blocks) - blocks
     total = int(blocks.sum())
-    size = np.full(total, BLOCK)
-    size[first + blocks - 1] = lengths - (blocks - 1) * BLOCK
+    size = np.full(total, width)
+    size[first + blocks - 1] = lengths - (blocks - 1) * width
     order = np.argsort(-size, kind="stable")
     spot = np.empty(total, np.int64)
     spot[order] = np.arange(total)
-    active = [int(v) for v in (size[:, None] > np.arange(BLOCK)).sum(axis=0)]
+    active = (total - np.searchsorted(np.sort(size), np.arange(width), side="right")).tolist()
     chain = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    where = (place % BLOCK, spot[first[chain] + place // BLOCK])
-    e = np.ones((BLOCK, total, k), scores.dtype)
+    where = (place % width, spot[first[chain] + place // width])
+    e = np.ones((width, total, k), scores.dtype)
     e[where] = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -15.0))
     t = np.exp(transitions - transitions.max()).astype(scores.dtype)
 
@@ -182,7 +196,7 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray)
         state = (state[:m] @ t) * e[s, :m]
         state = scaled(state) if s % 2 else state
         alpha[s, :m] = state
-    for s in range(BLOCK - 1, -1, -1):
+    for s in range(width - 1, -1, -1):
         m = active[s]
         alpha[s, :m] *= after[:m]
         step = (e[s, :m] * after[:m]) @ t.T
@@ -302,14 +316,15 @@ def fit(texts: list[str], labels: list[str], steps: int = 30, rate: float = 0.2,
 
 def label_texts(field: Field, featurize: Featurizer, texts: list[str | None]) -> list[dict]:
     """Language, score, words, switches and words by language of each text.
-    Texts are taken together up to about :data:`GROUP_CHARS` characters."""
+    Texts are taken together up to about :func:`group_chars` characters."""
+    most = group_chars(len(field.languages))
     out: list[dict] = []
     group: list[str] = []
     chars = 0
     for t in texts:
         group.append(t or "")
         chars += len(group[-1])
-        if chars >= GROUP_CHARS:
+        if chars >= most:
             out += _label_group(field, featurize, group)
             group, chars = [], 0
     return out + (_label_group(field, featurize, group) if group else [])
@@ -341,19 +356,33 @@ def _label_group(field: Field, featurize: Featurizer, texts: list[str]) -> list[
     return out
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
-    """Field from documents with a language whose crc32(id) modulo 3 is not 1."""
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
+          max_languages: int = MAX_LANGUAGES) -> Field:
+    """Field from documents with a language whose crc32(id) modulo 3 is not 1.
+
+    The sample is of whole texts, drawn by a hash of the id: at most
+    ``sample_docs`` a language, and an equal share of ``sample_chars`` characters
+    in all for each (but one text at least, the shortest of those drawn where
+    all are longer).  More than ``max_languages`` languages are an error."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                         & (crc_mod("doc_id", FOLDS) != HELD_OUT_FOLD))
     counts = (usable.groupBy("lang").agg(F.count("*").alias("n"))
-              .orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect())
+              .orderBy(F.col("n").desc(), "lang").limit(max_languages + 1).collect())
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages to learn; raise max_languages or join some")
     share = F.lit(0.0)
     sample_docs = min(sample_docs, max(1, SAMPLE_TOTAL // max(1, len(counts))))
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_docs / r["n"]))).otherwise(share)
+    most = sample_chars // max(1, len(counts))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = (usable.where(draw < share)
-            .select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("body"))
+    drawn = usable.where(draw < share).select("doc_id", "lang", F.col("text").alias("body"), draw.alias("draw"),
+                                              F.length("text").cast("long").alias("n"))
+    long = F.col("n") > most
+    order = Window.partitionBy("lang").orderBy(long, F.when(long, F.col("n")), "draw", "doc_id", "body")
+    ranked = drawn.withColumns({"upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+                                "rank": F.row_number().over(order)})
+    rows = (ranked.where((F.col("upto") <= most) | (F.col("rank") == 1)).select("doc_id", "lang", "body")
             .orderBy("doc_id", "lang", "body").collect())
     return fit([r["body"] for r in rows], [r["lang"] for r in rows])
 

@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import BLOCK_CHARS, crc_mod, small_batches, without
+from .common import crc_mod, small_batches, without
 
 SAMPLE_DOCS = 6000
-SAMPLE_CHARS = BLOCK_CHARS
+SAMPLE_CHARS = 20_000_000
 MIN_DOCS = 5
 STEMS = (4, 5, 6)
 CACHE_WORDS = 200_000

@@ -1,3 +1,4 @@
+import weakref
 import hashlib
 import re
 
@@ -65,7 +66,7 @@ def test_awkward_rows_and_blocks(spark, awkward):
     bench = spark.read.parquet(f"{awkward}/benchmark.parquet")
     whole = {r.doc_id: r.c for r in dc.with_contamination(docs, bench, output="c").collect()}
     parts = {r.doc_id: r.c for r in dc.with_contamination(docs, bench, output="c", block_chars=30).collect()}
-    assert len(dc.automata(bench, block_chars=30)) > 1
+    assert len(dc.item_blocks(bench, block_chars=30)) > 1
     for i, text, *_ in ROWS:
         want = brute(text, BENCH)
         for c in (whole[i], parts[i]):
@@ -99,3 +100,40 @@ def test_one_block_and_many_blocks_cut_alike(spark):
     items = [(str(r.item_id), r.text) for r in bench.collect()]
     left = dc.ItemAutomaton(items)
     assert sum(bool(left.scan(t)[2]) for t, _ in one.values()) <= 1  # a cut may join new neighbours
+
+
+def test_one_automaton_at_a_time(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    want = {r.doc_id: r.c for r in dc.with_contamination(docs.select("doc_id", "text"), bench, output="c").collect()}
+    alive, most, drops, build = [0], [0], [], dc.ItemAutomaton.__init__
+
+    def gone():
+        alive[0] -= 1
+
+    def counted(self, *args):
+        build(self, *args)
+        alive[0] += 1
+        most[0] = max(most[0], alive[0])
+        weakref.finalize(self, gone)
+
+    shared = dc._shared
+
+    def held(items, window):
+        assert all(b.destroyed for b in drops)
+        b = shared(items, window)
+        drop = b.destroy
+        b.destroyed = False
+
+        def destroy():
+            b.destroyed = True
+            drop()
+
+        b.destroy = destroy
+        drops.append(b)
+        return b
+
+    monkeypatch.setattr(dc.ItemAutomaton, "__init__", counted)
+    monkeypatch.setattr(dc, "_shared", held)
+    many = dc.with_contamination(docs.select("doc_id", "text"), bench, output="c", block_chars=2000)
+    assert len(drops) > 3 and all(b.destroyed for b in drops) and most[0] == 1
+    assert {r.doc_id: r.c for r in many.collect()} == want

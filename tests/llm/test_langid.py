@@ -134,3 +134,50 @@ def test_languages_of_short_texts():
         field = langid.fit(texts + short, ["en"] * len(texts) + names)
         got = langid.label_texts(field, langid.Featurizer(), test)
         assert [g["lang"] for g in got] == want
+
+
+@pytest.mark.parametrize("k", [17, 40])
+def test_marginals_of_many_languages(k):
+    rng = np.random.default_rng(k)
+    sizes = [langid.block_words(k) * 2 + 5, 1, langid.block_words(k)]
+    scores, transitions = rng.normal(size=(sum(sizes), k)) * 2, rng.normal(size=(k, k))
+    got, at = langid.marginals(scores, np.array(sizes), transitions), 0
+    for n in sizes:
+        assert np.abs(got[at:at + n] - one_by_one(scores[at:at + n], transitions)).max() < 1e-9
+        at += n
+
+
+def test_memory_of_a_hundred_languages():
+    import tracemalloc
+
+    k = 100
+    field = langid.Field([f"l{i:03}" for i in range(k)], np.zeros(((1 << langid.BITS) + k + 1, k), np.float32),
+                         np.full(1 << langid.LEXICON_BITS, -1, np.int16), np.zeros((k, k)))
+    rng = np.random.default_rng(1)
+    words = np.array(["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)])
+    text = " ".join(rng.choice(words, 350_000))  # 2 MB, one text
+    featurize = langid.Featurizer()
+    tracemalloc.start()
+    got = langid.label_texts(field, featurize, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0]["words"] == 350_000 and peak < 1 << 30
+
+
+def test_sample_of_whole_texts_and_too_many_languages(spark, monkeypatch):
+    seen = []
+    plain = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: seen.append((texts, labels)) or plain(texts, labels, steps=1))
+    header = "this licence is given to all people who use the work " * 60  # over 3,000 characters
+    rows = [(i, header + ("der hund und die katze " if i % 2 else "le chat et le chien ") * 30, "de" if i % 2 else "fr")
+            for i in range(60)] + [(1000 + i, "x" * 50_000 + " y", "long") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.train(docs, sample_chars=60_000)
+    texts, labels = seen[0]
+    by_id = {t for _, t, _ in rows}
+    assert set(texts) <= by_id and {"de", "fr", "long"} == set(labels)
+    assert labels.count("long") == 1  # all are beyond the share; the shortest drawn is learned
+    for lang in ("de", "fr"):
+        assert sum(len(t) for t, v in zip(texts, labels, strict=True) if v == lang) <= 20_000
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs, max_languages=2)

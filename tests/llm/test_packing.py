@@ -158,3 +158,19 @@ def test_digest_names_the_documents(spark):
     rows = matrices.matrix_digest(small(spark)).collect()
     assert {int(v) for r in rows for v in r.doc_ids.split(",")} == ids
     assert all(len(r.doc_ids.split(",")) == r.n_segments for r in rows)
+
+
+def test_windows_wider_than_15_bits(spark):
+    docs = spark.createDataFrame([(i, "word " * n) for i, n in enumerate([39_999, 20_000, 60_000, 5, 19_000])],
+                                 "doc_id long, text string")
+    rows = packing.pack(docs, packing.tokenizer_path(), window=40_000).collect()
+    taken = {}
+    for r in rows:
+        taken.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+    for spans in taken.values():  # gapless, and no two pieces in one place
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] <= 40_000
+        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert sum(r.length for r in rows) == 39_999 + 20_000 + 60_000 + 5 + 19_000 + 5
+    with pytest.raises(ValueError, match="windows"):
+        packing.pack(docs, packing.tokenizer_path(), window=1 << 23)
