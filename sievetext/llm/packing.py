@@ -39,7 +39,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Rank buckets; pieces of one length are numbered per bucket.
 BUCKETS = 256
 #: Chunks whose ids an encoder keeps (about 200 bytes each).
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 400_000
+#: The same where nothing else is held beside them.
+LARGE_CACHE = 800_000
 #: Bits of a piece's rank and of a window's length in one 63-bit key.
 RANK_BITS, MAX_WINDOW_BITS = 40, 23
 # Fixed value: the vocabulary's mark of a word's last token.
@@ -339,7 +341,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def pack_documents(docs: DataFrame, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+def pack_documents(docs: DataFrame, cache_chunks: int = LARGE_CACHE) -> DataFrame:
     """The rows of the registered query."""
     return pack(docs.select("doc_id", "text"), tokenizer_path(), cache_chunks=cache_chunks).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
