@@ -7,12 +7,14 @@ a map literal, so it can be as large as the corpus makes it.
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .order import with_ordinal
 
 # ---- fixed values --------------------------------------------------------
@@ -100,3 +102,75 @@ def frequency_index(counts: DataFrame, index_from: int = KERAS_INDEX_FROM,
     if not specials:
         return words
     return specials_frame(counts.sparkSession, specials).unionByName(words)
+
+
+def _summary_rows(capacity: int):
+    """Misra-Gries summaries of a task's tokens: at most ``capacity`` counters
+    after each batch; making room takes the same number off every count, and the
+    numbers add up to the error of all counts (the row without a token)."""
+    import pyarrow as pa
+
+    def run(batches):
+        held: Counter = Counter()
+        error = 0
+        for rb in batches:
+            values = rb.column("tokens").flatten()
+            for pair in values.value_counts().to_pylist():
+                if pair["values"] is not None:
+                    held[pair["values"]] += pair["counts"]
+            if len(held) > capacity:
+                off = sorted(held.values(), reverse=True)[capacity]
+                held = Counter({t: n - off for t, n in held.items() if n > off})
+                error += off
+        yield pa.RecordBatch.from_arrays([pa.array([*held, None], pa.string()), pa.array([*held.values(), error], pa.int64())],
+                                         ["token", "count"])
+
+    return run
+
+
+def top_counts(*token_tables: DataFrame, top: int, capacity: int | None = None,
+               tokens_col: str = "tokens") -> tuple[DataFrame, bool]:
+    """Exact ``(token, count)`` of the ``top`` most frequent tokens at least (ties
+    by token), without counting every word of the corpus.
+
+    Summaries of ``capacity`` counters (four times ``top``) per task are added
+    up: a token occurs at least as often as they say, and at most the summed
+    error more.  Tokens that may reach the ``top``-th count are counted again,
+    exactly.  Where the error does not prove that the others cannot (a token
+    outside all summaries might), the exact counts of all are returned; the
+    flag tells which.
+    """
+    from .vectors import broadcast_if_small
+
+    if top < 1:
+        raise ValueError("top must be >= 1")
+    capacity = max(top, capacity or 4 * top)
+    texts = token_tables[0].select(F.col(tokens_col).alias("tokens"))
+    for t in token_tables[1:]:
+        texts = texts.unionByName(t.select(F.col(tokens_col).alias("tokens")))
+    merged = materialize(texts.mapInArrow(_summary_rows(capacity), "token string, count bigint")
+                         .groupBy("token").agg(F.sum("count").alias("count")), "summary")
+    error = int(merged.where(F.col("token").isNull()).agg(F.sum("count")).first()[0] or 0)
+    found = merged.where(F.col("token").isNotNull())
+    ranked = with_ordinal(found, [F.col("count").desc(), F.col("token")], name="_pos")
+    least = ranked.where(F.col("_pos") == top - 1).first()
+    if error and (least is None or error >= least["count"]):
+        return token_counts(*token_tables, tokens_col=tokens_col), False
+    if not error:
+        return found.select("token", "count"), True  # nothing was taken off: the sums are exact
+    candidates = found.where(F.col("count") + F.lit(error) >= F.lit(least["count"])).select("token")
+    candidates, _ = broadcast_if_small(candidates, 256)
+    again = explode_tokens(texts).join(candidates, "token", "left_semi")
+    return again.groupBy("token").agg(F.count(F.lit(1)).alias("count")), True
+
+
+def capped_index(*token_tables: DataFrame, num_words: int, index_from: int = KERAS_INDEX_FROM,
+                 capacity: int | None = None, tokens_col: str = "tokens") -> DataFrame:
+    """The rows of :func:`frequency_index` (no specials) with ids below
+    ``num_words`` (T8), by :func:`top_counts`: all that a capped encoding looks up."""
+    top = num_words - 1 - index_from
+    if top < 1:
+        return token_tables[0].sparkSession.createDataFrame([], INDEX_SCHEMA)
+    counts, _ = top_counts(*token_tables, top=top, capacity=capacity, tokens_col=tokens_col)
+    index = frequency_index(counts, index_from, specials=())
+    return index.where(F.col("id") < F.lit(num_words))

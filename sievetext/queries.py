@@ -187,6 +187,15 @@ def q_encode_capped(spark, sf_dir):
     return enc.select("id", ids_to_string("ids").alias("ids"))
 
 
+@query("capped_index", _capped_sql("'train', 'dev'") + "SELECT token, id FROM findex WHERE id < 300")
+def q_capped_index(spark, sf_dir):
+    """The part of the frequency index that a cap of 300 words keeps (T8), by heavy hitters."""
+    from .operators.vocab import capped_index
+
+    p = _prep(spark, sf_dir)
+    return capped_index(p.tokens.where(F.col("split").isin("train", "dev")), num_words=300)
+
+
 @query("load_multiclass", _capped_sql("'train', 'test'") + f""",
 padded AS (SELECT seqs.id, toks.y, toks.split, {_CAPPED_IDS} FROM seqs JOIN toks ON seqs.id = toks.id),
 whole AS (
