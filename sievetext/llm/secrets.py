@@ -6,8 +6,12 @@ lower-case alphanumeric, alphanumeric, base64) is inferred from its characters.
 Three statistics are taken: the chi-squared sum of its character counts against
 a uniform alphabet, the number of runs of character classes, and the serial
 correlation of neighbouring codes.  A candidate must pass all three as a random
-string; the evidence against ordinary text (too few equal pairs, too many class
-changes) becomes one p-value, and Benjamini-Hochberg control is applied within
+string.  What is controlled is the opposite error, ordinary text taken for a
+secret, so the p-value asks what text would give for the same statistics: the
+sum of squared counts as the number of equal pairs (too few), the runs as class
+changes beyond those of names (too many), joined by Stouffer's method.  The
+serial correlation of words and of random strings is alike, so it can only
+reject and adds no evidence.  Benjamini-Hochberg control is applied within
 classes of length, because short tokens look random by chance more often.  The
 counts of p-values per bin cover all candidates; only one threshold per length
 class goes through the driver.
