@@ -246,16 +246,17 @@ def cut(n: int, window: int) -> Iterator[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, keys: list[str], text_col: str = "text",
            window: int = WINDOW, end_id: int = END_ID,
-           cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+           cache_chunks: int = CACHE_CHUNKS, keep: bool = True) -> DataFrame:
     """One row per piece: the key columns, ``start``, ``length``, ``ids_crc32``,
-    ``doc_tokens``."""
+    ``doc_tokens``.  Workers keep their encoder for later tasks, or with ``keep``
+    false give its memory back after each."""
     piece = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     result = pa.struct([("doc_tokens", pa.int64()), ("pieces", pa.list_(piece))])
 
     @F.arrow_udf("struct<doc_tokens:bigint,"
                  "pieces:array<struct<start:bigint,length:bigint,ids_crc32:bigint>>>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = worker_encoder(path, end_id, cache_chunks)
+        coder = worker_encoder(path, end_id, cache_chunks) if keep else Encoder(path, end_id, cache_chunks)
         for texts in batches:
             rows = []
             for ids in coder.encode_all(texts.to_pylist()):
@@ -325,12 +326,12 @@ def plan_ranks(counts: DataFrame, group: str, window: int):
 
 
 def pack(docs: DataFrame, path: str, keys: list[str] | None = None, text_col: str = "text",
-         window: int = WINDOW, end_id: int = END_ID, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+         window: int = WINDOW, end_id: int = END_ID, cache_chunks: int = CACHE_CHUNKS, keep: bool = True) -> DataFrame:
     """Pieces of all documents with their window and place in it: key columns,
     ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
-    ``cache_chunks`` trades a task's memory for time; the result is the same."""
+    ``cache_chunks`` and ``keep`` trade a worker's memory for time; the result is the same."""
     keys = keys or ["doc_id"]
-    cuts = materialize(pieces(docs, path, keys, text_col, window, end_id, cache_chunks), "pieces")
+    cuts = materialize(pieces(docs, path, keys, text_col, window, end_id, cache_chunks, keep), "pieces")
     return assign(cuts, keys, window)
 
 
@@ -341,7 +342,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def pack_documents(docs: DataFrame, cache_chunks: int = LARGE_CACHE) -> DataFrame:
+def pack_documents(docs: DataFrame, cache_chunks: int = LARGE_CACHE, keep: bool = True) -> DataFrame:
     """The rows of the registered query."""
-    return pack(docs.select("doc_id", "text"), tokenizer_path(), cache_chunks=cache_chunks).select(
+    return pack(docs.select("doc_id", "text"), tokenizer_path(), cache_chunks=cache_chunks, keep=keep).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
