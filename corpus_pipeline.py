@@ -37,8 +37,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining texts with their training window and place.  The
-    encoder's cache is small: the workers have served four stages already."""
-    return packing.pack_documents(docs, cache_chunks=50_000)
+    encoder's cache is small and goes with the task: the workers serve five stages."""
+    return packing.pack_documents(docs, cache_chunks=50_000, keep=False)
 
 
 STAGES = [
