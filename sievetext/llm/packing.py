@@ -42,6 +42,8 @@ BUCKETS = 256
 CACHE_CHUNKS = 400_000
 #: The same where nothing else is held beside them.
 LARGE_CACHE = 800_000
+#: Texts whose chunks are held at once.
+TOGETHER = 64
 #: Bits of a piece's rank and of a window's length in one 63-bit key.
 RANK_BITS, MAX_WINDOW_BITS = 40, 23
 # Fixed value: the vocabulary's mark of a word's last token.
@@ -187,11 +189,15 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian uint32 ids of the text and the end id."""
-        return self.encode_all([text])[0]
+        return self._encode_some([text])[0]
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """:meth:`encode` of every text; chunks that none of the two generations
-        of known ones has are encoded together."""
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """:meth:`encode` of every text, :data:`TOGETHER` at a time; chunks that
+        none of the two generations of known ones has are encoded together."""
+        for k in range(0, len(texts), TOGETHER):
+            yield from self._encode_some(texts[k:k + TOGETHER])
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
         chunked = [_POINTS.sub(r" \g<0> ", t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
         if len(self.known) > self.cache_chunks // 2:
             self.before, self.known = self.known, {}
