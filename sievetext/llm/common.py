@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import time
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Seconds between two calls of :func:`give_back` that have an effect.
+GIVE_BACK_EVERY = 2.0
+_given_back = 0.0
+
+
+def give_back(now: bool = False):
+    """Hand memory that this Python worker has freed back to the machine.  The
+    allocators keep it otherwise, and a worker that serves one operator after
+    another keeps the peak of each.  Does nothing where the C library can't."""
+    global _given_back
+    if not now and time.monotonic() - _given_back < GIVE_BACK_EVERY:
+        return
+    _given_back = time.monotonic()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

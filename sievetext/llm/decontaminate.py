@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import BLOCK_CHARS, free_name, small_batches, without
+from .common import BLOCK_CHARS, free_name, give_back, small_batches, without
 
 WINDOW = 10
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -192,7 +192,10 @@ def _scan_udf(shared, cut: bool):
             rows.append({"n_words": n, "longest": longest, "items": items,
                          "spans": [{"start": a, "end": b} for a, b in spans],
                          "cleaned": cut_words(text, spans) if cut and spans else None})
-        return pa.array(rows, type=_RESULT)
+        done = pa.array(rows, type=_RESULT)
+        del rows
+        give_back()
+        return done
 
     return scan
 

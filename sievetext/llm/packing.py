@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import small_batches
+from .common import give_back, small_batches
 
 WINDOW = 4096
 END_ID = 2
@@ -273,6 +273,11 @@ def pieces(docs: DataFrame, path: str, keys: list[str], text_col: str = "text",
                                   "ids_crc32": zlib.crc32(ids[4 * start:4 * (start + length)])})
                 rows.append({"doc_tokens": n, "pieces": parts})
             yield pa.array(rows, type=result)
+            del rows
+            give_back()
+        if not keep:
+            del coder
+            give_back(now=True)
 
     coded = small_batches(docs).select(*[F.col(k) for k in keys], encode(F.col(text_col).cast("string")).alias("_doc"))
     return (coded.select(*keys, F.col("_doc.doc_tokens").alias("doc_tokens"),

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, joined_spans, small_batches, without
+from .common import free_name, give_back, joined_spans, small_batches, without
 
 # The kinds in output order; the first four are the base kinds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -214,6 +214,7 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5,
     @F.arrow_udf("string")
     def hidden(texts: pa.Array) -> pa.Array:
         plain = (t.as_py() for t in texts)
+        give_back()
         return pa.array([redact_text(t, find_spans(t, threshold)) for t in plain], pa.string())
 
     new = free_name(docs, "redacted")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import free_name, small_batches
+from .common import free_name, give_back, small_batches
 from .graph import components
 
 SHINGLE = 3
@@ -70,6 +70,7 @@ def _fingerprint_udf(shingle: int):
     @F.arrow_udf("bigint")
     def simhash(texts: pa.Array) -> pa.Array:
         found = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
+        give_back()
         return pa.array(found.view(np.int64))
 
     return simhash
