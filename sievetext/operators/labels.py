@@ -7,7 +7,7 @@ of weights per class), so it is collected, behind an explicit bound: more than
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_CLASSES = 10_000
@@ -68,10 +68,10 @@ def encode_labels(df: DataFrame, labels: list, label_col: str = "label",
         missing = F.col(code_col).isNull()
     if strict:
         bad = out.where(missing).groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-        first = bad.select(label_col, "n", F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all")) \
-            .orderBy(F.col("n").desc()).limit(20).collect()
+        first = bad.orderBy(F.col("n").desc(), label_col).limit(20).collect()
         if first:
-            raise KeyError(f"{first[0]['all']} rows with labels not in the label map: "
+            rows = bad.agg(F.sum("n")).first()[0]
+            raise KeyError(f"{rows} rows with labels not in the label map: "
                            f"{[r[0] for r in first]}")
     return out.where(~missing) if not strict else out
 

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.vecmath import PROB_FLOOR
 from ..session import input_partitions
+from .exact import PLANES, carried, exact_products, exact_total, row_products, rounded, zero_sums
 
 
 @dataclass
@@ -133,10 +134,12 @@ SEEN_GRAD_SCHEMA = T.StructType(GRAD_SCHEMA.fields + [T.StructField(c, T.LongTyp
 ROLE_GRAD_SCHEMA = T.StructType([T.StructField("role", T.IntegerType())] + SEEN_GRAD_SCHEMA.fields)
 
 
-def _sums(kind, X, y, k, W, b, d, form, threshold):
-    """Loss sums and gradient sums (c x (d+1)) of one batch, and how many of all
-    its rows have their label as arg-max class (the first of equal ones)."""
-    P = softmax_np(X @ W.T + b)
+def _terms(kind, X, y, k, Z, form, threshold):
+    """What the rows of one batch add to the sums, from their logits: features,
+    derivatives by the logits, losses and positive losses (``None`` for ``pl``) of
+    the rows that take part, and how many of all rows have their label as arg-max
+    class (the first of equal ones)."""
+    P = softmax_np(Z)
     rows = np.arange(len(y))
     correct = int((P.argmax(axis=1) == y).sum()) if len(y) else 0
     if threshold is not None:
@@ -144,15 +147,12 @@ def _sums(kind, X, y, k, W, b, d, form, threshold):
         X, y, P = X[keep], y[keep], P[keep]
         k = k[keep] if k is not None else None
         rows = np.arange(len(y))
-    G = np.zeros((W.shape[0], d + 1))
-    if len(y) == 0:
-        return 0, 0.0, 0.0, G, correct
     py = np.maximum(P[rows, y], PROB_FLOOR)
-    aux = 0.0
+    aux = None
     if kind == "pl":
         dZ = P.copy()
         dZ[rows, y] -= 1.0
-        loss = float(-np.log(py).sum())
+        loss = -np.log(py)
     else:
         pk = P[rows, k]
         onek = np.zeros_like(P)
@@ -160,14 +160,32 @@ def _sums(kind, X, y, k, W, b, d, form, threshold):
         if form == "complement":
             q = np.maximum(1.0 - pk, PROB_FLOOR)
             dZ = (pk / q)[:, None] * (onek - P)
-            loss = float(-np.log(q).sum())
+            loss = -np.log(q)
         else:  # as_written: log p_k - 1
             dZ = onek - P
-            loss = float((np.log(np.maximum(pk, PROB_FLOOR)) - 1.0).sum())
-        aux = float(-np.log(py).sum())
+            loss = np.log(np.maximum(pk, PROB_FLOOR)) - 1.0
+        aux = -np.log(py)
+    return X, dZ, loss, aux, correct
+
+
+def _sums(kind, X, y, k, W, b, d, form, threshold):
+    """Loss sums and gradient sums (c x (d+1)) of one batch, and the rows whose
+    arg-max class is their label."""
+    X, dZ, loss, aux, correct = _terms(kind, X, y, k, X @ W.T + b, form, threshold)
+    G = np.zeros((W.shape[0], d + 1))
+    if len(X) == 0:
+        return 0, 0.0, 0.0, G, correct
     G[:, :d] = dZ.T @ X
     G[:, d] = dZ.sum(axis=0)
-    return len(y), loss, aux, G, correct
+    return len(X), float(loss.sum()), 0.0 if aux is None else float(aux.sum()), G, correct
+
+
+def _exact_sums(kind, X, y, k, W, b, d, form, threshold):
+    """The same as digits of exact sums: loss, positive loss, gradient."""
+    X, dZ, loss, aux, correct = _terms(kind, X, y, k, row_products(X, W) + b, form, threshold)
+    with_bias = np.hstack([X, np.ones((len(X), 1))])
+    sums = [exact_total(loss), exact_total(loss[:0] if aux is None else aux), exact_products(dZ, with_bias)]
+    return len(X), np.hstack([s.reshape(PLANES, -1) for s in sums]), correct
 
 
 def _partial(kind, W, b, d, form, threshold, features_col, y_col, comp_col, role_col=None):
@@ -207,10 +225,88 @@ def _partial(kind, W, b, d, form, threshold, features_col, y_col, comp_col, role
     return run
 
 
+def _batches_by_role(batches, d, features_col, y_col, comp_col, role_col):
+    """``(role, X, y, k)`` of every Arrow batch that has rows."""
+    for rb in batches:
+        if rb.num_rows == 0:
+            continue
+        X = matrix(rb.column(features_col), d)
+        y, k, roles = (rb.column(c).to_numpy(zero_copy_only=False).astype(np.int64) if c else None
+                       for c in (y_col, comp_col, role_col))
+        for r in (np.unique(roles) if role_col else [0]):
+            m = roles == r if role_col else slice(None)
+            yield int(r), X[m], y[m], k[m] if comp_col else None
+
+
+_EXACT_SCHEMA = ("role int, n bigint, seen bigint, correct bigint, sums array<bigint>")
+
+
+def _exact_rows(acc: dict) -> pa.RecordBatch:
+    """Counts and digits per role as rows of :data:`_EXACT_SCHEMA`."""
+    rs = sorted(acc)
+    sums = pa.array([acc[r][1].ravel() for r in rs], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rs, pa.int32()), *[pa.array([int(acc[r][0][i]) for r in rs], pa.int64()) for i in range(3)], sums],
+        names=["role", "n", "seen", "correct", "sums"])
+
+
+def _add_exact(acc: dict, role: int, counts, sums: np.ndarray):
+    if role in acc:
+        counts, sums = acc[role][0] + counts, carried(acc[role][1] + sums)
+    acc[role] = (np.asarray(counts, np.int64), sums)
+
+
+def _partial_exact(kind, W, b, d, form, threshold, features_col, y_col, comp_col, role_col=None):
+    """Per-partition digits of exact sums, one row per role."""
+
+    def run(batches):
+        acc = {0: (np.zeros(3, np.int64), zero_sums((2 + W.shape[0] * (d + 1),)))}
+        for role, X, y, k in _batches_by_role(batches, d, features_col, y_col, comp_col, role_col):
+            n, sums, correct = _exact_sums(kind, X, y, k, W, b, d, form, threshold if role == 0 else None)
+            _add_exact(acc, role, [n, len(y), correct], sums)
+        yield _exact_rows(acc)
+
+    return run
+
+
+def _exact_total_frame(parts: DataFrame, groups: int, with_role: bool) -> DataFrame:
+    """Digits of all partitions added in two levels, then rounded once."""
+
+    def added(batches):
+        acc: dict = {}
+        for rb in batches:
+            for row in zip(*[rb.column(c).to_pylist() for c in ("role", "n", "seen", "correct")],
+                           rb.column("sums"), strict=True):
+                sums = row[4].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                _add_exact(acc, row[0], row[1:4], sums.reshape(PLANES, -1))
+        return acc
+
+    def merge(batches):
+        acc = added(batches)
+        if acc:
+            yield _exact_rows(acc)
+
+    def finish(batches):
+        acc = added(batches)
+        rs = sorted(acc)
+        done = [rounded(acc[r][1]) for r in rs]
+        n, seen, correct = (pa.array([int(acc[r][0][i]) for r in rs], pa.int64()) for i in range(3))
+        cols = [n, pa.array([v[0] for v in done], pa.float64()), pa.array([v[1] for v in done], pa.float64()),
+                pa.array([v[2:] for v in done], pa.list_(pa.float64())), seen, correct]
+        names = ["n", "loss", "aux_loss", "grad", *SEEN]
+        if with_role:
+            cols, names = [pa.array(rs, pa.int32()), *cols], ["role", *names]
+        yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    grouped = parts.repartition(groups, F.pmod(F.spark_partition_id(), F.lit(groups))).mapInArrow(merge, _EXACT_SCHEMA)
+    return grouped.repartition(1).mapInArrow(finish, ROLE_GRAD_SCHEMA if with_role else SEEN_GRAD_SCHEMA)
+
+
 def gradient_frame(df: DataFrame, model: SoftmaxHead, kind: str = "pl",
                    form: str = "complement", threshold: float | None = None,
                    features_col: str = "features", y_col: str = "y",
-                   comp_col: str | None = None, role_col: str | None = None) -> DataFrame:
+                   comp_col: str | None = None, role_col: str | None = None,
+                   exact: bool = False) -> DataFrame:
     """Sums over the rows of ``df``: ``n, loss, aux_loss, grad, seen, correct`` (one
     row, or one row per role with ``role_col``).
 
@@ -222,14 +318,20 @@ def gradient_frame(df: DataFrame, model: SoftmaxHead, kind: str = "pl",
     to role 0 only, so a training set and an evaluation set share one scan.
     ``grad`` is c x (d+1) row-major, the last column for the bias; divide by
     ``n`` for the mean.
+
+    ``exact`` adds without rounding (:mod:`.exact`): the sums are the same bit
+    for bit however the rows are partitioned, ordered and batched.
     """
     if kind not in ("pl", "nl"):
         raise ValueError("kind must be 'pl' or 'nl'")
     if kind == "nl" and not comp_col:
         raise ValueError("nl needs comp_col")
     cols = [features_col, y_col] + ([comp_col] if comp_col else []) + ([role_col] if role_col else [])
-    run = _partial(kind, model.W, model.b, model.dim, form, threshold, features_col, y_col,
-                   comp_col if kind == "nl" else None, role_col)
+    make = _partial_exact if exact else _partial
+    run = make(kind, model.W, model.b, model.dim, form, threshold, features_col, y_col,
+               comp_col if kind == "nl" else None, role_col)
+    if exact:
+        return _exact_total_frame(df.select(*cols).mapInArrow(run, _EXACT_SCHEMA), fan_in(df), bool(role_col))
     parts = df.select(*cols).mapInArrow(run, ROLE_GRAD_SCHEMA if role_col else SEEN_GRAD_SCHEMA)
     return tree_sum(parts, fan_in(df), "role" if role_col else None)
 

@@ -86,6 +86,7 @@ class Trainer:
     seed: int = 7
     form: str = "complement"
     eval_every: int = EVAL_EVERY
+    reproducible: bool = False  # sums without rounding: the same bits for any partitioning
     on_epoch_end: Callable[[dict], None] | None = None
     history: list = field(default_factory=list)
     model: SoftmaxHead | None = None
@@ -145,7 +146,7 @@ class Trainer:
             frame = self._frame(train if with_train else None, dev if row else None,
                                 test if row and "test_accuracy" in row else None, kind, step)
             res = gradients_by_role(frame, self.model, kind=kind, form=self.form, threshold=threshold,
-                                    comp_col="comp" if kind == "nl" else None)
+                                    comp_col="comp" if kind == "nl" else None, exact=self.reproducible)
             if row:
                 if dev is not None:
                     row["dev_loss"] = res.get(1, {"loss": float("nan")})["loss"]
