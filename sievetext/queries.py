@@ -711,6 +711,20 @@ def q_nl_gradient(spark, sf_dir):
     return _grad_long(spark, gradient_frame(df, model, kind="nl", comp_col="comp"), c, model.dim)
 
 
+NL_GRADIENT_SQL = ORACLES["nl_gradient"]
+
+
+@query("nl_gradient_exact", NL_GRADIENT_SQL)
+def q_nl_gradient_exact(spark, sf_dir):
+    """The gradient of a negative pass, added without rounding."""
+    from .operators.model import gradient_frame
+    from .operators.noise import complement_label
+
+    df, model, c = _emb(spark, sf_dir)
+    df = df.withColumn("comp", complement_label("y", c, 0, id_col="vec_id"))
+    return _grad_long(spark, gradient_frame(df, model, kind="nl", comp_col="comp", exact=True), c, model.dim)
+
+
 # ---------------------------------------------------------------- training
 
 QUERY_EPOCHS = 5
@@ -871,6 +885,16 @@ def q_read_text_folder(spark, sf_dir):
     return read_text_folder(spark, path).select("id", "text")
 
 
+@query("text_records_roundtrip", "SELECT doc_id AS id, text FROM documents")
+def q_text_records_roundtrip(spark, sf_dir):
+    from .session import scratch_path
+    from .sources.files import read_text_records, write_text_records
+
+    docs = table(spark, sf_dir, "documents")
+    path = write_text_records(docs, scratch_path(spark, "text-records"), 8, "doc_id")
+    return read_text_records(spark, path)
+
+
 @query("prepared_roundtrip", _with(*INDEX, S.encode_ctes(256)) + """
 SELECT id, y, array_to_string(ids, ' ') AS ids FROM enc""")
 def q_prepared_roundtrip(spark, sf_dir):
@@ -1072,9 +1096,17 @@ STEP_SCALE = 200.0
 STEPS = (("nl", None), ("nl", "1.0::DOUBLE / (SELECT c FROM nc)"), ("pl", "0.5::DOUBLE"))
 
 
-def _step_sql(i: int, kind: str, threshold: str | None) -> str:
+def _probs_sql(i: int) -> str:
+    return f"""lg{i} AS (SELECT xb.vec_id, w{i - 1}.k, sum(xb.v * w{i - 1}.w) AS z FROM xb JOIN w{i - 1} ON xb.j = w{i - 1}.j GROUP BY xb.vec_id, w{i - 1}.k),
+sh{i} AS (SELECT vec_id, k, exp(z - max(z) OVER (PARTITION BY vec_id)) AS ez FROM lg{i}),
+pr{i} AS (SELECT vec_id, CAST(k AS INTEGER) AS k, ez / sum(ez) OVER (PARTITION BY vec_id) AS p FROM sh{i}),
+py{i} AS (SELECT e.vec_id, e.y, pr{i}.p FROM e JOIN pr{i} ON e.vec_id = pr{i}.vec_id AND e.y = pr{i}.k)"""
+
+
+def _step_sql(i: int, kind: str, threshold: str | None, only: str | None = None) -> str:
     comp = S.comp_sql(i).replace("comp AS", f"comp{i} AS", 1)
-    keep = f"WHERE py{i}.p > {threshold}" if threshold else ""
+    conditions = ([f"py{i}.p > {threshold}"] if threshold else []) + ([only] if only else [])
+    keep = f"WHERE {' AND '.join(conditions)}" if conditions else ""
     if kind == "pl":
         g = f"pr{i}.p - CASE WHEN pr{i}.k = sel{i}.y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
         join, clip = "", "least(1.0::DOUBLE, 10.0::DOUBLE / (sqrt(sum(s * s) OVER ()) + 1e-6::DOUBLE))"
@@ -1085,10 +1117,7 @@ def _step_sql(i: int, kind: str, threshold: str | None) -> str:
                 f"JOIN pr{i} pc{i} ON pc{i}.vec_id = sel{i}.vec_id AND pc{i}.k = comp{i}.k")
         clip = "1.0::DOUBLE"
     return f"""{comp},
-lg{i} AS (SELECT xb.vec_id, w{i - 1}.k, sum(xb.v * w{i - 1}.w) AS z FROM xb JOIN w{i - 1} ON xb.j = w{i - 1}.j GROUP BY xb.vec_id, w{i - 1}.k),
-sh{i} AS (SELECT vec_id, k, exp(z - max(z) OVER (PARTITION BY vec_id)) AS ez FROM lg{i}),
-pr{i} AS (SELECT vec_id, CAST(k AS INTEGER) AS k, ez / sum(ez) OVER (PARTITION BY vec_id) AS p FROM sh{i}),
-py{i} AS (SELECT e.vec_id, e.y, pr{i}.p FROM e JOIN pr{i} ON e.vec_id = pr{i}.vec_id AND e.y = pr{i}.k),
+{_probs_sql(i)},
 sel{i} AS (SELECT vec_id, y FROM py{i} {keep}),
 g{i} AS (SELECT sel{i}.vec_id, pr{i}.k, {g} AS g FROM sel{i} JOIN pr{i} ON pr{i}.vec_id = sel{i}.vec_id {join}),
 mean{i} AS (SELECT g{i}.k, xb.j, sum(g{i}.g * xb.v) / (SELECT count(*) FROM sel{i}) AS s
@@ -1134,6 +1163,87 @@ def q_three_training_steps(spark, sf_dir):
         F.lit(log[2]["n_rows"]).cast("long").alias("n_selpl"), F.lit(log[2]["grad_norm"] > 10).alias("clipped"))
 
 
+# ---------------------------------------------------------------- the epoch log in SQL
+# The same three steps over a keyed split into dev, test and training rows, each
+# with its evaluation, and a fourth that stops because nothing is selected.
+
+LOG_STAGES = ("nl", "selnl", "selpl")
+LOG_PARTS = 5  # parts of a keyed draw: 0 dev, 1 test, the others training
+
+
+def _mean_loss_sql(i: int, kind: str, rows: str, probs: int) -> str:
+    """Mean loss over ``rows(vec_id)`` with the probabilities before step ``probs``
+    and the complementary labels of step ``i``."""
+    if kind == "pl":
+        return f"(SELECT avg(-ln(greatest(p, 1e-12::DOUBLE))) FROM py{probs} WHERE vec_id IN (SELECT vec_id FROM {rows}))"
+    return (f"(SELECT avg(-ln(greatest(1.0::DOUBLE - q.p, 1e-12::DOUBLE))) FROM pr{probs} q JOIN comp{i} "
+            f"ON comp{i}.vec_id = q.vec_id AND comp{i}.k = q.k WHERE q.vec_id IN (SELECT vec_id FROM {rows}))")
+
+
+def _accuracy_sql(i: int, rows: str) -> str:
+    return (f"(SELECT round(100.0::DOUBLE * sum(CASE WHEN k = y THEN 1 ELSE 0 END) / count(*), 6) + 0.0::DOUBLE FROM top{i} "
+            f"WHERE vec_id IN (SELECT vec_id FROM {rows}))")
+
+
+def _epoch_log_sql() -> str:
+    def r6(x):
+        return f"round({x}, 6) + 0.0::DOUBLE"
+
+    steps, tops, rows = [], [], []
+    for i, (kind, threshold) in enumerate(STEPS, 1):
+        steps.append(_step_sql(i, kind, threshold, f"py{i}.vec_id IN (SELECT vec_id FROM train_rows)"))
+        tops.append(f"""top{i} AS (SELECT vec_id, y, k FROM (SELECT e.vec_id, e.y, q.k,
+          row_number() OVER (PARTITION BY e.vec_id ORDER BY q.p DESC, q.k) AS r
+          FROM e JOIN pr{i + 1} q ON q.vec_id = e.vec_id) WHERE r = 1)""")
+        loss, n = _mean_loss_sql(i, kind, f"sel{i}", i), f"(SELECT count(*) FROM sel{i})"
+        rows.append(f"""SELECT {i}::BIGINT AS step, '{LOG_STAGES[i - 1]}' AS stage, {n}::BIGINT AS n_rows,
+       {r6(loss)} AS train_loss, {r6(_mean_loss_sql(i, 'pl', f'sel{i}', i))} AS train_pos_loss,
+       {r6(f'{loss} / {n} * 1000')} AS reported_loss_1000, {r6(f'(SELECT max(norm) FROM cut{i})')} AS grad_norm,
+       {r6(_mean_loss_sql(i, kind, 'dev_rows', i + 1))} AS dev_loss,
+       {_accuracy_sql(i, 'train_rows')} AS train_accuracy, {_accuracy_sql(i, 'test_rows')} AS test_accuracy,
+       false AS stopped""")
+    part = f"{S.draw('part', 'vec_id')} % {LOG_PARTS}"
+    return _with(
+        S.EMB_SCORE_CTES,
+        f"part AS (SELECT vec_id, {part} AS part FROM e)",
+        "dev_rows AS (SELECT vec_id FROM part WHERE part = 0)", "test_rows AS (SELECT vec_id FROM part WHERE part = 1)",
+        "train_rows AS (SELECT vec_id FROM part WHERE part > 1)",
+        f"xb AS (SELECT vec_id, j, v * {STEP_SCALE}::DOUBLE AS v FROM ex UNION ALL SELECT vec_id, -1, 1.0::DOUBLE FROM e)",
+        f"w0 AS (SELECT k, j, w / {STEP_SCALE}::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS q FROM cent "
+        "UNION ALL SELECT DISTINCT k, -1, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM cent)",
+        *steps, _probs_sql(4), *tops) + "\nUNION ALL ".join(rows) + """
+UNION ALL SELECT 4, 'selpl', (SELECT count(*) FROM py4 WHERE p > 1.0::DOUBLE AND vec_id IN (SELECT vec_id FROM train_rows)),
+       NULL, NULL, NULL, NULL, NULL, NULL, NULL, true"""
+
+
+@query("epoch_log", _epoch_log_sql())
+def q_epoch_log(spark, sf_dir):
+    """What the hook is told after each step, and the step that stops."""
+    from .functions.draws import draw_mod
+    from .operators.model import SoftmaxHead
+    from .plans.train import Adam, Trainer, history_frame
+    from .session import materialize
+
+    df, model, c = _emb(spark, sf_dir)
+    rows = materialize(df.select(
+        F.col("vec_id").alias("id"), "y",
+        F.transform("features", lambda x: x * F.lit(STEP_SCALE)).alias("features"),
+        draw_mod(S.SEED, "part", LOG_PARTS, "vec_id").alias("part")), "epoch-log")
+    sets = {"dev": rows.where("part = 0"), "test": rows.where("part = 1")}
+    train, told = rows.where("part > 1"), []
+    tr = Trainer(c, model.dim, Adam(lr=STEP_LR), model=SoftmaxHead(model.W / STEP_SCALE), eval_every=1,
+                 reproducible=True, on_epoch_end=told.append)
+    tr.fit(train, 1, "nl", **sets)
+    tr.fit(train, 1, "nl", select="selnl", **sets)
+    tr.fit(train, 1, "pl", select="selpl", gamma=0.5, **sets)
+    tr.fit(train, 1, "pl", select="selpl", gamma=1.0, **sets)
+    log = history_frame(spark, told + [h for h in tr.history if h["stopped"]])
+    return log.select("step", "stage", "n_rows", *[_r6(F.col(x)).alias(x) for x in ("train_loss", "train_pos_loss")],
+                      _r6(F.col("reported_loss") * 1000).alias("reported_loss_1000"),
+                      *[_r6(F.col(x)).alias(x) for x in ("grad_norm", "dev_loss", "train_accuracy", "test_accuracy")],
+                      "stopped")
+
+
 # ---------------------------------------------------------------- mini-batches as local SGD (W2 with G1 G2)
 # From zero weights the probabilities are uniform, so SQL can follow the first
 # step of every shard.  Shards of about a third of a batch hold one batch each.

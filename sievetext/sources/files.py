@@ -61,6 +61,21 @@ def write_text_folder(df: DataFrame, path: str, id_col: str = "id", text_col: st
     return path
 
 
+def write_text_records(df: DataFrame, path: str, files: int, id_col: str = "id",
+                       text_col: str = "text") -> str:
+    """Many texts in ``files`` files, a JSON record each: a folder per text, as
+    :func:`write_text_folder` makes, costs a file and a directory per row.  Rows are
+    dealt by a hash of both columns; an empty text stays apart from a null one."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows.repartition(files, "id", "text").write.mode("overwrite").json(path)
+    return path
+
+
+def read_text_records(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """``id, text`` of :func:`write_text_records`; a record is one line, so files split."""
+    return spark.read.schema(f"id {id_type}, text string").json(path)
+
+
 def read_text_folder(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:
     """Every file under ``path`` as one text (S6): ``path, id, text``.
 
