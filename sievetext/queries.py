@@ -8,11 +8,13 @@ decimals so both engines print the same values.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import sqlref as S
-from .functions.text import normalize, tokenize
+from .functions.text import normalize, python_tokenizer, sql_normalize, tokenize
 from .operators.encode import decode_ids, encode_capped, encode_fixed, ids_to_string, pad_left
 from .operators.labels import class_count
 from .operators.vocab import frequency_index, token_counts
@@ -62,6 +64,23 @@ def q_tokenize_docs(spark, sf_dir):
                        F.size("_t").cast("long").alias("n_tokens"))
 
 
+def _letters_and_others(text: str) -> list[str]:
+    """A user's tokeniser: runs of a-z, and runs of anything else but blanks."""
+    return re.findall("[a-z]+|[^a-z ]+", text)
+
+
+@query("tokenize_user", f"""
+SELECT doc_id, array_to_string(t, ' ') AS tokens, CAST(len(t) AS BIGINT) AS n_tokens
+FROM (SELECT doc_id, regexp_extract_all({sql_normalize("text")}, '[a-z]+|[^a-z ]+') AS t FROM documents
+      WHERE text IS NOT NULL)""")
+def q_tokenize_user(spark, sf_dir):
+    """Tokens by a function of the user's own (F1)."""
+    docs = documents(spark, sf_dir).where(F.col("text").isNotNull())
+    toks = docs.select("doc_id", tokenize("text", python_tokenizer(_letters_and_others)).alias("_t"))
+    return toks.select("doc_id", F.array_join("_t", " ").alias("tokens"),
+                       F.size("_t").cast("long").alias("n_tokens"))
+
+
 # ---------------------------------------------------------------- corpus, labels
 
 @query("labeled_corpus", _with(S.corpus_cte()) + """

@@ -108,3 +108,12 @@ def test_json_array_file_and_csv_quotes(spark):
     path = write_csv(spark.createDataFrame(rows, "label string, text string"), scratch_path(spark, "csvq"))
     back = sorted((r.label, r.text) for r in read_csv(spark, path).collect())
     assert back == sorted(rows)
+
+
+def test_missing_labels_are_counted_and_named(spark):
+    from sievetext.operators.labels import encode_labels
+
+    rows = [("a",)] * 3 + [("x",)] * 2 + [(f"m{i:02d}",) for i in range(30)] + [(None,)]
+    with pytest.raises(KeyError) as told:
+        encode_labels(spark.createDataFrame(rows, "label string"), ["a"])
+    assert "33 rows" in str(told.value) and "'x'" in str(told.value) and "m29" not in str(told.value)

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from sievetext.sources.files import LABELED_CSV_SCHEMA, _CSV_OPTS, _NO_NULL_TOKEN, read_csv, write_csv
+from sievetext.sources.files import read_text_records, write_text_records
 from sievetext.sources.splits import read_csv_split, read_json_array, write_json_array
 from pyspark.sql import types as T
 
@@ -74,3 +75,17 @@ def test_one_record_over_many_splits(spark, tmp_path, tiny_splits):
     (tmp_path / "c" / "f.csv").write_text(f'en,"{long}"\nfr,short\n"","x""y\n"\n')
     got = read_csv_split(spark, str(tmp_path / "c"), LABELED_CSV_SCHEMA, OPTS)
     assert sorted(map(tuple, got.collect())) == sorted([("en", long), ("fr", "short"), ("", 'x"y\n')])
+
+
+def test_text_records_keep_every_text(spark, tmp_path):
+    rows = [(1, "two\nlines"), (2, ""), (3, None), (4, '"quoted",   and \\ back'), (None, "no id"), (4, "again"), (4, "again")]
+    df = spark.createDataFrame(rows, "doc long, body string")
+    path = write_text_records(df, str(tmp_path / "records"), 2, "doc", "body")
+    assert len(list((tmp_path / "records").glob("part-*"))) <= 2
+    got = [tuple(r) for r in read_text_records(spark, path).collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+
+
+def test_no_text_records(spark, tmp_path):
+    df = spark.createDataFrame([], "id long, text string")
+    assert read_text_records(spark, write_text_records(df, str(tmp_path / "none"), 3)).count() == 0
