@@ -16,7 +16,7 @@ from .operators.order import batches, tail_split
 from .operators.vectors import lookup_table, read_word_vectors
 from .operators.vocab import (KERAS_OOV_ID, KERAS_SPECIALS, KERAS_SPECIALS_EOS, START_ID,
                               frequency_index, specials_frame, token_counts, vocabulary, word_index)
-from .plans.prepare import frequent_ids
+from .plans.prepare import capped_ids
 from .session import materialize
 
 
@@ -85,7 +85,7 @@ def load_data_set_multiclass(train: DataFrame, test: DataFrame, max_len: int, vo
     the test set as unpadded id sequences, the padded test rows and the index."""
     words = materialize(frequency_index(
         token_counts(train, test, tokens_col=tokens_col), specials=()), "frequency-index")
-    hot = frequent_ids(words)
+    hot = capped_ids(words, vocab_size)
 
     def padded(rows):
         return encode_capped(rows, words, vocab_size, max_len, tokens_col=tokens_col, keep=("y",), hot=hot)

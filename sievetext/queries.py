@@ -196,13 +196,13 @@ _CAPPED_IDS = ("array_to_string(list_concat(list_transform(range(128 - len(s)),
 
 @query("encode_capped", _capped_sql("'train', 'dev'") + f"SELECT id, {_CAPPED_IDS} FROM seqs")
 def q_encode_capped(spark, sf_dir):
-    from .plans.prepare import frequent_ids
+    from .plans.prepare import capped_ids
     from .session import materialize
 
     p = _prep(spark, sf_dir)
     counts = token_counts(p.tokens.where(F.col("split").isin("train", "dev")))
     findex = materialize(frequency_index(counts, specials=()), "frequency-index")
-    enc = encode_capped(p.tokens, findex, num_words=1000, max_len=128, hot=frequent_ids(findex))
+    enc = encode_capped(p.tokens, findex, num_words=1000, max_len=128, hot=capped_ids(findex, 1000))
     return enc.select("id", ids_to_string("ids").alias("ids"))
 
 
