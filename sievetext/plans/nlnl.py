@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.vecmath import argmax, pick
 from ..operators.model import score
 from ..operators.noise import inject_noise
-from ..session import materialize
+from ..session import drop_unread, materialize, written_mark
 from .features import build_vectors, pooled_features
 from .prepare import prepare
 from .train import Adam, Trainer
@@ -59,9 +59,15 @@ class NLNLResult:
 
 
 def noisy_feature_set(spark: SparkSession, sf_dir: str, cfg: NLNLConfig) -> NoisySet:
+    mark = written_mark()
     prep = prepare(spark, sf_dir, label=cfg.label)
     vecs = build_vectors(spark, sf_dir, prep, seed=cfg.seed)
-    feats = materialize(pooled_features(vecs), "features")
+    # What a step has read goes before the next one writes: the tables of the
+    # preparation are as large as the corpus.
+    pooled = pooled_features(vecs)
+    drop_unread(spark, mark, pooled)
+    feats = materialize(pooled, "features")
+    drop_unread(spark, mark, feats)
     nontest = feats.where(F.col("split") != "test")
     noisy = inject_noise(nontest, prep.num_classes, cfg.noise_ratio, kind=cfg.noise_kind,
                          seed=cfg.seed, label_col="y")
@@ -69,6 +75,7 @@ def noisy_feature_set(spark: SparkSession, sf_dir: str, cfg: NLNLConfig) -> Nois
                        "noisy-features")
     test = materialize(feats.where(F.col("split") == "test").select("id", "y", "features"),
                        "test-features")
+    drop_unread(spark, mark, data, test)
     return NoisySet(data.where(F.col("split") == "train").drop("split"),
                     data.where(F.col("split") == "dev").drop("split"),
                     test, prep.num_classes, vecs.dim)
