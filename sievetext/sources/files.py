@@ -5,10 +5,18 @@ Every reader declares its schema; nothing is inferred.
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+import uuid
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import input_partitions
 from .splits import read_csv_split
 
 LABELED_CSV_SCHEMA = T.StructType([T.StructField("label", T.StringType()),
@@ -22,6 +30,9 @@ _CSV_OPTS = dict(header=False, quote='"', escape='"', multiLine=True)
 # A field is null only when it is empty and unquoted; a quoted "" is the empty
 # string.  The reader's null token is therefore one that never appears.
 _NO_NULL_TOKEN = "\u0000"
+#: Texts to a folder, and the id that stands for none (Spark's).
+FOLDER_TEXTS = 1_000
+_NO_ID = "__HIVE_DEFAULT_PARTITION__"
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -56,11 +67,81 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType = PREDICTIONS
 
 
 def write_text_folder(df: DataFrame, path: str, id_col: str = "id", text_col: str = "text") -> str:
-    """One text per file: a folder per id holding the text (S6's layout)."""
-    df.select(id_col, text_col).write.mode("overwrite").partitionBy(id_col).text(path)
+    """One text per file (S6), its id in the path as ``<id_col>=<n>``; texts of one id
+    that a task meets together are the lines of one file.
+
+    On a file system of the machine or mounted there (``file:``) tasks write the files
+    themselves, ``FOLDER_TEXTS`` to a folder: Hadoop's local file system starts a
+    process for each permission that it sets, several for a text, and a folder per
+    text takes as much disk as the text.  Elsewhere it is Spark's writer and a folder
+    per id.  The texts appear under ``path`` when all are written.
+    """
+    rows = df.select(id_col, text_col)
+    local = _local_path(df.sparkSession, path)
+    if local is None or rows.schema[text_col].dataType != T.StringType():
+        rows.write.mode("overwrite").partitionBy(id_col).text(path)
+    else:
+        _write_text_files(rows, local, id_col, text_col)
     return path
 
 
+def _local_path(spark: SparkSession, path: str) -> str | None:
+    """The path on the machine's own or mounted file system, ``None`` on any other."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _write_text_files(rows: DataFrame, path: str, id_col: str, text_col: str) -> None:
+    """``path/<task>/<k>/<id_col>=<n>.txt``.  Every attempt of a task writes to a folder
+    of its own; those of the attempts that Spark counts are kept."""
+    shown = F.coalesce(F.nullif(F.col(id_col).cast("string"), F.lit("")), F.lit(_NO_ID))
+    ready = rows.sortWithinPartitions(id_col).select(shown.alias("id"), F.col(text_col).cast("binary").alias("text"))
+    base = f"{os.path.dirname(path)}/.{os.path.basename(path)}-{uuid.uuid4().hex[:12]}"
+    head = _escaped(id_col)
+
+    def run(batches):
+        task = TaskContext.get()
+        own = f"{base}/_{task.partitionId()}-{task.taskAttemptId()}"
+        now, out, n = None, None, 0
+        try:
+            for rb in batches:
+                for ident, text in zip(rb.column("id").to_pylist(), rb.column("text").to_pylist(), strict=True):
+                    if ident != now:
+                        if out is not None:
+                            out.close()
+                        folder = f"{own}/{n // FOLDER_TEXTS:06d}"
+                        if n % FOLDER_TEXTS == 0:
+                            os.makedirs(folder)
+                        now, out, n = ident, open(f"{folder}/{head}={_escaped(ident)}.txt", "wb"), n + 1
+                    out.write((text or b"") + b"\n")
+        finally:
+            if out is not None:
+                out.close()
+        if n:
+            yield pa.RecordBatch.from_pydict({"task": [task.partitionId()], "folder": [own]})
+
+    os.makedirs(base)
+    try:
+        for row in ready.mapInArrow(run, "task long, folder string").collect():
+            os.rename(row["folder"], f"{base}/part-{row['task']:05d}")
+        for left in os.listdir(base):
+            if left.startswith("_"):  # of attempts that failed or came too late
+                shutil.rmtree(f"{base}/{left}", ignore_errors=True)
+        open(f"{base}/_SUCCESS", "wb").close()
+        if os.path.isdir(path):
+            shutil.rmtree(path)
+        os.rename(base, path)
+    except BaseException:
+        shutil.rmtree(base, ignore_errors=True)
+        raise
+
+
+def _escaped(name: str) -> str:
+    """A value as Spark writes it in the name of a folder."""
+    return re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", name)
+
+
 def write_text_records(df: DataFrame, path: str, files: int, id_col: str = "id",
                        text_col: str = "text") -> str:
     """Many texts in ``files`` files, a JSON record each: a folder per text, as
@@ -79,16 +160,20 @@ def read_text_records(spark: SparkSession, path: str, id_type: str = "long") ->
 def read_text_folder(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:
     """Every file under ``path`` as one text (S6): ``path, id, text``.
 
-    ``id`` is parsed from a ``<id_col>=<n>`` folder name when present.  The
-    text writer ends each file with a newline, which is removed.
+    ``id`` is parsed from a ``<id_col>=<n>`` folder or file name when present.  The
+    text writer ends each file with a newline, which is removed.  Spark counts 4 MB
+    for opening a file, so small ones make a partition of every 32: they are put
+    together by their size, to four a core at least.
     """
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     fp = F.col("_metadata.file_path")
     text = F.when(F.col("value").endswith("\n"),
                   F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
     ident = F.regexp_extract(fp, f"{id_col}=([0-9]+)", 1)
-    return raw.select(fp.alias("path"), F.when(ident != "", ident.cast("long")).alias(id_col),
-                      text.alias("text"))
+    texts = raw.select(fp.alias("path"), F.when(ident != "", ident.cast("long")).alias(id_col),
+                       text.alias("text"))
+    parts = input_partitions(raw)
+    return texts if parts is None else texts.coalesce(max(parts, 4 * spark.sparkContext.defaultParallelism))
 
 
 def write_parquet(df: DataFrame, path: str) -> str:
