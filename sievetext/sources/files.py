@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import input_partitions
 from .splits import read_csv_split
 
 LABELED_CSV_SCHEMA = T.StructType([T.StructField("label", T.StringType()),
@@ -162,8 +161,8 @@ def read_text_folder(spark: SparkSession, path: str, id_col: str = "id") -> Data
 
     ``id`` is parsed from a ``<id_col>=<n>`` folder or file name when present.  The
     text writer ends each file with a newline, which is removed.  Spark counts 4 MB
-    for opening a file, so small ones make a partition of every 32: they are put
-    together by their size, to four a core at least.
+    for opening a file, so small ones make a partition of every few: partitions are
+    put together by their size, to four a core at least.
     """
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     fp = F.col("_metadata.file_path")
@@ -172,8 +171,12 @@ def read_text_folder(spark: SparkSession, path: str, id_col: str = "id") -> Data
     ident = F.regexp_extract(fp, f"{id_col}=([0-9]+)", 1)
     texts = raw.select(fp.alias("path"), F.when(ident != "", ident.cast("long")).alias(id_col),
                        text.alias("text"))
-    parts = input_partitions(raw)
-    return texts if parts is None else texts.coalesce(max(parts, 4 * spark.sparkContext.defaultParallelism))
+    try:
+        size = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    except Exception:  # noqa: BLE001 - e.g. sessions without a local JVM
+        return texts
+    return texts.coalesce(max(-(-size // max(1, most)), 4 * spark.sparkContext.defaultParallelism))
 
 
 def write_parquet(df: DataFrame, path: str) -> str:

@@ -37,7 +37,18 @@ def test_no_folder_for_each_text(spark, tmp_path):
     assert len(_files(tmp_path / "many")) == 300
     assert sum(len(ds) for _, ds, _ in os.walk(tmp_path / "many")) <= 4
     assert _rows(spark, path) == sorted(((i, "t") for i in range(300)), key=str)
-    assert read_text_folder(spark, path).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_small_files_share_read_tasks(spark, tmp_path):
+    path = write_text_folder(spark.range(300).select("id", F.lit("t").alias("text")), str(tmp_path / "many"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # a partition for each file
+    try:
+        got = read_text_folder(spark, path)
+        assert spark.read.text(path, wholetext=True, recursiveFileLookup=True).rdd.getNumPartitions() == 300
+        assert got.rdd.getNumPartitions() == min(300, 4 * spark.sparkContext.defaultParallelism)
+        assert got.count() == 300
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_failed_write_leaves_what_was_there(spark, tmp_path):
