@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,9 @@ MIN_COUNT = 100
 ABSORB_PERCENT = 100
 TOP = 2000
 NO_LANGUAGE = "und"
-#: Words (24 bytes) and phrases (about 200 bytes) of one broadcast block.
+#: Words (24 bytes) and phrases (about 50 bytes) of one broadcast block.
 BLOCK_WORDS = 2_000_000
-BLOCK_PHRASES = 200_000
+BLOCK_PHRASES = 1_000_000
 #: Bits of the table of candidate hashes.
 HASH_BITS = 25
 #: Entries that a task tallies before it hands them on.
@@ -103,6 +104,10 @@ def vocabulary(counted: DataFrame, min_count: int) -> DataFrame:
                                        "n", "h"), "words")
 
 
+#: Neither a hash nor a code.
+_UNKNOWN = np.iinfo(np.int64).min
+
+
 class Codes:
     """Codes of words: negative where the block has the word, else its hash."""
 
@@ -124,12 +129,16 @@ class Codes:
         if sum(map(len, self.known.values())) > 300_000:
             self.known.clear()
         known, found = self.known.setdefault(lang, {b".": 0}), words(body)
-        new = list(set(found).difference(known))
-        if new:
+        out = np.fromiter(map(known.get, found, repeat(_UNKNOWN)), np.int64, len(found))
+        missing = np.flatnonzero(out == _UNKNOWN)
+        if len(missing):
+            met = [found[i] for i in missing.tolist()]
+            new = list(set(met))
             seed = self.seeds.setdefault(lang, digest(lang.encode(), seed=42))
             h = np.array([max(digest(w, seed=seed) >> 1, 1) for w in new], dtype=np.int64)
             known.update(zip(new, self.find(h).tolist(), strict=True))
-        return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+            out[missing] = list(map(known.__getitem__, met))
+        return out
 
 
 def runs_only(values: np.ndarray) -> np.ndarray:
@@ -175,45 +184,55 @@ def _coder(shared, first: bool, last: bool):
 
 # --- double-array tries ------------------------------------------------------
 
+#: Bits of a letter: a code is so many letters, the highest first, that no node has
+#: more than ``1 << LETTER_BITS`` children and the arrays stay dense.
+LETTER_BITS = 10
+_LETTERS = 1 << LETTER_BITS
+#: Nodes of so many children get cells of their own, one after the other.
+_WIDE = 64
+
+
 @dataclass
 class Trie:
-    """Phrases of codes: the child of state s by code c is ``base[s] + c``, and
-    exists if ``check`` of it is s.  ``accept`` has the phrase of a state or -1.
-    ``codes`` lists the codes in use; the arrays know them by position + 1."""
+    """Phrases of codes, each code ``digits`` letters from 1: the child of state s by
+    letter x is ``base[s] + x``, and exists if ``check`` of it is s.  ``accept`` has
+    the phrase of a state or -1.  Behind the last state is room for any letter, where
+    ``base`` of states without children points."""
 
-    codes: np.ndarray
+    digits: int
     base: np.ndarray
     check: np.ndarray
     accept: np.ndarray
 
-    def local(self, row: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.codes, row), len(self.codes) - 1)
-        return np.where(self.codes[at] == row, at + 1, 0)
-
     def walk(self, row: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each level: the start positions that are still in the trie, and
         their states.  ``row`` ends with a 0."""
-        local = self.local(row)
-        start = np.flatnonzero(local)
-        state = np.zeros(len(start), np.int64)
+        limit = 1 << (LETTER_BITS * self.digits)
+        start = np.flatnonzero((row > 0) & (row < limit))
+        code, state = row[start], np.zeros(len(start), np.int64)
         for level in range(depth):
-            code = local[start + level]
-            there = self.base[state] + code
-            inside = (code > 0) & (there >= 0) & (there < len(self.check))
-            inside[inside] = self.check[there[inside]] == state[inside]
-            start, state = start[inside], there[inside]
+            if level:
+                code = row[start + level]
+                inside = (code > 0) & (code < limit)
+                start, state, code = start[inside], state[inside], code[inside]
+            for k in reversed(range(self.digits)):
+                there = self.base[state] + ((code >> (LETTER_BITS * k)) & (_LETTERS - 1)) + 1
+                inside = self.check[there] == state
+                start, state, code = start[inside], there[inside], code[inside]
             yield start, state
 
 
-_NOWHERE = -(1 << 40)
-
-
 def compile_trie(phrases: np.ndarray, ids: np.ndarray) -> Trie:
     """A double-array trie of distinct phrases (rows of codes, 0 behind their end)."""
-    codes = np.unique(phrases[phrases > 0])
-    rows = np.where(phrases > 0, np.searchsorted(codes, phrases) + 1, 0)
-    order = np.lexsort(rows.T[::-1])
-    rows, ids = rows[order], np.asarray(ids, np.int64)[order]
+    digits = max(1, -(-int(phrases.max(initial=1)).bit_length() // LETTER_BITS))
+    order = np.lexsort(phrases.T[::-1])
+    ids = np.asarray(ids, np.int64)[order]
+    rows = np.zeros((len(phrases), phrases.shape[1] * digits), np.int16)
+    for d, column in enumerate(phrases.T):
+        column = column[order]
+        for k in range(digits):
+            letter = ((column >> (LETTER_BITS * (digits - 1 - k))) & (_LETTERS - 1)) + 1
+            rows[:, d * digits + k] = np.where(column > 0, letter, 0)
     # Nodes are the distinct beginnings; those of one parent lie together.
     new = np.zeros(len(rows), bool)
     above, total = np.zeros(len(rows), np.int64), 1
@@ -224,7 +243,7 @@ def compile_trie(phrases: np.ndarray, ids: np.ndarray) -> Trie:
         fresh = new & (rows[:, d] > 0)
         node = total - 1 + np.cumsum(fresh)
         parents.append(above[fresh])
-        letters.append(rows[fresh, d])
+        letters.append(rows[fresh, d].astype(np.int64))
         ends = (rows[:, d] > 0) & (rows[:, d + 1] == 0 if d + 1 < rows.shape[1] else True)
         accept = np.full(int(fresh.sum()), -1, np.int64)
         accept[node[ends] - total] = ids[ends]
@@ -234,7 +253,9 @@ def compile_trie(phrases: np.ndarray, ids: np.ndarray) -> Trie:
     offset = _place(parent, letter, total)
     cell = np.append(0, offset[parent] + letter)
     size = int(cell.max()) + 1
-    trie = Trie(codes, np.full(size, _NOWHERE, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64))
+    kind = np.int32 if ids.max(initial=0) < 1 << 31 else np.int64
+    room = size + _LETTERS + 1
+    trie = Trie(digits, np.full(room, size, np.int32), np.full(room, -1, np.int32), np.full(room, -1, kind))
     inner = np.unique(parent)
     trie.base[cell[inner]] = offset[inner]
     trie.check[cell[1:]] = cell[parent]
@@ -244,34 +265,45 @@ def compile_trie(phrases: np.ndarray, ids: np.ndarray) -> Trie:
 
 def _place(parent: np.ndarray, letter: np.ndarray, total: int) -> np.ndarray:
     """Offsets per node such that all ``offset[parent] + letter`` differ and are
-    above 0: nodes of many children first, each at the first gap that takes all
-    of them; only children fill the cells that are left."""
+    above 0.  Nodes of many children get a stretch each; the others, those of more
+    children first, try free cells all at once, and those whose cells are all free
+    and no other's stay; only children fill the cells that are left."""
     offset = np.zeros(total, np.int64)
     n = np.bincount(parent, minlength=total)
-    first = np.searchsorted(parent, np.arange(total))
-    used = np.zeros(2 * len(parent) + int(letter.max(initial=0)) + 2, bool)
-    used[0], low, top = True, 1, 1
-    for p in sorted(np.flatnonzero(n > 1).tolist(), key=lambda p: -n[p]):
-        own = letter[first[p]:first[p] + n[p]]
-        apart, at, chunk, place = own - own[0], low, max(16, 65536 // len(own)), None
-        for _ in range(64):
-            if len(used) <= at + chunk + apart[-1]:
-                used = np.append(used, np.zeros(len(used) + chunk + apart[-1], bool))
-            free = at + np.flatnonzero(~used[at:at + chunk])
-            fits = np.flatnonzero(~used[free[:, None] + apart].any(axis=1))
-            if len(fits):
-                place = int(free[fits[0]])
-                break
-            at += chunk
-        else:
-            place = max(at, top)  # beyond everything placed so far
-            if len(used) <= place + apart[-1]:
-                used = np.append(used, np.zeros(len(used) + int(apart[-1]) + place, bool))
-        offset[p] = place - own[0]
-        used[place + apart] = True
-        top = max(top, place + int(apart[-1]) + 1)
-        while used[low]:
-            low += 1
+    first = np.cumsum(n) - n
+    wide = np.flatnonzero(n >= _WIDE)
+    least, most = letter[first[wide]], letter[first[wide] + n[wide] - 1]
+    ends = np.cumsum(most - least + 1)
+    offset[wide] = ends - (most - least) - least  # the first of them from cell 1
+    top = int(ends[-1]) + 1 if len(wide) else 1
+    used = np.zeros(2 * len(parent) + top + 2 * _LETTERS, bool)
+    used[0] = True
+    mine = n[parent] >= _WIDE
+    used[offset[parent[mine]] + letter[mine]] = True
+    top += _LETTERS
+    few = np.flatnonzero((n > 1) & (n < _WIDE))
+    size, rng = np.log2(n[few]).astype(np.int64), np.random.default_rng(0)
+    owner = np.zeros(len(used), np.int32)
+    for k in np.unique(size)[::-1]:
+        left, tries = few[size == k], 0
+        while len(left):
+            if tries % 4 == 0:
+                if len(used) < top + _LETTERS:
+                    used, owner = (np.append(x, np.zeros(top + _LETTERS, x.dtype)) for x in (used, owner))
+                free = np.flatnonzero(~used[:top])
+            own = n[left]
+            begin = np.cumsum(own) - own
+            which = np.repeat(np.arange(len(left)), own)
+            letters = letter[(first[left] - begin)[which] + np.arange(len(which))]
+            place = free[rng.integers(len(free), size=len(left))] - letter[first[left]]
+            cells = place[which] + letters
+            owner[cells] = which
+            good = np.logical_and.reduceat(~used[cells] & (owner[cells] == which), begin)
+            used[cells[good[which]]] = True
+            offset[left[good]] = place[good]
+            left, tries = left[~good], tries + 1
+            if 50 * np.count_nonzero(good) < len(good):  # too full for nodes of this size
+                top, tries = top + max(_LETTERS, len(which)), 0
     only = np.flatnonzero(n == 1)
     free = np.flatnonzero(~used)
     if len(free) < len(only):
@@ -284,7 +316,7 @@ def _place(parent: np.ndarray, letter: np.ndarray, total: int) -> np.ndarray:
 
 def _collected(phrases: DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray]:
     rows = phrases.select("cid", "codes").toArrow()
-    matrix = np.zeros((rows.num_rows, depth), np.int64)
+    matrix = np.zeros((rows.num_rows, depth), np.int32)
     lists = rows["codes"].combine_chunks()
     at = np.diff(lists.offsets.to_numpy())
     matrix[np.arange(depth) < at[:, None]] = lists.flatten().to_numpy()
@@ -292,9 +324,10 @@ def _collected(phrases: DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(phrases: DataFrame, block: int) -> list[DataFrame]:
-    """Phrases in parts of about ``block``, by their hash."""
+    """Phrases in parts of about ``block``, by the hash of their first two words:
+    longer beginnings are in one part only."""
     n = max(1, -(-phrases.count() // block))
-    part = F.pmod(F.xxhash64("codes"), F.lit(n))
+    part = F.pmod(F.xxhash64(F.slice("codes", 1, 2)), F.lit(n))
     return [phrases.where(part == b) for b in range(n)]
 
 
@@ -319,7 +352,7 @@ class Tally:
         self.held += len(key)
         return self.held > TALLY
 
-    def take(self, ids: np.ndarray | None) -> pa.RecordBatch:
+    def take(self, accept: np.ndarray | None, ids: np.ndarray | None) -> pa.RecordBatch:
         if self.parts:
             key, back = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
             n = np.bincount(back, np.concatenate([c for _, c in self.parts]), len(key)).astype(np.int64)
@@ -328,7 +361,7 @@ class Tally:
         self.parts, self.held = [], 0
         state = key >> 32
         return pa.RecordBatch.from_arrays(
-            [pa.array(state if ids is None else ids[state]), pa.array(key & 0xFFFFFFFF), pa.array(n)],
+            [pa.array(state if ids is None else ids[accept[state]]), pa.array(key & 0xFFFFFFFF), pa.array(n)],
             ["cid", "code", "n"])
 
 
@@ -337,8 +370,8 @@ def _propose(shared, bits, length: int):
     next code and how often they met.  Pairs need no trie: the first word's code
     is its state."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value if shared else None
-        ids = trie.accept if trie else None
+        trie, ids = shared.value if shared else (None, None)
+        accept = trie.accept if trie else None
         tally = Tally()
         for batch in batches:
             for raw in batch["codes"].to_pylist():
@@ -357,28 +390,34 @@ def _propose(shared, bits, length: int):
                     safe = (bits.value[slots >> 3] >> (slots & 7)) & 1 > 0
                     start, state = start[safe], state[safe]
                 if tally.add(state, row[start + length - 1]):
-                    yield tally.take(ids)
-        yield tally.take(ids)
+                    yield tally.take(accept, ids)
+        yield tally.take(accept, ids)
 
     return run
 
 
-#: States whose counts travel together.
+#: Phrases whose counts travel together.
 COUNT_PART = 1 << 16
 
 
 def _count(shared, depth: int):
-    """Bin counts of a task's states, in parts of :data:`COUNT_PART` states."""
+    """Bin counts of a task's accepting states, in parts of :data:`COUNT_PART` phrases."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value
-        seen = np.zeros(len(trie.accept), np.int64)
+        trie, ids = shared.value
+        seen, held, n = np.zeros(len(ids), np.int64), [], 0
         for batch in batches:
             for raw in batch["codes"].to_pylist():
                 row = np.frombuffer(raw, np.int32).astype(np.int64)
                 if len(row):
                     for _, state in trie.walk(row, depth):
-                        seen += np.bincount(state, minlength=len(seen))
-        seen[trie.accept < 0] = 0
+                        met = trie.accept[state]
+                        held.append(met[met >= 0])
+                        n += len(held[-1])
+                if n > TALLY:
+                    seen += np.bincount(np.concatenate(held), minlength=len(seen))
+                    held, n = [], 0
+        if held:
+            seen += np.bincount(np.concatenate(held), minlength=len(seen))
         parts = [(k, seen[k:k + COUNT_PART]) for k in range(0, len(seen), COUNT_PART)]
         parts = [(k, v) for k, v in parts if v.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()),
@@ -391,7 +430,7 @@ def _sum(shared):
     """``(cid, n)`` from the parts of all tasks, equal ones next to each other."""
     def out(first: int, total: np.ndarray) -> pa.RecordBatch:
         met = np.flatnonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array(shared.value.accept[first + met]), pa.array(total[met])], ["cid", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(shared.value[1][first + met]), pa.array(total[met])], ["cid", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(0, np.int64)
@@ -413,7 +452,7 @@ def count_phrases(codes: DataFrame, phrases: DataFrame, depth: int, block: int =
         matrix, ids = _collected(part, depth)
         if not len(ids):
             continue
-        shared = spark.sparkContext.broadcast(compile_trie(matrix, ids))
+        shared = spark.sparkContext.broadcast((compile_trie(matrix, np.arange(len(ids))), ids))
         parts = codes.mapInArrow(_count(shared, depth), "first bigint, counts binary")
         summed = parts.repartition("first").sortWithinPartitions("first").mapInArrow(_sum(shared), "cid bigint, n bigint")
         counts = materialize(summed, "phrase-counts")
@@ -442,7 +481,7 @@ def longer(codes: DataFrame, shorter: DataFrame | None, vocab: DataFrame, length
         for part in _blocks(shorter, block):
             matrix, ids = _collected(part, length - 1)
             if len(ids):
-                shared = spark.sparkContext.broadcast(compile_trie(matrix, ids))
+                shared = spark.sparkContext.broadcast((compile_trie(matrix, np.arange(len(ids))), ids))
                 met = codes.mapInArrow(_propose(shared, bits, length), ddl)
                 tallies.append(materialize(met.groupBy("cid", "code").agg(F.sum("n").alias("n")).where(
                     F.col("n") >= min_count), "tally"))

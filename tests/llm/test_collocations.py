@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from fixtures import ROWS, documents
+from pyspark.sql import functions as F
 from sievetext.llm import collocations as co
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -120,3 +121,29 @@ def test_top_per_language(spark, monkeypatch):
     for lang in ("de", "en"):
         keys = [(-r.score, -r.a, r.phrase) for r in sorted(out, key=lambda r: r["rank"]) if r.lang == lang]
         assert keys == sorted(keys)
+
+
+def test_tries_of_many_phrases_are_small_and_few(spark):
+    """Two passes over the codes for 1.2 million phrases, and tries that the driver
+    compiles at once (200,000 phrases took it 10 s each, a pass for every one)."""
+    import time
+
+    rng = np.random.default_rng(1)
+    draw = lambda: np.minimum((400_000 ** rng.random(300_000)).astype(np.int64), 400_000)
+    matrix = np.unique(np.stack([draw(), draw()], 1), axis=0)
+    start = time.process_time()
+    trie = co.compile_trie(matrix, np.arange(len(matrix)))
+    assert time.process_time() - start < 5
+    assert sum(a.nbytes for a in (trie.base, trie.check, trie.accept)) < 80 * len(matrix)
+    row = np.append(np.insert(matrix[:1000], 2, 0, axis=1).ravel(), 0)
+    _, (start, state) = list(trie.walk(row, 2))
+    assert start.tolist() == list(range(0, 3000, 3)) and trie.accept[state].tolist() == list(range(1000))
+
+    phrases = spark.range(1_200_000).select(F.array(F.col("id") % 1000, F.col("id")).alias("codes"))
+    assert len(co._blocks(phrases, co.BLOCK_PHRASES)) == 2
+
+
+def test_beginnings_are_in_one_block(spark):
+    phrases = spark.createDataFrame([([a, b, c],) for a in (1, 2, 3) for b in (1, 2, 3) for c in range(1, 9)], "codes array<long>")
+    parts = [{tuple(r.codes[:2]) for r in part.collect()} for part in co._blocks(phrases, 10)]
+    assert sum(map(len, parts)) == 9 and len([p for p in parts if p]) > 1
