@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize, scratch_root
 from .splits import read_csv_split
 
 LABELED_CSV_SCHEMA = T.StructType([T.StructField("label", T.StringType()),
@@ -32,6 +33,10 @@ _NO_NULL_TOKEN = "\u0000"
 #: Texts to a folder, and the id that stands for none (Spark's).
 FOLDER_TEXTS = 1_000
 _NO_ID = "__HIVE_DEFAULT_PARTITION__"
+#: Folders that the driver names to the tasks that list them.
+_MOST_FOLDERS = 50_000
+#: Bytes of text that a task reads before it hands them on.
+READ_BYTES = 2 << 20
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -160,23 +165,145 @@ def read_text_folder(spark: SparkSession, path: str, id_col: str = "id") -> Data
     """Every file under ``path`` as one text (S6): ``path, id, text``.
 
     ``id`` is parsed from a ``<id_col>=<n>`` folder or file name when present.  The
-    text writer ends each file with a newline, which is removed.  Spark counts 4 MB
-    for opening a file, so small ones make a partition of every few: partitions are
-    put together by their size, to four a core at least.
+    text writer ends each file with a newline, which is removed.
+
+    Spark's reader holds an entry for every file in the driver.  Folders on a file
+    system of the machine or mounted there (``file:``) are therefore listed and read by
+    the tasks, with the rows of Spark's reader; patterns, single files and folders with
+    compressed files, and other file systems, are left to Spark.  Small files share
+    read tasks: as many as their size asks for, but four a core at least.
     """
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    fp = F.col("_metadata.file_path")
+    raw = _read_by_tasks(spark, path)
+    by_spark = raw is None
+    if by_spark:
+        raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.col("_metadata.file_path"))
     text = F.when(F.col("value").endswith("\n"),
                   F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
-    ident = F.regexp_extract(fp, f"{id_col}=([0-9]+)", 1)
-    texts = raw.select(fp.alias("path"), F.when(ident != "", ident.cast("long")).alias(id_col),
-                       text.alias("text"))
+    ident = F.regexp_extract("path", f"{id_col}=([0-9]+)", 1)
+    texts = raw.select("path", F.when(ident != "", ident.cast("long")).alias(id_col), text.alias("text"))
+    if not by_spark:
+        return texts
     try:
         size = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+        return texts.coalesce(_read_tasks(spark, size))
     except Exception:  # noqa: BLE001 - e.g. sessions without a local JVM
         return texts
-    return texts.coalesce(max(-(-size // max(1, most)), 4 * spark.sparkContext.defaultParallelism))
+
+
+def _read_tasks(spark: SparkSession, size: int) -> int:
+    most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(-(-size // max(1, most)), 4 * spark.sparkContext.defaultParallelism)
+
+
+def _read_by_tasks(spark: SparkSession, path: str) -> DataFrame | None:
+    """``path, value`` of every file under a local or mounted folder, or ``None`` where
+    Spark's reader is needed.  The files are listed once, to a written table."""
+    try:
+        local = _local_path(spark, path)
+        if local is None or re.search(r"[][{}*?\\]", path) or not os.path.isdir(local) or any(
+                spark.conf.get(f"spark.sql.files.ignore{k}Files") == "true" for k in ("Missing", "Corrupt")):
+            return None
+        scratch_root(spark)
+        packed = _codec_endings(spark)
+    except Exception:  # noqa: BLE001 - e.g. sessions without a local JVM or a shared folder
+        return None
+    cores = spark.sparkContext.defaultParallelism
+    folders = _folders(local, 4 * cores)
+    listing = spark.createDataFrame(folders, "folder string, deep boolean").repartition(min(len(folders), 4 * cores))
+    files = materialize(listing.mapInArrow(_list_files, "file string, size long"), "text-files")
+    ended = F.lit(False)
+    for ending in packed:
+        ended = ended | F.lower("file").endswith(ending)
+    n, size, any_packed = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.max(ended)).first()
+    if any_packed:
+        return None
+    tasks = max(1, min(n, _read_tasks(spark, size)))
+    read = files.select("file").repartition(tasks, "file").mapInArrow(_read_files, "path string, value binary")
+    return read.select("path", F.col("value").cast("string").alias("value"))
+
+
+def _codec_endings(spark: SparkSession) -> list[str]:
+    """Endings of the files that Hadoop unpacks while it reads them."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    kinds = hadoop.io.compress.CompressionCodecFactory.getCodecClasses(conf)
+    return sorted({hadoop.util.ReflectionUtils.newInstance(kinds.get(i), conf).getDefaultExtension().lower()
+                   for i in range(kinds.size())})
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    """Whether Spark's readers leave out files or folders of this name."""
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _folders(top: str, least: int) -> list[tuple[str, bool]]:
+    """Folders for tasks to list, with (True) or without what lies below them: at
+    least so many where the tree has them, and no more than :data:`_MOST_FOLDERS`."""
+    deep, done = [top], []
+    while deep and len(deep) < least:
+        below = []
+        for folder in deep:
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    if e.is_dir() and not _hidden(e.name, True):
+                        below.append(e.path)
+                        if len(below) > _MOST_FOLDERS:
+                            return [(f, False) for f in done] + [(f, True) for f in deep]
+        done, deep = done + deep, below
+    return [(f, False) for f in done] + [(f, True) for f in deep]
+
+
+def _list_files(batches):
+    """The files with content in or below the given folders."""
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()),
+                                           pa.array([n for _, n in found], pa.int64())], ["file", "size"])
+
+    found = []
+    for rb in batches:
+        for folder, deep in zip(rb.column("folder").to_pylist(), rb.column("deep").to_pylist(), strict=True):
+            left = [folder]
+            while left:
+                with os.scandir(left.pop()) as entries:
+                    for e in entries:
+                        if e.is_dir():
+                            if deep and not _hidden(e.name, True):
+                                left.append(e.path)
+                        elif not _hidden(e.name, False):
+                            try:
+                                size = e.stat().st_size
+                            except FileNotFoundError:  # gone meanwhile, or a link to nowhere
+                                continue
+                            if size:
+                                found.append((e.path, size))
+                            if len(found) >= 10_000:
+                                yield out(found)
+                                found = []
+    yield out(found)
+
+
+def _read_files(batches):
+    def out(paths, texts):
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], ["path", "value"])
+
+    paths, texts, held = [], [], 0
+    for rb in batches:
+        for name in rb.column("file").to_pylist():
+            with open(name, "rb") as f:
+                texts.append(f.read())
+            paths.append(f"file:{_quoted(name)}")
+            held += len(texts[-1])
+            if held > READ_BYTES or len(texts) >= 10_000:
+                yield out(paths, texts)
+                paths, texts, held = [], [], 0
+    yield out(paths, texts)
+
+
+def _quoted(name: str) -> str:
+    """A path as it stands in a URI of Java's."""
+    return re.sub("[\x00-\x20\x7f-\xa0\"#%<>?\\[\\\\\\]^`{|}\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]",
+                  lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), name)
 
 
 def write_parquet(df: DataFrame, path: str) -> str:

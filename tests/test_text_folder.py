@@ -69,3 +69,69 @@ def test_string_ids_are_escaped(spark, tmp_path):
     names = sorted(os.path.basename(f) for f in _files(tmp_path / "s"))
     assert names == sorted(["name=a%2Fb.txt", "name=__HIVE_DEFAULT_PARTITION__.txt", "name=c%3Dd%25.txt", "name=e.gz.txt"])
     assert sorted(r.text for r in read_text_folder(spark, str(tmp_path / "s"), "name").collect()) == ["1", "2", "3", "4"]
+
+
+def _by_spark(spark, path):
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return sorted((r.p, r.v) for r in raw.select(F.col("_metadata.file_path").alias("p"), F.hex("value").alias("v")).collect())
+
+
+def _by_tasks(spark, path):
+    return sorted((r.path, r.v) for r in files._read_by_tasks(spark, path).select("path", F.hex("value").alias("v")).collect())
+
+
+def _odd_folder(top):
+    punctuation = "".join(c for c in map(chr, range(33, 127)) if c not in "/:" and not c.isalnum())
+    names = [punctuation, "é ü😀", "%41", "a%20b", "x._COPYING_", "_common_metadata1", "_y", "_y=2", ".z", "tab\tx", "nl\nx", "a\u3000b"]
+    for folder in ("a b", "_x=1", "_h", ".h", "_metadata_d", "deep/er", "empty"):
+        os.makedirs(top / folder)
+    for i, name in enumerate(names):
+        (top / "a b" / name).write_bytes(b"\xff\xe2\n" + b"x" * i)
+    for folder in ("_x=1", "_h", ".h", "_metadata_d", "deep/er"):
+        (top / folder / "f").write_text("q\n\n")
+    (top / "nothing").touch()
+    os.symlink(top / "nowhere", top / "broken")
+    os.symlink(top / "a b" / "%41", top / "link")
+    os.symlink(top / "deep", top / "linked")
+
+
+def test_tasks_read_the_rows_of_sparks_reader(spark, tmp_path, monkeypatch):
+    _odd_folder(tmp_path)
+    want = _by_spark(spark, str(tmp_path))
+    assert len(want) > 10 and _by_tasks(spark, str(tmp_path)) == want
+    monkeypatch.setattr(files, "_MOST_FOLDERS", 2)  # the tasks walk all
+    assert _by_tasks(spark, f"file://{tmp_path}/../{tmp_path.name}/") == want
+
+
+def test_folders_are_split_or_left_whole(tmp_path, monkeypatch):
+    for i in range(6):
+        os.makedirs(tmp_path / f"{i}/x")
+    top = str(tmp_path)
+    assert files._folders(top, 1) == [(top, True)]
+    assert sorted(files._folders(top, 3)) == [(top, False)] + [(f"{top}/{i}", True) for i in range(6)]
+    assert len(files._folders(top, 100)) == 13 and not any(deep for _, deep in files._folders(top, 100))
+    monkeypatch.setattr(files, "_MOST_FOLDERS", 5)
+    assert files._folders(top, 100) == [(top, True)]
+
+
+def test_no_list_of_files_in_the_driver(spark, tmp_path):
+    """Spark's file index, which holds every file, is not asked."""
+    path = write_text_folder(spark.range(500).select("id", F.lit("t").alias("text")), str(tmp_path / "many"))
+    got = read_text_folder(spark, path)
+    assert not [f for f in got.inputFiles() if "/many/" in f]
+    assert _rows(spark, path) == sorted(((i, "t") for i in range(500)), key=str)
+
+
+def test_what_spark_reads(spark, tmp_path):
+    import gzip
+
+    import pytest
+
+    (tmp_path / "id=1.txt").write_text("one\n")
+    (tmp_path / "id=2.txt.gz").write_bytes(gzip.compress(b"two\n"))
+    assert _rows(spark, str(tmp_path)) == [(1, "one"), (2, "two")]
+    assert _rows(spark, f"{tmp_path}/*.txt") == _rows(spark, f"{tmp_path}/id=1.txt") == [(1, "one")]
+    os.makedirs(tmp_path / "none/below")
+    assert _rows(spark, str(tmp_path / "none")) == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_text_folder(spark, str(tmp_path / "missing"))
